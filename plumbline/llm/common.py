@@ -49,3 +49,10 @@ def body(text_col: str) -> Column:
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id written as text, by modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of at most so many rows: long texts and tiles of vectors else make batches of gigabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
