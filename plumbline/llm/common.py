@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.session import ship
+
 #: A hot key (a text, a fingerprint, a length) is dealt over so many cells.
 SALTS = 64
 
@@ -52,7 +54,8 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of at most so many rows: long texts and tiles of vectors else make batches of gigabytes."""
+    """Arrow batches of at most so many rows (long texts and tiles of vectors else make batches of gigabytes), and workers that find this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

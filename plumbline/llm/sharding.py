@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.common import SALTS, body, partitions, salt, stored, table
+from plumbline.llm.common import SALTS, body, partitions, salt, small_batches, stored, table
 
 #: Groups of equal texts of up to this part of a shard's target are never cut.
 WHOLE = 0.05
@@ -43,6 +43,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark, 10_000)
     text = body(text_col)
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("mark"))
     rows = stored(rows.select("*", salt("id", salts=salts).alias("salt")), "shard-rows")
