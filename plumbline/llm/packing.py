@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from plumbline.llm.common import body, salt, small_batches, stored, table
 CAPACITY = 2048
 SEPARATOR = 0
 #: Cached words in a Python worker; the cache starts anew beyond that.
-CACHE = 400_000
+CACHE = 800_000
 #: Lengths beyond this many distinct rests are not enumerated as partners; more patterns fit the histogram no better.
 PARTNERS = 24
 ROUNDS = 300
@@ -26,11 +28,18 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
 
 
+# Byte-level alphabets write a byte as a printable character: itself, or one from 256 on.
+_PRINTED = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+_PRINTED |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_LETTERS = {c: "".join(_PRINTED[b] for b in chr(c).encode()) for c in range(0x180)}
+
+
 class _Words(dict):
-    """Token ids, as bytes, of a stretch of text without white space; the tokenizer never looks across white space."""
+    """Token ids, as bytes, of a stretch of text without white space. The tokenizer lower-cases, drops white space and never
+    looks across it; what its patterns split is tokenised by the vocabulary's merges alone."""
 
     def __init__(self, tokenizer) -> None:
-        self.encode, self.pieces = tokenizer.encode, {}
+        self.encode, self.merge, self.pieces = tokenizer.encode, tokenizer.model.tokenize, {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -43,7 +52,7 @@ class _Words(dict):
             out = []
             for piece in _PIECES.findall(word.lower()):
                 if (got := self.pieces.get(piece)) is None:
-                    got = self.pieces[piece] = self.ids(piece)
+                    got = self.pieces[piece] = array("I", [t.id for t in self.merge(piece.translate(_LETTERS))]).tobytes()
                 out.append(got)
             found = b"".join(out)
         else:
@@ -53,11 +62,17 @@ class _Words(dict):
         return found
 
 
+@functools.lru_cache(maxsize=2)
+def _words(tokenizer_path: str) -> _Words:
+    """One for all tasks of a Python worker."""
+    from tokenizers import Tokenizer
+
+    return _Words(Tokenizer.from_file(tokenizer_path))
+
+
 def _pieces(tokenizer_path: str, capacity: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        words = _Words(Tokenizer.from_file(tokenizer_path))
+        words = _words(tokenizer_path)
         for x in batches:
             out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
             for i, text in zip(x["id"], x["body"]):
