@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from plumbline.plans import market, records  # noqa: F401  they register their queries
+from plumbline.plans.adapter import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "daily_selection"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
