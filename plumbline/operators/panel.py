@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from plumbline.functions.expressions import deepest_drawdown, exponential_mean, ratio
 
-ROWS = Window.partitionBy("ticker").orderBy("session_idx")
+def by_session() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("session_idx")
 
 
-def last(n: int):
-    return ROWS.rowsBetween(-(n - 1), 0)
+def last(n: int) -> WindowSpec:
+    return by_session().rowsBetween(-(n - 1), 0)
 
 
 def dense(prices: DataFrame) -> DataFrame:
@@ -27,17 +28,17 @@ def dense(prices: DataFrame) -> DataFrame:
 
 
 def simple_return(price: str, n: int = 1) -> Column:
-    return ratio(F.col(price), F.lag(price, n).over(ROWS)) - 1
+    return ratio(F.col(price), F.lag(price, n).over(by_session())) - 1
 
 
 def log_return(price: str) -> Column:
     """Null across gaps and for prices of 0 or less."""
     positive = lambda x: F.when(x > 0, x)
-    return F.ln(positive(F.col(price))) - F.ln(positive(F.lag(price, 1).over(ROWS)))
+    return F.ln(positive(F.col(price))) - F.ln(positive(F.lag(price, 1).over(by_session())))
 
 
 def momentum(price: str, near: int, far: int) -> Column:
-    return ratio(F.lag(price, near).over(ROWS), F.lag(price, far).over(ROWS)) - 1
+    return ratio(F.lag(price, near).over(by_session()), F.lag(price, far).over(by_session())) - 1
 
 
 def rolling(fn, col: str, n: int, least: int = 1) -> Column:
@@ -46,7 +47,7 @@ def rolling(fn, col: str, n: int, least: int = 1) -> Column:
 
 
 def history(price: str) -> Column:
-    return F.count(price).over(ROWS.rowsBetween(Window.unboundedPreceding, 0))
+    return F.count(price).over(by_session().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def drawdown(price: str, n: int) -> Column:
