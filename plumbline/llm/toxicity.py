@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import body, held_out, small_batches, table
+from plumbline.llm.common import body, held_out, small_batches, stored, table
 
 #: Labelled documents of each class that are read at most, about.
 SAMPLE = 12_000
@@ -47,24 +47,12 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit_machine(terms: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 5, l2: float = 1e-4) -> FactorizationMachine:
-    """Adam on the weighted logistic loss. Buckets are kept by the z-score of their log odds between the classes."""
-    n = len(terms)
-    lengths = np.fromiter(map(len, terms), "i8", n)
-    flat, row = (np.concatenate(terms).astype("i8") if n else np.zeros(0, "i8")), np.repeat(np.arange(n), lengths)
-    pos = np.bincount(flat, weights=labels[row] * 1.0, minlength=BUCKETS)
-    neg = np.bincount(flat, weights=1.0 - labels[row], minlength=BUCKETS)
-    n1, n0 = max(labels.sum(), 1), max(n - labels.sum(), 1)
-    odds = np.log((pos + 0.5) / (n1 - pos + 0.5)) - np.log((neg + 0.5) / (n0 - neg + 0.5))
-    error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    z = np.where(pos + neg >= 5, odds / error, 0.0)
-    buckets = np.sort(np.argsort(-np.abs(z), kind="stable")[:KEPT])
-    buckets = buckets[z[buckets] != 0]
-    at = np.full(BUCKETS, -1)
-    at[buckets] = np.arange(len(buckets))
+def fit_machine(buckets: np.ndarray, found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 5, l2: float = 1e-4) -> FactorizationMachine:
+    """Adam on the weighted logistic loss; ``found`` has the kept buckets of each text."""
+    n = len(found)
     x = np.zeros((n, len(buckets)), "f4")
-    ok = at[flat] >= 0
-    x[row[ok], at[flat[ok]]] = 1
+    for i, f in enumerate(found):
+        x[i, np.searchsorted(buckets, f)] = 1
     rng = np.random.default_rng(seed)
     base = float(np.average(labels, weights=weight)) if n else 0.5
     params = [np.array([np.log(max(base, 1e-6) / max(1 - base, 1e-6))]), np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), FACTORS))]
@@ -91,11 +79,25 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": x["label"], "terms": pd.Series([sorted({b for w in set(_TERM.findall(t)) for b in term_buckets(w)}) for t in x["body"]], dtype=object)})
 
 
+def telling_buckets(rows: DataFrame, kept: int = KEPT) -> np.ndarray:
+    """The buckets of ``rows(label, terms)`` with the largest z-scores of their log odds between the classes, in order.
+
+    Counted and ranked by Spark; ``kept`` numbers reach the driver.
+    """
+    n1, n0 = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
+    n1, n0 = max(n1, 1), max(n0, 1)
+    per = rows.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).filter("pos + neg >= 5")
+    odds = F.ln((F.col("pos") + 0.5) / (n1 - F.col("pos") + 0.5)) - F.ln((F.col("neg") + 0.5) / (n0 - F.col("neg") + 0.5))
+    z = F.abs(odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5)))
+    top = per.select("bucket", z.alias("z")).filter("z > 0").orderBy(F.desc("z"), "bucket").limit(kept).collect()
+    return np.array(sorted(r["bucket"] for r in top), "i4")
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """A machine from the labelled rows where ``train`` (over ``labels``) holds and label and text are not null.
 
     At most about ``sample`` documents of each class are read, chosen by a digest of the id and weighted to stand for
-    their class; their hashed terms are all that reaches the driver. Without labels every score is one half.
+    their class. The driver gets which of the kept buckets each has, a number bounded by ``sample`` and KEPT. Without labels every score is one half.
     """
     small_batches(docs.sparkSession, 256)
     marked = labels.filter(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
@@ -104,12 +106,14 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: in
     part = F.when(F.col("label") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
     chosen = marked.filter(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000)) < part * 1_000_000)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    rows = texts.join(chosen, "id").select("id", "label", body("text").alias("body"))
-    rows = rows.mapInPandas(_terms, "label int, terms array<int>").toPandas()
-    rows["key"] = [np.asarray(t, "i4").tobytes() for t in rows["terms"]]
+    rows = texts.join(F.broadcast(chosen), "id").select("label", body("text").alias("body"))  # bounded by the sample
+    rows = stored(rows.mapInPandas(_terms, "label int, terms array<int>"), "toxic-terms")
+    buckets = telling_buckets(rows)
+    rows = rows.select("label", F.array_intersect("terms", F.lit(buckets.tolist()).cast("array<int>")).alias("found")).toPandas()
+    rows["key"] = [np.sort(np.asarray(t, "i4")).tobytes() for t in rows["found"]]
     rows = rows.sort_values(["key", "label"])  # the same machine whatever order the rows come in
     y = rows["label"].to_numpy(dtype=float)
-    return fit_machine([np.asarray(t, "i8") for t in rows["terms"]], y, np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
+    return fit_machine(buckets, [np.frombuffer(k, "i4") for k in rows["key"]], y, np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
 
 
 class _Kept(dict):
