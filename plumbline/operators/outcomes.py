@@ -39,7 +39,7 @@ def outcomes(recs: DataFrame, panel: DataFrame, bench: DataFrame, horizon: int)
     return x.select(
         "rec_id", "ticker", "session", "ret", F.coalesce("bench", F.lit(0.0)).alias("bench"), "excess",
         (F.col("excess") * F.col("sign") > 0).alias("is_hit"),
-        F.when(F.col("sign") >= 0, up).otherwise(-down).alias("mfe"), F.when(F.col("sign") >= 0, down).otherwise(-up).alias("mae"),
+        F.when(F.col("sign") >= 0, up).otherwise(0.0 - down).alias("mfe"), F.when(F.col("sign") >= 0, down).otherwise(0.0 - up).alias("mae"),
     )
 
 

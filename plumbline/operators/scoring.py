@@ -89,8 +89,9 @@ def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str], least:
 
 
 def rank_correlation_summary(ics: DataFrame) -> DataFrame:
+    """A correlation within 1e-9 of zero, as rounding leaves it, is not positive."""
     n, mean, std = F.count("ic"), F.avg("ic"), F.stddev_samp("ic")
-    return ics.agg(n.alias("n_dates"), mean.alias("ic_mean"), ratio(mean, std / F.sqrt(n)).alias("ic_t"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"))
+    return ics.agg(n.alias("n_dates"), mean.alias("ic_mean"), ratio(mean, std / F.sqrt(n)).alias("ic_t"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("ic_positive"))
 
 
 def excess(df: DataFrame, value: str, keys: Sequence[str], sector: str) -> Column:

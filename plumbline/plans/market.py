@@ -213,7 +213,7 @@ def rank_ic(spark: SparkSession, sf: str) -> DataFrame:
     return _ics(spark, sf).withColumn("ic", r6("ic"))
 
 
-@query("rank_ic_summary", _IC + " SELECT count(ic) AS n_dates, round(avg(ic), 6) AS ic_mean, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0), 6) AS ic_t, round(avg((ic > 0)::INT), 6) AS ic_positive FROM ics")
+@query("rank_ic_summary", _IC + " SELECT count(ic) AS n_dates, round(avg(ic), 6) AS ic_mean, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0), 6) AS ic_t, round(avg((ic > 1e-9)::INT), 6) AS ic_positive FROM ics")
 def rank_ic_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = S.rank_correlation_summary(_ics(spark, sf))
     return s.select("n_dates", *[r6(c).alias(c) for c in ("ic_mean", "ic_t", "ic_positive")])

@@ -73,7 +73,7 @@ def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return O.outcomes(recs(spark, sf).select("rec_id", "ticker", "session", "action"), d, bench, 4)
 
 
-@query("outcomes", _OUT + " SELECT rec_id, ticker, session, round(ret, 6) AS ret, round(bench, 6) AS bench, round(excess, 6) AS excess, excess * sg > 0 AS is_hit, round(CASE sg WHEN 1 THEN up ELSE -down END, 6) AS mfe, round(CASE sg WHEN 1 THEN down ELSE -up END, 6) AS mae FROM o")
+@query("outcomes", _OUT + " SELECT rec_id, ticker, session, round(ret, 6) AS ret, round(bench, 6) AS bench, round(excess, 6) AS excess, excess * sg > 0 AS is_hit, round(CASE sg WHEN 1 THEN up ELSE 0 - down END, 6) AS mfe, round(CASE sg WHEN 1 THEN down ELSE 0 - up END, 6) AS mae FROM o")
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return _outcomes(spark, sf).select("rec_id", "ticker", "session", "is_hit", *[r6(c).alias(c) for c in ("ret", "bench", "excess", "mfe", "mae")])
 
