@@ -24,17 +24,19 @@ VOCABULARY, LEAST = 20_000, 5
 SWITCH, RULED_OUT = 8.0, 30.0
 #: Words a segment of the path has.
 SEGMENT = 256
-CACHE = 600_000
+#: Words whose scores a Python worker keeps; it starts anew beyond that. Words scored at once.
+CACHE, BLOCK = 600_000, 20_000
 
 _WORD = re.compile(r"[^\W\d_]{1,24}")
 #: First code points of scripts, in order; letters before the first count as Latin.
 _SCRIPTS = ((0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Indic"), (0xE00, "Thai"), (0xE80, "other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "other"), (0x3040, "Kana"), (0x3130, "Hangul"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xF900, "Han"), (0xFB00, "other"))
 _STARTS = [x for x, _ in _SCRIPTS]
+_FIRST = chr(_STARTS[0])
 
 
 def script(word: str) -> str:
     """The script of most letters of a word."""
-    if word.isascii():
+    if max(word) < _FIRST:
         return "Latin"
     found = Counter(_SCRIPTS[k - 1][1] if (k := bisect.bisect_right(_STARTS, ord(c))) else "Latin" for c in word)
     return max(sorted(found), key=found.__getitem__)
@@ -47,24 +49,27 @@ def _trigrams(word: str) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log-probabilities of words, trigrams and scripts by language; its size is bounded by SAMPLE and VOCABULARY."""
+    """Log-probabilities of words and trigrams and the scripts in use, a column a language; its size is bounded by SAMPLE
+    and VOCABULARY. The dictionaries give rows of the arrays, whose last rows hold for items that they lack."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    trigrams: dict[str, np.ndarray]
-    rare_word: np.ndarray
-    rare_trigram: np.ndarray
-    scripts: dict[str, np.ndarray]
-
-    def score(self, word: str) -> np.ndarray:
+    words: dict[str, int]
+    word_logs: np.ndarray
+    trigrams: dict[str, int]
+    trigram_logs: np.ndarray
+    scripts: dict[str, int]
+    in_use: np.ndarray
+
+    def score(self, words: list[str]) -> np.ndarray:
         """Log posterior of each language given one word in lower case, under equal priors; 0 for all if nothing is known."""
-        allowed = self.scripts.get(script(word))
-        if allowed is None:
-            return np.zeros(len(self.languages))
-        s = self.words.get(word, self.rare_word) + 0.5 * sum(self.trigrams.get(t, self.rare_trigram) for t in _trigrams(word))
-        s = np.where(allowed, s, s.max() - RULED_OUT)
-        s = s - s.max()
-        return np.maximum(s - math.log(np.exp(s).sum()), -RULED_OUT)
+        parts = np.fromiter((self.trigrams.get(t, -1) for w in words for t in _trigrams(w)), "i8")
+        starts = np.cumsum([0, *map(len, words)])[:-1]  # a word has as many trigrams as letters
+        s = self.word_logs[[self.words.get(w, -1) for w in words]] + 0.5 * np.add.reduceat(self.trigram_logs[parts], starts)
+        allowed = self.in_use[[self.scripts.get(script(w), -1) for w in words]]
+        s = np.where(allowed, s, s.max(axis=1, keepdims=True) - RULED_OUT)
+        s -= s.max(axis=1, keepdims=True)
+        s = np.maximum(s - np.log(np.exp(s).sum(axis=1, keepdims=True)), -RULED_OUT)
+        return np.where(allowed.any(axis=1, keepdims=True), s, 0.0)
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +96,7 @@ def learn_languages(docs: DataFrame, train: Column, sample: int = SAMPLE, vocabu
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}  # one row a language
     parts = [x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))]
     if not parts:
-        return LanguageModel([], {}, {}, np.zeros(0), np.zeros(0), {})
+        return LanguageModel([], {}, np.zeros((1, 0)), {}, np.zeros((1, 0)), {}, np.zeros((1, 0), bool))
     lang = F.col(lang_col).cast("string")
     known = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("languages")), F.lit(1_000_000)) < F.create_map(*parts)[lang] * 1_000_000)
     counts = known.select(lang.alias("lang"), body(text_col).alias("body")).mapInPandas(_counts, "lang string, kind string, item string, n long")
@@ -104,15 +109,13 @@ def learn_languages(docs: DataFrame, train: Column, sample: int = SAMPLE, vocabu
     for lang_, kind, item, n in rows[["lang", "kind", "item", "n"]].itertuples(index=False):
         found[kind].setdefault(item, np.zeros(len(languages)))[at[lang_]] = n
 
-    def logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        total = sum(counts.values(), np.zeros(len(languages))) + 0.5 * (len(counts) + 1)
-        return {k: np.log((v + 0.5) / total) for k, v in counts.items()}, np.log(0.5 / total)
+    def logs(counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+        n = np.array([*counts.values(), np.zeros(len(languages))])
+        return {k: i for i, k in enumerate(counts)}, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n)))
 
-    letters = sum(found["script"].values(), np.zeros(len(languages)))
-    scripts = {k: v >= 0.01 * letters for k, v in found["script"].items() if (v >= 0.01 * letters).any()}
-    words, rare_word = logs(found["word"])
-    trigrams, rare_trigram = logs(found["trigram"])
-    return LanguageModel(languages, words, trigrams, rare_word, rare_trigram, scripts)
+    letters = np.array([*found["script"].values(), np.zeros(len(languages))])
+    in_use = (letters >= 0.01 * letters.sum(axis=0)) & (letters > 0)
+    return LanguageModel(languages, *logs(found["word"]), *logs(found["trigram"]), {k: i for i, k in enumerate(found["script"])}, in_use)
 
 
 class _Index(dict):
@@ -122,22 +125,23 @@ class _Index(dict):
         self.model, self.lower, self.used = model, {}, 0
         self.scores = np.zeros((1024, len(model.languages)), "f4")
 
-    def __missing__(self, word: str) -> int:
-        key = word.lower()
-        if (k := self.lower.get(key)) is None:
-            if self.used == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            k, self.used = self.used, self.used + 1
-            self.scores[k] = self.model.score(key)
-            self.lower[key] = k
-        self[word] = k
-        return k
-
-    def restart(self) -> None:
+    def add(self, texts: list[list[str]]) -> None:
+        """Scores the words that are new, all at once."""
         if len(self) > CACHE:
             self.clear()
             self.lower.clear()
             self.used, self.scores = 0, self.scores[:1024].copy()
+        new = {w: w.lower() for w in set().union(*texts).difference(self)}
+        keys = list(set(new.values()).difference(self.lower))
+        end = self.used + len(keys)
+        if end > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((max(end - len(self.scores), len(self.scores)), self.scores.shape[1]), "f4")])
+        for at in range(0, len(keys), BLOCK):
+            part = keys[at : at + BLOCK]
+            self.scores[self.used + at : self.used + at + len(part)] = self.model.score(part)
+        self.lower.update(zip(keys, range(self.used, end)))
+        self.used = end
+        self.update((w, self.lower[key]) for w, key in new.items())
 
 
 def best_paths(scores: np.ndarray, lengths: list[int], switch: float = SWITCH) -> list[np.ndarray]:
@@ -189,8 +193,8 @@ def _identify(model: LanguageModel, switch: float) -> Callable:
         index = _Index(model)
         names = model.languages
         for x in batches:
-            index.restart()
             words = [_WORD.findall(t) for t in x["body"]] if names else [[] for _ in x["body"]]
+            index.add(words)
             ids = np.concatenate([np.fromiter(map(index.__getitem__, w), "i8", len(w)) for w in words] or [np.zeros(0, "i8")])
             paths = best_paths(index.scores[ids], [len(w) for w in words], switch) if len(ids) else [np.zeros(0, "u1")] * len(words)
             out = []
