@@ -17,9 +17,8 @@ from plumbline.llm.components import components
 SEED = 42
 #: Fingerprints a tile holds on average at most.
 TILE = 2048
-#: Of a fingerprint of several words, pairs that differ in more bits of the first word are passed over: at similarity
-#: 0.8, about 1 link in 100.
-FIRST = 16
+#: Pairs that are compared at once: their numbers of differing bits stay in a core's cache.
+PAIRS = 1 << 18
 #: Words after the first come in pairs from a 128-bit hash.
 CHUNK = 1 << 15
 
@@ -59,17 +58,30 @@ def _matrix(packed: list[list[int]] | np.ndarray, words: int) -> np.ndarray:
     return np.asarray(packed, dtype="i8").view("u8").reshape(-1, words)
 
 
-def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int, first: int) -> tuple[list[int], list[int]]:
-    """Row numbers of a spanning forest of the links between two tiles; ``same``: b is a."""
+def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[list[int], list[int]]:
+    """Row numbers of a spanning forest of the links between two tiles; ``same``: b is a.
+
+    All pairs are compared in the first two words; the few that are still within the radius, in the others.
+    """
     na = len(a)
     label, left, right = np.arange(na if same else na + len(b)), [], []
     shift = 0 if same else na
-    b0 = np.ascontiguousarray(b[:, 0])
-    step = max(1, (1 << 18) // max(1, len(b)))
+    columns = np.ascontiguousarray(b.T[:2])
+    step = max(1, PAIRS // max(1, len(b)))
+    size = (min(step, na), len(b))
+    bits, ones, differ, near = np.empty(size, "u8"), np.empty(size, "u1"), np.empty(size, "u1"), np.empty(size, bool)
     for at in range(0, na, step):
-        near = np.bitwise_count(a[at : at + step, 0][:, None] ^ b0[None, :]) <= first
-        i, j = np.nonzero(near)
-        if a.shape[1] > 1 and len(i):
+        n = min(step, na - at)
+        for k, column in enumerate(columns):
+            np.bitwise_xor(a[at : at + n, k, None], column, out=bits[:n])
+            np.bitwise_count(bits[:n], out=ones[:n] if k else differ[:n])
+            if k:
+                np.add(differ[:n], ones[:n], out=differ[:n])
+        np.less_equal(differ[:n], radius, out=near[:n])
+        if not near[:n].any():
+            continue
+        i, j = np.divmod(np.flatnonzero(near[:n]), len(b))
+        if a.shape[1] > 2:
             ok = np.bitwise_count(a[i + at] ^ b[j]).sum(axis=1, dtype="i4") <= radius
             i, j = i[ok], j[ok]
         if same:
@@ -89,13 +101,13 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int, first: int) ->
     return left, right
 
 
-def _links(words: int, radius: int, first: int) -> Callable:
+def _links(words: int, radius: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             at, bt = [], []
             for a, b, same in zip(x["a"], x["b"], x["same"]):
                 a, b = _matrix(a, words), _matrix(b, words)
-                i, j = linked(a, b, same, radius, first)
+                i, j = linked(a, b, same, radius)
                 at += a[i].view("i8").tolist()
                 bt += b[j].view("i8").tolist()
             yield pd.DataFrame({"a": pd.Series(at, dtype=object), "b": pd.Series(bt, dtype=object)})
@@ -127,8 +139,7 @@ def simhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     spark = docs.sparkSession
     small_batches(spark, 256)
     radius = radius_of(similarity, 64 * words) if radius is None else radius
-    first = radius if words == 1 else min(radius, FIRST)
-    parts = 4 if first <= 4 else 1
+    parts = 4 if radius <= 4 else 1
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(_fingerprints(width, words), f"id {kind}, fp array<bigint>")
     rows = stored(rows.select("*", salt("id").alias("salt")), "simhash")
@@ -143,7 +154,7 @@ def simhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
         .agg(F.flatten(F.collect_list("fp")).alias("packed"))
     )
     tiles = stored(tiles, "simhash-tiles")
-    steps = [d for d in product(range(-first, first + 1), repeat=parts) if sum(map(abs, d)) <= first and d >= (0,) * parts]
+    steps = [d for d in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
     steps = F.array(*[F.array(*[F.lit(v) for v in d]) for d in steps])
     a = tiles.select(F.col("ones").alias("ones_a"), F.col("tile").alias("tile_a"), F.col("packed").alias("a"))
     a = a.select("*", F.explode(steps).alias("step")).select("ones_a", "tile_a", "a", F.zip_with("ones_a", "step", lambda x, y: x + y).alias("ones"))
@@ -151,9 +162,10 @@ def simhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     pairs = a.join(tiles.withColumnRenamed("packed", "b"), "ones").filter("ones_a <> ones OR tile_a <= tile")
     # each row is one comparison; deal them out evenly whatever cell they come from
     pairs = pairs.select("a", "b", ((F.col("ones_a") == F.col("ones")) & (F.col("tile_a") == F.col("tile"))).alias("same"))
-    edges = stored(pairs.mapInPandas(_links(words, radius, first), "a array<bigint>, b array<bigint>"), "simhash-links")
+    edges = stored(pairs.mapInPandas(_links(words, radius), "a array<bigint>, b array<bigint>"), "simhash-links")
     roots = components(edges)
     least = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stored(least, "simhash-least")  # adaptive execution can split the join with it at the root of a large group
     roots = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     nodes = nodes.join(roots, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.explode("salts").alias("salt"))
     return rows.join(nodes, ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")

@@ -59,13 +59,21 @@ def test_simhash(spark, small):
     assert got["component_id"].tolist() == [ids[r] for r in roots]
 
 
-def test_linked_tiles_keep_components():
+@pytest.mark.parametrize("words, radius", [(1, 3), (2, 19), (3, 29)])
+def test_linked_tiles_keep_components(words, radius):
+    """Links whose differing bits lie in any word, all in one of them too."""
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, (40, 1), dtype="u8")
-    x = np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(6)])
-    i, j = simhash.linked(x, x, True, 3, 3)
-    near = [(a, b) for a in range(len(x)) for b in range(a) if int(x[a, 0] ^ x[b, 0]).bit_count() <= 3]
+    base = rng.integers(0, 1 << 63, (40, words), dtype="u8")
+    flip = np.zeros((3, words), "u8")
+    flip[0, 0], flip[1, -1], flip[2, words // 2] = (1 << radius) - 1, (1 << radius) - 1, (1 << radius + 1) - 1
+    x = np.concatenate([base, *(base ^ f for f in flip)])
+    bits = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2)
+    near = [(a, b) for a in range(len(x)) for b in range(a) if bits[a, b] <= radius]
+    i, j = simhash.linked(x, x, True, radius)
     assert reach(len(x), zip(i, j)) == reach(len(x), near)
+    i, j = simhash.linked(x[:70], x[70:], False, radius)
+    across = [(a, b) for a in range(70) for b in range(70, len(x)) if bits[a, b] <= radius]
+    assert reach(len(x), ((a, b + 70) for a, b in zip(i, j))) == reach(len(x), across)
 
 
 def test_embeddings(spark, small):
