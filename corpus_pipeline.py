@@ -5,19 +5,24 @@ Rows of one document id share their fate; a null id is an id like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import DOCUMENT_COLUMNS, stored, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, body, stored, table
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.language_id import UNKNOWN, identify_languages, learn_languages
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.near_dedup import near_copies
 from plumbline.llm.packing import pack
-from plumbline.llm.simhash import simhash_groups
 
 #: A document stays if its main language has at least this part of its letters.
 MAIN_LANGUAGE = 1 / 3
 
 
+def _key() -> Column:
+    """Tells rows with another id or another text apart; a null text counts as empty."""
+    return F.sha2(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\n"), body("text")), 256)
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the ids of ``gone``, a stored table: Spark knows its size and broadcasts it only if it is small."""
     gone = stored(gone.select(F.col("doc_id").alias("gone")).distinct(), "gone")
@@ -40,9 +45,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    found = simhash_groups(docs, width=5, similarity=0.8, words=3)
-    return _without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of near duplicates (sets of five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays."""
+    docs = docs.select(*DOCUMENT_COLUMNS, _key().alias("key"))
+    if docs.groupBy("key").count().filter("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["key"])
+    gone = stored(near_copies(docs, F.struct(F.col("doc_id").isNull(), "doc_id"), width=5, similarity=0.8).select(F.col("key").alias("gone")), "gone")
+    return docs.join(gone, F.col("key") == F.col("gone"), "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,16 +28,29 @@ def radius_of(similarity: float, bits: int) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def fingerprint(text: str, width: int, words: int = 1) -> list[int]:
-    """Signed 64-bit words; a bit is 1 if it is set in over half the hashes of the text's shingles, repeats included."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower: A-Z only; bytes.split: space and \x09-\x0D
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower: A-Z only; bytes.split: space and \x09-\x0D
+
+
+def _shingles(w: list[bytes], width: int) -> list[bytes]:
+    return [b" ".join(x) for x in zip(*(w[i:] for i in range(width)))] if len(w) >= width else [b" ".join(w)]
+
+
+def distinct_shingles(text: str, width: int) -> list[bytes]:
+    w = _words(text)
+    return list(dict.fromkeys(_shingles(w, width))) if w else []
+
+
+def fingerprint(text: str, width: int, words: int = 1, repeats: bool = True) -> list[int]:
+    """Signed 64-bit words; a bit is 1 if it is set in over half the hashes of the text's shingles, repeats included or each once."""
+    w = _words(text)
     if not w:
         return [0] * words
-    n = max(1, len(w) - width + 1)
+    once = None if repeats else distinct_shingles(text, width)
+    n = max(1, len(w) - width + 1) if repeats else len(once)
     counts = np.zeros(64 * words, "int64")
     for at in range(0, n, CHUNK):
-        part = w[at : min(at + CHUNK, n) + width - 1]
-        s = [b" ".join(x) for x in zip(*(part[i:] for i in range(width)))] if len(w) >= width else [b" ".join(w)]
+        s = _shingles(w[at : min(at + CHUNK, n) + width - 1], width) if repeats else once[at : at + CHUNK]
         cols = [np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in s), "u8", len(s)).byteswap().view("u1").reshape(-1, 8)]
         for k in range(1, words, 2):
             cols.append(np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, SEED + k) for x in s), "u1").reshape(-1, 16)[:, : 8 * min(2, words - k)])
@@ -46,10 +59,10 @@ def fingerprint(text: str, width: int, words: int = 1) -> list[int]:
     return np.packbits(2 * counts > n).view(">i8").astype("i8").tolist()
 
 
-def _fingerprints(width: int, words: int) -> Callable:
+def _fingerprints(width: int, words: int, repeats: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"id": x["id"], "fp": [fingerprint(t, width, words) for t in x["body"]]})
+            yield pd.DataFrame({"id": x["id"], "fp": [fingerprint(t, width, words, repeats) for t in x["body"]]})
 
     return run
 
@@ -121,12 +134,12 @@ def _ones(word: Column, parts: int) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(word, i * size).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1))) for i in range(parts)]
 
 
-def simhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 3, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 3, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, fp (array of ``words`` longs), component_id (smallest id reachable over links).
 
     A fingerprint has ``words`` of 64 bits over shingles of ``width`` words. Two link if they differ in ``radius`` bits or
     fewer, by default the number expected at ``similarity``. One word at radius 3 links as SimHash is mostly used; three
-    words keep unrelated documents apart at similarity 0.8, where one word would not.
+    words keep unrelated documents apart at similarity 0.8, where one word would not. ``repeats=False`` counts each shingle once.
 
     Equal fingerprints are one node. Nodes are dealt to cells by the population counts of parts of the first word, cells
     to tiles by hash. Differing counts bound the distance from below, so only tiles of cells whose counts differ by the
@@ -141,7 +154,7 @@ def simhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, wor
     radius = radius_of(similarity, 64 * words) if radius is None else radius
     parts = 4 if radius <= 4 else 1
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(_fingerprints(width, words), f"id {kind}, fp array<bigint>")
+    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(_fingerprints(width, words, repeats), f"id {kind}, fp array<bigint>")
     rows = stored(rows.select("*", salt("id").alias("salt")), "simhash")
 
     nodes = rows.groupBy("fp", "salt").agg(F.min("id").alias("least")).groupBy("fp").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))
