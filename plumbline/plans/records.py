@@ -155,6 +155,14 @@ def upsert_orders(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 4).alias("c_acctbal"))
 
 
+@query("upsert_all_orders", """WITH inc AS (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+  SELECT coalesce(c.c_custkey, i.c_custkey) AS c_custkey, c_mktsegment, round(CASE WHEN i.c_custkey IS NOT NULL THEN i.c_acctbal ELSE c.c_acctbal END, 4) AS c_acctbal FROM customer c FULL JOIN inc i USING (c_custkey)""")
+def upsert_all_orders(spark: SparkSession, sf: str) -> DataFrame:
+    inc = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey")
+    out = K.upsert(table(spark, sf, "customer"), inc, ["c_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+    return out.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
 @query("issuers", """WITH c AS (SELECT s_suppkey, CASE WHEN length(code) = 5 AND code LIKE '%0' THEN left(code, 4) ELSE code END AS canonical, code FROM (SELECT s_suppkey, (10000 + s_suppkey)::VARCHAR AS code FROM supplier))
   SELECT canonical, code, s_suppkey FROM c QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY length(code), s_suppkey) = 1""")
 def issuers(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,6 +196,14 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(r, "k", "full_outer").select("k", "score", F.coalesce("cards", F.lit(0)).alias("cards"), F.col("scored").isNull().alias("only_card"))
 
 
+@query("feed_all", """WITH s AS (SELECT c_custkey AS k, c_acctbal AS score FROM customer), r AS (SELECT o_custkey AS k, count(*) AS cards FROM orders GROUP BY 1)
+  SELECT coalesce(s.k, r.k) AS k, round(score, 4) AS score, coalesce(cards, 0) AS cards, s.k IS NULL AS only_card FROM s FULL JOIN r ON s.k = r.k""")
+def feed_all(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 4).alias("score"), F.lit(True).alias("scored"))
+    r = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("cards"))
+    return s.join(r, "k", "full_outer").select("k", "score", F.coalesce("cards", F.lit(0)).alias("cards"), F.col("scored").isNull().alias("only_card"))
+
+
 @query("event_properties", """SELECT event_type, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k_sum, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""")
 def event_properties(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("long")
