@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions.expressions import canonical_code, ratio
 from plumbline.operators import calendar as C, models as M, outcomes as O, pit, retrieval as R, screener, scoring as S
-from plumbline.plans.adapter import DENSE, PRICES, dense, prices, query, r6, table
+from plumbline.plans.adapter import DENSE, PRICES, SQL, dense, prices, query, r6, table
 from plumbline.sources import normalizers as N, quality as Q, sinks as K
 
 
@@ -217,6 +217,11 @@ def title_types(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", N.title_type(F.left("text", F.lit(80))).alias("title_type"))
 
 
+@query("title_types_whole", SQL["title_types"].replace("lower(left(text, 80))", "lower(text)"))
+def title_types_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", N.title_type(F.col("text")).alias("title_type"))
+
+
 @query("unpivoted_prices", f"""WITH {PRICES} SELECT ticker, session, field, round(value, 6) AS value FROM (UNPIVOT (SELECT ticker, session, open, high, low, close FROM prices) ON open, high, low, close INTO NAME field VALUE value)""")
 def unpivoted_prices(spark: SparkSession, sf: str) -> DataFrame:
     return prices(spark, sf).unpivot(["ticker", "session"], ["open", "high", "low", "close"], "field", "value").filter("value IS NOT NULL").withColumn("value", r6("value"))

@@ -1,6 +1,7 @@
 """Queries that take all rows and whole texts."""
 
 from plumbline import catalog
+from plumbline.sources import normalizers
 from pyspark.sql import functions as F
 
 
@@ -9,3 +10,10 @@ def test_all_incoming_rows_are_upserted(spark, small, duck):
     assert changed == {k for (k,) in duck.execute("SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders").fetchall()}
     cards = catalog.QUERIES["feed_all"](spark, small).agg(F.sum("cards")).first()[0]
     assert cards == duck.execute("SELECT count(*) FROM orders").fetchone()[0]
+
+
+def test_titles_are_read_to_their_end(spark, tmp_path):
+    texts = ["x" * 100 + " dividend", "x" * 200 + "\nbuyback", "nothing"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["title_types_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.title_type for r in found] == ["dividend", "buyback", "other_disclosure"] and normalizers.TITLE_RULES
