@@ -5,8 +5,9 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,6 +15,8 @@ from plumbline.functions.expressions import cosine
 from plumbline.session import ship
 
 RRF = 60
+#: Cosines that differ beyond so many places only by the order of summation are ties.
+DIGITS = 9
 TERM = r"[0-9A-Za-z一-龥ぁ-んァ-ン]{2,}"
 
 
@@ -24,6 +27,53 @@ def vector_top(chunks: DataFrame, query: Sequence[float], k: int, id_col: str, v
     return rows.select(id_col, cosine(F.col(vector_col), q).alias("score")).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
+def _best(k: int) -> Callable:
+    def unit(rows: list) -> np.ndarray:
+        x = np.array([np.asarray(r, "f8") for r in rows])
+        with np.errstate(all="ignore"):
+            x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+        return np.where(np.isfinite(x).all(axis=1)[:, None], x, 0.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for queries, ids, q, v in zip(x["queries"], x["ids"], x["q"], x["v"]):
+                size = [len(r) for r in v]
+                score = np.zeros((len(q), len(v)))
+                for n in set(size) & {len(r) for r in q} - {0}:  # vectors of other lengths score 0
+                    a, b = [i for i, r in enumerate(q) if len(r) == n], [i for i, m in enumerate(size) if m == n]
+                    score[np.ix_(a, b)] = unit([q[i] for i in a]) @ unit([v[i] for i in b]).T
+                score = score.round(DIGITS) + 0.0
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score))[:, :k]
+                yield pd.DataFrame({"query": np.repeat(queries, order.shape[1]), "id": np.asarray(ids)[order.ravel()], "score": np.take_along_axis(score, order, 1).ravel()})
+
+    return run
+
+
+def vector_top_each(chunks: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = 256, tile: int = 2048) -> DataFrame:
+    """For each row of ``queries`` (the same columns, integer ids) the ``k`` rows of ``chunks`` nearest by cosine: query_id, id,
+    score, nth. Scores are rounded to ``DIGITS`` places, ties by id; ``cosine`` says when a score is 0.
+
+    Blocks of queries meet tiles of rows in numpy; a pair leaves k rows a query, and these are ranked once more. All queries
+    are compared with all rows.
+    """
+    spark = chunks.sparkSession
+    ship(spark)
+
+    def packed(df: DataFrame, size: int, ids: str, vectors: str) -> DataFrame:
+        n = max(1, -(-df.count() // size))
+        x = F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.transform(vector_col, lambda v: v.cast("double")), F.array().cast("array<double>")).alias("v"))
+        return df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("cell")).agg(F.collect_list(x).alias("x")).select(F.col("x.id").alias(ids), F.col("x.v").alias(vectors))
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 16:  # a row is a block and a tile
+        spark.conf.set(key, "16")
+    pairs = packed(chunks, tile, "ids", "v").crossJoin(packed(queries, block, "queries", "q"))
+    found = pairs.mapInPandas(_best(k), "query long, id long, score double")
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    found = found.select("*", F.row_number().over(w).alias("nth")).filter(F.col("nth") <= k)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias(id_col), "score", "nth")
+
+
 def terms(text: str, most: int = 8) -> list[str]:
     return [x.lower() for x in re.findall(TERM, text)][:most]
 
@@ -45,6 +95,16 @@ def fuse(ranked: Sequence[DataFrame], id_col: str, k: int, constant: int = RRF)
     return rows.groupBy(id_col).agg(F.sum(1 / (constant + F.col("nth"))).alias("score"), F.count(F.lit(1)).alias("n_lists")).orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
+def fuse_each(ranked: Sequence[DataFrame], id_col: str, k: int, constant: int = RRF) -> DataFrame:
+    """``fuse`` for each ``query_id`` of tables with ``query_id``, ``id_col`` and ``nth``."""
+    rows = ranked[0].select("query_id", id_col, "nth")
+    for r in ranked[1:]:
+        rows = rows.unionByName(r.select("query_id", id_col, "nth"))
+    rows = rows.groupBy("query_id", id_col).agg(F.round(F.sum(1 / (constant + F.col("nth"))), DIGITS).alias("score"), F.count(F.lit(1)).alias("n_lists"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
+    return rows.select("*", F.row_number().over(w).alias("nth")).filter(F.col("nth") <= k)
+
+
 def token_estimate(text: str) -> int:
     return max(1, (len(text) + 1) // 2)
 

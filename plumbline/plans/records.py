@@ -114,6 +114,21 @@ def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.vector_top(e, q[0], 10, "vec_id", "embedding").withColumn("score", r6("score"))
 
 
+#: Every vector whose id is divisible by 20 against all vectors.
+_NEAREST = """SELECT q.vec_id AS query_id, e.vec_id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS nth
+  FROM embeddings q, embeddings e, LATERAL (SELECT round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s) WHERE q.vec_id % 20 = 0"""
+
+
+def _nearest(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return R.vector_top_each(e, e.filter("vec_id % 20 = 0"), k, "vec_id", "embedding")
+
+
+@query("vector_search_each", f"""SELECT query_id, vec_id, round(score, 6) AS score, nth FROM ({_NEAREST}) WHERE nth <= 10""")
+def vector_search_each(spark: SparkSession, sf: str) -> DataFrame:
+    return _nearest(spark, sf, 10).withColumn("score", r6("score"))
+
+
 @query("keyword_search", """WITH d AS (SELECT * FROM documents WHERE length(text) >= 20 ORDER BY n_chars DESC, doc_id LIMIT 80), m AS (SELECT doc_id, left(text, 1200) AS snippet, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM d WHERE contains(lower(text), 'password') OR contains(lower(text), 'license') OR contains(lower(text), 'tion'))
   SELECT doc_id, snippet, nth, round(1.0 / nth, 6) AS score FROM m WHERE nth <= 10""")
 def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,6 +147,18 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.fuse([v, k], "doc_id", 10).withColumn("score", r6("score"))
 
 
+@query("hybrid_search_each", f"""WITH v AS (SELECT query_id, vec_id AS doc_id, nth FROM ({_NEAREST}) WHERE nth <= 30),
+  d AS (SELECT * FROM documents WHERE length(text) >= 20 ORDER BY n_chars DESC, doc_id LIMIT 80), k AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM d WHERE contains(lower(text), 'tion') QUALIFY nth <= 30),
+  a AS (SELECT * FROM v UNION ALL SELECT vec_id AS query_id, doc_id, nth FROM embeddings, k WHERE vec_id % 20 = 0),
+  f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + nth)), 9) AS s, count(*) AS n_lists FROM a GROUP BY ALL)
+  SELECT query_id, doc_id, round(s, 6) AS score, n_lists, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS nth FROM f QUALIFY nth <= 10""")
+def hybrid_search_each(spark: SparkSession, sf: str) -> DataFrame:
+    v = _nearest(spark, sf, 30).withColumnRenamed("vec_id", "doc_id")
+    k = R.keyword_top(table(spark, sf, "documents"), "tion", 30, "doc_id", "text", F.col("n_chars")).select("doc_id", "nth")
+    q = table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    return R.fuse_each([v, q.crossJoin(F.broadcast(k))], "doc_id", 10).withColumn("score", r6("score"))
+
+
 @query("document_chunks")
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return R.chunks(table(spark, sf, "documents"))

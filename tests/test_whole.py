@@ -17,3 +17,10 @@ def test_titles_are_read_to_their_end(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.QUERIES["title_types_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.title_type for r in found] == ["dividend", "buyback", "other_disclosure"] and normalizers.TITLE_RULES
+
+
+def test_every_twentieth_vector_is_a_query(spark, small, duck):
+    want = {k for (k,) in duck.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()}
+    for name in ("vector_search_each", "hybrid_search_each"):
+        n = {r.query_id: r["count"] for r in catalog.QUERIES[name](spark, small).groupBy("query_id").count().collect()}
+        assert set(n) == want and set(n.values()) == {10}
