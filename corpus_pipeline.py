@@ -1,11 +1,12 @@
 """From raw documents to packed sequences: five stages, each over all rows that the one before it kept.
 
-Rows of one document id share their fate; a null id is an id like any other.
+Each row has its own fate, whatever its id: rows are told apart by id and text, and decisions are joined on both. Null ids
+come last where the smallest id stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm.common import DOCUMENT_COLUMNS, body, stored, table
 from plumbline.llm.exact_dedup import exact_dedup
@@ -18,21 +19,31 @@ from plumbline.llm.packing import pack
 MAIN_LANGUAGE = 1 / 3
 
 
-def _key() -> Column:
+def _key(sha: Column) -> Column:
     """Tells rows with another id or another text apart; a null text counts as empty."""
-    return F.sha2(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\n"), body("text")), 256)
+    return F.sha2(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\n"), sha), 256)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*DOCUMENT_COLUMNS, _key(F.sha2(body("text"), 256)).alias("key"))
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """Whether rows repeat both id and text."""
+    return docs.groupBy("key").count().filter("count > 1").limit(1).count() > 0
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``gone``, a stored table: Spark knows its size and broadcasts it only if it is small."""
-    gone = stored(gone.select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.select(*DOCUMENT_COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """``docs`` without the keys of ``gone``, a stored table: Spark knows its size and broadcasts it only if it is small."""
+    gone = stored(gone.select(F.col("key").alias("gone")).distinct(), "gone")
+    return docs.join(gone, F.col("key") == F.col("gone"), "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a main language, go."""
-    found = identify_languages(docs, learn_languages(docs, F.lit(True)))
-    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MAIN_LANGUAGE)))
+    rows = _keyed(docs)
+    found = identify_languages(rows, learn_languages(docs, F.lit(True)), id_col="key")
+    return _without(rows, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MAIN_LANGUAGE))).select(*DOCUMENT_COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,23 +51,26 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stored(exact_dedup(docs), "exact-verdicts")
     again = ~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     repeated = found.filter(again).limit(1).count() > 0
-    out = _without(docs, found.filter(~F.col("kept") & ~again))
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    out = _without(_keyed(docs), found.filter(~F.col("kept") & ~again).select(_key(F.col("text_sha256")).alias("key")))
+    return (out.dropDuplicates(["key"]) if repeated else out).select(*DOCUMENT_COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (sets of five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays."""
-    docs = docs.select(*DOCUMENT_COLUMNS, _key().alias("key"))
-    if docs.groupBy("key").count().filter("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["key"])
-    gone = stored(near_copies(docs, F.struct(F.col("doc_id").isNull(), "doc_id"), width=5, similarity=0.8).select(F.col("key").alias("gone")), "gone")
-    return docs.join(gone, F.col("key") == F.col("gone"), "left_anti").select(*DOCUMENT_COLUMNS)
+    rows = _keyed(docs)
+    if _repeated(rows):
+        rows = rows.dropDuplicates(["key"])
+    return _without(rows, near_copies(rows, F.struct(F.col("doc_id").isNull(), "doc_id"), width=5, similarity=0.8)).select(*DOCUMENT_COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document appears as often as the mix takes it, wholly or in part; documents that it does not take go."""
-    taken = mix_sources(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    out = docs.select(*DOCUMENT_COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = _keyed(docs)
+    if _repeated(rows):  # rows that agree in all these columns are interchangeable
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("source", "lang", "n_chars", "text"))
+        rows = stored(rows.withColumn("key", F.concat_ws(":", "key", nth)), "mix-rows")
+    taken = mix_sources(rows, id_col="key").filter("taken > 0").select(F.col("key").alias("id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    out = rows.join(taken, F.col("key") == F.col("id"))
     return out.withColumn("turn", F.explode(F.sequence(F.lit(1), "times"))).select(*DOCUMENT_COLUMNS)
 
 
