@@ -60,7 +60,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _keyed(docs)
     if _repeated(rows):
         rows = rows.dropDuplicates(["key"])
-    return _without(rows, near_copies(rows, F.struct(F.col("doc_id").isNull(), "doc_id"), width=5, similarity=0.8)).select(*DOCUMENT_COLUMNS)
+    return _without(rows, near_copies(rows, width=5, similarity=0.8)).select(*DOCUMENT_COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

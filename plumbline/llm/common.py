@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.session import ship
 
-#: A hot key (a text, a fingerprint, a length) is dealt over so many cells.
-SALTS = 64
+#: A hot key (a text, a fingerprint, a length) is dealt over so many cells at least, and rows a cell takes when it is all rows.
+SALTS, SALT_ROWS = 64, 100_000
+#: Bytes of input that a range partition takes on average at most.
+PARTITION_BYTES = 64 << 20
+#: A table that joins may be broadcast only if a count shows no more rows; the rows at hand are keys and a few numbers.
+BROADCAST_ROWS = 200_000
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,30 +26,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that the cluster names. Only a local session may do without: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it cuts the lineage, is computed once, and outlives executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    sc = spark.sparkContext  # PySpark has no call of its own that deletes a folder of the shared file system
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no plan reads any more: what was made of them is stored itself."""
+    for t in tables:
+        _delete(t.sparkSession, [t.stored_at])
+        if t.stored_at in _made:
+            _made.remove(t.stored_at)
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables stored inside but for those that ``keep`` names."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        _delete(spark, _made[first:])
+        del _made[first:]
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def keep(df: DataFrame) -> DataFrame:
+    """A stored table that the surrounding ``scratch`` leaves in place."""
+    _made.remove(df.stored_at)
+    return df
+
+
+def range_partitions(spark: SparkSession, total_bytes: int) -> int:
+    """A number of partitions that follows the data; at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, -(-total_bytes // PARTITION_BYTES))
+
+
+def salts_for(rows: int) -> int:
+    """Cells of a hot key: with a third of all rows on one key a cell has fewer than SALT_ROWS."""
+    return max(SALTS, rows // SALT_ROWS)
 
 
 def salt(*by: Column | str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join, broadcast only if its counted ``rows`` are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def body(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -53,9 +111,15 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def small_batches(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of at most so many rows (long texts and tiles of vectors else make batches of gigabytes), and workers that find this package."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside (long texts and tiles of vectors else make batches of
+    gigabytes), and workers that find this package. The session's own setting comes back at the end."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import salt, small_batches, stored, table
+from plumbline.llm.common import discard, salt, small, small_batches, stored, table
 from plumbline.llm.components import components
 
-#: Vectors a tile holds on average at most, and leading dimensions added before the bound is looked at again.
-TILE, STEP = 1024, 16
+#: Vectors a tile holds on average at most, leading dimensions added before the bound is looked at again, and leading ones
+#: whose ranges a tile has.
+TILE, STEP, LEADING = 2048, 16, 4
 BLOCK, SLACK = 256, 1e-9
 
 
@@ -96,58 +97,97 @@ def compare(a: _Tile, b: _Tile, same: bool, least: float) -> pd.DataFrame:
     )
 
 
+def _leading(basis: dict[int, np.ndarray]) -> Callable:
+    """The leading coordinates of unit vectors; 0 for dimensions that a vector lacks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            lead = np.zeros((len(x), LEADING))
+            for i, v in enumerate(x["vector"]):
+                u = np.asarray(v, float)
+                k = min(LEADING, len(u))
+                lead[i, :k] = u / np.sqrt(u @ u) @ basis[len(u)][:, :k]
+            yield pd.DataFrame({"node": x["node"], **{f"c{k}": lead[:, k] for k in range(LEADING)}})
+
+    return run
+
+
 def _pair(basis: dict[int, np.ndarray], least: float) -> Callable:
     def run(tiles: pd.DataFrame) -> pd.DataFrame:
         tiles = tiles.sort_values("tile")
         made = [_Tile(r, basis[int(r["dim"])]) for _, r in tiles.iterrows()]
-        if tiles["one"].iloc[0] == tiles["two"].iloc[0]:
-            return compare(made[0], made[0], True, least)
-        return compare(made[0], made[1], False, least) if len(made) == 2 else pd.DataFrame({"a": [], "b": [], "links": []}, dtype="i8")
+        return compare(made[0], made[-1], len(made) == 1, least)
 
     return run
 
 
+def tile_pairs(tiles: DataFrame, least: float) -> DataFrame:
+    """(part, dim, one, two): the pairs of tiles of which some vectors may reach ``least``, from their ``box`` alone.
+
+    Unit vectors with that cosine are at most the square root of 2 - 2 ``least`` apart; the gaps between the ranges of the
+    leading coordinates are a lower bound of the distance. The first coordinate orders the tiles.
+    """
+    a = tiles.select("part", "dim", F.col("tile").alias("one"), F.col("box").alias("x"))
+    b = tiles.select("part", "dim", F.col("tile").alias("two"), F.col("box").alias("y"))
+    gap = lambda k: F.greatest(F.col("x.low")[k] - F.col("y.high")[k], F.col("y.low")[k] - F.col("x.high")[k], F.lit(0.0))
+    square = sum((gap(k) * gap(k) for k in range(1, LEADING)), gap(0) * gap(0))
+    return a.join(b, ["part", "dim"]).filter((F.col("one") <= F.col("two")) & (square <= 2 - 2 * least + 1e-6)).select("part", "dim", "one", "two")
+
+
 def embedding_groups(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
-    Vectors of one non-null group and one dimension count are compared, all pairs, by cosine in double precision. They
-    are turned to the principal axes of all unit vectors; a pair of tiles adds up leading dimensions first and stops where
-    the dot product so far and the norms of the rest cannot reach ``least``; what remains is decided on the vectors as
-    given. Equal vectors are one node with a weight and are dealt to cells by a salt. A pair of tiles gives each
-    vector's number of links and a spanning forest, so a large group costs rows in proportion to its members.
+    Vectors of one non-null group and one dimension count are compared by cosine in double precision. They are turned to
+    the principal axes of all unit vectors and dealt to tiles in the order of the first coordinate; pairs of tiles whose
+    leading coordinates lie too far apart are skipped; in the others a pair of vectors adds up leading dimensions first and
+    stops where the dot product so far and the norms of the rest cannot reach ``least``; what remains is decided on the
+    vectors as given. Equal vectors are one node, with a number of its own and a weight, and are dealt to cells by a salt. A
+    pair of tiles gives each vector's number of links and a spanning forest, so a large group costs rows in proportion to
+    its members.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do those whose group
     is null: they are kept, with 0 links and their own id. Ids may repeat. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 256)
     x = F.col("vector")
     good = F.col("part").isNotNull() & (F.coalesce(F.size(x), F.lit(0)) > 0) & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(False))
     # normal numbers only: a norm that under- or overflows in double precision has no cosine
     norm = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(group_col).alias("part"))
     rows = rows.select("*", F.coalesce(good, F.lit(False)).alias("good"))
-    rows = rows.select("id", F.when(F.col("good") & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)), F.struct("part", "vector")).alias("key"), salt("id").alias("salt"))
+    rows = rows.select("id", F.when(F.col("good") & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)), F.struct("part", "vector")).alias("key"), salt(F.monotonically_increasing_id()).alias("salt"))
+    rows = stored(rows, "vector-rows")
     nodes = rows.filter("key IS NOT NULL").groupBy("key", "salt").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = nodes.groupBy("key").agg(F.min("least").alias("least"), F.sum("n").alias("weight"), F.collect_set("salt").alias("salts"))
-    nodes = stored(nodes.select("*", F.xxhash64("key").alias("node"), F.size("key.vector").alias("dim")), "vectors")
-    basis = axes(nodes.select(F.col("key.vector").alias("vector")))
-    place = ["key.part", "dim"]
-    sizes = nodes.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    nodes = stored(nodes.select("*", F.monotonically_increasing_id().alias("node"), F.size("key.vector").alias("dim")), "vectors")
+    flat = nodes.select("node", "dim", "weight", F.col("key.part").alias("part"), F.col("key.vector").alias("vector"))
+    c = [f"c{k}" for k in range(LEADING)]
+    with small_batches(spark, 2048):
+        basis = axes(flat.select("vector"))
+        lead = stored(flat.select("node", "vector").mapInPandas(_leading(basis), f"node long, {', '.join(f'{k} double' for k in c)}"), "vector-leads")
+    place = ["part", "dim"]
+    spots = flat.select("node", *place).join(lead, "node")
+    sizes = spots.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.percentile_approx("c0", [i / 256 for i in range(257)], 2560).alias("cuts"))
+    sizes = stored(sizes.filter("part IS NOT NULL"), "vector-cells")
+    # tiles are ranges of the first coordinate: its 256 quantiles, and within one, where it has several tiles, a digest
+    rank = F.size(F.filter("cuts", lambda e: e < F.col("c0"))).cast("double") / 257 * F.col("tiles")
+    fine = F.when(F.col("tiles") > 256, F.pmod(F.xxhash64("node"), F.ceil(F.col("tiles") / 256).cast("long"))).otherwise(0)
+    spots = spots.join(small(sizes, sizes.count()), place).select("node", *c, F.concat_ws(":", F.floor(rank), fine).alias("tile"))
     tiles = (
-        nodes.select(F.col("key.part").alias("part"), "dim", "node", "weight", F.col("key.vector").alias("vector"))
-        .join(sizes, ["part", "dim"])
-        .groupBy("part", "dim", "tiles", F.pmod("node", F.col("tiles")).alias("tile"))
-        .agg(F.collect_list(F.struct("node", "weight", "vector")).alias("x"))
-        .select("part", "dim", "tiles", "tile", F.col("x.node").alias("node"), F.col("x.weight").alias("weight"), F.flatten("x.vector").alias("packed"))
-    )
-    pairs = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "part", "dim", "tile", "node", "weight", "packed", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two")
+        flat.join(spots, "node")
+        .groupBy(*place, "tile")
+        .agg(F.collect_list(F.struct("node", "weight", "vector")).alias("x"), F.struct(F.array(*[F.min(k) for k in c]).alias("low"), F.array(*[F.max(k) for k in c]).alias("high")).alias("box"))
+        .select(*place, "tile", "box", F.col("x.node").alias("node"), F.col("x.weight").alias("weight"), F.flatten("x.vector").alias("packed"))
     )
-    found = stored(pairs.groupBy("part", "dim", "one", "two").applyInPandas(_pair(basis, least), "a long, b long, links long"), "vector-links")
+    tiles = stored(tiles, "vector-tiles")
+    pairs = stored(tile_pairs(tiles.select(*place, "tile", "box"), least), "vector-pairs")
+    ends = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("one", "two"))))
+    shipped = ends.join(tiles.drop("box"), [*place, "tile"])
+    found = stored(shipped.groupBy(*place, "one", "two").applyInPandas(_pair(basis, least), "a long, b long, links long"), "vector-links")
+    discard(tiles, pairs, lead)
     links = found.filter("links >= 0").groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.filter("links < 0").select("a", "b"))
-    smallest = roots.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = stored(roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id")), "vector-least")
     roots = roots.join(smallest, "root").select("node", "component_id")
     nodes = (
         nodes.join(roots, "node", "left")

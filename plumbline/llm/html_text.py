@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import small_batches, table
+from plumbline.llm.common import small_batches, stored, table
 
 # Fixed values of the HTML standard: void elements, blocks, hidden elements, raw text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,6 +39,8 @@ IMPLIED = {
 # Starting one of these ends an open paragraph.
 ENDS_P = BLOCKS - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 _STAY = frozenset({"table", "td", "th", "caption", "button", "object", "html", "template"})
+#: Open elements; browsers, too, nest no further: what comes then stands beside the deepest element.
+DEEPEST = 512
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
@@ -78,7 +82,7 @@ class _Tree(HTMLParser):
             self._end({"head"}, set())
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs) -> None:
@@ -169,8 +173,37 @@ def _plain(node: Node) -> str:
     return "".join(out)
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Rows with cells side by side, each column as wide as its widest line; cells of several lines take several rows."""
+def _steps(first: Iterator) -> list[str]:
+    """Runs a renderer; each yields the renderers of the parts it needs. Depth costs memory, not stack."""
+    stack, got = [first], None
+    while True:
+        try:
+            stack.append(stack[-1].send(got))
+            got = None
+        except StopIteration as e:
+            stack.pop()
+            got = e.value
+            if not stack:
+                return got
+
+
+def _indented(mark: str, lines: list[str], depth: int) -> list[str]:
+    """Deeper levels than INDENTED keep their marks but move no further to the right."""
+    pad = " " * len(mark) if depth <= INDENTED else ""
+    return [mark + lines[0], *(pad + x if x else "" for x in lines[1:])] if lines else [mark.rstrip()]
+
+
+def _number(cell: Node, name: str, most: int) -> int:
+    found = re.match(r"\s*(\d{1,5})", cell.attrs.get(name) or "")
+    return min(most, max(1, int(found[1]))) if found else 1
+
+
+def _table(node: Node, depth: int) -> Iterator:
+    """Rows with cells side by side, each column as wide as its widest line; cells of several lines take several rows.
+
+    A table whose aligned form would be over PADDED times its text (a page layout, or one with a cell much longer than
+    others) has its cells side by side without the padding.
+    """
     rows, captions, todo = [], [], list(reversed(node.children))
     loose: list = []
     while todo:
@@ -182,7 +215,7 @@ def _table(node: Node, depth: int) -> list[str]:
         if hidden(n):
             continue
         if n.tag == "caption":
-            captions += _block(n, depth + 1)
+            captions += yield _block(n, depth + 1)
         elif n.tag in ("td", "th"):
             rows.append([n])
         elif n.tag == "tr":
@@ -194,49 +227,68 @@ def _table(node: Node, depth: int) -> list[str]:
     if loose:
         stray = Node("div")
         stray.children = loose
-        out = out + _block(stray, depth + 1)
-    grid = [[(_block(c, depth + 1) or [""], _span(c)) for c in row] for row in rows if row]
+        out = out + (yield _block(stray, depth + 1))
+    grid, taken = [], {}  # (column, span, lines) by row; columns that cells above reach into, and how many rows more
+    for row in rows:
+        if not row:
+            continue
+        made, at, later = [], 0, dict(taken)
+        for c in row:
+            while taken.get(at, 0):
+                at += 1
+            span, down = _number(c, "colspan", 1000), _number(c, "rowspan", 65_534)
+            made.append((at, span, (yield _block(c, depth + 1)) or [""]))
+            if down > 1:
+                later.update(dict.fromkeys(range(at, at + span), down))
+            at += span
+        taken = {k: v - 1 for k, v in later.items() if v > 1}
+        grid.append(made)
     widths: dict[int, int] = {}
     for row in grid:
-        at = 0
-        for lines, span in row:
+        for at, span, lines in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(width_of, lines)))
-            at += span
+    columns = sorted(widths)
+    ends = dict(zip(columns, accumulate(widths[c] + 2 for c in columns)))
+    place = lambda at: ends[columns[k - 1]] if (k := bisect.bisect_left(columns, at)) else 0
+    size, text = 0, 0
     for row in grid:
-        for k in range(max(len(lines) for lines, _ in row)):
-            at, parts = 0, []
-            for lines, span in row:
+        high = max(len(lines) for *_, lines in row)
+        size += high * place(row[-1][0])
+        text += sum(len(x) - x.count(" ") + 8 for *_, lines in row for x in lines)
+    aligned = size <= PADDED * text
+    for row in grid:
+        for k in range(max(len(lines) for *_, lines in row)):
+            line = ""
+            for at, _, lines in row:
                 cell = lines[k] if k < len(lines) else ""
-                wide = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                parts.append(cell + " " * max(0, wide - width_of(cell)))
-                at += span
-            out.append("  ".join(parts).rstrip())
+                if aligned:
+                    line += " " * max(2 if line else 0, place(at) - width_of(line)) if cell else ""
+                elif line and cell:
+                    line += "  "
+                line += cell
+            out.append(line.rstrip())
     return out
 
 
-def _span(cell: Node) -> int:
-    found = re.match(r"\s*(\d{1,4})", cell.attrs.get("colspan") or "")
-    return min(1000, max(1, int(found[1]))) if found else 1
-
-
-def _block(node: Node, depth: int) -> list[str]:
+def _block(node: Node, depth: int) -> Iterator:
     out = _Lines()
-    _fill(node, out, depth)
+    yield from _fill(node, out, depth)
     lines = out.done()
-    while lines and not lines[-1]:
-        lines.pop()
-    while lines and not lines[0]:
-        lines.pop(0)
-    return lines
+    first, last = 0, len(lines)
+    while last > first and not lines[last - 1]:
+        last -= 1
+    while first < last and not lines[first]:
+        first += 1
+    return lines[first:last]
 
 
-#: Nested tables, lists and quotes beyond this depth are rendered as plain blocks, to bound recursion; no text is lost.
-DEEP = 40
+#: Levels of lists and quotes that are indented; times its text (without spaces) that an aligned table may take.
+INDENTED, PADDED = 40, 4
 
 
-def _fill(root: Node, out: _Lines, depth: int) -> None:
-    """Depth first without recursion; items are nodes, strings, or a number of line ends to ask for."""
+def _fill(root: Node, out: _Lines, depth: int) -> Iterator:
+    """Depth first; items are nodes, strings, or a number of line ends to ask for."""
     todo: list = list(reversed(root.children))
     while todo:
         n = todo.pop()
@@ -257,10 +309,16 @@ def _fill(root: Node, out: _Lines, depth: int) -> None:
             out.need(2)
             out.raw(_plain(n).removeprefix("\n").rstrip("\n").split("\n"))
             out.need(2)
-        elif depth < DEEP and n.tag in ("table", "ul", "ol", "menu", "dir", "blockquote", "dd"):
+        elif n.tag in ("table", "ul", "ol", "menu", "dir", "blockquote", "dd"):
             gap = 1 if n.tag == "dd" or depth and n.tag in ("ul", "ol", "menu", "dir") else 2
             out.need(gap)
-            out.raw(_table(n, depth) if n.tag == "table" else _list(n, depth) if n.tag in ("ul", "ol", "menu", "dir") else [f"  {x}" if x else "" for x in _block(n, depth + 1)])
+            if n.tag == "table":
+                out.raw((yield _table(n, depth)))
+            elif n.tag in ("blockquote", "dd"):
+                pad = "  " if depth <= INDENTED else ""
+                out.raw([pad + x if x else "" for x in (yield _block(n, depth + 1))])
+            else:
+                out.raw((yield _list(n, depth)))
             out.need(gap)
         elif n.tag in BLOCKS:
             gap = 2 if n.tag in SPACED else 1
@@ -271,7 +329,7 @@ def _fill(root: Node, out: _Lines, depth: int) -> None:
             todo += reversed(n.children)
 
 
-def _list(node: Node, depth: int) -> list[str]:
+def _list(node: Node, depth: int) -> Iterator:
     out = []
     start = node.attrs.get("start") or ""
     n = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
@@ -286,12 +344,12 @@ def _list(node: Node, depth: int) -> list[str]:
         if item.tag == "li":
             mark = f"{n}. " if node.tag == "ol" else "- "
             n += 1
-            lines = _block(item, depth + 1) or [""]
-            out += [mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])]
+            out += _indented(mark, (yield _block(item, depth + 1)), depth)
         else:
             holder = Node("div")
             holder.children = [item]
-            out += [f"  {x}" if x else "" for x in _block(holder, depth + 1)]
+            pad = "  " if depth <= INDENTED else ""
+            out += [pad + x if x else "" for x in (yield _block(holder, depth + 1))]
     return out
 
 
@@ -303,7 +361,7 @@ def render(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    return "\n".join(_block(tree.root, 0))
+    return "\n".join(_steps(_block(tree.root, 0)))
 
 
 def title_of(html: str | None) -> str:
@@ -318,10 +376,11 @@ def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, title, text. A null or empty page has empty title and text; ids may repeat or be null."""
-    small_batches(pages.sparkSession, 256)
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInPandas(_render, f"id {kind}, url string, title string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    with small_batches(pages.sparkSession):
+        found = stored(rows.mapInPandas(_render, "id string, url string, title string, text string"), "page-texts")
+    return found.withColumn("id", F.col("id").cast(kind)).withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

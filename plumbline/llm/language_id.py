@@ -5,29 +5,32 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import body, held_out, small_batches, table
+from plumbline.llm.common import body, held_out, small_batches, stored, table
 
 UNKNOWN = "und"
 #: At most about so many training documents a language; all if there are fewer.
 SAMPLE = 2_000
-#: Words kept a language, the most frequent ones, and the least count of one.
-VOCABULARY, LEAST = 20_000, 5
+#: Times that a word or trigram must occur in a language's sample to be in the model; others score as unseen ones.
+LEAST = 5
 #: Cost, in nats, of another language at the next word, and of a language that a word's script rules out.
 SWITCH, RULED_OUT = 8.0, 30.0
-#: Words a segment of the path has.
-SEGMENT = 256
+#: Scores (words times languages) that paths are found for at once; a longer document has a pass of its own.
+CELLS = 1 << 21
 #: Words whose scores a Python worker keeps; it starts anew beyond that. Words scored at once.
 CACHE, BLOCK = 600_000, 20_000
 
-_WORD = re.compile(r"[^\W\d_]{1,24}")
+# Letters: what is a word character to ``re`` and no digit, without the other numbers (superscripts, fractions, numerals).
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]{{1,24}}")
 #: First code points of scripts, in order; letters before the first count as Latin.
 _SCRIPTS = ((0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Indic"), (0xE00, "Thai"), (0xE80, "other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "other"), (0x3040, "Kana"), (0x3130, "Hangul"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xF900, "Han"), (0xFB00, "other"))
 _STARTS = [x for x, _ in _SCRIPTS]
@@ -49,8 +52,8 @@ def _trigrams(word: str) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log-probabilities of words and trigrams and the scripts in use, a column a language; its size is bounded by SAMPLE
-    and VOCABULARY. The dictionaries give rows of the arrays, whose last rows hold for items that they lack."""
+    """Log-probabilities of words and trigrams and the scripts in use, a column a language; its size is bounded by SAMPLE.
+    The dictionaries give rows of the arrays, whose last rows hold for items that they lack."""
 
     languages: list[str]
     words: dict[str, int]
@@ -85,13 +88,12 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "kind", "item", "n"])
 
 
-def learn_languages(docs: DataFrame, train: Column, sample: int = SAMPLE, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def learn_languages(docs: DataFrame, train: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from the rows where ``train`` holds and text and language are not null.
 
     At most about ``sample`` documents a language are read, chosen by a digest of the id; their counts are summed by
     Spark and bounded by the sample when they reach the driver.
     """
-    small_batches(docs.sparkSession, 256)
     known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().collect()}  # one row a language
     parts = [x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))]
@@ -99,10 +101,10 @@ def learn_languages(docs: DataFrame, train: Column, sample: int = SAMPLE, vocabu
         return LanguageModel([], {}, np.zeros((1, 0)), {}, np.zeros((1, 0)), {}, np.zeros((1, 0), bool))
     lang = F.col(lang_col).cast("string")
     known = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("languages")), F.lit(1_000_000)) < F.create_map(*parts)[lang] * 1_000_000)
-    counts = known.select(lang.alias("lang"), body(text_col).alias("body")).mapInPandas(_counts, "lang string, kind string, item string, n long")
-    counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).filter(f"kind <> 'word' OR n >= {LEAST}")
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    rows = counts.select("*", F.row_number().over(top).alias("nth")).filter(f"kind = 'script' OR nth <= {vocabulary}").toPandas()
+    with small_batches(docs.sparkSession):
+        counts = known.select(lang.alias("lang"), body(text_col).alias("body")).mapInPandas(_counts, "lang string, kind string, item string, n long")
+        counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).filter(f"kind = 'script' OR n >= {LEAST}")
+        rows = counts.toPandas().sort_values(["kind", "item", "lang"])
     languages = sorted(sizes)
     at = {x: i for i, x in enumerate(languages)}
     found: dict[str, dict[str, np.ndarray]] = {"word": {}, "trigram": {}, "script": {}}
@@ -147,69 +149,81 @@ class _Index(dict):
 def best_paths(scores: np.ndarray, lengths: list[int], switch: float = SWITCH) -> list[np.ndarray]:
     """The best label of each word of each document: ``scores`` has one row a word, documents end to end.
 
-    Documents are cut into segments; all segments run at once from each language they may start in, then a short pass
-    over a document's segments picks the starts. The result is that of one Viterbi pass over the document.
+    One Viterbi pass over all documents at once, longest first, so that those still running stand in front. A step into a
+    label either stays in it or comes from the best of all: one label a step and one bit a label are kept.
     """
-    n_lang = scores.shape[1]
-    ends = np.cumsum(lengths)
-    cuts = [(d, a, min(a + SEGMENT, e)) for d, (a0, e) in enumerate(zip(ends - lengths, ends)) for a in range(a0, e, SEGMENT)]
-    longest = max((e - a for _, a, e in cuts), default=0)
-    x = np.zeros((longest, len(cuts), n_lang), "f4")
-    for g, (_, a, e) in enumerate(cuts):
-        x[: e - a, g] = scores[a:e]
-    here = np.where(np.eye(n_lang, dtype=bool), 0.0, -switch)[None].repeat(len(cuts), axis=0) + (x[0][:, None, :] if longest else 0)
-    came, changed = np.zeros((longest, len(cuts), n_lang), "u1"), np.zeros((longest, len(cuts), n_lang, n_lang), bool)
-    for t in range(1, longest):
-        top = here.argmax(axis=2)
-        best = np.take_along_axis(here, top[:, :, None], 2) - switch
-        came[t], changed[t] = top, here < best
-        here = np.maximum(here, best) + x[t][:, None, :]
-    start, end = np.zeros(len(cuts), int), np.zeros(len(cuts), int)
-    by_doc: list[list[int]] = [[] for _ in lengths]
-    for g, (d, _, _) in enumerate(cuts):
-        by_doc[d].append(g)
-    for gs in by_doc:
-        v, back = np.zeros(n_lang), []
-        for g in gs:
-            both = v[:, None] + here[g]
-            back.append(both.argmax(axis=0))
-            v = both.max(axis=0)
-        now = int(v.argmax())
-        for g, b in zip(reversed(gs), reversed(back)):
-            end[g], start[g] = now, b[now]
-            now = start[g]
-    # padding has score 0 for all, so a path never gains by changing there: its end state is that of the last word
-    out, now, every = np.zeros((longest, len(cuts)), "u1"), end, np.arange(len(cuts))
+    n_lang, lengths = scores.shape[1], np.asarray(lengths, int)
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    start, running = starts[order], lengths[order]
+    longest = int(running[0]) if len(running) else 0
+    alive = np.searchsorted(-running, -np.arange(longest), side="left")  # documents of more than t words
+    stayed = np.zeros(scores.shape, bool)
+    came = np.zeros(len(scores), "u2")
+    last = np.zeros(len(lengths), int)
+    here = np.zeros((len(lengths), n_lang), "f4")
+    for t in range(longest):
+        n = alive[t]
+        at = start[:n] + t
+        if t:
+            if n < alive[t - 1]:
+                last[n : alive[t - 1]] = here[n : alive[t - 1]].argmax(axis=1)
+            h = here[:n]
+            top = h.argmax(axis=1)
+            best = h[np.arange(n), top][:, None] - switch
+            came[at], stayed[at] = top, h >= best
+            here[:n] = np.maximum(h, best) + scores[at]
+        else:
+            here[:n] = scores[at]
+    if longest:
+        last[: alive[-1]] = here[: alive[-1]].argmax(axis=1)
+    out = np.zeros(len(scores), "u2")
+    now = last
     for t in range(longest - 1, -1, -1):
-        out[t] = now
+        n = alive[t]
+        at = start[:n] + t
+        out[at] = now[:n]
         if t:
-            now = np.where(changed[t, every, start, now], came[t, every, start], now)
-    flat = [out[: e - a, g] for g, (_, a, e) in enumerate(cuts)]
-    return [np.concatenate([flat[g] for g in gs]) if gs else np.zeros(0, "u1") for gs in by_doc]
+            now[:n] = np.where(stayed[at, now[:n]], now[:n], came[at])
+    return np.split(out, starts[1:]) if len(lengths) else []
+
+
+def _labelled(model: LanguageModel, index: _Index, switch: float, ids: list, texts: list[str], words: list[list[str]]) -> pd.DataFrame:
+    names, out = model.languages, []
+    index.add(words)
+    places = np.concatenate([np.fromiter(map(index.__getitem__, w), "i8", len(w)) for w in words])
+    paths = best_paths(index.scores[places], [len(w) for w in words], switch)
+    for i, text, w, path in zip(ids, texts, words, paths):
+        if not len(path):
+            out.append((i, UNKNOWN, 0.0, []))
+            continue
+        letters = np.bincount(path, weights=np.fromiter(map(len, w), "i8", len(w)), minlength=len(names))
+        firsts = [0, *(np.flatnonzero(np.diff(path.astype(int))) + 1).tolist()]
+        begin = set(firsts)
+        starts = [0] if len(firsts) == 1 else [m.start() for k, m in enumerate(_WORD.finditer(text)) if k in begin]
+        starts[0] = 0
+        spans = [{"start": a, "end": b, "lang": names[path[k]]} for a, b, k in zip(starts, [*starts[1:], len(text)], firsts)]
+        best = int(letters.argmax())
+        out.append((i, names[best], float(letters[best] / letters.sum()), spans))
+    return pd.DataFrame(out, columns=["id", "lang_pred", "score", "spans"])
 
 
 def _identify(model: LanguageModel, switch: float) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = _Index(model)
-        names = model.languages
+        ids, texts, words, cells = [], [], [], 0
         for x in batches:
-            words = [_WORD.findall(t) for t in x["body"]] if names else [[] for _ in x["body"]]
-            index.add(words)
-            ids = np.concatenate([np.fromiter(map(index.__getitem__, w), "i8", len(w)) for w in words] or [np.zeros(0, "i8")])
-            paths = best_paths(index.scores[ids], [len(w) for w in words], switch) if len(ids) else [np.zeros(0, "u1")] * len(words)
-            out = []
-            for i, text, w, path in zip(x["id"], x["body"], words, paths):
-                if not len(path):
-                    out.append((i, UNKNOWN, 0.0, []))
-                    continue
-                letters = np.bincount(path, weights=np.fromiter(map(len, w), "i8", len(w)), minlength=len(names))
-                firsts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
-                starts = [0] if len(firsts) == 1 else [m.start() for k, m in enumerate(_WORD.finditer(text)) if k in set(firsts)]
-                starts[0] = 0
-                spans = [{"start": a, "end": b, "lang": names[path[k]]} for a, b, k in zip(starts, [*starts[1:], len(text)], firsts)]
-                best = int(letters.argmax())
-                out.append((i, names[best], float(letters[best] / letters.sum()), spans))
-            yield pd.DataFrame(out, columns=["id", "lang_pred", "score", "spans"])
+            for i, text in zip(x["id"], x["body"]):
+                found = _WORD.findall(text) if model.languages else []
+                ids.append(i)
+                texts.append(text)
+                words.append(found)
+                cells += len(found) * len(model.languages) + 64
+                if cells >= CELLS:
+                    yield _labelled(model, index, switch, ids, texts, words)
+                    ids, texts, words, cells = [], [], [], 0
+        if ids:
+            yield _labelled(model, index, switch, ids, texts, words)
 
     return run
 
@@ -222,12 +236,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, switch: float = SW
     most letters is the document's, its part of the letters the score. A text that is null, empty or has no letter gives
     ``und``, score 0 and no spans, and so does any text if nothing was learned.
     """
-    small_batches(docs.sparkSession, 256)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(
-        _identify(model, switch), f"id {kind}, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
-    )
-    return found.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), body(text_col).alias("body"))
+    with small_batches(docs.sparkSession):
+        found = stored(rows.mapInPandas(_identify(model, switch), "id string, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"), "languages")
+    return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

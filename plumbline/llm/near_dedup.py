@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import body, small_batches, stored
+from plumbline.llm.common import body, discard, small, small_batches, stored
 from plumbline.llm.components import components
 from plumbline.llm.simhash import SEED, _matrix, distinct_shingles, radius_of, simhash_groups
 
@@ -17,7 +17,7 @@ from plumbline.llm.simhash import SEED, _matrix, distinct_shingles, radius_of, s
 SPREAD = 3.8
 #: Shingles a tile of one candidate group holds on average at most.
 TILE = 1 << 16
-MEMBER = "key string, group string, mark string, fp array<bigint>, shingles array<bigint>"
+MEMBER = "key string, id string, group string, mark string, fp array<bigint>, shingles array<bigint>"
 
 
 def wide_radius(similarity: float, bits: int) -> int:
@@ -36,7 +36,7 @@ def _sets(width: int) -> Callable:
         for x in batches:
             made = [shingle_set(t, width) for t in x["body"]]
             marks = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in made]
-            yield pd.DataFrame({"key": x["key"], "group": x["group"], "mark": marks, "fp": x["fp"], "shingles": [s.view("i8") for s in made]})
+            yield pd.DataFrame({"key": x["key"], "id": x["id"], "group": x["group"], "mark": marks, "fp": x["fp"], "shingles": [s.view("i8") for s in made]})
 
     return run
 
@@ -83,50 +83,49 @@ def _links(words: int, radius: int, similarity: float) -> Callable:
     return run
 
 
-def near_copies(docs: DataFrame, order: Column, key_col: str = "key", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 3) -> DataFrame:
-    """``key`` of each row that goes: all rows but the first by ``order`` of each component of confirmed near duplicates.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", key_col: str = "key", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 3) -> DataFrame:
+    """``key`` of each row that goes: of each component of confirmed near duplicates all rows but the one with the smallest id
+    (null ids last, then the smallest key).
 
     Two texts are near duplicates if the sets of their shingles have this Jaccard similarity or more. Fingerprints of the
-    sets give candidate groups at ``wide_radius``; within a group, all pairs in that radius are compared by their whole
-    sets, in tiles, but for pairs that confirmed links join already. No link is taken from fingerprints. Sets are compared
-    by the 64-bit hashes of their shingles. Equal sets are one node; texts without words are equal.
+    sets, of sets whose sizes allow that similarity, give candidate groups at ``wide_radius``; within a group, all pairs in
+    that radius are compared by their whole sets, in tiles, but for pairs that confirmed links join already. No link is
+    taken from fingerprints. Sets are compared by the 64-bit hashes of their shingles. Equal sets are one node; texts
+    without words are equal.
 
-    ``key_col``: a string, another one in each row. What grows faster than the input: a candidate group's tiles are replicated
-    once for each other tile of the group.
+    ``key_col``: a string, another one in each row. Null texts are empty; an empty table gives an empty result. What grows
+    faster than the input: a candidate group's tiles are replicated once for each other tile of the group.
     """
     spark = docs.sparkSession
     radius = wide_radius(similarity, 64 * words)
-    found = simhash_groups(docs, width, words=words, radius=radius, id_col=key_col, text_col=text_col, repeats=False).withColumnRenamed(key_col, "key")
+    found = simhash_groups(docs, width, words=words, radius=radius, id_col=key_col, text_col=text_col, repeats=False, sizes_alike=similarity).withColumnRenamed(key_col, "key")
     found = stored(found, "near-candidates")
-    groups = stored(found.filter("key <> component_id").select("component_id").distinct(), "near-groups")
-    members = stored(found.join(groups, "component_id", "left_semi").select("key", "fp", F.col("component_id").alias("group")), "near-members")
-
-    texts = docs.select(F.col(key_col).alias("key"), order.alias("order"), body(text_col).alias("body")).join(members, "key")
-    small_batches(spark, 256)
-    texts = stored(texts, "near-texts")
-    sets = stored(texts.select("key", "group", "fp", "body").mapInPandas(_sets(width), MEMBER), "near-sets")
+    groups = stored(found.filter("key <> component_id").select(F.col("component_id").alias("group")).distinct(), "near-groups")
+    members = found.join(small(groups, groups.count()), F.col("component_id") == F.col("group"), "left_semi").select("key", "fp", F.col("component_id").alias("group"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(key_col).alias("key"), F.col(id_col).cast("string").alias("id"), body(text_col).alias("body")).join(stored(members, "near-members"), "key")
+    with small_batches(spark):
+        sets = stored(texts.select("key", "id", "group", "fp", "body").mapInPandas(_sets(width), MEMBER), "near-sets")
     nodes = sets.groupBy("mark").agg(F.first("group").alias("group"), F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     nodes = stored(nodes.select("*", F.size("shingles").alias("n")), "near-nodes")
     sizes = nodes.groupBy("group").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("nodes")).filter("nodes > 1")
+    sizes = stored(sizes, "near-sizes")
     tiles = (
-        nodes.join(stored(sizes, "near-sizes"), "group")
+        nodes.join(small(sizes, sizes.count()), "group")
         .select("*", F.pmod(F.xxhash64("mark"), F.greatest("tiles", F.lit(1))).alias("tile"))
         .groupBy("group", "tiles", "tile")
         .agg(F.collect_list(F.struct("mark", "fp", "n", "shingles")).alias("x"))
         .select("group", "tiles", "tile", F.struct(F.col("x.mark").alias("mark"), F.flatten("x.fp").alias("fp"), F.col("x.n").alias("n"), F.flatten("x.shingles").alias("shingles")).alias("x"))
     )
-    tiles = stored(tiles, "near-tiles")
     pairs = tiles.select("*", F.explode(F.sequence(F.lit(0), F.greatest("tiles", F.lit(1)) - 1)).alias("other"))
     pairs = pairs.groupBy("group", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two")).agg(F.collect_list("x").alias("x"))
     pairs = pairs.filter((F.col("one") == F.col("two")) | (F.size("x") == 2))  # a tile whose partner is empty
     sides = [F.get("x", F.lit(k))[c].alias(f"{side}_{c}") for k, side in enumerate("ab") for c in ("mark", "fp", "n", "shingles")]
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "32")  # rows of up to two tiles
-    links = stored(pairs.select(*sides).mapInPandas(_links(words, radius, similarity), "a string, b string"), "near-links")
-    spark.conf.set(key, before)
+    with small_batches(spark, 32):  # rows of up to two tiles
+        links = stored(pairs.select(*sides).mapInPandas(_links(words, radius, similarity), "a string, b string"), "near-links")
+    discard(nodes, found, groups)
     roots = stored(components(links), "near-roots").withColumnRenamed("node", "mark")
-    verdicts = sets.select("key", "mark").join(roots, "mark", "left").select("key", F.coalesce("root", "mark").alias("root"))
-    verdicts = stored(verdicts.join(texts.select("key", "order"), "key"), "near-verdicts")
-    first = stored(verdicts.groupBy("root").agg(F.min(F.struct("order", "key")).alias("first")), "near-first")
+    verdicts = stored(sets.select("key", "id", "mark").join(roots, "mark", "left").select("key", F.col("id").cast(kind).alias("id"), F.coalesce("root", "mark").alias("root")), "near-verdicts")
+    first = stored(verdicts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")), "near-first")
+    discard(sets)
     return verdicts.join(first, "root").filter("key <> first.key").select("key")

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.common import body, salt, small_batches, stored, table
+from plumbline.llm.common import body, salt, salts_for, small_batches, stored, table
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -217,11 +217,13 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
-    small_batches(spark, 256)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(_pieces(tokenizer_path, capacity), schema)
-    rows = stored(rows.select("*", salt("id", "piece").alias("salt")), "pack-pieces")
+    schema = "id string, piece int, start long, length long, ids_crc32 long"
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), body(text_col).alias("body"))
+    salts = salts_for(rows.count())
+    with small_batches(spark):
+        rows = rows.mapInPandas(_pieces(tokenizer_path, capacity), schema)
+        rows = stored(rows.select("*", salt(F.monotonically_increasing_id(), salts=salts).alias("salt")), "pack-pieces")
     cells = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, "int64")
     for x in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
@@ -232,7 +234,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     rows = rows.select("*", nth.alias("nth")).join(cells, ["length", "salt"])
     rows = rows.select("id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("nth") - 1).alias("number"))
     placed = rows.mapInPandas(_placed(slots(plan(counts, capacity))), f"{schema}, sequence_id long, offset long")
-    return placed.withColumnRenamed("id", id_col)
+    return placed.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

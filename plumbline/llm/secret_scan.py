@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.common import body, small_batches, table
+from plumbline.llm.common import body, salt, small_batches, stored, table
 
 KINDS = ("assign", "access", "hex")
 LIKE = {k: f"like_{k}" for k in KINDS}
@@ -25,7 +25,9 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 # A run of 24 or more is the same match as a maximal run that has 24 or more; likewise 20 after AKIA.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of the shortest candidate: fewer carry no format.
+SHORTEST = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _CLASSES = (("0123456789", "d"), ("abcdef", "h"), ("ghijklmnopqrstuvwxyz", "l"), ("ABCDEF", "H"), ("GHIJKLMNOPQRSTUVWXYZ", "U"), ("+/", "s"), ("_-", "m"), (".", "p"), ("=", "e"))
 _CLASS = str.maketrans({c: k for cs, k in _CLASSES for c in cs})
 
@@ -39,8 +41,16 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int]]:
-    """Runs of credential characters that touch no base span."""
-    return [(a, b) for a, b in (m.span() for m in _CANDIDATE.finditer(text)) if not any(x[0] < b and a < x[1] for x in taken)]
+    """Runs of SHORTEST or more credential characters that touch no base span; ``taken`` is in order of starts."""
+    out, k, reach = [], 0, 0  # the furthest end of the base spans that start before the run's end
+    for m in _CANDIDATE.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= a:
+            out.append((a, b))
+    return out
 
 
 @dataclass
@@ -165,13 +175,14 @@ def learn_secrets(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLE
     About ``sample`` documents are read, chosen by a digest of the id, and of each kind ``examples`` forms at most, the most
     frequent ones, then by a digest. Credentials are strings of character classes. Kinds without credentials have no automaton.
     """
-    small_batches(docs.sparkSession, 256)
     share = sample / max(1, docs.count())
     rows = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("secrets")), F.lit(1_000_000)) < min(1.0, share) * 1_000_000)
-    rows = rows.select(body(text_col).alias("body")).mapInPandas(_examples, "kind string, form string")
-    rows = rows.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n"))
-    few = Window.partitionBy("kind").orderBy(F.desc("n"), F.xxhash64("form"), "form")
-    found = rows.select("*", F.row_number().over(few).alias("nth")).filter(F.col("nth") <= examples).collect()  # bounded by kinds and examples
+    with small_batches(docs.sparkSession):
+        rows = rows.select(body(text_col).alias("body")).mapInPandas(_examples, "kind string, form string")
+        rows = stored(rows.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n")), "secret-forms")  # bounded by the sample
+    few = lambda *by: F.row_number().over(Window.partitionBy("kind", *by).orderBy(F.desc("n"), F.xxhash64("form"), "form"))
+    rows = rows.select("*", salt("form", salts=16).alias("salt")).select("*", few("salt").alias("nth")).filter(F.col("nth") <= examples)
+    found = rows.select("kind", "form", "n", few().alias("nth")).filter(F.col("nth") <= examples).collect()  # bounded by kinds and examples
     forms: dict[str, list[tuple[str, int]]] = {}
     for r in found:
         forms.setdefault(r["kind"], []).append((r["form"], r["n"]))
@@ -208,12 +219,11 @@ def find_secrets(docs: DataFrame, model: SecretModel, ratio: float = RATIO, id_c
     runs of credential characters outside base spans whose format is likelier, by ``ratio`` nats, than plain text. Null
     and empty texts have no spans.
     """
-    small_batches(docs.sparkSession, 256)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(
-        _scan(model, ratio), f"id {kind}, spans array<struct<start: int, end: int, kind: string>>"
-    )
-    return found.withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), body(text_col).alias("body"))
+    with small_batches(docs.sparkSession):
+        found = stored(rows.mapInPandas(_scan(model, ratio), "id string, spans array<struct<start: int, end: int, kind: string>>"), "secret-spans")
+    return found.select(F.col("id").cast(kind).alias(id_col), "spans")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import body, salt, small_batches, stored, table
+from plumbline.llm.common import body, discard, salt, small_batches, stored, table
 from plumbline.llm.components import components
 
 SEED = 42
@@ -62,7 +62,9 @@ def fingerprint(text: str, width: int, words: int = 1, repeats: bool = True) ->
 def _fingerprints(width: int, words: int, repeats: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"id": x["id"], "fp": [fingerprint(t, width, words, repeats) for t in x["body"]]})
+            made = np.array([fingerprint(t, width, words, repeats) for t in x["body"]], "i8").reshape(-1, words)
+            sizes = [0] * len(x) if repeats else [len(distinct_shingles(t, width)) for t in x["body"]]
+            yield pd.DataFrame({"id": x["id"], **{f"w{k}": made[:, k] for k in range(words)}, "n": sizes})
 
     return run
 
@@ -117,71 +119,83 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[list[
 def _links(words: int, radius: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            at, bt = [], []
-            for a, b, same in zip(x["a"], x["b"], x["same"]):
-                a, b = _matrix(a, words), _matrix(b, words)
-                i, j = linked(a, b, same, radius)
-                at += a[i].view("i8").tolist()
-                bt += b[j].view("i8").tolist()
-            yield pd.DataFrame({"a": pd.Series(at, dtype=object), "b": pd.Series(bt, dtype=object)})
+            at, bt = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+            for a, pa, b, pb, same in zip(x["a"], x["pa"], x["b"], x["pb"], x["same"]):
+                i, j = linked(_matrix(pa, words), _matrix(pb, words), same, radius)
+                at.append(np.asarray(a, "i8")[i])
+                bt.append(np.asarray(b, "i8")[j])
+            yield pd.DataFrame({"a": np.concatenate(at), "b": np.concatenate(bt)})
 
     return run
 
 
-def _ones(word: Column, parts: int) -> list[Column]:
-    """Population counts of the word's equal parts."""
-    size = 64 // parts
-    return [F.bit_count(F.shiftrightunsigned(word, i * size).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1))) for i in range(parts)]
+def _ones(word: str, parts: int) -> list[Column]:
+    """Population counts of the word's parts, equal but for a bit."""
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    return [F.bit_count(F.shiftrightunsigned(word, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))) for a, b in zip(cuts, cuts[1:])]
 
 
-def simhash_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 3, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+def parts_for(nodes: int) -> int:
+    """More parts skip more pairs and make more cells: enough that a cell has no more than some tiles."""
+    return 1 + (nodes > 20_000) + (nodes > 1_000_000) + (nodes > 30_000_000)
+
+
+def simhash_groups(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 3, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True, sizes_alike: float | None = None
+) -> DataFrame:
     """One row per row of ``docs``: id, fp (array of ``words`` longs), component_id (smallest id reachable over links).
 
     A fingerprint has ``words`` of 64 bits over shingles of ``width`` words. Two link if they differ in ``radius`` bits or
     fewer, by default the number expected at ``similarity``. One word at radius 3 links as SimHash is mostly used; three
-    words keep unrelated documents apart at similarity 0.8, where one word would not. ``repeats=False`` counts each shingle once.
+    words keep unrelated documents apart at similarity 0.8, where one word would not. ``repeats=False`` counts each shingle
+    once; then ``sizes_alike`` asks, besides, for numbers of distinct shingles whose ratio is at least that or little below.
 
-    Equal fingerprints are one node. Nodes are dealt to cells by the population counts of parts of the first word, cells
-    to tiles by hash. Differing counts bound the distance from below, so only tiles of cells whose counts differ by the
-    radius or less are compared, all pairs in numpy. A pair of tiles gives a spanning forest of its links, not all of
-    them: a large group of near copies gives as many rows as it has members, and components stay the same.
+    Equal fingerprints are one node. Nodes are dealt to cells by the population counts of parts of the first word (or, with
+    ``sizes_alike``, where a radius of that width excludes nothing, by the logarithm of their number of shingles), cells to
+    tiles by hash. Differing counts bound the distance from below, so only tiles of cells whose counts differ by the radius
+    or less are compared, all pairs in numpy. A pair of tiles gives a spanning forest of its links, not all of them: a large
+    group of near copies gives as many rows as it has members, and components stay the same.
 
     Null, empty and blank texts have fingerprint zero and link like any other; a text with fewer words than ``width`` is
-    one shingle. Ids may repeat; null ids are never a component's id unless it has no other. Other columns are not read.
+    one shingle. Ids may repeat; null ids are never a component's id unless it has no other. Other columns are not read. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
     radius = radius_of(similarity, 64 * words) if radius is None else radius
-    parts = 4 if radius <= 4 else 1
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(_fingerprints(width, words, repeats), f"id {kind}, fp array<bigint>")
-    rows = stored(rows.select("*", salt("id").alias("salt")), "simhash")
-
-    nodes = rows.groupBy("fp", "salt").agg(F.min("id").alias("least")).groupBy("fp").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))
-    ones = F.array(*_ones(F.col("fp")[0], parts))
-    nodes = stored(nodes.select("*", ones.alias("ones")), "simhash-nodes")
-    sizes = nodes.groupBy("ones").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))  # at most 17^4 rows
-    tiles = (
-        nodes.join(F.broadcast(sizes), "ones")
-        .groupBy("ones", F.pmod(F.xxhash64("fp"), F.col("tiles")).alias("tile"))
-        .agg(F.flatten(F.collect_list("fp")).alias("packed"))
-    )
-    tiles = stored(tiles, "simhash-tiles")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
+    w = [f"w{k}" for k in range(words)]
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), body(text_col).alias("body"))
+    with small_batches(spark):
+        rows = rows.mapInPandas(_fingerprints(width, words, repeats), f"id string, {', '.join(f'{c} long' for c in w)}, n long")
+        grain = -math.log(sizes_alike) / 4 * (1 + 1e-9) if sizes_alike else None  # four steps of it make the ratio
+        log = F.floor(F.ln(F.greatest("n", F.lit(1))) / grain).cast("int") if grain else F.lit(0)
+        rows = stored(rows.select(F.col("id").cast(kind).alias("id"), *w, log.alias("log"), salt(F.monotonically_increasing_id()).alias("salt")), "simhash")
+
+    node = [*w, "log"]
+    nodes = rows.groupBy(*node, "salt").agg(F.min("id").alias("least")).groupBy(*node).agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))
+    nodes = stored(nodes.select("*", F.monotonically_increasing_id().alias("node")), "simhash-nodes")
+    parts = parts_for(nodes.count())
+    cell = F.array("log") if grain else F.array(*_ones("w0", parts))
+    placed = nodes.select("node", F.array(*w).alias("fp"), cell.alias("cell"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    sizes = F.broadcast(stored(sizes, "simhash-cells"))  # at most 17^4 rows, or one for each quarter of a ratio of sizes
+    tiles = placed.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")).agg(F.collect_list(F.struct("node", "fp")).alias("x"))
+    tiles = stored(tiles.select("cell", "tile", F.col("x.node").alias("node"), F.flatten("x.fp").alias("packed")), "simhash-tiles")
+    steps = [(d,) for d in range(5)] if grain else [d for d in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
     steps = F.array(*[F.array(*[F.lit(v) for v in d]) for d in steps])
-    a = tiles.select(F.col("ones").alias("ones_a"), F.col("tile").alias("tile_a"), F.col("packed").alias("a"))
-    a = a.select("*", F.explode(steps).alias("step")).select("ones_a", "tile_a", "a", F.zip_with("ones_a", "step", lambda x, y: x + y).alias("ones"))
-    a = a.join(F.broadcast(sizes.select("ones")), "ones", "left_semi")
-    pairs = a.join(tiles.withColumnRenamed("packed", "b"), "ones").filter("ones_a <> ones OR tile_a <= tile")
-    # each row is one comparison; deal them out evenly whatever cell they come from
-    pairs = pairs.select("a", "b", ((F.col("ones_a") == F.col("ones")) & (F.col("tile_a") == F.col("tile"))).alias("same"))
-    edges = stored(pairs.mapInPandas(_links(words, radius), "a array<bigint>, b array<bigint>"), "simhash-links")
+    a = tiles.select(F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"), F.col("node").alias("a"), F.col("packed").alias("pa"), F.explode(steps).alias("step"))
+    a = a.withColumn("cell", F.zip_with("cell_a", "step", lambda x, y: x + y)).drop("step").join(sizes.select("cell"), "cell", "left_semi")
+    pairs = a.join(tiles.withColumnsRenamed({"node": "b", "packed": "pb"}), "cell").filter("cell_a <> cell OR tile_a <= tile")
+    pairs = pairs.select("a", "pa", "b", "pb", ((F.col("cell_a") == F.col("cell")) & (F.col("tile_a") == F.col("tile"))).alias("same"))
+    with small_batches(spark):
+        edges = stored(pairs.mapInPandas(_links(words, radius), "a long, b long"), "simhash-links")
+    discard(tiles)
     roots = components(edges)
-    least = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
+    least = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     least = stored(least, "simhash-least")  # adaptive execution can split the join with it at the root of a large group
-    roots = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    nodes = nodes.join(roots, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.explode("salts").alias("salt"))
-    return rows.join(nodes, ["fp", "salt"]).select(F.col("id").alias(id_col), "fp", "component_id")
+    roots = roots.join(least, "root").select("node", "component_id")
+    nodes = nodes.join(roots, "node", "left").select(*node, F.coalesce("component_id", "least").alias("component_id"), F.explode("salts").alias("salt"))
+    return rows.join(nodes, [*node, "salt"]).select(F.col("id").alias(id_col), F.array(*w).alias("fp"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import body, held_out, small_batches, stored, table
+from plumbline.llm.common import body, discard, held_out, small, small_batches, stored, table
 
 #: Labelled documents of each class that are read at most, about.
-SAMPLE = 12_000
-#: Hash buckets, buckets the machine keeps, factors, passes over the sample.
-BUCKETS, KEPT, FACTORS, EPOCHS = 1 << 18, 400, 8, 60
+SAMPLE = 8_000
+#: Hash buckets; documents of the sample that a bucket must occur in to have parameters (others weigh 0, as one never seen).
+BUCKETS, LEAST = 1 << 18, 5
+#: Factors, passes over the sample, rows a step.
+FACTORS, EPOCHS, BATCH = 8, 12, 256
 THRESHOLD = 0.3
 CACHE = 600_000
 
@@ -32,46 +34,63 @@ def term_buckets(word: str) -> list[int]:
 
 @dataclass
 class FactorizationMachine:
-    """bias + sum of weights + sum over pairs of dot products of factors, over the kept buckets that a text has."""
+    """bias + sum of weights + sum over pairs of dot products of factors, over the buckets that a text has."""
 
     buckets: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.factors
-        return self.bias + x @ self.weights + 0.5 * ((s * s).sum(axis=1) - x @ (self.factors**2).sum(axis=1))
+    def margin(self, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` texts; text ``row[i]`` has the bucket at place ``at[i]``, once."""
+        total = lambda x: np.bincount(row, weights=x[at], minlength=n)
+        squares = sum((total(f) ** 2 for f in self.factors.T), np.zeros(n))
+        return self.bias + total(self.weights) + 0.5 * (squares - total((self.factors**2).sum(axis=1)))
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+    def probability(self, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margin(row, at, n), -30, 30)))
 
 
-def fit_machine(buckets: np.ndarray, found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 5, l2: float = 1e-4) -> FactorizationMachine:
-    """Adam on the weighted logistic loss; ``found`` has the kept buckets of each text."""
+def fit_machine(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 5, l1: float = 2e-3, l2: float = 2e-3, rate: float = 0.05, least: int = LEAST) -> FactorizationMachine:
+    """AdaGrad on the weighted logistic loss; ``found`` has the distinct buckets of each text. A step touches only the buckets
+    of its rows, so that all that occur in ``least`` texts have a weight (shrunk to 0 by ``l1`` where nothing speaks for one)
+    and factors (by ``l2``)."""
     n = len(found)
-    x = np.zeros((n, len(buckets)), "f4")
-    for i, f in enumerate(found):
-        x[i, np.searchsorted(buckets, f)] = 1
+    every = np.concatenate([*found, np.zeros(0, "i8")]).astype("i8")
+    buckets, place, count = np.unique(every, return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(n), [len(f) for f in found]), count >= least
+    ok = often[place]
+    row, place, buckets = row[ok], (np.cumsum(often) - 1)[place[ok]], buckets[often]
     rng = np.random.default_rng(seed)
     base = float(np.average(labels, weights=weight)) if n else 0.5
-    params = [np.array([np.log(max(base, 1e-6) / max(1 - base, 1e-6))]), np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), FACTORS))]
-    m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS if n and len(buckets) else 0):
-        order = rng.permutation(n)
-        for i in range(0, n, 512):
-            b = order[i : i + 512]
-            xb, yb, wb = x[b].astype(float), labels[b], weight[b] / weight.mean()
-            fm = FactorizationMachine(buckets, params[0][0], params[1], params[2])
-            g = (fm.probability(xb) - yb) * wb / len(b)
-            s = xb @ params[2]
-            grads = [np.array([g.sum()]), xb.T @ g + l2 * params[1], xb.T @ (g[:, None] * s) - (xb.T @ g)[:, None] * params[2] + l2 * params[2]]
-            step += 1
-            for k, grad in enumerate(grads):
-                m[k] = 0.9 * m[k] + 0.1 * grad
-                v[k] = 0.999 * v[k] + 0.001 * grad**2
-                params[k] = params[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(buckets, float(params[0][0]), params[1], params[2])
+    bias, seen_bias = float(np.log(max(base, 1e-6) / max(1 - base, 1e-6))), 1e-4
+    params = np.zeros((len(buckets), FACTORS + 1), "f4")  # a bucket's weight, then its factors
+    params[:, 1:] = rng.normal(0, 0.01, (len(buckets), FACTORS))
+    seen = np.full(params.shape, 1e-4, "f4")
+    weight = weight / weight.mean() if n else weight
+    order, bounds = rng.permutation(n), np.searchsorted(row, np.arange(n + 1))
+    for _ in range(EPOCHS if len(buckets) else 0):
+        for k in rng.permutation(-(-n // BATCH)):
+            rows = order[k * BATCH : (k + 1) * BATCH]
+            u, inv = np.unique(np.concatenate([place[bounds[r] : bounds[r + 1]] for r in rows]), return_inverse=True)
+            x = np.zeros((len(rows), len(u)), "f4")
+            x[np.repeat(np.arange(len(rows)), bounds[rows + 1] - bounds[rows]), inv] = 1
+            p = params[u]
+            v = p[:, 1:]
+            out = x @ np.concatenate([p[:, :1] - 0.5 * (v * v).sum(axis=1, keepdims=True), v], axis=1)
+            s = out[:, 1:]
+            margin = bias + out[:, 0] + 0.5 * (s * s).sum(axis=1)
+            g = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[rows]) * weight[rows]).astype("f4")
+            seen_bias += float(g.sum()) ** 2
+            bias -= rate * float(g.sum()) / seen_bias**0.5
+            to = x.T @ np.concatenate([g[:, None], g[:, None] * s], axis=1)
+            grad = np.concatenate([to[:, :1], to[:, 1:] - to[:, :1] * v + l2 * len(rows) * v], axis=1)
+            seen[u] += grad * grad
+            step = rate / np.sqrt(seen[u])
+            p = p - step * grad
+            p[:, 0] = np.sign(p[:, 0]) * np.maximum(np.abs(p[:, 0]) - step[:, 0] * l1 * len(rows), 0)
+            params[u] = p
+    return FactorizationMachine(buckets, float(bias), params[:, 0].astype(float), params[:, 1:].astype(float))
 
 
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,45 +98,36 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": x["label"], "terms": pd.Series([sorted({b for w in set(_TERM.findall(t)) for b in term_buckets(w)}) for t in x["body"]], dtype=object)})
 
 
-def telling_buckets(rows: DataFrame, kept: int = KEPT) -> np.ndarray:
-    """The buckets of ``rows(label, terms)`` with the largest z-scores of their log odds between the classes, in order.
-
-    Counted and ranked by Spark; ``kept`` numbers reach the driver.
-    """
-    n1, n0 = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
-    n1, n0 = max(n1, 1), max(n0, 1)
-    per = rows.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).filter("pos + neg >= 5")
-    odds = F.ln((F.col("pos") + 0.5) / (n1 - F.col("pos") + 0.5)) - F.ln((F.col("neg") + 0.5) / (n0 - F.col("neg") + 0.5))
-    z = F.abs(odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5)))
-    top = per.select("bucket", z.alias("z")).filter("z > 0").orderBy(F.desc("z"), "bucket").limit(kept).collect()
-    return np.array(sorted(r["bucket"] for r in top), "i4")
-
-
 def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """A machine from the labelled rows where ``train`` (over ``labels``) holds and label and text are not null.
 
     At most about ``sample`` documents of each class are read, chosen by a digest of the id and weighted to stand for
-    their class. The driver gets which of the kept buckets each has, a number bounded by ``sample`` and KEPT. Without labels every score is one half.
+    their class; an id that is labelled repeatedly counts once, as toxic if any of its labels says so. The driver gets the
+    buckets of the sample that occur in LEAST of its documents. Without labels every score is one half.
     """
-    small_batches(docs.sparkSession, 256)
-    marked = labels.filter(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    spark = docs.sparkSession
+    marked = labels.filter(train & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    marked = stored(marked, "toxic-labels")
+    sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}  # two rows
     share = {k: min(1.0, sample / n) for k, n in sizes.items()}
     part = F.when(F.col("label") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
-    chosen = marked.filter(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000)) < part * 1_000_000)
+    chosen = stored(marked.filter(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000)) < part * 1_000_000), "toxic-chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "id").select("label", body("text").alias("body"))  # bounded by the sample
-    rows = stored(rows.mapInPandas(_terms, "label int, terms array<int>"), "toxic-terms")
-    buckets = telling_buckets(rows)
-    rows = rows.select("label", F.array_intersect("terms", F.lit(buckets.tolist()).cast("array<int>")).alias("found")).toPandas()
-    rows["key"] = [np.sort(np.asarray(t, "i4")).tobytes() for t in rows["found"]]
-    rows = rows.sort_values(["key", "label"])  # the same machine whatever order the rows come in
-    y = rows["label"].to_numpy(dtype=float)
-    return fit_machine(buckets, [np.frombuffer(k, "i4") for k in rows["key"]], y, np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
-
-
-class _Kept(dict):
-    """Places of a word's buckets among the kept ones."""
+    rows = texts.join(small(chosen, chosen.count()), "id").select("label", body("text").alias("body"))
+    with small_batches(spark):
+        rows = stored(rows.mapInPandas(_terms, "label int, terms array<int>"), "toxic-terms")
+    often = rows.select(F.explode("terms").alias("bucket")).groupBy("bucket").count().filter(F.col("count") >= LEAST)
+    often = often.agg(F.collect_set("bucket").alias("often"))  # at most BUCKETS numbers
+    found = rows.join(F.broadcast(often)).select("label", F.array_intersect("terms", "often").alias("found")).toPandas()
+    discard(marked, chosen, rows)
+    found["key"] = [np.sort(np.asarray(t, "i4")).tobytes() for t in found["found"]]
+    found = found.sort_values(["key", "label"])  # the same machine whatever order the rows come in
+    y = found["label"].to_numpy(dtype=float)
+    return fit_machine([np.frombuffer(k, "i4") for k in found["key"]], y, np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
+
+
+class _Places(dict):
+    """Places of a word's buckets among those with parameters."""
 
     def __init__(self, at: dict[int, int]) -> None:
         self.at = at
@@ -131,22 +141,23 @@ class _Kept(dict):
 
 def _score(machine: FactorizationMachine) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = _Kept({int(b): i for i, b in enumerate(machine.buckets)})
+        places = _Places({int(b): i for i, b in enumerate(machine.buckets)})
         for x in batches:
-            rows = np.zeros((len(x), len(machine.buckets)))
-            for i, text in enumerate(x["body"]):
-                rows[i, list(set(chain.from_iterable(map(kept.__getitem__, _TERM.findall(text)))))] = 1
-            yield pd.DataFrame({"id": x["id"], "score": machine.probability(rows)})
+            found = [set(chain.from_iterable(map(places.__getitem__, set(_TERM.findall(text))))) for text in x["body"]]
+            size = [len(f) for f in found]
+            at = np.fromiter(chain.from_iterable(found), "i8", sum(size))
+            yield pd.DataFrame({"id": x["id"], "score": machine.probability(np.repeat(np.arange(len(x)), size), at, len(x))})
 
     return run
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, score, predicted. Null and empty texts have no term: the score of the bias alone."""
-    small_batches(docs.sparkSession, 256)
+    """One row per row of ``docs``: id, score, predicted. Null and empty texts have no term: the score of the bias alone. Ids
+    may be null or repeat; other columns are not read; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).mapInPandas(_score(machine), f"id {kind}, score double")
-    return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    with small_batches(docs.sparkSession):
+        found = stored(docs.select(F.col(id_col).cast("string").alias("id"), body(text_col).alias("body")).mapInPandas(_score(machine), "id string, score double"), "toxic-scores")
+    return found.select(F.col("id").cast(kind).alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
