@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,11 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.llm.common import body, discard, held_out, small, small_batches, stored, table
 
 #: Labelled documents of each class that are read at most, about.
-SAMPLE = 8_000
+SAMPLE = 6_000
 #: Hash buckets; documents of the sample that a bucket must occur in to have parameters (others weigh 0, as one never seen).
 BUCKETS, LEAST = 1 << 18, 5
-#: Factors, passes over the sample, rows a step.
-FACTORS, EPOCHS, BATCH = 8, 12, 256
+#: Factors, rows a step, passes with weights alone, then with factors at most, and passes without a gain on the rows kept
+#: aside that end them.
+FACTORS, BATCH, FIRST, PASSES, PATIENCE = 8, 128, 20, 20, 8
+#: Scale of factors at their start, and of their steps against those of weights: a text has very many pairs.
+START, SLOWER = 0.005, 0.15
 THRESHOLD = 0.3
 CACHE = 600_000
 
@@ -51,10 +55,11 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(row, at, n), -30, 30)))
 
 
-def fit_machine(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 5, l1: float = 2e-3, l2: float = 2e-3, rate: float = 0.05, least: int = LEAST) -> FactorizationMachine:
+def fit_machine(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 5, l1: float = 1e-3, l2: float = 2e-2, rate: float = 0.05, least: int = LEAST) -> FactorizationMachine:
     """AdaGrad on the weighted logistic loss; ``found`` has the distinct buckets of each text. A step touches only the buckets
     of its rows, so that all that occur in ``least`` texts have a weight (shrunk to 0 by ``l1`` where nothing speaks for one)
-    and factors (by ``l2``)."""
+    and factors (by ``l2``). Weights are fitted first, then weights and factors; a tenth of the texts is kept aside, and the
+    parameters that do best on it are returned."""
     n = len(found)
     every = np.concatenate([*found, np.zeros(0, "i8")]).astype("i8")
     buckets, place, count = np.unique(every, return_inverse=True, return_counts=True)
@@ -65,12 +70,19 @@ def fit_machine(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray,
     base = float(np.average(labels, weights=weight)) if n else 0.5
     bias, seen_bias = float(np.log(max(base, 1e-6) / max(1 - base, 1e-6))), 1e-4
     params = np.zeros((len(buckets), FACTORS + 1), "f4")  # a bucket's weight, then its factors
-    params[:, 1:] = rng.normal(0, 0.01, (len(buckets), FACTORS))
     seen = np.full(params.shape, 1e-4, "f4")
     weight = weight / weight.mean() if n else weight
     order, bounds = rng.permutation(n), np.searchsorted(row, np.arange(n + 1))
-    for _ in range(EPOCHS if len(buckets) else 0):
-        for k in rng.permutation(-(-n // BATCH)):
+    aside, order = order[: n // 10], order[n // 10 :]
+    ends = bounds[aside + 1] - bounds[aside]
+    tests = (np.repeat(np.arange(len(aside)), ends), np.concatenate([place[bounds[r] : bounds[r + 1]] for r in aside] + [np.zeros(0, "i8")]), len(aside))
+    made = lambda: FactorizationMachine(buckets, bias, params[:, 0].astype(float), params[:, 1:].astype(float))
+    best, least_loss, idle = made(), math.inf, 0
+    for turn in range(FIRST + PASSES if len(buckets) else 0):
+        if turn == FIRST:  # factors of 0 have no gradient: until here there were none
+            idle, bias, params[:, 0] = 0, best.bias, best.weights
+            params[:, 1:], seen[:, 1:] = rng.normal(0, START, (len(buckets), FACTORS)), 1.0
+        for k in rng.permutation(-(-len(order) // BATCH)):
             rows = order[k * BATCH : (k + 1) * BATCH]
             u, inv = np.unique(np.concatenate([place[bounds[r] : bounds[r + 1]] for r in rows]), return_inverse=True)
             x = np.zeros((len(rows), len(u)), "f4")
@@ -86,11 +98,19 @@ def fit_machine(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray,
             to = x.T @ np.concatenate([g[:, None], g[:, None] * s], axis=1)
             grad = np.concatenate([to[:, :1], to[:, 1:] - to[:, :1] * v + l2 * len(rows) * v], axis=1)
             seen[u] += grad * grad
-            step = rate / np.sqrt(seen[u])
+            step = np.concatenate([[rate], np.full(FACTORS, rate * SLOWER)]) / np.sqrt(seen[u])
             p = p - step * grad
             p[:, 0] = np.sign(p[:, 0]) * np.maximum(np.abs(p[:, 0]) - step[:, 0] * l1 * len(rows), 0)
             params[u] = p
-    return FactorizationMachine(buckets, float(bias), params[:, 0].astype(float), params[:, 1:].astype(float))
+        now = made()
+        hit = now.probability(*tests)
+        loss = -float(np.sum(weight[aside] * np.log(np.where(labels[aside] > 0, hit, 1 - hit) + 1e-12)))
+        idle = 0 if loss < least_loss else idle + 1
+        if not idle:
+            best, least_loss = now, loss
+        if turn >= FIRST and idle >= PATIENCE:
+            break
+    return best
 
 
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import html_text, language_id, packing, secret_scan
+from plumbline.llm import html_text, language_id, packing, secret_scan, toxicity
 from plumbline.llm.registry import QUERIES
 
 
@@ -148,3 +148,31 @@ def test_pipeline(spark, small, docs):
     assert abs(words(mixed) - words(near)) <= near["text"].map(lambda t: len(t.split())).max() * 2
     packed = corpus_pipeline.run(spark, small).toPandas()
     assert (packed["piece"] == 0).sum() == len(mixed) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_margin_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(8)
+    m = toxicity.FactorizationMachine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    found = [[0, 3, 8], [], [5], list(range(9))]
+    at = np.array([b for f in found for b in f], int)
+    got = m.margin(np.repeat(np.arange(4), [len(f) for f in found]), at, 4)
+    want = [m.bias + sum(m.weights[b] for b in f) + sum(float(m.factors[a] @ m.factors[b]) for i, a in enumerate(f) for b in f[:i]) for f in found]
+    assert np.allclose(got, want)
+
+
+def test_pairs_that_weights_alone_miss():
+    """A text is toxic if it has both or neither of two terms: each alone says nothing."""
+    rng = np.random.default_rng(9)
+    found, y = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        found.append(np.array(sorted({*rng.choice(np.arange(10, 200), 12, replace=False).tolist(), *([1] if a else [2]), *([3] if b else [4])})))
+        y.append(float(a == b))
+    y = np.array(y)
+    m = toxicity.fit_machine(found[:2400], y[:2400], np.ones(2400))
+    place = {b: i for i, b in enumerate(m.buckets.tolist())}
+    rest = [[place[b] for b in f.tolist()] for f in found[2400:]]
+    row, at = np.repeat(np.arange(len(rest)), [len(f) for f in rest]), np.array([b for f in rest for b in f])
+    right = lambda machine: ((machine.probability(row, at, len(rest)) > 0.5) == (y[2400:] > 0)).mean()
+    alone = toxicity.FactorizationMachine(m.buckets, m.bias, m.weights, 0 * m.factors)
+    assert right(m) > 0.95 and right(alone) < 0.65
