@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import market, records  # noqa: F401  they register their queries
+from plumbline.plans import daily, market, records, statements  # noqa: F401  they register their queries
 from plumbline.plans.adapter import QUERIES, SQL
 
 FLAGSHIP = "daily_selection"

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from plumbline.functions.expressions import deepest_drawdown, exponential_mean, ratio
+from plumbline.functions.expressions import deepest_drawdown, ratio
 
 def by_session() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("session_idx")
@@ -66,18 +66,6 @@ def beta(own: str, bench: str, n: int, least: int) -> Column:
     return F.when(k >= least, ratio(cov, var))
 
 
-def technicals(panel: DataFrame, price: str = "close") -> DataFrame:
-    """RSI(14), MACD(12, 26, 9) and %B(20) at each ticker's last row, by a fold over its ordered prices."""
-    rows = panel.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("session_idx", F.col(price).cast("double").alias("x")))).alias("rows")).select("ticker", F.col("rows.x").alias("x"))
-    moves = F.zip_with(F.concat(F.array(F.lit(None).cast("double")), F.slice("x", 1, F.size("x") - 1)), F.col("x"), lambda a, b: b - a)
-    rows = rows.withColumn("moves", moves)
-    up = exponential_mean(F.transform("moves", lambda m: F.greatest(m, F.lit(0.0)) + m * 0), 1 / 14, 14)
-    down = exponential_mean(F.transform("moves", lambda m: F.greatest(-m, F.lit(0.0)) + m * 0), 1 / 14, 14)
-    rows = rows.select("ticker", up.alias("up"), down.alias("down"), *[exponential_mean(F.col("x"), 2 / (k + 1), k).alias(f"ema_{k}") for k in (12, 26)])
-    rsi = F.when((F.col("down") == 0) & (F.col("up") > 0), 100.0).when(F.col("down") > 0, 100 - 100 / (1 + F.col("up") / F.col("down")))
-    return rows.select("ticker", rsi.alias("rsi_14"), "ema_12", "ema_26", (F.col("ema_12") - F.col("ema_26")).alias("macd"))
-
-
 def trailing(panel: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """All columns in one pass over one shuffle by ticker."""
     return panel.select("*", *[c.alias(k) for k, c in columns.items()])

@@ -129,24 +129,12 @@ def market_beta(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(mean, "session_idx").select("ticker", "session", r6(P.beta("y", "x", 52, 26)).alias("beta"))
 
 
-@query("technicals")
-def technicals(spark: SparkSession, sf: str) -> DataFrame:
-    return P.technicals(dense(spark, sf))
-
-
 @query("filings_as_of", f"""WITH {FILINGS} SELECT ticker, period, filed_at, version, round(revenue, 6) AS revenue FROM filings WHERE filed_at <= DATE '{AS_OF}'
   QUALIFY row_number() OVER (PARTITION BY ticker, period ORDER BY filed_at DESC, version DESC) = 1""")
 def filings_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return pit.versions_as_of(filings(spark, sf), ["ticker", "period"], "filed_at", AS_OF, [F.col("version").desc()]).withColumn("revenue", r6("revenue"))
 
 
-def trailing_sums(df: DataFrame, n: int = 4, skip: int = 0) -> DataFrame:
-    """Sum of the ``n`` latest periods after ``skip``; null unless all are there."""
-    nth = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("period").desc()))
-    rows = df.withColumn("nth", nth).filter((F.col("nth") > skip) & (F.col("nth") <= skip + n))
-    return rows.groupBy("ticker").agg(F.when(F.count("revenue") == n, F.sum("revenue")).alias("ttm"), F.max("period").alias("last_period"))
-
-
 @query("ttm_growth", f"""WITH {FILINGS}, v AS (SELECT ticker, period, revenue FROM filings WHERE filed_at <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY ticker, period ORDER BY filed_at DESC, version DESC) = 1),
   n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY period DESC) AS nth FROM v),
   t AS (SELECT ticker, CASE WHEN count(revenue) FILTER (nth <= 4) = 4 THEN sum(revenue) FILTER (nth <= 4) END AS ttm, max(period) AS last_period,
