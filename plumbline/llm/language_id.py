@@ -28,9 +28,20 @@ CELLS = 1 << 21
 #: Words whose scores a Python worker keeps; it starts anew beyond that. Words scored at once.
 CACHE, BLOCK = 600_000, 20_000
 
-# Letters: what is a word character to ``re`` and no digit, without the other numbers (superscripts, fractions, numerals).
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]{{1,24}}")
+_WORD = re.compile(r"[^\W\d_]{1,24}")
+# Numbers that ``re`` takes for letters (superscripts, fractions, Roman numerals) become blanks, one for one.
+_NUMBERS = {i: " " for i in range(sys.maxunicode + 1) if (c := chr(i)).isnumeric() and not c.isalpha() and not c.isdecimal()}
+
+
+def find_words(text: str) -> tuple[str, list[str]]:
+    """Runs of letters, of 24 at most, and the text in which they stand at their places."""
+    words = _WORD.findall(text)
+    if not words or "".join(words).isalpha():
+        return text, words
+    text = text.translate(_NUMBERS)
+    return text, _WORD.findall(text)
+
+
 #: First code points of scripts, in order; letters before the first count as Latin.
 _SCRIPTS = ((0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Indic"), (0xE00, "Thai"), (0xE80, "other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "other"), (0x3040, "Kana"), (0x3130, "Hangul"), (0x3400, "Han"), (0xA000, "other"), (0xAC00, "Hangul"), (0xF900, "Han"), (0xFB00, "other"))
 _STARTS = [x for x, _ in _SCRIPTS]
@@ -79,7 +90,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         found: Counter = Counter()
         for lang, text in zip(x["lang"], x["body"]):
-            for word, n in Counter(_WORD.findall(text.lower())).items():
+            for word, n in Counter(find_words(text.lower())[1]).items():
                 found[lang, "word", word] += n
                 found[lang, "script", script(word)] += n * len(word)
                 for t in _trigrams(word):
@@ -146,46 +157,61 @@ class _Index(dict):
         self.update((w, self.lower[key]) for w, key in new.items())
 
 
-def best_paths(scores: np.ndarray, lengths: list[int], switch: float = SWITCH) -> list[np.ndarray]:
-    """The best label of each word of each document: ``scores`` has one row a word, documents end to end.
+def one_label(scores: np.ndarray, switch: float) -> int | None:
+    """The label that a document's best path keeps from end to end, if that is certain without a search: it has the
+    largest sum of all, and no run of words gains more than half a change costs by another label, whereas a path of m runs of
+    other labels, m above 1, has m - 1 changes at least."""
+    k = int(scores.sum(axis=0, dtype=float).argmax())
+    gain = np.cumsum(scores - scores[:, k : k + 1], axis=0, dtype=float)
+    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
+    low[1:], low[0] = low[:-1].copy(), 0
+    return k if (gain - low).max() <= switch / 2 else None
 
-    One Viterbi pass over all documents at once, longest first, so that those still running stand in front. A step into a
-    label either stays in it or comes from the best of all: one label a step and one bit a label are kept.
-    """
-    n_lang, lengths = scores.shape[1], np.asarray(lengths, int)
+
+def best_paths(scores: np.ndarray, lengths: list[int], switch: float = SWITCH) -> list[np.ndarray]:
+    """The best label of each word of each document: ``scores`` has one row a word, documents end to end."""
+    ends = np.cumsum(lengths)
+    sure = [one_label(scores[e - n : e], switch) if n else None for e, n in zip(ends, lengths)]
+    rest = [i for i, (k, n) in enumerate(zip(sure, lengths)) if k is None and n]
+    searched = _viterbi([scores[ends[i] - lengths[i] : ends[i]] for i in rest], switch)
+    out = [np.full(n, k or 0, "u2") for k, n in zip(sure, lengths)]
+    for i, path in zip(rest, searched):
+        out[i] = path
+    return out
+
+
+def _viterbi(docs: list[np.ndarray], switch: float) -> list[np.ndarray]:
+    """One pass over all documents at once, longest first, so that those still running stand in front. A step into a label
+    either stays in it or comes from the best of all: one label a step and one bit a label are kept."""
+    if not docs:
+        return []
+    scores, lengths = np.concatenate(docs), np.array([len(d) for d in docs])
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     start, running = starts[order], lengths[order]
-    longest = int(running[0]) if len(running) else 0
+    longest = int(running[0])
     alive = np.searchsorted(-running, -np.arange(longest), side="left")  # documents of more than t words
-    stayed = np.zeros(scores.shape, bool)
-    came = np.zeros(len(scores), "u2")
-    last = np.zeros(len(lengths), int)
-    here = np.zeros((len(lengths), n_lang), "f4")
-    for t in range(longest):
+    stayed, came = np.zeros(scores.shape, bool), np.zeros(len(scores), "u2")
+    last, here = np.zeros(len(lengths), int), scores[start].copy()
+    for t in range(1, longest):
         n = alive[t]
         at = start[:n] + t
-        if t:
-            if n < alive[t - 1]:
-                last[n : alive[t - 1]] = here[n : alive[t - 1]].argmax(axis=1)
-            h = here[:n]
-            top = h.argmax(axis=1)
-            best = h[np.arange(n), top][:, None] - switch
-            came[at], stayed[at] = top, h >= best
-            here[:n] = np.maximum(h, best) + scores[at]
-        else:
-            here[:n] = scores[at]
-    if longest:
-        last[: alive[-1]] = here[: alive[-1]].argmax(axis=1)
-    out = np.zeros(len(scores), "u2")
-    now = last
+        if n < alive[t - 1]:
+            last[n : alive[t - 1]] = here[n : alive[t - 1]].argmax(axis=1)
+        h = here[:n]
+        top = h.argmax(axis=1)
+        best = h[np.arange(n), top][:, None] - switch
+        came[at], stayed[at] = top, h >= best
+        here[:n] = np.maximum(h, best) + scores[at]
+    last[: alive[-1]] = here[: alive[-1]].argmax(axis=1)
+    out, now = np.zeros(len(scores), "u2"), last
     for t in range(longest - 1, -1, -1):
         n = alive[t]
         at = start[:n] + t
         out[at] = now[:n]
         if t:
             now[:n] = np.where(stayed[at, now[:n]], now[:n], came[at])
-    return np.split(out, starts[1:]) if len(lengths) else []
+    return np.split(out, starts[1:])
 
 
 def _labelled(model: LanguageModel, index: _Index, switch: float, ids: list, texts: list[str], words: list[list[str]]) -> pd.DataFrame:
@@ -214,7 +240,7 @@ def _identify(model: LanguageModel, switch: float) -> Callable:
         ids, texts, words, cells = [], [], [], 0
         for x in batches:
             for i, text in zip(x["id"], x["body"]):
-                found = _WORD.findall(text) if model.languages else []
+                text, found = find_words(text) if model.languages else (text, [])
                 ids.append(i)
                 texts.append(text)
                 words.append(found)
@@ -232,7 +258,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, switch: float = SW
     """One row per row of ``docs``: id, lang_pred, score, spans (array of start, end, lang in code points).
 
     A word's script narrows the languages; its score is the log posterior by word and letter trigrams; Viterbi with a
-    penalty for every change labels the words, and runs of one label are spans that cover the text. The language with
+    penalty for every change labels the words (where sums alone show that it never changes, without a search), and runs of one label are spans that cover the text. The language with
     most letters is the document's, its part of the letters the score. A text that is null, empty or has no letter gives
     ``und``, score 0 and no spans, and so does any text if nothing was learned.
     """
