@@ -24,8 +24,36 @@ def effective_date(timestamps: DataFrame, ts_col: str, market: str, calendar: Da
     zone, cutoff = CUTOFFS[market]
     local = F.from_utc_timestamp(ts_col, zone)
     earliest = F.when(F.hour(local) >= cutoff, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
-    days = calendar.agg(F.array_sort(F.collect_set("session")).alias("_days"))
-    return timestamps.join(F.broadcast(days)).withColumn("available_from", F.get(F.filter("_days", lambda d: d >= earliest), F.lit(0))).drop("_days")
+    before = F.coalesce(F.date_add(F.lag("session").over(Window.orderBy("session")), 1), F.date_sub("session", 366))
+    days = calendar.select("session", before.alias("_from"))
+    days = days.select(F.col("session").alias("available_from"), F.explode(F.sequence("_from", "session")).alias("_day"))  # each day of the calendar, and a year before it
+    return timestamps.withColumn("_day", earliest).join(F.broadcast(days), "_day", "left").drop("_day")
+
+
+def next_session(days: DataFrame, day_col: str, calendar: DataFrame, n: int = 1) -> DataFrame:
+    """Adds other: the n-th session after the day (before it if negative), whether or not the day is a session."""
+    order = Window.orderBy("session")
+    until = F.coalesce(F.date_sub(F.lead("session").over(order), 1), F.date_add("session", 366))
+    if n > 0:
+        spans = calendar.select("session", until.alias("_u"), F.lead("session", n).over(order).alias("other"))
+        spans = spans.select(F.explode(F.sequence("session", "_u")).alias(day_col), "other")
+    else:
+        start = F.coalesce(F.date_add(F.lag("session").over(order), 1), F.date_sub("session", 366))
+        spans = calendar.select("session", start.alias("_s"), F.lag("session", -n).over(order).alias("other")).select(F.explode(F.sequence("_s", "session")).alias(day_col), "other")
+    return days.join(F.broadcast(spans), day_col, "left")
+
+
+def sessions_between(calendar: DataFrame, start: Column, end: Column) -> DataFrame:
+    """n: sessions from start to before end; and the list with both ends."""
+    s = F.col("session")
+    return calendar.agg(F.count_if((s >= start) & (s < end)).alias("n"), F.array_sort(F.collect_list(F.when((s >= start) & (s <= end), s))).alias("sessions"))
+
+
+def session_as_of(now: Column, market: str) -> Column:
+    """The local date, or the day before until the day's data are there (18:30 in Tokyo, 16:00 in New York)."""
+    zone, minutes = {"JP": ("Asia/Tokyo", 18 * 60 + 30), "US": ("America/New_York", 16 * 60)}[market]
+    local = F.from_utc_timestamp(now, zone)
+    return F.when(F.hour(local) * 60 + F.minute(local) >= minutes, F.to_date(local)).otherwise(F.date_sub(F.to_date(local), 1))
 
 
 def rebalance_days(calendar: DataFrame, every: str = "week") -> DataFrame:

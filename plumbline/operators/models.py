@@ -41,39 +41,61 @@ def volatility_regime(share_below: Column) -> Column:
     return F.when(share_below >= 0.8, "high").when(share_below >= 0.6, "elevated").when(share_below.isNotNull(), "normal")
 
 
-# GARCH(1,1): fixed grid of the two coefficients; the constant follows from the sample variance.
+# GARCH(1,1): fixed values of the grid of the two coefficients, the history, and what is refused; the constant follows from
+# the sample variance.
 ALPHAS, BETAS = np.linspace(0.02, 0.30, 15), np.linspace(0.65, 0.98, 18)
-LEAST, LAST, PERSISTENCE = 500, 1000, 0.997
+LEAST, LAST, INTERIOR, PERSISTENCE, MARGIN = 500, 1000, 0.997, 0.999, 0.5
+FIT = "alpha double, beta double, omega double, quality string, vol_1d double, vol_20d double, ret_20d_lo double, ret_20d_hi double"
+
+
+def _path(omega: float, alpha: float, beta: float, shock: float, variance: float, horizon: int) -> np.ndarray:
+    out = np.empty(horizon)
+    out[0] = omega + alpha * shock + beta * variance
+    for h in range(1, horizon):
+        out[h] = omega + (alpha + beta) * out[h - 1]
+    return out
+
+
+def _outlook(omega: float, alpha: float, beta: float, shock: float, variance: float, mean: float, horizon: int = 20) -> dict:
+    """Annualised volatilities of the next day and of the mean variance of ``horizon`` days, and the interval of the return over
+    them; returns are in percent here."""
+    path = _path(omega, alpha, beta, shock, variance, horizon)
+    day, month = math.sqrt(max(path[0], 1e-12)) / 100, math.sqrt(max(float(path.mean()), 1e-12)) / 100
+    half = NormalDist().inv_cdf(0.975) * month * math.sqrt(horizon)
+    return {"vol_1d": day * 252**0.5, "vol_20d": month * 252**0.5, "ret_20d_lo": mean / 100 * horizon - half, "ret_20d_hi": mean / 100 * horizon + half}
 
 
 def garch_fit(returns: np.ndarray) -> dict:
-    """Grid maximum likelihood with variance targeting on the last 1000 of at least 500 returns, times 100. All grid points
-    run through the series at once; a fit on the upper edge of persistence falls back to the sample variance."""
+    """Grid maximum likelihood with variance targeting on the last 1000 of at least 500 returns, in percent. All grid points run
+    through the series at once. No fit where persistence at the edge does as well, within half a unit of likelihood, as any
+    inside: then, and for short series, the volatilities are those of the sample, and ``quality`` says so."""
     r = np.asarray(returns, float)
     r = r[np.isfinite(r)]
-    fallback = {"alpha": None, "beta": None, "omega": None, "quality": "too_short" if len(r) < LEAST else "fallback"}
+    blank = dict.fromkeys(("alpha", "beta", "omega", "vol_1d", "vol_20d", "ret_20d_lo", "ret_20d_hi"))
     if len(r) < 2:
-        return fallback | {"vol_1d": None, "vol_20d": None}
-    plain = float(r.std(ddof=1))
-    fallback |= {"vol_1d": plain, "vol_20d": plain * math.sqrt(20)}
+        return blank | {"quality": "too_short"}
+    plain = float(r[-60:].std(ddof=1)) * 252**0.5
+    fallback = blank | {"vol_1d": plain, "vol_20d": plain, "quality": "too_short" if len(r) < LEAST else "fallback"}
     if len(r) < LEAST:
         return fallback
-    x = 100 * (r[-LAST:] - r[-LAST:].mean())
-    target = float((x * x).mean())
+    x = 100 * r[-LAST:]
+    mean = float(x.mean())
+    square = (x - mean) ** 2
+    target = float(square.mean())
     a, b = (g.ravel() for g in np.meshgrid(ALPHAS, BETAS, indexing="ij"))
     ok = a + b < PERSISTENCE
     a, b = a[ok], b[ok]
     omega = target * (1 - a - b)
-    h, ll = np.full(len(a), target), np.zeros(len(a))
-    for v in x * x:
-        ll -= 0.5 * (np.log(h) + v / h)
-        h = omega + a * v + b * h
-    if target <= 0 or not np.isfinite(ll).any():
+    h, before, ll = np.full(len(a), target), np.full(len(a), target), np.zeros(len(a))
+    for v in square:
+        ll -= 0.5 * (np.log(np.maximum(h, 1e-12)) + v / np.maximum(h, 1e-12))
+        before, h = h, omega + a * v + b * h
+    inside = a + b < INTERIOR
+    if target <= 0 or not np.isfinite(ll[inside]).any() or ll[~inside].max(initial=-np.inf) >= np.nanmax(ll[inside]) - MARGIN:
         return fallback
-    k = int(np.nanargmax(ll))
-    persistence = a[k] + b[k]
-    path = target + (h[k] - target) * persistence ** np.arange(20)
-    return {"alpha": float(a[k]), "beta": float(b[k]), "omega": float(omega[k]), "quality": "ok", "vol_1d": math.sqrt(h[k]) / 100, "vol_20d": math.sqrt(path.sum()) / 100}
+    k = int(np.nanargmax(np.where(inside, ll, -np.inf)))
+    fit = {"alpha": float(a[k]), "beta": float(b[k]), "omega": float(omega[k]), "quality": "ok"}
+    return fit | _outlook(fit["omega"], fit["alpha"], fit["beta"], float(square[-1]), float(before[k]), mean)
 
 
 def _garch(rows: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +108,15 @@ def garch(returns: DataFrame, key: str, time: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col(time).desc())
     rows = returns.filter(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= LAST)
     rows = rows.select(F.col(key).cast("string").alias("ticker"), F.col(time).alias("t"), F.col(value).cast("double").alias("r"))
-    return rows.groupBy("ticker").applyInPandas(_garch, "ticker string, alpha double, beta double, omega double, quality string, vol_1d double, vol_20d double")
+    return rows.groupBy("ticker").applyInPandas(_garch, f"ticker string, {FIT}")
+
+
+def garch_variance(returns: DataFrame, fits: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """key and variance (of returns in percent) of the next day by parameters fitted before: a fold over the returns, in the JVM."""
+    rows = returns.filter(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), (F.col(value).cast("double") * 100).alias("r")))).alias("_r"), F.var_samp(F.col(value) * 100).alias("_v"))
+    x = rows.join(fits.select(key, "alpha", "beta", "omega"), key)
+    last = F.aggregate("_r", F.col("_v"), lambda v, r: F.col("omega") + F.col("alpha") * r["r"] * r["r"] + F.col("beta") * v)
+    return x.select(key, last.alias("variance"))
 
 
 def diebold_mariano(a: Sequence[float], b: Sequence[float], horizon: int = 1, hac: bool = True) -> dict:
@@ -135,16 +165,85 @@ def predicted(coefficients: dict[str, float]) -> Column:
     return out
 
 
-def proposed_weights(coefficients: dict[str, float], current: dict[str, float]) -> dict[str, float]:
-    """Non-negative, normalised, halfway to the new ones; a fifth of the way where one would move by over 0.10."""
+def with_interval(coefficients: dict[str, float], residuals: tuple[float, float], name: str = "pred") -> list[Column]:
+    """The prediction and its ends by residual quantiles, which never lie on its wrong side."""
+    mean = predicted(coefficients)
+    low, high = (F.lit(r) + mean for r in residuals)
+    return [mean.alias(name), F.least(low, mean).alias(f"{name}_lo"), F.greatest(high, mean).alias(f"{name}_hi")]
+
+
+def fit_ranker(df: DataFrame, xs: Sequence[str], y: str, n_trials: int, least: int = 50) -> tuple[dict[str, float], tuple[float, float]]:
+    """Least squares on complete cases and the 20 % and 80 % quantiles of the residuals; at least 50 cases and 1 to 50 trials."""
+    if not 1 <= n_trials <= 50:
+        raise ValueError("n_trials lies between 1 and 50")
+    rows = df.dropna(subset=[*xs, y])
+    if rows.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} complete cases")
+    beta = least_squares(rows, xs, y)
+    low, high = rows.agg(F.percentile(F.col(y) - predicted(beta), F.array(F.lit(0.2), F.lit(0.8)))).first()[0]
+    return beta, (low, high)
+
+
+def save_ranker(spark, path: str, beta: dict[str, float], residuals: tuple[float, float]) -> None:
+    rows = [(k, v) for k, v in beta.items()] + [("residual_low", residuals[0]), ("residual_high", residuals[1])]
+    spark.createDataFrame(rows, "name string, value double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_ranker(spark, path: str) -> tuple[dict[str, float], tuple[float, float]]:
+    found = {r["name"]: r["value"] for r in spark.read.parquet(path).collect()}  # one row a coefficient
+    residuals = found.pop("residual_low"), found.pop("residual_high")
+    return found, residuals
+
+
+def walk_forward_ic(rows: DataFrame, splits: DataFrame, xs: Sequence[str], y: str, least: int = 3) -> DataFrame:
+    """split_id, session, n, ic: per split, least squares on its training sessions, then the rank correlation of predictions and
+    labels of each test session. ``splits``: split_id, role, session.
+
+    All splits are fitted at once: normal equations are sums by split; one row a split reaches the driver.
+    """
+    from plumbline.operators.scoring import rank_correlation
+
+    x = rows.dropna(subset=[*xs, y]).join(F.broadcast(splits), "session")
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in xs], F.col(y).cast("double")]
+    k = len(cols)
+    sums = x.filter("role = 'train'").groupBy("split_id").agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).collect()
+    score = F.lit(None).cast("double")
+    for r in sums:
+        m = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                m[i, j] = m[j, i] = r[f"s{i}_{j}"] or 0.0
+        beta = np.linalg.solve(m[:-1, :-1] + 1e-6 * np.eye(k - 1), m[:-1, -1])
+        score = F.when(F.col("split_id") == r["split_id"], predicted(dict(zip(("intercept", *xs), map(float, beta))))).otherwise(score)
+    tests = x.filter("role = 'test'").withColumn("score", score)
+    return rank_correlation(tests, "score", y, ["split_id", "session"], least)
+
+
+def drifted(df: DataFrame, columns: Sequence[str], first: str, least: int = 20, p: float = 0.01) -> DataFrame:
+    """One row a column: distance, sizes and whether the two samples differ; three such columns ask for a new fit."""
+    out = None
+    for c in columns:
+        one = ks_distance(df, c, first).withColumn("feature", F.lit(c))
+        out = one if out is None else out.unionByName(one)
+    n, m = F.col("n_first"), F.col("n_second")
+    e = F.sqrt(n * m / (n + m))
+    x = (e + 0.12 + 0.11 / e) * F.col("ks")
+    prob = sum((F.exp(-2 * k * k * x * x) * (2 * (-1) ** (k - 1)) for k in range(2, 30)), F.exp(-2 * x * x) * 2)
+    value = F.when(x > 0.2, F.least(F.greatest(prob, F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
+    return out.select("feature", "ks", "n_first", "n_second", value.alias("p_value"), F.coalesce((n >= least) & (m >= least) & (value < p), F.lit(False)).alias("drifted"))
+
+
+def proposed_weights(coefficients: dict[str, float], current: dict[str, float], n: int, least: int = 100) -> dict[str, float] | None:
+    """Non-negative and normalised, halfway to the new ones; a column that would move by over 0.10 only a fifth of the way; then
+    normalised again. None with fewer than 100 cases or without a positive coefficient."""
     pos = {k: max(0.0, coefficients.get(k, 0.0)) for k in current}
     total = sum(pos.values())
-    if total <= 0:
-        return dict(current)
-    new = {k: v / total for k, v in pos.items()}
-    part = 0.5 if max(abs(0.5 * (new[k] - current[k])) for k in current) <= 0.10 else 0.2
-    out = {k: (1 - part) * current[k] + part * new[k] for k in current}
-    s = sum(out.values())
+    if n < least or total <= 0:
+        return None
+    out = {}
+    for k, old in current.items():
+        new = pos[k] / total
+        half = 0.5 * old + 0.5 * new
+        out[k] = half if abs(half - old) <= 0.10 else 0.8 * old + 0.2 * new
+    s = sum(out.values()) or 1.0
     return {k: v / s for k, v in out.items()}
-
-

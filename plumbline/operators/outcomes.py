@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.expressions import ratio
 
-#: Sign of an action's bet.
+# Sign of an action's bet; others, and none, count as 1.
 SIGNS = {"accumulate": 1, "watch": 1, "reduce": -1, "avoid": -1}
 
 
@@ -23,8 +23,10 @@ def forward_returns(panel: DataFrame, horizon: int, price: str = "open") -> Data
 def outcomes(recs: DataFrame, panel: DataFrame, bench: DataFrame, horizon: int) -> DataFrame:
     """Return, benchmark return (0 where there is none), excess, is_hit, and the best and worst excursions of the window.
 
-    ``recs``: rec_id, ticker, session, action; ``panel``: dense, with open, high and low; ``bench``: session, session_idx, level.
+    ``recs``: rec_id, ticker, session, action, and verdict if there is one: only approved ones count; ``panel``: dense, with open, high and low; ``bench``: session, session_idx, level.
     """
+    if "verdict" in recs.columns:
+        recs = recs.filter("verdict = 'approved'")
     w = Window.partitionBy("ticker").orderBy("session_idx")
     hold = w.rowsBetween(1, 1 + horizon)
     p = forward_returns(panel, horizon).select(
@@ -32,7 +34,7 @@ def outcomes(recs: DataFrame, panel: DataFrame, bench: DataFrame, horizon: int)
     )
     b = Window.orderBy("session_idx")
     level = bench.select("session", (ratio(F.lead("level", 1 + horizon).over(b), F.lead("level", 1).over(b)) - 1).alias("bench"))
-    sign = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv]), F.col("action")), F.lit(0))
+    sign = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv]), F.col("action")), F.lit(1))
     x = recs.join(p, ["ticker", "session"]).join(F.broadcast(level), "session", "left").filter("ret IS NOT NULL")
     x = x.withColumn("excess", F.col("ret") - F.coalesce("bench", F.lit(0.0))).withColumn("sign", sign)
     up, down = ratio(F.col("top"), F.col("entry")) - 1, ratio(F.col("bottom"), F.col("entry")) - 1
@@ -66,13 +68,3 @@ def similar_prior(past: DataFrame, codes: Sequence[str], before: Column, least_o
     )
     pick = lambda c: F.when(F.col("n_samples") >= least, F.col(f"{c}_near")).otherwise(F.col(f"{c}_all"))
     return s.select("n_samples", pick("is_hit").alias("hit_rate"), pick("excess").alias("mean_excess"))
-
-
-def action(score: Column, percentile: Column, forecast: Column, held: Column) -> Column:
-    return (
-        F.when(percentile.isNull(), F.lit(None).cast("string"))
-        .when(held & (percentile < 0.3), "reduce")
-        .when((percentile >= 0.85) & (forecast > 0), "accumulate")
-        .when(percentile >= 0.6, "watch")
-        .when(percentile < 0.15, "avoid")
-    )

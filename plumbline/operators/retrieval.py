@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions.expressions import cosine
 from plumbline.session import ship
 
+# The constant of rank fusion, and what counts as a term.
 RRF = 60
 #: Cosines that differ beyond so many places only by the order of summation are ties.
 DIGITS = 9
@@ -171,6 +172,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
                 columns=["id", "chunk_no", "section", "text", "n_tokens"],
             )
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(docs.sparkSession.conf.get(key)) > 256:  # whole texts
+        docs.sparkSession.conf.set(key, "256")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInPandas(run, f"id {kind}, chunk_no int, section string, text string, n_tokens int")
     return rows.select(F.col("id").alias(id_col), "chunk_no", F.concat_ws("#", "id", "chunk_no").alias("chunk_id"), "section", "text", "n_tokens")
 
@@ -180,29 +184,53 @@ def _flat(text: str | None) -> str:
 
 
 def citation_verdict(quote: str | None, source: str | None, least: float = 0.9) -> str:
-    """no_quote, no_source, exact, similar (a window of the source resembles the quote) or not_found."""
+    """VERIFIED, VERIFIED_FUZZY (a window of the source resembles the quote), PAGE_NOT_FOUND (no text) or QUOTE_NOT_FOUND. An
+    empty quote is in any text."""
+    if source is None:
+        return "PAGE_NOT_FOUND"
     q, s = _flat(quote), _flat(source)
-    if not q:
-        return "no_quote"
-    if not s:
-        return "no_source"
     if q in s:
-        return "exact"
+        return "VERIFIED"
     width = max(len(q), 8)
     m = difflib.SequenceMatcher(autojunk=False)
     m.set_seq2(q)
     for i in range(0, max(1, len(s) - width + 1), max(1, width // 4)):
         m.set_seq1(s[i : i + width])
         if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
-            return "similar"
-    return "not_found"
+            return "VERIFIED_FUZZY"
+    return "QUOTE_NOT_FOUND"
 
 
 def _verdicts(quotes: pd.Series, sources: pd.Series) -> pd.Series:
     return pd.Series([citation_verdict(q, s) for q, s in zip(quotes, sources)], dtype=object)
 
 
-def verify_citations(claims: DataFrame, quote_col: str, source_col: str) -> DataFrame:
+def verify_citations(claims: DataFrame, docs: DataFrame, quote_col: str = "quote", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds verdict: DOC_NOT_FOUND, PAGE_NOT_FOUND, VERIFIED, VERIFIED_FUZZY or QUOTE_NOT_FOUND."""
     ship(claims.sparkSession)
     verdict = F.pandas_udf(_verdicts, "string")
-    return claims.withColumn("verdict", verdict(quote_col, source_col))
+    known = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.lit(True).alias("_known"))
+    x = claims.join(known, id_col, "left")
+    return x.withColumn("verdict", F.when(F.col("_known").isNull(), "DOC_NOT_FOUND").otherwise(verdict(quote_col, "_text"))).drop("_text", "_known")
+
+
+def known_chunks(hits: DataFrame, chunks: DataFrame, as_of: str | None = None, filed_after: str | None = None, k: int | None = None) -> DataFrame:
+    """Fused hits whose chunk was filed at ``as_of`` or before and not before ``filed_after``; of them the first ``k``."""
+    x = hits.join(chunks.select("chunk_id", "filed_at"), "chunk_id")
+    if as_of is not None:
+        x = x.filter(F.to_date("filed_at") <= F.lit(as_of).cast("date"))
+    if filed_after is not None:
+        x = x.filter(F.to_date("filed_at") >= F.lit(filed_after).cast("date"))
+    x = x.orderBy(F.col("score").desc(), "chunk_id")
+    return x if k is None else x.limit(k)
+
+
+def indexed(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The index without the old chunks of the documents of ``new``, and the new chunks that have a vector."""
+    docs = new.select("doc_id").distinct()
+    return stored.join(docs, "doc_id", "left_anti").unionByName(new.filter("embedding IS NOT NULL").select(*stored.columns))
+
+
+def chunks_of(stored: DataFrame, doc_id, section: str | None = None) -> DataFrame:
+    rows = stored.filter(F.col("doc_id") == doc_id)
+    return (rows if section is None else rows.filter(F.col("section") == section)).orderBy("chunk_no")

@@ -150,10 +150,11 @@ def ttm_growth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("guidance_revisions", f"""WITH {FILINGS}, l AS (SELECT *, lag(revenue) OVER (PARTITION BY ticker ORDER BY filed_at, version) AS prev FROM filings)
-  SELECT ticker, filed_at, version, sign(revenue - prev)::INT AS direction, round(revenue / nullif(abs(prev), 0) - prev / nullif(abs(prev), 0), 6) AS magnitude FROM l WHERE prev IS NOT NULL""")
+  SELECT ticker, filed_at, version, (CASE WHEN prev > 0 AND revenue / prev - 1 > 0.005 THEN 1 WHEN prev > 0 AND revenue / prev - 1 < -0.005 THEN -1 ELSE 0 END)::INT AS direction, round(revenue / nullif(abs(prev), 0) - prev / nullif(abs(prev), 0), 6) AS magnitude FROM l WHERE prev IS NOT NULL""")
 def guidance_revisions(spark: SparkSession, sf: str) -> DataFrame:
     f = filings(spark, sf).withColumn("prev", F.lag("revenue").over(Window.partitionBy("ticker").orderBy("filed_at", "version"))).filter("prev IS NOT NULL")
-    return f.select("ticker", "filed_at", "version", F.signum(F.col("revenue") - F.col("prev")).cast("int").alias("direction"), r6(ratio(F.col("revenue"), F.abs("prev")) - ratio(F.col("prev"), F.abs("prev"))).alias("magnitude"))
+    move = F.when(F.col("prev") > 0, F.col("revenue") / F.col("prev") - 1)
+    return f.select("ticker", "filed_at", "version", F.when(move > 0.005, 1).when(move < -0.005, -1).otherwise(0).alias("direction"), r6(ratio(F.col("revenue"), F.abs("prev")) - ratio(F.col("prev"), F.abs("prev"))).alias("magnitude"))
 
 
 @query("latest_vintages", f"""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS observation_date, o_orderpriority AS series_id, o_orderdate::DATE AS vintage_date, o_orderkey, o_totalprice AS v FROM orders WHERE o_orderdate::DATE <= DATE '{AS_OF}'),
@@ -224,31 +225,81 @@ def quintile_returns(spark: SparkSession, sf: str) -> DataFrame:
     return S.quantile_bins(l, "ret_4w", ["session"]).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("label")).alias("mean_return"))
 
 
-def _backtest(spark: SparkSession, sf: str, cap: float = 0.3) -> DataFrame:
+def _positions(spark: SparkSession, sf: str, cap: float = 0.3) -> DataFrame:
     panel = features(dense(spark, sf))
     signals = panel.filter("ret_4w IS NOT NULL").select("session", "ticker", F.col("ret_4w").alias("score"))
     p = prices(spark, sf)
     target = B.targets(signals, B.periods(signals, C.sessions(p, "session"), "month"), 10)
-    held = B.turnover_capped(target, cap).withColumn("ticker", F.col("ticker").cast("long"))
     days = target.select("as_of", "entry", "exit").distinct()
-    return B.equity(B.position_returns(held.join(days, "as_of"), p), 15.0)
+    return B.position_returns(B.turnover_capped(target, cap).join(days, "as_of"), p)
 
 
-@query("backtest_curve")
+_POS = f"""WITH {FEATURES}, sig AS (SELECT session, ticker, ret_4w AS score FROM features WHERE ret_4w IS NOT NULL), d AS (SELECT min(session) AS as_of FROM sig GROUP BY date_trunc('month', session)),
+  nx AS (SELECT session, lead(session) OVER (ORDER BY session) AS entry, max(session) OVER () AS final FROM cal), e AS (SELECT as_of, entry, final FROM d JOIN nx ON as_of = session WHERE entry IS NOT NULL),
+  per AS (SELECT as_of, entry, coalesce(lead(entry) OVER (ORDER BY as_of), final) AS exit FROM e QUALIFY exit > entry),
+  tgt AS (SELECT as_of, entry, exit, ticker FROM sig JOIN per ON session = as_of QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY score DESC, ticker) <= 10),
+  pos AS (SELECT t.*, 1.0 / count(*) OVER (PARTITION BY as_of) AS target, CASE WHEN a.open > 0 THEN b.open / a.open - 1 END AS ret FROM tgt t LEFT JOIN prices a ON a.ticker = t.ticker AND a.session = entry LEFT JOIN prices b ON b.ticker = t.ticker AND b.session = exit)"""
+
+
+#: Cost of trading everything, in basis points: so high that curves have drawdowns.
+COST = 1500.0
+# The fold over rebalances, in SQL: weights as lists of names and numbers, carried from day to day.
+CURVE = _POS.replace("WITH ", "WITH RECURSIVE ", 1) + """, dn AS (SELECT as_of, row_number() OVER (ORDER BY as_of) AS i FROM (SELECT DISTINCT as_of FROM tgt)), tg AS (SELECT i, ticker, target::DOUBLE AS target FROM pos JOIN dn USING (as_of)),
+  wants AS (SELECT i, map_from_entries(list({'k': ticker, 'v': target})) AS want FROM tg GROUP BY i),
+  fold AS (SELECT 0::BIGINT AS i, MAP {}::MAP(BIGINT, DOUBLE) AS held, 0.0::DOUBLE AS turnover UNION ALL
+    SELECT w.i, map_from_entries(list_filter(list_transform(list_distinct(list_concat(map_keys(held), map_keys(want))), lambda t: {'k': t, 'v': coalesce(held[t], 0) + least(1, coalesce(0.3::DOUBLE / nullif(moved, 0), 1)) * (coalesce(want[t], 0) - coalesce(held[t], 0))}), lambda e: e.v > 1e-12)), moved * least(1, coalesce(0.3::DOUBLE / nullif(moved, 0), 1))
+    FROM (SELECT w.i, f.held, w.want, list_sum(list_transform(list_distinct(list_concat(map_keys(f.held), map_keys(w.want))), lambda t: abs(coalesce(w.want[t], 0) - coalesce(f.held[t], 0)))) / 2 AS moved FROM fold f JOIN wants w ON w.i = f.i + 1) w),
+  hw AS (SELECT i, turnover, unnest(map_keys(held)) AS ticker, unnest(map_values(held)) AS weight FROM fold WHERE i > 0),
+  held AS (SELECT dn.as_of, entry, exit, ticker, weight, turnover FROM hw JOIN dn USING (i) JOIN per ON per.as_of = dn.as_of),
+  hp AS (SELECT h.*, a.open AS entry_price, b.open AS exit_price, CASE WHEN a.open > 0 THEN b.open / a.open - 1 END AS ret FROM held h LEFT JOIN prices a ON a.ticker = h.ticker AND a.session = entry LEFT JOIN prices b ON b.ticker = h.ticker AND b.session = exit),
+  dr AS (SELECT as_of, exit, sum(weight * coalesce(ret, 0)) AS gross, max(turnover) AS turnover, max(turnover) * 1500.0::DOUBLE / 1e4 AS cost FROM hp GROUP BY 1, 2), nt AS (SELECT *, gross - cost AS net FROM dr),
+  curve AS (SELECT *, exp(sum(ln(1 + net)) OVER w) AS equity, exp(sum(ln(1 + gross)) OVER w) AS gross_equity FROM nt WINDOW w AS (ORDER BY as_of ROWS UNBOUNDED PRECEDING)),
+  dd AS (SELECT *, equity / max(equity) OVER (ORDER BY as_of ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM curve)"""
+
+
+@query("backtest_curve", CURVE + " SELECT as_of, round(gross, 6) AS gross, round(turnover, 6) AS turnover, round(cost, 8) AS cost, round(net, 6) AS net, round(equity, 5) AS equity, round(gross_equity, 5) AS gross_equity, round(drawdown, 5) AS drawdown FROM dd")
 def backtest_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return _backtest(spark, sf)
+    c = B.equity(_positions(spark, sf), COST)
+    return c.select("as_of", *[F.round(x, n).alias(x) for x, n in (("gross", 6), ("turnover", 6), ("cost", 8), ("net", 6), ("equity", 5), ("gross_equity", 5), ("drawdown", 5))])
+
+
+@query("backtest_trades", CURVE + " SELECT as_of, entry, exit, ticker, round(weight, 6) AS weight, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(ret, 6) AS ret, round(weight * ret, 6) AS contribution FROM hp WHERE ret IS NOT NULL")
+def backtest_trades(spark: SparkSession, sf: str) -> DataFrame:
+    t = B.trade_rows(_positions(spark, sf))
+    return t.select("as_of", "entry", "exit", "ticker", *[r6(c).alias(c) for c in ("weight", "entry_price", "exit_price", "ret", "contribution")])
 
 
-@query("backtest_metrics")
+_STEADY = "CASE WHEN {1} = 0 THEN 0 ELSE {0} / {1} * sqrt(252) END"
+
+
+@query("backtest_metrics", CURVE + f""", lv AS (SELECT session AS exit, avg(open) AS level FROM prices GROUP BY 1), bn AS (SELECT as_of, net, coalesce(level / lag(level) OVER (ORDER BY as_of) - 1, 0) AS bench FROM curve LEFT JOIN lv USING (exit)),
+  m AS (SELECT count(*) AS n, arg_max(equity, as_of) AS e, arg_max(gross_equity, as_of) AS g, avg(net) AS mean, stddev_samp(net) AS std, stddev_samp(net) FILTER (net < 0) AS down, min(drawdown) AS max_drawdown, avg(turnover) AS mean_turnover, sum(cost) AS total_cost FROM dd),
+  t AS (SELECT avg((ret > 0)::INT) AS hit_rate, sum(greatest(ret, 0)) / -sum(least(ret, 0)) AS profit_factor FROM hp WHERE ret IS NOT NULL), o AS (SELECT avg(net - bench) AS o, stddev_samp(net - bench) AS os FROM bn), f AS (SELECT *, pow(e, 252 / 1000.0::DOUBLE) - 1 AS cagr, pow(g, 252 / 1000.0::DOUBLE) - 1 AS gross_cagr FROM m, t, o)
+  SELECT n, round(e - 1, 5) AS total_return, round(cagr, 5) AS cagr, round(gross_cagr, 5) AS gross_cagr, round(std * sqrt(252), 5) AS volatility, round({_STEADY.format('mean', 'std')}, 5) AS sharpe, round({_STEADY.format('mean', 'down')}, 5) AS sortino, round(max_drawdown, 5) AS max_drawdown,
+    round(cagr / nullif(abs(max_drawdown), 0), 4) AS calmar, round(hit_rate, 5) AS hit_rate, round(profit_factor, 5) AS profit_factor, round(mean_turnover, 5) AS mean_turnover, round(total_cost, 6) AS total_cost, round(gross_cagr - cagr, 5) AS cost_drag, round(o * 252, 4) AS alpha, round({_STEADY.format('o', 'os')}, 5) AS information_ratio FROM f""")
 def backtest_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return B.metrics(_backtest(spark, sf))
+    pos = _positions(spark, sf)
+    curve = B.equity(pos, COST)
+    levels = prices(spark, sf).groupBy("session").agg(F.avg("open").alias("level"))
+    m = B.metrics(curve, pos, 1000, B.benchmark_returns(curve, levels, pos))
+    places = {"calmar": 4, "alpha": 4, "total_cost": 6}
+    return m.select("n", *[F.round(c, places.get(c, 5)).alias(c) for c in m.columns if c != "n"])
 
 
-_POS = f"""WITH {FEATURES}, sig AS (SELECT session, ticker, ret_4w AS score FROM features WHERE ret_4w IS NOT NULL), d AS (SELECT min(session) AS as_of FROM sig GROUP BY date_trunc('month', session)),
-  nx AS (SELECT session, lead(session) OVER (ORDER BY session) AS entry, max(session) OVER () AS final FROM cal), e AS (SELECT as_of, entry, final FROM d JOIN nx ON as_of = session WHERE entry IS NOT NULL),
-  per AS (SELECT as_of, entry, coalesce(lead(entry) OVER (ORDER BY as_of), final) AS exit FROM e QUALIFY exit > entry),
-  tgt AS (SELECT as_of, entry, exit, ticker FROM sig JOIN per ON session = as_of QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY score DESC, ticker) <= 10),
-  pos AS (SELECT t.*, 1.0 / count(*) OVER (PARTITION BY as_of) AS target, CASE WHEN a.open > 0 THEN b.open / a.open - 1 END AS ret FROM tgt t LEFT JOIN prices a ON a.ticker = t.ticker AND a.session = entry LEFT JOIN prices b ON b.ticker = t.ticker AND b.session = exit)"""
+@query("backtest_drawdown", CURVE + ", tr AS (SELECT as_of, drawdown FROM dd ORDER BY drawdown, as_of LIMIT 1), pk AS (SELECT c.as_of, c.equity FROM dd c, tr WHERE c.as_of <= tr.as_of ORDER BY equity DESC, c.as_of LIMIT 1) SELECT round(tr.drawdown, 5) AS max_drawdown, pk.as_of AS peak, tr.as_of AS trough, (SELECT min(as_of) FROM dd WHERE as_of >= tr.as_of AND equity >= pk.equity) AS recovered FROM tr, pk")
+def backtest_drawdown(spark: SparkSession, sf: str) -> DataFrame:
+    return B.deepest(B.equity(_positions(spark, sf), COST)).withColumn("max_drawdown", F.round("max_drawdown", 5))
+
+
+@query("monthly_hit_rate", CURVE + ", mo AS (SELECT date_trunc('month', as_of)::DATE AS m, sum(net) AS net FROM nt GROUP BY 1) SELECT count(*) FILTER (net > 0) AS up, ((year(max(m)) - year(min(m))) * 12 + month(max(m)) - month(min(m)) + 1)::BIGINT AS months, round(count(*) FILTER (net > 0) / ((year(max(m)) - year(min(m))) * 12 + month(max(m)) - month(min(m)) + 1), 6) AS hit_rate FROM mo")
+def monthly_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return B.monthly_hit_rate(B.equity(_positions(spark, sf), COST)).withColumn("hit_rate", r6("hit_rate"))
+
+
+@query("deflated_sharpe", CURVE + f", s AS (SELECT count(net) AS n, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe, skewness(net) AS skew, kurtosis(net) + 3 AS kurt FROM nt) SELECT n, round(sharpe, 5) AS sharpe, round(skew, 5) AS skew, round(kurt, 5) AS kurtosis, round((sharpe - {B.expected_max_sharpe(10, 1.0)!r}) * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, 1e-12)), 4) AS z FROM s")
+def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
+    d = B.deflated(B.equity(_positions(spark, sf), COST), 10)
+    return d.select("n", *[F.round(c, 5).alias(c) for c in ("sharpe", "skew", "kurtosis")], F.round("z", 4).alias("z"))
 
 
 @query("position_returns", _POS + " SELECT as_of, entry, exit, ticker, round(target, 6) AS target, round(ret, 6) AS ret FROM pos")

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from plumbline.functions.expressions import canonical_code, ratio
+from plumbline.functions import expressions as X
+from plumbline.functions.expressions import ratio
 from plumbline.operators import calendar as C, models as M, outcomes as O, pit, retrieval as R, screener, scoring as S
-from plumbline.plans.adapter import DENSE, PRICES, SQL, dense, prices, query, r6, table
+from plumbline.plans.adapter import DENSE, PRICES, dense, prices, query, r6, table
 from plumbline.sources import normalizers as N, quality as Q, sinks as K
 
 
-@query("screen_parts", """WITH f AS (SELECT * FROM part WHERE p_size BETWEEN 10 AND 40 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_retailprice >= 1000 AND p_type IS NOT NULL)
+@query("screen_parts", """WITH f AS (SELECT * FROM part WHERE p_size BETWEEN 10 AND 40 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_retailprice >= 930 AND p_type IS NOT NULL)
   SELECT p_partkey, p_brand, p_size, round(p_retailprice, 4) AS p_retailprice FROM f ORDER BY p_size DESC NULLS FIRST, p_retailprice ASC NULLS LAST, p_partkey LIMIT 50 OFFSET 25""")
 def screen_parts(spark: SparkSession, sf: str) -> DataFrame:
-    filters = [{"field": "p_size", "op": "between", "value": [10, 40]}, {"field": "p_brand", "op": "not_in", "value": ["Brand#11", "Brand#12"]}, {"field": "p_retailprice", "op": "gte", "value": 1000}, {"field": "p_type", "op": "is_not_null"}]
+    filters = [{"field": "p_size", "op": "between", "value": [10, 40]}, {"field": "p_brand", "op": "not_in", "value": ["Brand#11", "Brand#12"]}, {"field": "p_retailprice", "op": "gte", "value": 930}, {"field": "p_type", "op": "is_not_null"}]
     found = screener.screen(table(spark, sf, "part"), filters, [("p_size", True), ("p_retailprice", False)], ["p_partkey", "p_brand", "p_size", "p_retailprice"], 50, 25, "p_partkey")
     return found.withColumn("p_retailprice", F.round("p_retailprice", 4))
 
@@ -107,13 +108,6 @@ def membership_effect(spark: SparkSession, sf: str) -> DataFrame:
     return O.membership_effect(_past(spark, sf), m, "codes", "code").select("code", "n_used", r6("rate_used").alias("rate_used"), r6("rate_unused").alias("rate_unused"))
 
 
-@query("vector_search", """WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 10""")
-def vector_search(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    q = e.orderBy("vec_id").select("embedding").first()  # one row
-    return R.vector_top(e, q[0], 10, "vec_id", "embedding").withColumn("score", r6("score"))
-
-
 #: Every vector whose id is divisible by 20 against all vectors.
 _NEAREST = """SELECT q.vec_id AS query_id, e.vec_id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS nth
   FROM embeddings q, embeddings e, LATERAL (SELECT round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS s) WHERE q.vec_id % 20 = 0"""
@@ -124,8 +118,8 @@ def _nearest(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return R.vector_top_each(e, e.filter("vec_id % 20 = 0"), k, "vec_id", "embedding")
 
 
-@query("vector_search_each", f"""SELECT query_id, vec_id, round(score, 6) AS score, nth FROM ({_NEAREST}) WHERE nth <= 10""")
-def vector_search_each(spark: SparkSession, sf: str) -> DataFrame:
+@query("vector_search", f"""SELECT query_id, vec_id, round(score, 6) AS score, nth FROM ({_NEAREST}) WHERE nth <= 10""")
+def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     return _nearest(spark, sf, 10).withColumn("score", r6("score"))
 
 
@@ -136,23 +130,12 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "snippet", F.col("nth").cast("long").alias("nth"), r6("score").alias("score"))
 
 
-@query("hybrid_search", """WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id) AS nth FROM embeddings, q QUALIFY nth <= 30),
-  d AS (SELECT * FROM documents WHERE length(text) >= 20 ORDER BY n_chars DESC, doc_id LIMIT 80), k AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM d WHERE contains(lower(text), 'tion') QUALIFY nth <= 30),
-  f AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + nth)) AS s, count(*) AS n_lists FROM (SELECT * FROM v UNION ALL SELECT * FROM k) GROUP BY doc_id) SELECT doc_id, round(s, 6) AS score, n_lists FROM f ORDER BY s DESC, doc_id LIMIT 10""")
-def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    q = e.orderBy("vec_id").select("embedding").first()
-    v = R.vector_top(e, q[0], 30, "vec_id", "embedding").select(F.col("vec_id").alias("doc_id"), F.row_number().over(Window.orderBy(F.col("score").desc(), "vec_id")).alias("nth"))
-    k = R.keyword_top(table(spark, sf, "documents"), "tion", 30, "doc_id", "text", F.col("n_chars"))
-    return R.fuse([v, k], "doc_id", 10).withColumn("score", r6("score"))
-
-
-@query("hybrid_search_each", f"""WITH v AS (SELECT query_id, vec_id AS doc_id, nth FROM ({_NEAREST}) WHERE nth <= 30),
+@query("hybrid_search", f"""WITH v AS (SELECT query_id, vec_id AS doc_id, nth FROM ({_NEAREST}) WHERE nth <= 30),
   d AS (SELECT * FROM documents WHERE length(text) >= 20 ORDER BY n_chars DESC, doc_id LIMIT 80), k AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM d WHERE contains(lower(text), 'tion') QUALIFY nth <= 30),
   a AS (SELECT * FROM v UNION ALL SELECT vec_id AS query_id, doc_id, nth FROM embeddings, k WHERE vec_id % 20 = 0),
   f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + nth)), 9) AS s, count(*) AS n_lists FROM a GROUP BY ALL)
   SELECT query_id, doc_id, round(s, 6) AS score, n_lists, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS nth FROM f QUALIFY nth <= 10""")
-def hybrid_search_each(spark: SparkSession, sf: str) -> DataFrame:
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     v = _nearest(spark, sf, 30).withColumnRenamed("vec_id", "doc_id")
     k = R.keyword_top(table(spark, sf, "documents"), "tion", 30, "doc_id", "text", F.col("n_chars")).select("doc_id", "nth")
     q = table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
@@ -174,35 +157,14 @@ def quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     return Q.quality_gate(b).select("ticker", "session", "reject", F.get("flags", F.lit(0)).alias("flag"))
 
 
-@query("upsert_orders", """WITH inc AS (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal FROM orders WHERE o_custkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+@query("upsert_orders", """WITH inc AS (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
   SELECT coalesce(c.c_custkey, i.c_custkey) AS c_custkey, c_mktsegment, round(CASE WHEN i.c_custkey IS NOT NULL THEN i.c_acctbal ELSE c.c_acctbal END, 4) AS c_acctbal FROM customer c FULL JOIN inc i USING (c_custkey)""")
 def upsert_orders(spark: SparkSession, sf: str) -> DataFrame:
-    inc = table(spark, sf, "orders").filter("o_custkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey")
-    out = K.upsert(table(spark, sf, "customer"), inc, ["c_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
-    return out.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 4).alias("c_acctbal"))
-
-
-@query("upsert_all_orders", """WITH inc AS (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
-  SELECT coalesce(c.c_custkey, i.c_custkey) AS c_custkey, c_mktsegment, round(CASE WHEN i.c_custkey IS NOT NULL THEN i.c_acctbal ELSE c.c_acctbal END, 4) AS c_acctbal FROM customer c FULL JOIN inc i USING (c_custkey)""")
-def upsert_all_orders(spark: SparkSession, sf: str) -> DataFrame:
     inc = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderdate", "o_orderkey")
     out = K.upsert(table(spark, sf, "customer"), inc, ["c_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
     return out.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 4).alias("c_acctbal"))
 
 
-@query("issuers", """WITH c AS (SELECT s_suppkey, CASE WHEN length(code) = 5 AND code LIKE '%0' THEN left(code, 4) ELSE code END AS canonical, code FROM (SELECT s_suppkey, (10000 + s_suppkey)::VARCHAR AS code FROM supplier))
-  SELECT canonical, code, s_suppkey FROM c QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY length(code), s_suppkey) = 1""")
-def issuers(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") + 10000).cast("string").alias("code"))
-    return pit.latest(c.withColumn("canonical", canonical_code(F.col("code"))), ["canonical"], [F.length("code"), F.col("s_suppkey")])
-
-
-@query("text_search", """SELECT s_suppkey, s_name FROM supplier WHERE s_name ILIKE '%00001%' ORDER BY (s_name = 'Supplier#000001') DESC, s_name LIMIT 10""")
-def text_search(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").filter(F.col("s_name").ilike("%00001%"))
-    return s.orderBy((F.col("s_name") == "Supplier#000001").desc(), "s_name").limit(10).select("s_suppkey", "s_name")
-
-
 @query("portfolio_weights", """WITH v AS (SELECT o_custkey, o_orderpriority, sum(o_totalprice) AS mv FROM orders GROUP BY ALL) SELECT o_custkey, o_orderpriority, round(100 * mv / nullif(sum(mv) OVER (PARTITION BY o_custkey), 0), 1) AS weight_pct FROM v""")
 def portfolio_weights(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.sum("o_totalprice").alias("mv"))
@@ -215,17 +177,9 @@ def review_stats(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(s == v).alias(k) for v, k in (("F", "approved"), ("P", "revised"), ("O", "rejected"))], r6(ratio(F.count_if(s == "F"), F.count(F.lit(1)))).alias("approval_rate"))
 
 
-@query("feed", """WITH s AS (SELECT c_custkey AS k, c_acctbal AS score FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT o_custkey AS k, count(*) AS cards FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+@query("feed", """WITH s AS (SELECT c_custkey AS k, c_acctbal AS score FROM customer), r AS (SELECT o_custkey AS k, count(*) AS cards FROM orders GROUP BY 1)
   SELECT coalesce(s.k, r.k) AS k, round(score, 4) AS score, coalesce(cards, 0) AS cards, s.k IS NULL AS only_card FROM s FULL JOIN r ON s.k = r.k""")
 def feed(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 4).alias("score"), F.lit(True).alias("scored"))
-    r = table(spark, sf, "orders").filter("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("cards"))
-    return s.join(r, "k", "full_outer").select("k", "score", F.coalesce("cards", F.lit(0)).alias("cards"), F.col("scored").isNull().alias("only_card"))
-
-
-@query("feed_all", """WITH s AS (SELECT c_custkey AS k, c_acctbal AS score FROM customer), r AS (SELECT o_custkey AS k, count(*) AS cards FROM orders GROUP BY 1)
-  SELECT coalesce(s.k, r.k) AS k, round(score, 4) AS score, coalesce(cards, 0) AS cards, s.k IS NULL AS only_card FROM s FULL JOIN r ON s.k = r.k""")
-def feed_all(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 4).alias("score"), F.lit(True).alias("scored"))
     r = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("cards"))
     return s.join(r, "k", "full_outer").select("k", "score", F.coalesce("cards", F.lit(0)).alias("cards"), F.col("scored").isNull().alias("only_card"))
@@ -237,18 +191,6 @@ def event_properties(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.countDistinct("user_id").alias("users"))
 
 
-@query("title_types", r"""SELECT doc_id, CASE WHEN regexp_matches(t, '決算短信|earnings|results') THEN 'earnings' WHEN regexp_matches(t, '業績予想.*修正|forecast|guidance') THEN 'forecast_revision' WHEN regexp_matches(t, '配当|dividend') THEN 'dividend'
-  WHEN regexp_matches(t, '自己株式|buyback|repurchase') THEN 'buyback' WHEN regexp_matches(t, '株式分割|split') THEN 'split' WHEN regexp_matches(t, '合併|買収|merger|acquisition') THEN 'merger' ELSE 'other_disclosure' END AS title_type
-  FROM (SELECT doc_id, lower(left(text, 80)) AS t FROM documents)""")
-def title_types(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", N.title_type(F.left("text", F.lit(80))).alias("title_type"))
-
-
-@query("title_types_whole", SQL["title_types"].replace("lower(left(text, 80))", "lower(text)"))
-def title_types_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", N.title_type(F.col("text")).alias("title_type"))
-
-
 @query("unpivoted_prices", f"""WITH {PRICES} SELECT ticker, session, field, round(value, 6) AS value FROM (UNPIVOT (SELECT ticker, session, open, high, low, close FROM prices) ON open, high, low, close INTO NAME field VALUE value)""")
 def unpivoted_prices(spark: SparkSession, sf: str) -> DataFrame:
     return prices(spark, sf).unpivot(["ticker", "session"], ["open", "high", "low", "close"], "field", "value").filter("value IS NOT NULL").withColumn("value", r6("value"))
@@ -279,3 +221,100 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
 def lake_scan(spark: SparkSession, sf: str) -> DataFrame:
     l = K.read_lake(spark, f"{sf}/lineitem.parquet", ["l_returnflag", "l_shipdate", "l_quantity"], [("l_quantity", ">=", 20), ("l_returnflag", "in", ["A", "R"]), ("l_discount", "!=", 0.05)])
     return l.groupBy("l_returnflag", F.date_trunc("month", "l_shipdate").cast("date").alias("l_shipmonth")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+
+
+_TITLES = ("2024年3月期 決算短信〔日本基準〕（連結）", "決算補足説明資料", "業績予想の修正に関するお知らせ", "配当予想の修正に関するお知らせ", "自己株式の取得に係る事項の決定", "株式分割に関するお知らせ", "代表者の異動に関するお知らせ", "新製品発売のお知らせ", "決算短信の一部訂正と業績予想の修正")
+_TITLE = "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TITLES)) + " END"
+
+
+@query("title_types", f"""WITH t AS (SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey || ' ' || coalesce({_TITLE}, '') AS t FROM orders)
+  SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in N.TITLE_RULES)} ELSE 'other_disclosure' END AS title_type FROM t""")
+def title_types(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" "), F.coalesce(F.expr(_TITLE), F.lit("")))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), N.title_type(t).alias("title_type"))
+
+
+@query("disclosures", f"""WITH t AS (SELECT o_orderkey, coalesce({_TITLE}, '') AS title FROM orders)
+  SELECT 'tdnet:20240105-' || lpad(o_orderkey::VARCHAR, 4, '0') AS doc_id, left((10000 + o_orderkey % 9000)::VARCHAR, 4) AS ticker, title FROM t WHERE o_orderkey < 10000""")
+def disclosures(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").filter("o_orderkey < 10000")  # numbers of four digits
+    p = o.select(F.col("o_orderkey").alias("seq"), F.coalesce(F.expr(_TITLE), F.lit("")).alias("title"), (10000 + F.col("o_orderkey") % 9000).cast("string").alias("code"))
+    return N.disclosures(p, "2024-01-05").select("doc_id", "ticker", "title")
+
+
+@query("filings_list", """SELECT 'edinet:' || o_orderkey AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'annual_report' WHEN '2-HIGH' THEN 'quarterly_report' WHEN '3-MEDIUM' THEN 'current_report' ELSE 'other_disclosure' END AS doc_type, o_orderpriority IN ('2-HIGH', '3-MEDIUM') AS is_amendment,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'edinet:' || o_orderkey ELSE o_clerk END AS title, CASE WHEN o_orderkey % 4 = 0 THEN DATE '2024-01-05' ELSE o_orderdate::DATE END AS filed FROM (SELECT *, 'clerk ' || o_custkey AS o_clerk FROM orders)""")
+def filings_list(spark: SparkSession, sf: str) -> DataFrame:
+    code = F.create_map(*[F.lit(x) for kv in {"1-URGENT": "120", "2-HIGH": "150", "3-MEDIUM": "190"}.items() for x in kv])
+    k = F.col("o_orderkey")
+    p = table(spark, sf, "orders").select(k.alias("docID"), F.try_element_at(code, F.col("o_orderpriority")).alias("docTypeCode"), F.when(k % 3 != 0, F.concat(F.lit("clerk "), F.col("o_custkey"))).otherwise(F.lit("  ")).alias("docDescription"), F.when(k % 4 != 0, F.col("o_orderdate").cast("string")).alias("submitDateTime"))
+    return N.filings_list(p, "2024-01-05").select("doc_id", "doc_type", "is_amendment", "title", F.to_date("filed_at").alias("filed"))
+
+
+@query("normalized_bars", """SELECT l_partkey::VARCHAR AS ticker, l_shipdate::DATE AS session, round(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END, 4) AS close, round(CASE WHEN l_linenumber % 2 = 0 THEN coalesce(CASE WHEN l_linenumber % 4 = 0 THEN l_extendedprice / 2 END, l_extendedprice) END, 4) AS adj_close FROM lineitem WHERE l_linenumber % 5 <> 0""")
+def normalized_bars(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    p = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("Code"), F.when(n % 5 != 0, F.to_date("l_shipdate").cast("string")).alias("Date"), F.when(n % 2 == 0, F.col("l_extendedprice").cast("string")).otherwise("n/a").alias("C"), F.when(n % 4 == 0, (F.col("l_extendedprice") / 2).cast("string")).alias("AdjC"))
+    return N.daily_bars(p).select("ticker", "session", F.round("close", 4).alias("close"), F.round("adj_close", 4).alias("adj_close"))
+
+
+@query("normalized_statements", """SELECT o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS period_end, CASE o_orderpriority WHEN '1-URGENT' THEN 'Q1' WHEN '2-HIGH' THEN 'Q2' WHEN '3-MEDIUM' THEN 'FY' ELSE 'FY' END AS fiscal_period,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'quarter' WHEN '2-HIGH' THEN 'cumulative' ELSE 'annual' END AS period_type, round(o_totalprice, 4) AS revenue FROM orders WHERE o_orderkey % 7 <> 0""")
+def normalized_statements(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.create_map(*[F.lit(x) for kv in {"1-URGENT": "1Q", "2-HIGH": "2Q", "3-MEDIUM": "4Q", "4-NOT SPECIFIED": ""}.items() for x in kv])
+    p = table(spark, sf, "orders").select(F.col("o_custkey").alias("LocalCode"), F.to_date("o_orderdate").cast("string").alias("CurPerEn"), F.when(F.col("o_orderkey") % 7 != 0, F.lit("2001-01-31")).alias("DisclosedDate"), F.try_element_at(kind, F.col("o_orderpriority")).alias("CurPerType"), F.col("o_totalprice").cast("string").alias("NetSales"))
+    return N.statements(p).select("ticker", "period_end", "fiscal_period", "period_type", F.round("revenue", 4).alias("revenue"))
+
+
+@query("listed_securities", "SELECT c_custkey::VARCHAR AS ticker, CASE WHEN c_custkey % 4 = 0 THEN c_custkey::VARCHAR ELSE c_name END AS name_local, c_mktsegment AS sector_name FROM customer")
+def listed_securities(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "customer").select(F.col("c_custkey").alias("Code"), F.when(F.col("c_custkey") % 4 == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("CompanyName"), F.col("c_mktsegment").alias("S33Nm"))
+    return N.listed(p, "2024-01-05").select("ticker", "name_local", "sector_name")
+
+
+@query("registrants", "SELECT c_name AS ticker, lpad(c_custkey::VARCHAR, 10, '0') AS cik FROM customer")
+def registrants(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    p = c.select(F.create_map(F.lit("0"), F.struct(F.col("c_custkey").alias("cik_str"), F.col("c_name").alias("ticker"), F.col("c_name").alias("title"))).alias("companies"))
+    return N.registrants(p, "2024-01-05").select("ticker", "cik")
+
+
+@query("rejected_part", """SELECT round(avg((l_discount >= 0.05)::INT), 6) AS rejected, avg((l_discount >= 0.05)::INT) >= 0.5 AS fallback FROM lineitem""")
+def rejected_part(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "lineitem").select(F.when(F.col("l_discount") >= 0.05, "BAD").alias("reject"))
+    return K.falls_back(x).select(r6("rejected").alias("rejected"), "fallback")
+
+
+@query("quality_ledger", f"""WITH {PRICES}, b AS (SELECT ticker, session, CASE WHEN (volume::BIGINT) % 7 = 0 THEN NULL ELSE close END AS close, CASE WHEN (volume::BIGINT) % 11 = 0 THEN low - 1 ELSE high END AS high, low, open FROM prices)
+  SELECT ticker, session, CASE WHEN close IS NULL THEN 'CLOSE_MISSING' ELSE 'HIGH_LOW_INVERTED' END AS mark FROM b WHERE close IS NULL OR high < low""")
+def quality_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    b = prices(spark, sf)
+    b = b.withColumns({"close": F.when(F.col("volume").cast("long") % 7 != 0, F.col("close")), "high": F.when(F.col("volume").cast("long") % 11 == 0, F.col("low") - 1).otherwise(F.col("high")), "currency": F.lit("JPY")})
+    return Q.quality_ledger(Q.quality_gate(b)).filter("rejected").select("ticker", "session", "mark")
+
+
+@query("next_sessions", f"""WITH {PRICES}, cal AS (SELECT DISTINCT session FROM prices), d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)
+  SELECT d, (SELECT min(session) FROM cal WHERE session > d) AS following, (SELECT max(session) FROM cal WHERE session < d) AS earlier FROM d WHERE d BETWEEN (SELECT min(session) FROM cal) AND (SELECT max(session) FROM cal)""")
+def next_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    cal = C.sessions(prices(spark, sf), "session")
+    d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    ends = cal.agg(F.min("session").alias("a"), F.max("session").alias("b"))
+    d = d.join(F.broadcast(ends)).filter("d BETWEEN a AND b").select("d")  # one row
+    x = C.next_session(d, "d", cal).withColumnRenamed("other", "following")
+    return C.next_session(x, "d", cal, -1).select("d", "following", F.col("other").alias("earlier"))
+
+
+@query("sessions_between", f"""WITH {PRICES}, cal AS (SELECT DISTINCT session FROM prices) SELECT count(*) FILTER (session >= DATE '1997-01-06' AND session < DATE '1998-01-05') AS n, count(*) FILTER (session BETWEEN DATE '1997-01-06' AND DATE '1998-01-05') AS n_both FROM cal""")
+def sessions_between(spark: SparkSession, sf: str) -> DataFrame:
+    day = lambda d: F.lit(d).cast("date")
+    return C.sessions_between(C.sessions(prices(spark, sf), "session"), day("1997-01-06"), day("1998-01-05")).select("n", F.size("sessions").cast("long").alias("n_both"))
+
+
+@query("scalar_functions", """SELECT c_custkey, round(base * (1 + 3 * sqrt(greatest(c_acctbal / greatest(c_custkey * 1e3, 1), 0))), 6) AS slippage, sha256('p' || chr(30) || c_name || chr(30) || '') AS key, date_trunc('week', DATE '2000-01-01' + (c_custkey % 700)::INT)::DATE AS week, round(50 + 50 * greatest(-1, least(1, (c_acctbal / 2000 - 2) / 2.5)), 6) AS score,
+    regexp_replace(trim(c_name), '[^0-9A-Za-z._-]+', '_', 'g') AS path, CASE WHEN length(c_custkey::VARCHAR) < 6 THEN lpad(c_custkey::VARCHAR, 6, '0') ELSE c_custkey::VARCHAR END AS padded, ((2000 - 1999) * 12 + month(DATE '2000-01-01' + (c_custkey % 300)::INT) - 5 + 1)::BIGINT AS months FROM (SELECT *, 5.0::DOUBLE AS base FROM customer)""")
+def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), (F.col("c_custkey") % n).cast("int"))
+    return table(spark, sf, "customer").select(
+        "c_custkey", r6(X.slippage_bps(F.col("c_acctbal"), F.col("c_custkey") * 1e3, 5.0)).alias("slippage"), X.cache_key(F.lit("p"), F.col("c_name"), F.lit(None).cast("string")).alias("key"), X.week_start(day(700)).alias("week"),
+        r6(X.score_100(F.col("c_acctbal") / 2000 - 2)).alias("score"), X.path_part(F.col("c_name")).alias("path"), X.padded(F.col("c_custkey").cast("string"), 6).alias("padded"), X.months_inclusive(F.lit("1999-05-01").cast("date"), day(300)).alias("months"),
+    )

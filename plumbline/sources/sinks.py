@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), update: bool = True) -> DataFrame:
-    """``existing`` with ``incoming`` by key. Of incoming rows with one key the last in ``order`` counts; only columns that
-    it supplies change, unknown ones are dropped; ``update=False`` leaves rows that exist. Rows with a null key are refused."""
+    """``existing`` with ``incoming`` by key. Of incoming rows with one key the first in ``order`` counts, without an order the
+    greatest by its columns; only columns that it supplies change, unknown ones are dropped; ``update=False`` leaves rows
+    that exist. Rows with a null key are refused."""
     have = [c for c in incoming.columns if c in existing.columns]
     missing = [k for k in keys if k not in have]
     if missing:
         raise ValueError(f"incoming rows lack {missing}")
     bad = " OR ".join(f"{k} IS NULL" for k in keys)
     rows = incoming.withColumn("_bad", F.when(F.expr(bad), F.raise_error(F.lit("a key is null"))).otherwise(F.lit(False))).filter(~F.col("_bad")).drop("_bad")
-    if order:
-        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1")
+    order = list(order) or [F.col(c).desc_nulls_last() for c in incoming.columns if c not in keys] or [F.lit(1)]
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1")
     new = rows.select(*[F.col(k) for k in keys], F.struct(*have).alias("_new"))
     both = existing.withColumn("_old", F.lit(True)).join(new, list(keys), "full_outer")
 
@@ -51,3 +52,108 @@ def read_lake(spark: SparkSession, path: str, columns: Sequence[str] | None = No
 def content_hash(df: DataFrame) -> Column:
     """SHA-256 of a row as JSON with sorted keys; nulls are kept out."""
     return F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+
+
+def accepted(df: DataFrame, violations: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be stored, and the others with the names of what they violate."""
+    rows = df.withColumn("violations", violations)
+    return rows.filter(F.size("violations") == 0).drop("violations"), rows.filter(F.size("violations") > 0)
+
+
+def with_citations(summaries: DataFrame) -> DataFrame:
+    """Raises, when it runs, for a summary without citations."""
+    none = F.coalesce(F.size("citations") <= 0, F.lit(True))
+    return summaries.withColumn("_bad", F.when(none, F.raise_error(F.concat(F.lit("no citations: "), F.col("doc_id").cast("string")))).otherwise(F.lit(False))).filter(~F.col("_bad")).drop("_bad")
+
+
+def with_run_defaults(runs: DataFrame, defaults: dict[str, Any], id_col: str = "run_id") -> DataFrame:
+    """Runs with an id of their own where it is null, and defaults for fields that are absent or null."""
+    rows = runs.withColumn(id_col, F.coalesce(id_col, F.expr("uuid()")) if id_col in runs.columns else F.expr("uuid()"))
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) if c in runs.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def export(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+
+
+def route(frames: dict[str, DataFrame], stored: dict[str, tuple[DataFrame, Sequence[str]]]) -> dict[str, DataFrame]:
+    """Each incoming frame upserted into the table of its name; frames of unknown tables are refused."""
+    unknown = set(frames) - set(stored)
+    if unknown:
+        raise ValueError(f"no such tables: {sorted(unknown)}")
+    return {name: upsert(stored[name][0], df, stored[name][1]) for name, df in frames.items()}
+
+
+def write_raw(df: DataFrame, folder: str, source: str, as_of: str) -> None:
+    """Payload rows as gzipped JSON lines below source and date; a day may be written again."""
+    df.write.mode("overwrite").option("compression", "gzip").json(f"{folder}/source={source}/dt={as_of}")
+
+
+def read_raw(spark: SparkSession, folder: str, schema: Any = None, source: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Raw rows with their source and dt, in that order; only folders of the range are read."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.option("basePath", folder).json(folder)
+    if source is not None:
+        df = df.filter(F.col("source") == source)
+    if since is not None:
+        df = df.filter(F.col("dt") >= F.lit(since).cast("date"))
+    if until is not None:
+        df = df.filter(F.col("dt") <= F.lit(until).cast("date"))
+    return df.orderBy("source", "dt")
+
+
+def raw_dates(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("basePath", folder).json(folder).select("source", "dt").distinct()
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, needed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV file with a header: good ones, and those that do not parse or lack a needed value, with their text."""
+    df = spark.read.schema(f"{schema}, _bad string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    lacks = F.exists(F.array(*[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in needed]), lambda v: v == "")
+    rows = df.withColumn("_lacks", lacks)
+    return rows.filter("_bad IS NULL AND NOT _lacks").drop("_bad", "_lacks"), rows.filter("_bad IS NOT NULL OR _lacks").drop("_lacks").withColumnRenamed("_bad", "record")
+
+
+def texts(docs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """doc_id and text: the document's own, else that of its blob."""
+    return docs.join(blobs.select("doc_id", F.col("text").alias("_blob")), "doc_id", "left").select("doc_id", F.coalesce("text", "_blob").alias("text"))
+
+
+def named(docs: DataFrame, raw: DataFrame) -> DataFrame:
+    """Documents whose name is null take that of the raw payload; of several the last by date."""
+    last = raw.filter("name IS NOT NULL").groupBy("doc_id").agg(F.max_by("name", "dt").alias("_name"))
+    return docs.join(last, "doc_id", "left").withColumn("name_local", F.coalesce("name_local", "_name")).drop("_name")
+
+
+def lookback_days(configured: int, latest: Any, end: Any, overlap: int = 5) -> int:
+    """Days to read again: the gap since the latest date and an overlap, no more than configured."""
+    if configured <= 0 or latest is None:
+        return configured
+    return max(0, min(configured, (end - latest).days + overlap))
+
+
+def falls_back(gated: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """One row: whether so large a part of the rows was rejected that the second source is asked."""
+    part = F.try_divide(F.count("reject").cast("double"), F.count(F.lit(1)).cast("double"))
+    return gated.agg(part.alias("rejected"), F.coalesce(part >= ratio, F.lit(False)).alias("fallback"))
+
+
+def lake_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and time of each file of a lake table; none if there is no such table."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length", "modificationTime")
+
+
+def lake_usage(spark: SparkSession, path: str) -> DataFrame:
+    return lake_files(spark, path).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+#: Fixed values of a vendor's plans: weeks of delay, years of history, splits of the cross-validation.
+PLANS = {"free": (12, 2, 6), "light": (0, 5, 12)}
+
+
+def research_cutoff(as_of: Any, plan: str) -> Any:
+    """The last date that research may see under a plan with delayed data."""
+    import datetime as dt
+
+    return as_of - dt.timedelta(weeks=PLANS[plan][0])
