@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from plumbline.sources.sinks import upsert
 
@@ -68,7 +69,7 @@ def _merger(table: str, keys: Sequence[str], order: Sequence[Column]) -> Callabl
         if not touched:
             return
         if batch_id:
-            schema = batch.schema.add("bucket", "int").add("v", "int")
+            schema = StructType([*batch.schema.fields, StructField("bucket", IntegerType()), StructField("v", IntegerType())])
             old = read_stream_table(spark, table, schema, batch_id).filter(F.col("bucket").isin(touched)).select(*batch.columns)
         else:
             old = batch.limit(0)
