@@ -1,5 +1,6 @@
 """Exact, SimHash and embedding dedup against brute force."""
 
+import hashlib
 import math
 import random
 
@@ -108,3 +109,61 @@ def test_arguments(odd):
         exact_dedup.exact_dedup(odd, keep="some")
     with pytest.raises(ValueError):
         mixing.mix_sources(odd, weights=())
+
+
+def test_neighbours_find_every_copy(spark):
+    """Runs of the content sort, those of split texts joined, are the distinct texts; a text with a third of the rows is split."""
+    rng = random.Random(11)
+    texts = ["hot " * 50] * 1000 + [f"text {rng.randrange(700)} " * rng.randrange(1, 4) for _ in range(2000)] + [None, "", "same head of many characters, a", "same head of many characters, b"]
+    ids = [None if i % 97 == 0 else i // 2 for i in range(len(texts))]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    rows, split = exact_dedup.content_sort(docs, hot=0.1)
+    rows = rows.collect()
+    assert [r.size for r in split.collect()] == [1000] and sum(r.first and r.split for r in rows) > 1
+    assert sum(r.first and not r.split for r in rows) + 1 == len({t or "" for t in texts})
+    want = {}
+    for i, t in zip(ids, texts):
+        want.setdefault(t or "", []).append(i)
+    for keep, best in (("min", min), ("max", max)):
+        found = exact_dedup.exact_dedup(docs, keep=keep, hot=0.1).collect()
+        assert len(found) == len(texts)
+        by = {}
+        for r in found:
+            by.setdefault(r.text_sha256, []).append(r)
+        assert len(by) == len(want)
+        for text, group in want.items():
+            got = by[hashlib.sha256(text.encode()).hexdigest()]
+            known = [i for i in group if i is not None]
+            assert {r.group_size for r in got} == {len(group)} and {r.keep_id for r in got} == {best(known) if known else None}
+            assert sum(r.kept for r in got) == 1 and sorted(str(r.doc_id) for r in got) == sorted(map(str, group))
+
+
+def test_vectors_of_all_kinds(spark):
+    """Ties, repeated vectors and rows, two dimension counts, several groups, and vectors that link with nothing."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(30, 8))
+    vectors = [v.tolist() for v in base] + [(v + 0.1 * rng.normal(size=8)).tolist() for v in base for _ in range(3)] + [base[0].tolist()] * 5 + [(2 * base[1]).tolist()]
+    vectors += [rng.normal(size=3).tolist() for _ in range(10)] + [[1.0, 0.0, 0.0]] * 2 + [None, [], [0.0] * 8, [None] + [1.0] * 7, [float("nan")] * 8, [float("inf")] + [1.0] * 7]
+    rows = [(i, v, i % 2 if i % 11 else None) for i, v in enumerate(vectors)]
+    rows += [rows[3], (None, base[0].tolist(), 0), (None, None, None)]
+    got = embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    fine = lambda v: v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    unit = [np.array(v) / np.linalg.norm(v) if fine(v) and g is not None else None for _, v, g in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and np.array(rows[i][1]) @ np.array(rows[j][1]) / np.linalg.norm(rows[i][1]) / np.linalg.norm(rows[j][1]) >= 0.93]
+    roots, n = reach(len(rows), links), [0] * len(rows)
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    members = {}
+    for i, r in enumerate(roots):
+        members.setdefault(r, []).append(rows[i][0])
+    least = [min((m for m in members[r] if m is not None), default=None) for r in roots]
+    key = lambda t: tuple(map(str, t))
+    assert sorted((key((r.vec_id, r.n_links, r.component_id)) for r in got)) == sorted(key((rows[i][0], n[i], least[i])) for i in range(len(rows)))
+
+
+def test_far_tiles_are_skipped(spark):
+    box = lambda t, a, b: (0, 4, t, ([a, 0.0, 0.0, 0.0], [b, 0.0, 0.0, 0.0]))
+    tiles = spark.createDataFrame([box("a", -0.9, -0.8), box("b", -0.5, 0.0), box("c", 0.7, 0.9)], "part int, dim int, tile string, box struct<low:array<double>,high:array<double>>")
+    assert {(r.one, r.two) for r in embedding_dedup.tile_pairs(tiles, 0.93).collect()} == {("a", "a"), ("b", "b"), ("c", "c"), ("a", "b")}

@@ -24,7 +24,7 @@ OPERATORS = {
     "sharding": sharding.shard_by_bytes,
     "toxicity": _toxic,
     "html": lambda d: html_text.extract_text(d, "doc_id", "source", "text"),
-    "vectors": lambda d: embedding_dedup.embedding_groups(d.withColumn("vec", F.when(F.col("doc_id") > 2, F.array(F.col("doc_id").cast("float"), F.lit(None).cast("float")))), id_col="doc_id", vector_col="vec", group_col="source"),
+    "vectors": lambda d: embedding_dedup.embedding_groups(d.withColumn("vec", F.when(F.col("doc_id") > 2, F.array(F.col("doc_id").cast("float"), F.lit(1.0).cast("float")))), id_col="doc_id", vector_col="vec", group_col="source"),
 }
 
 
@@ -48,3 +48,29 @@ def test_results_on_odd_rows(odd):
     assert {r.component_id for r in blank} == {0} and len(blank) == 5
     assert {r.lang_pred for r in _languages(odd).filter("doc_id IN (0, 1, 2)").collect()} == {"und"}
     assert all(r.taken <= 3 * r.size for r in mixing.mix_sources(odd).collect())
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(stage, odd, none, spark, small):
+    """Rows of a stage are rows that it was given; an empty table stays empty, with the columns of documents."""
+    import corpus_pipeline as P
+
+    name, run = P.STAGES[stage]
+    docs = odd.select(*P.DOCUMENT_COLUMNS)
+    found = run(spark, docs, small).collect()
+    assert run(spark, none.select(*P.DOCUMENT_COLUMNS), small).collect() == []
+    if stage == 4:
+        assert sum(r.piece == 0 for r in found) == odd.count()
+        return
+    given = [tuple(map(str, r)) for r in docs.collect()]
+    assert found and all(tuple(map(str, r)) in given for r in found)
+    texts = lambda rows: {r.text for r in rows}
+    letters = {t for t in texts(docs.collect()) if any(c.isalpha() for c in t or "")}
+    if name == "language_id":
+        assert texts(found) == letters
+    if name == "exact_dedup":
+        assert len(found) == len({t or "" for t in texts(docs.collect())})
+    if name == "simhash":
+        assert letters <= texts(found)
+    if name == "mixing":
+        assert texts(found) <= texts(docs.collect())

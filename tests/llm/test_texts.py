@@ -1,6 +1,7 @@
 """Language, secrets, toxicity, HTML, packing, sharding and the pipeline against brute force, round trips and held-out rows."""
 
 import hashlib
+import html as html_entities
 import re
 import zlib
 
@@ -176,3 +177,127 @@ def test_pairs_that_weights_alone_miss():
     right = lambda machine: ((machine.probability(row, at, len(rest)) > 0.5) == (y[2400:] > 0)).mean()
     alone = toxicity.FactorizationMachine(m.buckets, m.bias, m.weights, 0 * m.factors)
     assert right(m) > 0.95 and right(alone) < 0.65
+
+
+def _slow_words(page):
+    """Visible words, by another way than the renderer's: a scan of tags that counts how deep a hidden element is open."""
+    out, hidden, raw = [], [], None
+    for m in re.finditer(r"<!--.*?-->|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", page or "", re.S):
+        close, tag, attrs = m[1], (m[2] or "").lower(), m[3] or ""
+        if raw:
+            if tag == raw and close:
+                raw = None
+            continue
+        if m[2] is None:
+            if not m[0].startswith("<!") and not hidden:
+                out.append(m[0])
+            continue
+        if tag in ("script", "style", "title", "noscript", "template", "svg") and not close:
+            raw = tag
+            continue
+        out.append(" " if tag in html_text.BLOCKS or tag in ("br", "img") else "")
+        if tag in html_text.VOID:
+            alt = re.search(r"alt\s*=\s*\"([^\"]*)\"", attrs)
+            if tag == "img" and alt and not hidden and "hidden" not in attrs:
+                out.append(alt[1])
+            continue
+        if close:
+            if hidden and hidden[-1][0] == tag:
+                hidden[-1][1] -= 1
+                if not hidden[-1][1]:
+                    hidden.pop()
+        elif hidden and hidden[-1][0] == tag:
+            hidden[-1][1] += 1
+        elif not hidden and (re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs)):
+            hidden.append([tag, 1])
+    return html_entities.unescape("".join(out)).split()
+
+
+def test_pages_have_all_visible_words(spark, small):
+    """Words of all pages against a scan without a tree; list marks are the renderer's own."""
+    found = QUERIES["op7_html_text"](spark, small).toPandas()
+    pages = spark.read.parquet(f"{small}/pages.parquet").toPandas().set_index("page_id")
+    bare = lambda words: sorted(w for w in words if not re.fullmatch(r"-|\d+\.", w))
+    same = [bare(_slow_words(pages.at[r.page_id, "html"])) == bare(r.text.split()) for r in found.itertuples()]
+    assert np.mean(same) > 0.98
+
+
+def test_layout_of_tables():
+    spans = html_text.render("<table><tr><td rowspan=2>left<td>aa<td>b<tr><td>c<td>dd<tr><td>x<td colspan=2>wide<tr><td>p<td>q<td>end</table>").split("\n")
+    assert spans[0].index("aa") == spans[1].index("c") == spans[2].index("wide") == spans[3].index("q") and spans[0].index("b", 6) == spans[1].index("dd") == spans[3].index("end")
+    inner = html_text.render("<table><tr><td>out<td><table><tr><td>1<td>22<tr><td>333<td>4</table><tr><td>z<td>w</table>").split("\n")
+    assert inner[0].index("22") == inner[1].index("4") and inner[0].index("1") == inner[2].index("w")
+    assert html_text.render("<div hidden><p>a<b>b</b></div><p>c").strip() == "c"
+    long = html_text.render("<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>")
+    assert len(long) < 5 * 30_000 and long.count("b") == 2000
+    deep = html_text.render("<ul><li>item" * 250)
+    assert deep.count("- item") == 250 and len(deep) < 30_000 and html_text.render("<ul><li>item" * 5000).count("item") == 5000
+
+
+def test_shards_one_after_the_other(spark, small, docs):
+    """Shard and slot of each document, by a walk over all of them in order."""
+    import struct
+
+    import xxhash
+
+    found = QUERIES["op9_sharding"](spark, small).toPandas().set_index("doc_id")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    rows = []
+    for i, text in docs["text"].fillna("").items():
+        raw = text.encode()
+        h = xxhash.xxh64_intdigest(raw, 42)
+        place = xxhash.xxh64_intdigest(struct.pack("<q", signed(h)), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+        rows.append((signed(h), zlib.crc32(raw), len(raw) + 1, signed(place) % 64, i))
+    rows.sort()
+    total, group, at, place, first = sum(r[2] for r in rows), {}, 0, 0, {}
+    for r in rows:
+        group[r[:3]] = group.get(r[:3], 0) + r[2]
+    starts, want = {}, {}
+    for place, r in enumerate(rows):
+        starts.setdefault(r[:3], at)
+        whole = group[r[:3]] * 16 <= total * 0.05
+        middle = 2 * starts[r[:3]] + group[r[:3]] if whole else 2 * at + r[2]
+        shard = min(15, int(middle * 16 / (2 * total)))
+        first.setdefault(shard, place)
+        want[r[4]] = (shard, place - first[shard])
+        at += r[2]
+    assert {i: (r.shard, r.slot) for i, r in found.iterrows()} == want
+
+
+def test_no_letter_is_no_language(spark):
+    rows = [(i, "the house and the garden " * 20, "en") for i in range(20)] + [(50 + i, "das haus und der garten " * 20, "de") for i in range(20)]
+    model = language_id.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), __import__("pyspark").sql.functions.lit(True))
+    texts = ["½ ² ① Ⅷ", "123 ... !", "", None, "²the house", "漢"]
+    found = language_id.identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in found] == [not any(c.isalpha() for c in t or "") for t in texts]
+
+
+def test_candidates_touch_no_base_span():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        text = "".join(rng.choice(["token=abcdef123 ", "AKIA" + "A" * 20, "0f" * 14, "x" * 18, " ", "word ", "Zm9vYmFyYmF6cXV4MTIz", "/"], 30))
+        base = secret_scan.base_spans(text)
+        want = [m.span() for m in secret_scan._CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b, *_ in base)]
+        assert secret_scan.candidates(text, base) == want
+
+
+def test_added_spans_are_the_likelier_candidates(spark, small, docs):
+    model = secret_scan.learn_secrets(spark.read.parquet(f"{small}/documents.parquet"))
+    found = QUERIES["op5_secrets"](spark, small).toPandas()
+    for r in found.itertuples():
+        text = docs.at[r.doc_id, "text"] or ""
+        want = []
+        for a, b in secret_scan.candidates(text, secret_scan.base_spans(text)):
+            w = text[a:b].translate(secret_scan._CLASS)
+            plain = max(model.plain.likelihood(w), model.plain.likelihood(text[a:b].lower().translate(secret_scan._CLASS)))
+            scores = {k: a_.likelihood(w) - plain for k, a_ in model.automata.items()}
+            if scores and max(scores.values()) >= secret_scan.RATIO:
+                want.append(f"like_{max(scores, key=scores.get)}:{a}:{b}")
+        assert [x for x in r.spans.split(",") if x.startswith("like")] == want
+
+
+def test_null_ids_spread_over_cells(spark):
+    found = packing.pack(spark.createDataFrame([(None, "a b c")] * 3000 + [(1, "a b c")], "doc_id long, text string")).toPandas()
+    assert len(found) == 3001 and not found.duplicated(["sequence_id", "offset"]).any()
+    for _, s in found.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]]
