@@ -84,8 +84,8 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def range_partitions(spark: SparkSession, total_bytes: int) -> int:
-    """A number of partitions that follows the data; at least one a core."""
-    return max(spark.sparkContext.defaultParallelism, -(-total_bytes // PARTITION_BYTES))
+    """A number of partitions that follows the data; at least one a core, and as many as the session has for shuffles."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // PARTITION_BYTES))
 
 
 def salts_for(rows: int) -> int:
