@@ -1,14 +1,15 @@
 """From raw documents to packed sequences: five stages, each over all rows that the one before it kept.
 
 Each row has its own fate, whatever its id: rows are told apart by id and text, and decisions are joined on both. Null ids
-come last where the smallest id stays.
+come last where the smallest id stays. In every stage a null text counts as empty, nulls in other columns change nothing,
+columns besides those of documents are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.common import DOCUMENT_COLUMNS, body, stored, table
+from plumbline.llm.common import DOCUMENT_COLUMNS, body, discard, keep, scratch, stored, table
 from plumbline.llm.exact_dedup import exact_dedup
 from plumbline.llm.language_id import UNKNOWN, identify_languages, learn_languages
 from plumbline.llm.mixing import mix_sources
@@ -40,14 +41,14 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a main language, go."""
+    """Documents without a letter, or without a main language, go: null, empty and blank texts, too. Rows that repeat stay repeated."""
     rows = _keyed(docs)
     found = identify_languages(rows, learn_languages(docs, F.lit(True)), id_col="key")
     return _without(rows, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MAIN_LANGUAGE))).select(*DOCUMENT_COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays, once."""
+    """Of equal texts the document with the smallest id stays, once; null and empty texts are equal."""
     found = stored(exact_dedup(docs), "exact-verdicts")
     again = ~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     repeated = found.filter(again).limit(1).count() > 0
@@ -56,7 +57,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (sets of five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays."""
+    """Of near duplicates (sets of five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id stays.
+    A text of fewer than five words is one shingle; texts without words are equal; of rows that repeat one stays."""
     rows = _keyed(docs)
     if _repeated(rows):
         rows = rows.dropDuplicates(["key"])
@@ -64,7 +66,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document appears as often as the mix takes it, wholly or in part; documents that it does not take go."""
+    """A document appears as often as the mix takes it, wholly or in part; documents that it does not take go, as do those
+    without words. A null source is a source."""
     rows = _keyed(docs)
     if _repeated(rows):  # rows that agree in all these columns are interchangeable
         nth = F.row_number().over(Window.partitionBy("key").orderBy("source", "lang", "n_chars", "text"))
@@ -75,7 +78,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    """Pieces of the documents and their places in sequences of 2048 tokens; an empty text is its separator alone."""
     return pack(docs)
 
 
@@ -90,8 +93,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # what a stage stores on its way goes with it
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
