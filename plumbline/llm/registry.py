@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL: dict[str, str] = {k: v for m in (exact_dedup, mixing) for k, v in m.SQL.items()}
+SQL: dict[str, str] = {k: v for m in (exact_dedup, embedding_dedup, mixing) for k, v in m.SQL.items()}
