@@ -34,8 +34,12 @@ def r6(x: Column | str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6)
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(
+def prices(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """``until`` bounds the scan: lines of a week that starts later are not read."""
+    lines = table(spark, sf_dir, "lineitem")
+    if until is not None:
+        lines = lines.filter(F.col("l_shipdate") < F.date_add(F.lit(until).cast("date"), 7))
+    rows = lines.select(
         F.col("l_suppkey").alias("ticker"), F.date_trunc("week", "l_shipdate").cast("date").alias("session"), F.try_divide("l_extendedprice", "l_quantity").alias("p"), "l_quantity", "l_extendedprice"
     )
     return rows.groupBy("ticker", "session").agg(

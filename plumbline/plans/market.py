@@ -9,6 +9,8 @@ from plumbline.operators import backtest as B, calendar as C, outcomes as O, pan
 from plumbline.plans.adapter import DENSE, FILINGS, PRICES, SECTORS, dense, filings, prices, query, r6, sectors, table
 
 AS_OF = "1999-06-30"
+#: Sessions that the scores' features look back at most.
+LOOKBACK = 60
 Z_COLS = ("ret_4w", "mom_26_4", "vol_13w", "adv_4w")
 GROUPS = {"momentum": {"ret_4w": 1.0, "mom_26_4": 1.0}, "lowvol": {"vol_13w": -1.0}, "liquidity": {"adv_4w": 1.0}}
 WEIGHTS = {"momentum": 0.5, "lowvol": 0.3, "liquidity": 0.2}
@@ -54,8 +56,9 @@ def price_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str, as_of: str = AS_OF) -> DataFrame:
     """All scores of the last session known at ``as_of``; the point-in-time filter stands below every window."""
-    f = features(P.dense(pit.visible(prices(spark, sf), "session", as_of)))
-    f = f.withColumn("final", F.max("session_idx").over(Window.partitionBy("ticker"))).filter("session_idx = final")
+    known = pit.visible(prices(spark, sf, until=as_of), "session", as_of)
+    panel = P.dense(known).withColumn("final", F.max("session_idx").over(Window.partitionBy("ticker")))
+    f = features(panel.filter(F.col("session_idx") > F.col("final") - LOOKBACK)).filter("session_idx = final")
     f = f.join(sectors(spark, sf), "ticker", "left").withColumn("as_of", F.lit(as_of).cast("date"))
     f = S.winsorize(f, Z_COLS, ["as_of"])
     f = S.sector_neutral_z(f, Z_COLS, ["as_of"], "sector")
