@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.expressions import clip, rank_pct, ratio, weighted_mean, whole, winsorized
+from plumbline.functions.expressions import clip, rank_pct, ratio, score_100, weighted_mean, whole, winsorized
 
 MAD = 1.4826
 
@@ -47,14 +47,24 @@ def group_scores(df: DataFrame, groups: dict[str, dict[str, float]], keys: Seque
     return robust_z(df, list(groups), keys)
 
 
+def checked_weights(weights: dict[str, float]) -> dict[str, float]:
+    """The weights, if they add up to 1."""
+    if abs(sum(weights.values()) - 1) > 1e-9:
+        raise ValueError(f"weights add up to {sum(weights.values())}, not 1")
+    return weights
+
+
 def composite(df: DataFrame, weights: dict[str, float], keys: Sequence[str], least: int = 3) -> DataFrame:
-    """quant_composite, quant_score (0 to 100), quant_rank (1 is best, ties share the least) and quant_percentile."""
+    """quant_composite, quant_score (0 to 100), quant_rank (1 is best, ties share the least), quant_percentile and
+    n_valid_groups. Weights add up to 1."""
     w = whole(*keys)
+    checked_weights(weights)
     df = df.withColumn("quant_composite", weighted_mean([(F.col(f"{g}_z"), x) for g, x in weights.items()], least))
     x = F.col("quant_composite")
     return df.withColumns(
         {
-            "quant_score": 50 + 50 * clip(x / 2.5, -1.0, 1.0),
+            "quant_score": score_100(x),
+            "n_valid_groups": sum((F.col(f"{g}_z").isNotNull().cast("int") for g in weights), F.lit(0)),
             "quant_rank": F.when(x.isNotNull(), F.rank().over(w.orderBy(x.desc_nulls_last()))),
             "quant_percentile": rank_pct(x, w),
         }
@@ -94,6 +104,11 @@ def rank_correlation_summary(ics: DataFrame) -> DataFrame:
     return ics.agg(n.alias("n_dates"), mean.alias("ic_mean"), ratio(mean, std / F.sqrt(n)).alias("ic_t"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("ic_positive"))
 
 
+def benchmark_excess(value: str, bench: str) -> Column:
+    """Less the benchmark's return; null where there is none."""
+    return F.col(value) - F.col(bench)
+
+
 def excess(df: DataFrame, value: str, keys: Sequence[str], sector: str) -> Column:
     """Over the sector's median; over the group's where the sector is null."""
     return F.col(value) - F.when(F.col(sector).isNotNull(), F.median(value).over(whole(*keys, sector))).otherwise(F.median(value).over(whole(*keys)))

@@ -100,9 +100,9 @@ SCORED = (
 )
 
 
-@query("factor_scores", f"WITH {SCORED} SELECT ticker, sector, {', '.join(f'round({c}_z, 6) AS {c}_z' for c in (*Z_COLS, *GROUPS))}, round(q, 6) AS quant_composite, round(quant_score, 6) AS quant_score, quant_rank, round(quant_percentile, 6) AS quant_percentile FROM scored")
+@query("factor_scores", f"WITH {SCORED} SELECT ticker, sector, {', '.join(f'round({c}_z, 6) AS {c}_z' for c in (*Z_COLS, *GROUPS))}, round(q, 6) AS quant_composite, round(quant_score, 6) AS quant_score, quant_rank, round(quant_percentile, 6) AS quant_percentile, ({' + '.join(f'({g}_z IS NOT NULL)::INT' for g in WEIGHTS)})::INT AS n_valid_groups FROM scored")
 def factor_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).select("ticker", "sector", *[r6(f"{c}_z").alias(f"{c}_z") for c in (*Z_COLS, *GROUPS)], r6("quant_composite").alias("quant_composite"), r6("quant_score").alias("quant_score"), F.col("quant_rank").cast("long").alias("quant_rank"), r6("quant_percentile").alias("quant_percentile"))
+    return scored(spark, sf).select("ticker", "sector", *[r6(f"{c}_z").alias(f"{c}_z") for c in (*Z_COLS, *GROUPS)], r6("quant_composite").alias("quant_composite"), r6("quant_score").alias("quant_score"), F.col("quant_rank").cast("long").alias("quant_rank"), r6("quant_percentile").alias("quant_percentile"), "n_valid_groups")
 
 
 @query("daily_selection", f"""WITH {SCORED}, tier AS (SELECT *, CASE WHEN quant_percentile >= 0.85 AND mom_26_4 > 0 THEN 0 ELSE 1 END AS tier FROM scored WHERE q IS NOT NULL),

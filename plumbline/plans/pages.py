@@ -58,10 +58,10 @@ def retrain_run(spark: SparkSession, sf: str) -> DataFrame:
     return folds.agg(F.sort_array(F.collect_list(F.struct("split_id", "ic")))["ic"].alias("fold_rank_ic"), F.count(F.lit(1)).alias("n_folds"), F.avg("ic").alias("rank_ic"))
 
 
-@query("weekly_review", """SELECT date_trunc('week', o_orderdate)::DATE AS week, o_orderpriority AS conviction, count(*) AS n, round(avg((o_totalprice > 150000)::INT), 6) AS hit_rate, round(avg(o_totalprice) / 1000, 4) AS mean_excess FROM orders GROUP BY 1, 2""")
+@query("weekly_review", """SELECT date_trunc('week', o_orderdate)::DATE AS week, o_orderpriority AS conviction, count(*) AS n, round(avg((o_totalprice > 150000)::INT), 6) AS hit_rate, round(avg(o_totalprice) / 1000, 1) AS mean_excess FROM orders GROUP BY 1, 2""")
 def weekly_review(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    return o.groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("week"), F.col("o_orderpriority").alias("conviction")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("o_totalprice") > 150000).cast("int"))).alias("hit_rate"), F.round(F.avg("o_totalprice") / 1000, 4).alias("mean_excess"))
+    return o.groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("week"), F.col("o_orderpriority").alias("conviction")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("o_totalprice") > 150000).cast("int"))).alias("hit_rate"), F.round(F.avg("o_totalprice") / 1000, 1).alias("mean_excess"))
 
 
 @query("model_runs", "SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")

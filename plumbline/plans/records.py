@@ -11,10 +11,10 @@ from plumbline.plans.adapter import DENSE, PRICES, dense, prices, query, r6, tab
 from plumbline.sources import normalizers as N, quality as Q, sinks as K
 
 
-@query("screen_parts", """WITH f AS (SELECT * FROM part WHERE p_size BETWEEN 10 AND 40 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_retailprice >= 930 AND p_type IS NOT NULL)
+@query("screen_parts", """WITH f AS (SELECT * FROM part WHERE p_size BETWEEN 10 AND 40 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_retailprice >= 903 AND p_type IS NOT NULL)
   SELECT p_partkey, p_brand, p_size, round(p_retailprice, 4) AS p_retailprice FROM f ORDER BY p_size DESC NULLS FIRST, p_retailprice ASC NULLS LAST, p_partkey LIMIT 50 OFFSET 25""")
 def screen_parts(spark: SparkSession, sf: str) -> DataFrame:
-    filters = [{"field": "p_size", "op": "between", "value": [10, 40]}, {"field": "p_brand", "op": "not_in", "value": ["Brand#11", "Brand#12"]}, {"field": "p_retailprice", "op": "gte", "value": 930}, {"field": "p_type", "op": "is_not_null"}]
+    filters = [{"field": "p_size", "op": "between", "value": [10, 40]}, {"field": "p_brand", "op": "not_in", "value": ["Brand#11", "Brand#12"]}, {"field": "p_retailprice", "op": "gte", "value": 903}, {"field": "p_type", "op": "is_not_null"}]
     found = screener.screen(table(spark, sf, "part"), filters, [("p_size", True), ("p_retailprice", False)], ["p_partkey", "p_brand", "p_size", "p_retailprice"], 50, 25, "p_partkey")
     return found.withColumn("p_retailprice", F.round("p_retailprice", 4))
 
