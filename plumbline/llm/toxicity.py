@@ -61,11 +61,12 @@ def fit_machine(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray,
     and factors (by ``l2``). Weights are fitted first, then weights and factors; a tenth of the texts is kept aside, and the
     parameters that do best on it are returned."""
     n = len(found)
-    every = np.concatenate([*found, np.zeros(0, "i8")]).astype("i8")
-    buckets, place, count = np.unique(every, return_inverse=True, return_counts=True)
-    row, often = np.repeat(np.arange(n), [len(f) for f in found]), count >= least
-    ok = often[place]
-    row, place, buckets = row[ok], (np.cumsum(often) - 1)[place[ok]], buckets[often]
+    every = np.concatenate([*found, np.zeros(0, "i4")]).astype("i4", copy=False)
+    often = np.bincount(every, minlength=BUCKETS) >= least
+    buckets, ok = np.flatnonzero(often), often[every]
+    row = np.repeat(np.arange(n, dtype="i4"), [len(f) for f in found])[ok]
+    place = (np.cumsum(often) - 1).astype("i4")[every[ok]]
+    del every, ok
     rng = np.random.default_rng(seed)
     base = float(np.average(labels, weights=weight)) if n else 0.5
     bias, seen_bias = float(np.log(max(base, 1e-6) / max(1 - base, 1e-6))), 1e-4
@@ -114,8 +115,10 @@ def fit_machine(found: list[np.ndarray], labels: np.ndarray, weight: np.ndarray,
 
 
 def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A text's distinct buckets in order, as 32-bit numbers."""
     for x in batches:
-        yield pd.DataFrame({"label": x["label"], "terms": pd.Series([sorted({b for w in set(_TERM.findall(t)) for b in term_buckets(w)}) for t in x["body"]], dtype=object)})
+        made = [np.sort(np.fromiter({b for w in set(_TERM.findall(t)) for b in term_buckets(w)}, "<i4")).tobytes() for t in x["body"]]
+        yield pd.DataFrame({"label": x["label"], "terms": made})
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
@@ -123,7 +126,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: in
 
     At most about ``sample`` documents of each class are read, chosen by a digest of the id and weighted to stand for
     their class; an id that is labelled repeatedly counts once, as toxic if any of its labels says so. The driver gets the
-    buckets of the sample that occur in LEAST of its documents. Without labels every score is one half.
+    buckets of the sample, four bytes each. Without labels every score is one half.
     """
     spark = docs.sparkSession
     marked = labels.filter(train & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
@@ -135,15 +138,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: in
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     rows = texts.join(small(chosen, chosen.count()), "id").select("label", body("text").alias("body"))
     with small_batches(spark):
-        rows = stored(rows.mapInPandas(_terms, "label int, terms array<int>"), "toxic-terms")
-    often = rows.select(F.explode("terms").alias("bucket")).groupBy("bucket").count().filter(F.col("count") >= LEAST)
-    often = often.agg(F.collect_set("bucket").alias("often"))  # at most BUCKETS numbers
-    found = rows.join(F.broadcast(often)).select("label", F.array_intersect("terms", "often").alias("found")).toPandas()
+        rows = stored(rows.mapInPandas(_terms, "label int, terms binary"), "toxic-terms")
+    found = rows.toPandas()
     discard(marked, chosen, rows)
-    found["key"] = [np.sort(np.asarray(t, "i4")).tobytes() for t in found["found"]]
-    found = found.sort_values(["key", "label"])  # the same machine whatever order the rows come in
+    found = found.sort_values(["terms", "label"])  # the same machine whatever order the rows come in
     y = found["label"].to_numpy(dtype=float)
-    return fit_machine([np.frombuffer(k, "i4") for k in found["key"]], y, np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
+    return fit_machine([np.frombuffer(k, "<i4") for k in found["terms"]], y, np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
 
 
 class _Places(dict):
