@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import embedding_dedup, exact_dedup, html_text, language_id, mixing, packing, secret_scan, sharding, simhash, toxicity
+from plumbline.llm import embedding_dedup, exact_dedup, fill_middle, html_text, language_id, line_dedup, mixing, packing, prefix_trie, secret_scan, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
-SQL: dict[str, str] = {k: v for m in (exact_dedup, embedding_dedup, mixing) for k, v in m.SQL.items()}
+SQL: dict[str, str] = {k: v for m in (exact_dedup, embedding_dedup, mixing, prefix_trie, fill_middle, line_dedup) for k, v in m.SQL.items()}
