@@ -63,8 +63,10 @@ def universe(
 
 
 def masked_universe(df: DataFrame, mask: Column) -> DataFrame:
-    """Rows of the universe, or all rows if none belongs to it."""
-    return df.withColumn("_in", mask).withColumn("_any", F.max("_in").over(Window.partitionBy())).filter("_in OR NOT _any").drop("_in", "_any")
+    """Rows of the universe, or all rows if none belongs to it. Whether any does comes from an aggregate of one row."""
+    x = df.withColumn("_in", mask)
+    found = x.agg(F.coalesce(F.max("_in"), F.lit(False)).alias("_any"))
+    return x.join(F.broadcast(found)).filter("_in OR NOT _any").drop("_in", "_any")
 
 
 def strict_gate(percentile: str = "quant_percentile", forecast: str = "ml_pred_h20", low: str = "ml_pred_h20_lo") -> Column:

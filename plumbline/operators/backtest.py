@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -88,56 +89,57 @@ def _product(x: Column) -> Column:
     return F.aggregate(x, start, lambda s, v: F.struct((s["now"] * v).alias("now"), F.concat(s["all"], F.array(s["now"] * v)).alias("all")), lambda s: s["all"])
 
 
-def equity(positions: DataFrame, bps: float) -> DataFrame:
+def equity(positions: DataFrame, bps: float, *keys: str) -> DataFrame:
     """as_of, gross, turnover, cost, net, equity, gross_equity, drawdown, from as_of, weight, ret and turnover. A loss of all leaves
-    nothing to compound. One row a rebalance."""
-    days = positions.groupBy("as_of").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.max("turnover").alias("turnover"))
+    nothing to compound. One row a rebalance; ``keys`` tell portfolios apart, here and below."""
+    days = positions.groupBy(*keys, "as_of").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.max("turnover").alias("turnover"))
     days = days.withColumn("cost", F.col("turnover") * bps / 1e4).withColumn("net", F.col("gross") - F.col("cost"))
-    one = days.agg(F.array_sort(F.collect_list(F.struct("as_of", "gross", "turnover", "cost", "net"))).alias("d"))  # a few hundred rows
+    one = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("as_of", "gross", "turnover", "cost", "net"))).alias("d"))  # a few hundred rows
     one = one.withColumns({"equity": _product(F.transform("d", lambda r: 1 + r["net"])), "gross_equity": _product(F.transform("d", lambda r: 1 + r["gross"]))})
-    days = one.select(F.explode(F.arrays_zip("d", "equity", "gross_equity")).alias("x")).select("x.d.*", "x.equity", "x.gross_equity")
-    w = Window.orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    days = one.select(*keys, F.explode(F.arrays_zip("d", "equity", "gross_equity")).alias("x")).select(*keys, "x.d.*", "x.equity", "x.gross_equity")
+    w = Window.partitionBy(*keys).orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
     return days.withColumn("drawdown", F.coalesce(ratio(F.col("equity"), F.max("equity").over(w)) - 1, F.lit(0.0)))
 
 
-def deepest(curve: DataFrame) -> DataFrame:
+def deepest(curve: DataFrame, *keys: str) -> DataFrame:
     """max_drawdown, its peak (the first highest point up to the trough), trough, and recovery: the first later point as high."""
-    rows = curve.agg(F.array_sort(F.collect_list(F.struct("as_of", "equity", "drawdown"))).alias("c"))
+    rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("as_of", "equity", "drawdown"))).alias("c"))
     rows = rows.withColumn("t", F.array_min(F.transform("c", lambda x: F.struct(x["drawdown"], x["as_of"]))))
     before = F.filter("c", lambda x: x["as_of"] <= F.col("t.as_of"))
     rows = rows.withColumn("p", F.element_at(F.array_sort(F.transform(before, lambda x: F.struct((0.0 - x["equity"]).alias("e"), x["as_of"].alias("as_of")))), 1))
     again = F.array_min(F.transform(F.filter("c", lambda x: (x["as_of"] >= F.col("t.as_of")) & (x["equity"] >= 0.0 - F.col("p.e"))), lambda x: x["as_of"]))
-    return rows.select(F.col("t.drawdown").alias("max_drawdown"), F.col("p.as_of").alias("peak"), F.col("t.as_of").alias("trough"), again.alias("recovered"))
+    return rows.select(*keys, F.col("t.drawdown").alias("max_drawdown"), F.col("p.as_of").alias("peak"), F.col("t.as_of").alias("trough"), again.alias("recovered"))
 
 
-def benchmark_returns(curve: DataFrame, levels: DataFrame, exits: DataFrame) -> DataFrame:
+def benchmark_returns(curve: DataFrame, levels: DataFrame, exits: DataFrame, *keys: str) -> DataFrame:
     """as_of, bench: between successive exits, 0 for the first. Null in all rows if any level is missing."""
-    x = curve.select("as_of").join(exits.select("as_of", "exit").distinct(), "as_of").join(levels.select(F.col("session").alias("exit"), "level"), "exit", "left")
-    w = Window.orderBy("as_of")
-    x = x.withColumns({"ret": F.coalesce(ratio(F.col("level"), F.lag("level").over(w)) - 1, F.lit(0.0)), "whole": F.count("level").over(Window.partitionBy()) == F.count(F.lit(1)).over(Window.partitionBy())})
-    return x.select("as_of", F.when(F.col("whole"), F.col("ret")).alias("bench"))
+    x = curve.select(*keys, "as_of").join(exits.select(*keys, "as_of", "exit").distinct(), [*keys, "as_of"]).join(levels.select(F.col("session").alias("exit"), "level"), "exit", "left")
+    w, all_of = Window.partitionBy(*keys).orderBy("as_of"), Window.partitionBy(*keys)
+    x = x.withColumns({"ret": F.coalesce(ratio(F.col("level"), F.lag("level").over(w)) - 1, F.lit(0.0)), "whole": F.count("level").over(all_of) == F.count(F.lit(1)).over(all_of)})
+    return x.select(*keys, "as_of", F.when(F.col("whole"), F.col("ret")).alias("bench"))
 
 
-def metrics(curve: DataFrame, trades: DataFrame, n_days: int | Column = YEAR, bench: DataFrame | None = None) -> DataFrame:
-    """One row. Deviations are of samples; hit rate and profit factor are of trades (their raw returns); a ratio whose deviation is 0
+def metrics(curve: DataFrame, trades: DataFrame, n_days: int | Column = YEAR, bench: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row a portfolio. Deviations are of samples; hit rate and profit factor are of trades (their raw returns); a ratio whose deviation is 0
     is 0, one without losses null. Returns of rebalances are annualised by 252, as days are."""
     net = F.col("net")
     year = F.lit(float(YEAR))
     steady = lambda mean, std: F.when(std == 0, 0.0).otherwise(ratio(mean, std) * F.sqrt(year))
     annual = lambda end: F.when(end <= 0, -1.0).otherwise(F.pow(F.greatest(end, F.lit(1e-300)), year / F.col("n_days")) - 1)
     loss = F.when(net < 0, net)
-    extra = curve if bench is None else curve.join(bench, "as_of", "left")
+    extra = curve if bench is None else curve.join(bench, [*keys, "as_of"], "left")
     over = net - F.col("bench") if bench is not None else F.lit(None).cast("double")
     days = F.lit(n_days) if isinstance(n_days, int) else n_days
-    x = extra.agg(
+    x = extra.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.max_by("equity", "as_of").alias("end"), F.max_by("gross_equity", "as_of").alias("gross_end"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("std"), F.stddev_samp(loss).alias("down"),
         F.min("drawdown").alias("max_drawdown"), F.avg("turnover").alias("mean_turnover"), F.sum("cost").alias("total_cost"), F.avg(over).alias("over"), F.stddev_samp(over).alias("over_std"),
     ).withColumn("n_days", F.greatest(days, F.lit(1)).cast("double"))
-    t = trades.filter("ret IS NOT NULL").agg(F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"), F.sum(F.greatest("ret", F.lit(0.0))).alias("gains"), (0.0 - F.sum(F.least("ret", F.lit(0.0)))).alias("losses"))
-    x = x.crossJoin(t).withColumns({"cagr": annual(F.col("end")), "gross_cagr": annual(F.col("gross_end"))})  # one row each
+    t = trades.filter("ret IS NOT NULL").groupBy(*keys).agg(F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"), F.sum(F.greatest("ret", F.lit(0.0))).alias("gains"), (0.0 - F.sum(F.least("ret", F.lit(0.0)))).alias("losses"))
+    x = x.join(t, list(keys), "left") if keys else x.crossJoin(t)  # one row each
+    x = x.withColumns({"cagr": annual(F.col("end")), "gross_cagr": annual(F.col("gross_end"))})
     return x.select(
-        "n", (F.col("end") - 1).alias("total_return"), "cagr", "gross_cagr", (F.col("std") * F.sqrt(year)).alias("volatility"), steady(F.col("mean"), F.col("std")).alias("sharpe"), steady(F.col("mean"), F.col("down")).alias("sortino"),
+        *keys, "n", (F.col("end") - 1).alias("total_return"), "cagr", "gross_cagr", (F.col("std") * F.sqrt(year)).alias("volatility"), steady(F.col("mean"), F.col("std")).alias("sharpe"), steady(F.col("mean"), F.col("down")).alias("sortino"),
         "max_drawdown", F.when(F.col("max_drawdown") != 0, F.col("cagr") / F.abs("max_drawdown")).alias("calmar"), "hit_rate", F.when(F.col("losses") > 0, F.col("gains") / F.col("losses")).alias("profit_factor"),
         "mean_turnover", "total_cost", (F.col("gross_cagr") - F.col("cagr")).alias("cost_drag"), (F.col("over") * year).alias("alpha"), steady(F.col("over"), F.col("over_std")).alias("information_ratio"),
     )

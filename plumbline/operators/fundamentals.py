@@ -62,8 +62,8 @@ def _zero(x: str) -> Column:
 
 def valuation(ttm: DataFrame, cap: str = "market_cap", close: str = "close") -> DataFrame:
     """Adds per, per_forward, pbr, psr, ev_ebitda, fcf_yield, dividend_yield and earnings_yield; a loss has no price multiple
-    but a negative yield."""
-    c = F.col(cap)
+    but a negative yield. A market value or a price of 0 or less counts as unknown."""
+    c, price = (F.when(F.col(x) > 0, F.col(x)) for x in (cap, close))
     return ttm.withColumns(
         {
             "per": positive_ratio(c, F.col("net_income_ttm")),
@@ -72,7 +72,7 @@ def valuation(ttm: DataFrame, cap: str = "market_cap", close: str = "close") ->
             "psr": positive_ratio(c, F.col("revenue_ttm")),
             "ev_ebitda": positive_ratio(c + _zero("total_debt") - _zero("cash_and_equiv"), F.col("ebitda_ttm")),
             "fcf_yield": ratio(F.col("operating_cf_ttm") - F.abs("capex_ttm"), c),
-            "dividend_yield": ratio(F.col("dividend_per_share_ttm"), F.col(close)),
+            "dividend_yield": ratio(F.col("dividend_per_share_ttm"), price),
             "earnings_yield": ratio(F.col("net_income_ttm"), c),
         }
     )

@@ -65,14 +65,33 @@ def returns(value: str, date_col: str) -> Column:
 
 
 def volatility_regime(levels: DataFrame, date_col: str, value: str, n: int = 20, lookback: int = 1260) -> DataFrame:
-    """One row: the latest realized volatility, the part of the last ``lookback`` ones at or below it, and its level."""
+    """One row: the latest realized volatility, the part of the last ``lookback`` ones at or below it, its level, and whether
+    that is high. Of fewer than n + 5 levels, the level is ``unknown`` and the numbers are null."""
     r, vol = realized_volatility(value, date_col, n)
-    x = levels.filter(F.col(value).isNotNull()).withColumn("r", r).withColumn("vol", vol).filter("vol IS NOT NULL")
+    known = levels.filter(F.col(value).isNotNull())
+    enough = known.agg((F.count(F.lit(1)) >= n + 5).alias("_enough"))
+    x = known.withColumn("r", r).withColumn("vol", vol).filter("vol IS NOT NULL").join(F.broadcast(enough)).filter("_enough")
     x = x.withColumn("_k", F.row_number().over(Window.orderBy(F.col(date_col).desc()))).filter(F.col("_k") <= lookback)
     x = x.agg(F.max(F.when(F.col("_k") == 1, F.col("vol"))).alias("vol"), F.collect_list("vol").alias("_all"))  # ``lookback`` numbers
     pct = ratio(F.size(F.filter("_all", lambda v: v <= F.col("vol"))).cast("double"), F.size("_all").cast("double"))
     level = F.when(F.col("percentile") >= 0.8, "high").when(F.col("percentile") >= 0.6, "elevated").when(F.col("percentile").isNotNull(), "normal").otherwise("unknown")
-    return x.select("vol", pct.alias("percentile")).withColumn("level", level)
+    return x.select("vol", pct.alias("percentile")).withColumn("level", level).withColumn("high_vol", F.col("level") == "high")
+
+
+def correlation_level(mean: Column) -> Column:
+    """Of the mean correlation of pairs; null where there is none."""
+    return F.when(mean >= 0.5, "high").when(mean <= 0.25, "low").when(mean.isNotNull(), "normal")
+
+
+def regime_snapshot(volatility: DataFrame, correlation: DataFrame, model: DataFrame, drift: DataFrame) -> DataFrame:
+    """One row of what the four judgements say, each a table of one row: volatility (vol, percentile, level, high_vol),
+    correlation (mean_correlation), model (ic_recent, percentile, degraded) and drift (n_drifted). Three drifted columns
+    ask for a new fit."""
+    v = volatility.select(F.col("vol").alias("vol"), F.col("percentile").alias("vol_percentile"), F.col("level").alias("vol_level"), "high_vol")
+    c = correlation.select("mean_correlation", correlation_level(F.col("mean_correlation")).alias("correlation_level"))
+    m = model.select("ic_recent", F.col("percentile").alias("ic_percentile"), "degraded")
+    d = drift.select("n_drifted", (F.col("n_drifted") >= 3).alias("retrain"))
+    return v.crossJoin(c).crossJoin(m).crossJoin(d)  # a row each
 
 
 def degradation(ics: DataFrame, date_col: str, recent: int = 20, year: int = 252, quantile: float = 0.10) -> DataFrame:

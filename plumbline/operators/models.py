@@ -112,11 +112,30 @@ def garch(returns: DataFrame, key: str, time: str, value: str) -> DataFrame:
 
 
 def garch_variance(returns: DataFrame, fits: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """key and variance (of returns in percent) of the next day by parameters fitted before: a fold over the returns, in the JVM."""
-    rows = returns.filter(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), (F.col(value).cast("double") * 100).alias("r")))).alias("_r"), F.var_samp(F.col(value) * 100).alias("_v"))
-    x = rows.join(fits.select(key, "alpha", "beta", "omega"), key)
-    last = F.aggregate("_r", F.col("_v"), lambda v, r: F.col("omega") + F.col("alpha") * r["r"] * r["r"] + F.col("beta") * v)
-    return x.select(key, last.alias("variance"))
+    """key and variance (of returns in percent) of the next day by parameters fitted before.
+
+    The recurrence v <- omega + alpha r^2 + beta v is affine, so that after n returns v is beta^n v0 plus the sum of
+    beta^(n-i) (omega + alpha r_i^2): a weighted sum. A return's weight hangs on how many come after it, and weights below
+    1e-18 of the first change no digit: only the latest ``_reach(beta)`` returns of a series are ranked (Spark keeps so many a
+    partition), however long it is; the start is the variance of all its returns.
+    """
+    rows = returns.filter(F.col(value).isNotNull()).select(key, F.col(time).alias("_t"), (F.col(value).cast("double") * 100).alias("_r"))
+    top = fits.agg(F.max("beta")).first()[0]
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_t").desc()))
+    late = rows.withColumn("_n", n).filter(F.col("_n") <= _reach(top)).join(fits.select(key, "alpha", "beta", "omega"), key)
+    term = F.pow("beta", F.col("_n") - 1) * (F.col("omega") + F.col("alpha") * F.col("_r") * F.col("_r"))
+    sums = late.groupBy(key).agg(F.sum(term).alias("_s"), F.max("beta").alias("_b"))
+    start = rows.groupBy(key).agg(F.var_samp("_r").alias("_v"), F.count(F.lit(1)).alias("_c"))
+    return sums.join(start, key).select(key, (F.col("_s") + F.pow("_b", "_c") * F.col("_v")).alias("variance"))
+
+
+def _reach(beta: float | None) -> int:
+    """After so many steps a weight of beta per step is below 1e-18."""
+    if not beta or beta <= 0:
+        return 1
+    if beta >= 1:
+        raise ValueError("the recurrence has beta below 1")
+    return max(1, math.ceil(math.log(1e-18) / math.log(beta)))
 
 
 def diebold_mariano(a: Sequence[float], b: Sequence[float], horizon: int = 1, hac: bool = True) -> dict:

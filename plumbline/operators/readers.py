@@ -120,9 +120,10 @@ def with_membership(docs: DataFrame, members: DataFrame | None, keys: Sequence[s
 
 
 def preferred(docs: DataFrame, members: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is a member; all rows if no key is."""
-    x = with_membership(docs, members, keys, "_in").withColumn("_any", F.max("_in").over(Window.partitionBy()))
-    return x.filter("_in OR NOT _any").drop("_in", "_any")
+    """Rows whose key is a member; all rows if no key is. Whether any is comes from an aggregate of one row."""
+    x = with_membership(docs, members, keys, "_in")
+    found = x.agg(F.coalesce(F.max("_in"), F.lit(False)).alias("_any"))
+    return x.join(F.broadcast(found)).filter("_in OR NOT _any").drop("_in", "_any")
 
 
 def cached_summary(summaries: DataFrame, prompt_hash: str, input_hash: str) -> DataFrame:

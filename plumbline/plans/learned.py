@@ -51,10 +51,17 @@ def garch_update(spark: SparkSession, sf: str) -> DataFrame:
     return M.garch_variance(o, fits, "series", "t", "r").withColumn("variance", r6("variance"))
 
 
-@query("feature_drift")
+_DRIFT = ("l_extendedprice", "l_quantity", "l_discount")
+_KS = """SELECT '{0}' AS feature, max(d) AS ks, max(n)::BIGINT AS n_first, max(m)::BIGINT AS n_second FROM (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS d, sum(a) OVER () AS n, sum(b) OVER () AS m
+  FROM (SELECT {0} AS v, count(*) FILTER (l_linenumber % 2 = 0) AS a, count(*) FILTER (l_linenumber % 2 <> 0) AS b FROM lineitem WHERE {0} IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("feature_drift", f"""WITH k AS ({' UNION ALL '.join(_KS.format(c) for c in _DRIFT)}), e AS (SELECT *, sqrt(n_first::DOUBLE * n_second / (n_first + n_second)) AS e FROM k), x AS (SELECT *, (e + 0.12 + 0.11 / e) * ks AS x FROM e),
+  p AS (SELECT *, CASE WHEN x > 0.2 THEN least(greatest(list_sum(list_transform(range(1, 30), lambda i: 2 * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * i * i * x * x))), 0), 1) ELSE 1 END AS p FROM x)
+  SELECT feature, round(ks, 6) AS ks, n_first, n_second, round(p, 6) AS p_value, n_first >= 20 AND n_second >= 20 AND p < 0.01 AS drifted FROM p""")
 def feature_drift(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "lineitem").select((F.col("l_linenumber") % 2 == 0).alias("first"), "l_extendedprice", "l_quantity", "l_discount")
-    return M.drifted(x, ["l_extendedprice", "l_quantity", "l_discount"], "first")
+    x = table(spark, sf, "lineitem").select((F.col("l_linenumber") % 2 == 0).alias("first"), *_DRIFT)
+    return M.drifted(x, _DRIFT, "first").withColumns({"ks": r6("ks"), "p_value": r6("p_value")})
 
 
 @query("group_excess", _LABELS + " SELECT count(*) AS n, round(corr(ret_4w, label), 5) AS correlation FROM l WHERE ret_4w IS NOT NULL AND label IS NOT NULL")

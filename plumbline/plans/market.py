@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from plumbline.functions.expressions import bias_corrected_kurtosis, bias_corrected_skewness, ratio
 from plumbline.operators import backtest as B, calendar as C, outcomes as O, panel as P, pit, scoring as S
 from plumbline.plans.adapter import DENSE, FILINGS, PRICES, SECTORS, dense, filings, prices, query, r6, sectors, table
+from plumbline.staging import stored
 
 AS_OF = "1999-06-30"
 #: Sessions that the scores' features look back at most.
@@ -120,7 +121,8 @@ def daily_selection(spark: SparkSession, sf: str) -> DataFrame:
     FROM panel a JOIN panel b ON a.ticker = b.ticker AND b.session_idx BETWEEN a.session_idx - 25 AND a.session_idx)
   SELECT ticker, a_idx::BIGINT AS session_idx, round(min(close / nullif(top, 0) - 1), 6) AS drawdown FROM peaks GROUP BY ALL""")
 def trailing_drawdown(spark: SparkSession, sf: str) -> DataFrame:
-    return dense(spark, sf).select("ticker", F.col("session_idx").cast("long").alias("session_idx"), r6(P.drawdown("close", 26)).alias("drawdown"))
+    x = P.trailing_drawdown(dense(spark, sf), "close", 26)
+    return x.select("ticker", F.col("session_idx").cast("long").alias("session_idx"), r6("drawdown").alias("drawdown"))
 
 
 @query("market_beta", f"""WITH {DENSE}, rets AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close) - ln(lag(close) OVER w) END AS y FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY session_idx)),
@@ -228,13 +230,21 @@ def quintile_returns(spark: SparkSession, sf: str) -> DataFrame:
     return S.quantile_bins(l, "ret_4w", ["session"]).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("label")).alias("mean_return"))
 
 
-def _positions(spark: SparkSession, sf: str, cap: float = 0.3) -> DataFrame:
-    panel = features(dense(spark, sf))
-    signals = panel.filter("ret_4w IS NOT NULL").select("session", "ticker", F.col("ret_4w").alias("score"))
-    p = prices(spark, sf)
-    target = B.targets(signals, B.periods(signals, C.sessions(p, "session"), "month"), 10)
+def _signals(p: DataFrame) -> DataFrame:
+    """Scores by session, made once."""
+    return stored(features(P.dense(p)).filter("ret_4w IS NOT NULL").select("session", "ticker", F.col("ret_4w").alias("score")), "signals")
+
+
+def _traded(p: DataFrame, cap: float = 0.3) -> DataFrame:
+    """Positions are a few hundred rows a year: they are stored, and what follows reads them alone."""
+    signals = _signals(p)
+    target = stored(B.targets(signals, B.periods(signals, C.sessions(p, "session"), "month"), 10), "targets")
     days = target.select("as_of", "entry", "exit").distinct()
-    return B.position_returns(B.turnover_capped(target, cap).join(days, "as_of"), p)
+    return stored(B.position_returns(B.turnover_capped(target, cap).join(days, "as_of"), p), "positions")
+
+
+def _positions(spark: SparkSession, sf: str) -> DataFrame:
+    return _traded(stored(prices(spark, sf), "bars"))
 
 
 _POS = f"""WITH {FEATURES}, sig AS (SELECT session, ticker, ret_4w AS score FROM features WHERE ret_4w IS NOT NULL), d AS (SELECT min(session) AS as_of FROM sig GROUP BY date_trunc('month', session)),
@@ -281,9 +291,10 @@ _STEADY = "CASE WHEN {1} = 0 THEN 0 ELSE {0} / {1} * sqrt(252) END"
   SELECT n, round(e - 1, 5) AS total_return, round(cagr, 5) AS cagr, round(gross_cagr, 5) AS gross_cagr, round(std * sqrt(252), 5) AS volatility, round({_STEADY.format('mean', 'std')}, 5) AS sharpe, round({_STEADY.format('mean', 'down')}, 5) AS sortino, round(max_drawdown, 5) AS max_drawdown,
     round(cagr / nullif(abs(max_drawdown), 0), 4) AS calmar, round(hit_rate, 5) AS hit_rate, round(profit_factor, 5) AS profit_factor, round(mean_turnover, 5) AS mean_turnover, round(total_cost, 6) AS total_cost, round(gross_cagr - cagr, 5) AS cost_drag, round(o * 252, 4) AS alpha, round({_STEADY.format('o', 'os')}, 5) AS information_ratio FROM f""")
 def backtest_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    pos = _positions(spark, sf)
-    curve = B.equity(pos, COST)
-    levels = prices(spark, sf).groupBy("session").agg(F.avg("open").alias("level"))
+    p = stored(prices(spark, sf), "bars")
+    pos = _traded(p)
+    curve = stored(B.equity(pos, COST), "curve")
+    levels = p.groupBy("session").agg(F.avg("open").alias("level"))
     m = B.metrics(curve, pos, 1000, B.benchmark_returns(curve, levels, pos))
     places = {"calmar": 4, "alpha": 4, "total_cost": 6}
     return m.select("n", *[F.round(c, places.get(c, 5)).alias(c) for c in m.columns if c != "n"])
@@ -307,9 +318,8 @@ def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("position_returns", _POS + " SELECT as_of, entry, exit, ticker, round(target, 6) AS target, round(ret, 6) AS ret FROM pos")
 def position_returns(spark: SparkSession, sf: str) -> DataFrame:
-    panel = features(dense(spark, sf))
-    signals = panel.filter("ret_4w IS NOT NULL").select("session", "ticker", F.col("ret_4w").alias("score"))
-    p = prices(spark, sf)
+    p = stored(prices(spark, sf), "bars")
+    signals = _signals(p)
     t = B.position_returns(B.targets(signals, B.periods(signals, C.sessions(p, "session"), "month"), 10), p)
     return t.select("as_of", "entry", "exit", "ticker", r6("target").alias("target"), r6("ret").alias("ret"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions import expressions as X
 from plumbline.operators import readers as R
 from plumbline.plans.adapter import PRICES, SECTORS, prices, query, r6, sectors, table
+from plumbline.sources import normalizers as N
 
 _BARS = "ticker, session, round(open, 6) AS open, round(close, 6) AS close"
 
@@ -245,5 +246,4 @@ def cards_by_issuer(spark: SparkSession, sf: str) -> DataFrame:
 @query("live_frame", f"WITH {PRICES} SELECT ticker, session, round(close - lag(close) OVER w, 6) AS change, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS change_pct FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY session)")
 def live_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Each bar's change from the ticker's bar before."""
-    prev = F.lag("close").over(Window.partitionBy("ticker").orderBy("session"))
-    return prices(spark, sf).select("ticker", "session", r6(F.col("close") - prev).alias("change"), r6(X.ratio(F.col("close"), prev) - 1).alias("change_pct"))
+    return N.live_frame(prices(spark, sf)).select("ticker", "session", r6("change").alias("change"), r6("change_pct").alias("change_pct"))

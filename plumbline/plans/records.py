@@ -235,10 +235,9 @@ def title_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("disclosures", f"""WITH t AS (SELECT o_orderkey, coalesce({_TITLE}, '') AS title FROM orders)
-  SELECT 'tdnet:20240105-' || lpad(o_orderkey::VARCHAR, 4, '0') AS doc_id, left((10000 + o_orderkey % 9000)::VARCHAR, 4) AS ticker, title FROM t WHERE o_orderkey < 10000""")
+  SELECT 'tdnet:20240105-' || CASE WHEN o_orderkey < 1000 THEN lpad(o_orderkey::VARCHAR, 4, '0') ELSE o_orderkey::VARCHAR END AS doc_id, left((10000 + o_orderkey % 9000)::VARCHAR, 4) AS ticker, title FROM t""")
 def disclosures(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderkey < 10000")  # numbers of four digits
-    p = o.select(F.col("o_orderkey").alias("seq"), F.coalesce(F.expr(_TITLE), F.lit("")).alias("title"), (10000 + F.col("o_orderkey") % 9000).cast("string").alias("code"))
+    p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.coalesce(F.expr(_TITLE), F.lit("")).alias("title"), (10000 + F.col("o_orderkey") % 9000).cast("string").alias("code"))
     return N.disclosures(p, "2024-01-05").select("doc_id", "ticker", "title")
 
 

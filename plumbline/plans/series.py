@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.operators import macro as M
-from plumbline.plans.adapter import DENSE, PRICES, dense, prices, query, r6, table
+from plumbline.plans.adapter import DENSE, PRICES, SQL, dense, prices, query, r6, table
 from plumbline.plans.daily import FX, fx
-from plumbline.plans.market import _IC, _ics
+from plumbline.plans.learned import feature_drift
+from plumbline.plans.market import _IC, _ics, sector_correlation
 
 
 @query("fx_returns", f"WITH {PRICES}, {FX} SELECT ticker, session, round(close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY session), 0) - 1, 6) AS ret, round(fx, 6) AS fx FROM prices LEFT JOIN fx USING (session)")
@@ -93,10 +94,13 @@ def model_degradation(spark: SparkSession, sf: str) -> DataFrame:
     return M.degradation(_ics(spark, sf), "session").select(r6("ic_recent").alias("ic_recent"), r6("percentile").alias("percentile"), "degraded")
 
 
-@query("regime_snapshot")
+@query("regime_snapshot", f"""SELECT v.vol, v.percentile AS vol_percentile, v.level AS vol_level, v.level = 'high' AS high_vol, c.mean_correlation, CASE WHEN c.mean_correlation >= 0.5 THEN 'high' WHEN c.mean_correlation <= 0.25 THEN 'low' WHEN c.mean_correlation IS NOT NULL THEN 'normal' END AS correlation_level,
+    m.ic_recent, m.percentile AS ic_percentile, m.degraded, d.n_drifted, d.n_drifted >= 3 AS retrain
+  FROM ({SQL['volatility_regime']}) v, ({SQL['sector_correlation']}) c, ({SQL['model_degradation']}) m, (SELECT count(*) FILTER (drifted) AS n_drifted FROM ({SQL['feature_drift']})) d""")
 def regime_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """Volatility and degradation side by side: one row."""
-    return volatility_regime(spark, sf).crossJoin(model_degradation(spark, sf))  # a row each
+    """Volatility, correlation, degradation and drift side by side: one row."""
+    drift = feature_drift(spark, sf).agg(F.count_if("drifted").alias("n_drifted"))
+    return M.regime_snapshot(volatility_regime(spark, sf).withColumn("high_vol", F.col("level") == "high"), sector_correlation(spark, sf), model_degradation(spark, sf), drift)
 
 
 def _rolling(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+from plumbline.functions.expressions import padded
 
 # Title rules in order (the first that matches gives the type), codes of filings and of periods.
 TITLE_RULES = (
@@ -102,19 +105,20 @@ def filings_list(payload: DataFrame, batch_date: str) -> DataFrame:
 
 
 def disclosures(payload: DataFrame, batch_date: str) -> DataFrame:
-    """Disclosures with an id of the batch's date and a number of four digits, and the type of their title."""
-    required(payload, "title", "seq")
-    number = F.lpad(F.col("seq").cast("int").cast("string"), 4, "0")
+    """Disclosures with an id of the batch's date and a number of at least four digits, and the type of their title. A missing
+    number counts as 0, a missing title as the empty one."""
+    number = padded(F.coalesce(first_present(payload, ["seq"], "long"), F.lit(0)).cast("string"), 4)
+    title = F.coalesce(first_present(payload, ["title"]), F.lit(""))
     return payload.select(
         F.concat(F.lit(f"tdnet:{batch_date.replace('-', '')}-"), number).alias("doc_id"), F.left(F.trim(first_present(payload, ["code"])), F.lit(4)).alias("ticker"), first_present(payload, ["company_name", "name"]).alias("name_local"),
-        title_type(F.col("title")).alias("doc_type"), "title", first_present(payload, ["disclosed_at"], "timestamp").alias("filed_at"),
+        title_type(title).alias("doc_type"), title.alias("title"), first_present(payload, ["disclosed_at"], "timestamp").alias("filed_at"),
     )
 
 
 def live_frame(bars: DataFrame) -> DataFrame:
-    """Adds change_pct against the ticker's bar before."""
+    """Adds change and change_pct against the ticker's bar before."""
     prev = F.lag("close").over(Window.partitionBy("ticker").orderBy("session"))
-    return bars.withColumn("change_pct", F.try_divide("close", prev) - 1)
+    return bars.withColumns({"change": F.col("close") - prev, "change_pct": F.try_divide("close", prev) - 1})
 
 
 def adjusted(bars: DataFrame) -> DataFrame:
@@ -157,22 +161,46 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)([?&](?:api_?key|token|access_token|subscription-key)=)[^&\s]+", "$1***")
 
 
-#: Keys of a payload that hold secrets.
-SENSITIVE = ("password", "token", "secret", "api_key", "apikey", "authorization")
+# Keys that say what somebody owns; a part of the whole in percent is allowed.
+SENSITIVE = ("quantity", "qty", "shares", "avg_cost", "average_cost", "acquisition_price", "market_value", "position_value", "total_assets", "cash", "cash_balance", "nisa", "account_type", "unrealized_pnl")
 
 
 def sensitive_fields(df: DataFrame) -> list[str]:
-    """Paths of fields, nested ones too, whose name says that they hold a secret."""
+    """Paths of fields whose whole name, in any case, is a sensitive key; structures in arrays and in maps are looked into."""
     found: list[str] = []
 
-    def walk(fields, path: str) -> None:
-        for f in fields:
-            at = f"{path}{f.name}"
-            if any(k in f.name.lower() for k in SENSITIVE):
-                found.append(at)
-            inner = getattr(f.dataType, "elementType", f.dataType)
-            if hasattr(inner, "fields"):
-                walk(inner.fields, f"{at}.")
-
-    walk(df.schema.fields, "")
+    def walk(kind: DataType, path: str) -> None:
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                at = f"{path}.{f.name}" if path else f.name
+                if f.name.lower() in SENSITIVE:
+                    found.append(at)
+                walk(f.dataType, at)
+        elif isinstance(kind, ArrayType):
+            walk(kind.elementType, f"{path}[]")
+        elif isinstance(kind, MapType):
+            walk(kind.valueType, f"{path}{{}}")
+
+    walk(df.schema, "")
     return found
+
+
+def sensitive_keys(json_text: Column) -> Column:
+    """The sensitive keys, lower-cased and in order, that a JSON text has at any depth; a null or a text that is no JSON has none.
+
+    Keys are strings that a colon follows; an escaped quote does not end one."""
+    keys = F.transform(F.regexp_extract_all(json_text, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), 1), F.lower)
+    return F.array_sort(F.array_intersect(F.coalesce(keys, F.array().cast("array<string>")), F.array(*map(F.lit, SENSITIVE))))
+
+
+def redacted_positions(positions: DataFrame, *keys: str) -> DataFrame:
+    """Each position's part of its portfolio and its gain, both in percent with one digit: what may leave. ``keys`` tell
+    portfolios apart. Missing values count as 0; a portfolio worth 0 has parts of its values themselves."""
+    value = F.coalesce(F.col("market_value").cast("double"), F.lit(0.0))
+    total = F.sum(value).over(Window.partitionBy(*keys)) if keys else None
+    if total is None:
+        whole = positions.agg(F.sum(value).alias("_total"))
+        positions, total = positions.join(F.broadcast(whole)), F.col("_total")
+    weight = value / F.when(total != 0, total).otherwise(1.0) * 100
+    gain = F.coalesce(F.col("unrealized_pnl_pct").cast("double"), F.lit(0.0))
+    return positions.select(*keys, "ticker", F.round(weight, 1).alias("weight_pct"), F.round(gain, 1).alias("unrealized_pnl_pct"))
