@@ -103,12 +103,12 @@ def equity(positions: DataFrame, bps: float, *keys: str) -> DataFrame:
 
 def deepest(curve: DataFrame, *keys: str) -> DataFrame:
     """max_drawdown, its peak (the first highest point up to the trough), trough, and recovery: the first later point as high."""
-    rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("as_of", "equity", "drawdown"))).alias("c"))
-    rows = rows.withColumn("t", F.array_min(F.transform("c", lambda x: F.struct(x["drawdown"], x["as_of"]))))
-    before = F.filter("c", lambda x: x["as_of"] <= F.col("t.as_of"))
-    rows = rows.withColumn("p", F.element_at(F.array_sort(F.transform(before, lambda x: F.struct((0.0 - x["equity"]).alias("e"), x["as_of"].alias("as_of")))), 1))
-    again = F.array_min(F.transform(F.filter("c", lambda x: (x["as_of"] >= F.col("t.as_of")) & (x["equity"] >= 0.0 - F.col("p.e"))), lambda x: x["as_of"]))
-    return rows.select(*keys, F.col("t.drawdown").alias("max_drawdown"), F.col("p.as_of").alias("peak"), F.col("t.as_of").alias("trough"), again.alias("recovered"))
+    rows = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("as_of", "equity", "drawdown"))).alias("_c"))
+    rows = rows.withColumn("_t", F.array_min(F.transform("_c", lambda x: F.struct(x["drawdown"], x["as_of"]))))
+    before = F.filter("_c", lambda x: x["as_of"] <= F.col("_t.as_of"))
+    rows = rows.withColumn("_p", F.element_at(F.array_sort(F.transform(before, lambda x: F.struct((0.0 - x["equity"]).alias("e"), x["as_of"].alias("as_of")))), 1))
+    again = F.array_min(F.transform(F.filter("_c", lambda x: (x["as_of"] >= F.col("_t.as_of")) & (x["equity"] >= 0.0 - F.col("_p.e"))), lambda x: x["as_of"]))
+    return rows.select(*keys, F.col("_t.drawdown").alias("max_drawdown"), F.col("_p.as_of").alias("peak"), F.col("_t.as_of").alias("trough"), again.alias("recovered"))
 
 
 def benchmark_returns(curve: DataFrame, levels: DataFrame, exits: DataFrame, *keys: str) -> DataFrame:

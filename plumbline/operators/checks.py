@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions import expressions as X
 
@@ -27,9 +27,39 @@ def unstable_rows(compute: Callable[[DataFrame], DataFrame], df: DataFrame, time
     return rounded(compute(df)).exceptAll(rounded(compute(with_future(df, time_col, days))))
 
 
+def unstable_columns(compute: Callable[[DataFrame], DataFrame], df: DataFrame, time_col: str, keys: Sequence[str], days: int = 10, digits: int = 9) -> DataFrame:
+    """feature, unstable: for each column of ``compute(df)`` but its ``keys`` whether any of its values up to the last date differs
+    once extreme rows of the future are there; a row that is gone or new counts for all columns.
+
+    Both results are stored and met once by key; one row of counts comes out, whatever the number of columns."""
+    from plumbline.staging import stored
+
+    last = df.agg(F.max(F.to_date(time_col)).alias("_last"))
+
+    def known(x: DataFrame) -> DataFrame:
+        return x.join(F.broadcast(last)).filter(F.to_date(time_col) <= F.col("_last")).drop("_last")  # one row
+
+    before, after = stored(known(compute(df)), "stable-before"), stored(known(compute(with_future(df, time_col, days))), "stable-after")
+    columns = [c for c in before.columns if c not in keys]
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = before.withColumn("_here", F.lit(1)).alias("a").join(after.withColumn("_here", F.lit(1)).alias("b"), same, "full_outer")
+
+    def moved(c: str) -> Column:
+        a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
+        if before.schema[c].dataType.simpleString() in ("double", "float"):
+            a, b = F.round(a, digits), F.round(b, digits)
+        return ~a.eqNullSafe(b) | F.col("a._here").isNull() | F.col("b._here").isNull()
+
+    found = both.agg(*[F.coalesce(F.max(moved(c)), F.lit(False)).alias(c) for c in columns])
+    return found.unpivot([], columns, "feature", "unstable")
+
+
 def register(spark: SparkSession, functions: dict[str, tuple[Callable, str]] | None = None) -> Sequence[str]:
-    """Functions for SQL: the library's vectorised ones, and those given as name -> (function of pandas series, type)."""
-    from plumbline.operators.retrieval import _verdicts
+    """Functions for SQL: the library's vectorised ones, the table function of chunks, and those given as name -> (function of
+    pandas series, type)."""
+    from plumbline.operators.retrieval import _verdicts, register_chunks
+
+    register_chunks(spark)
 
     made = {"citation_verdict": (_verdicts, "string"), "t_quantile": (_t_quantiles, "double")} | (functions or {})
     for name, (fn, kind) in made.items():

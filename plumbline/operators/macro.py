@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.expressions import normal_quantile, ratio
-from plumbline.session import ship
 
 
 def by_date(date_col: str, *keys: str):
@@ -23,10 +21,11 @@ def returns_on_own_dates(series: DataFrame, date_col: str, value: str, *keys: st
     return series.withColumn("ret", ratio(F.col(value), F.lag(value).over(by_date(date_col, *keys))) - 1)
 
 
-def aligned(sessions: DataFrame, series: DataFrame, date_col: str, value: str) -> DataFrame:
-    """``sessions`` with the series' value of that very date, else the last such value: values of other dates never count."""
-    x = sessions.join(series.select(date_col, F.col(value).alias("_v")), date_col, "left")
-    return x.withColumn(value, F.last("_v", ignorenulls=True).over(by_date(date_col).rowsBetween(Window.unboundedPreceding, 0))).drop("_v")
+def aligned(sessions: DataFrame, series: DataFrame, date_col: str, value: str, *keys: str) -> DataFrame:
+    """``sessions`` with the series' value of that very date, else the last such value: values of other dates never count.
+    ``keys``, which both have, tell series apart."""
+    x = sessions.join(series.select(*keys, date_col, F.col(value).alias("_v")), [*keys, date_col], "left")
+    return x.withColumn(value, F.last("_v", ignorenulls=True).over(by_date(date_col, *keys).rowsBetween(Window.unboundedPreceding, 0))).drop("_v")
 
 
 def difference(value: str, date_col: str, *keys: str) -> Column:
@@ -122,25 +121,61 @@ def arx(y: np.ndarray, x: np.ndarray | None, horizon: int, level: float = 0.95)
     return at, at - half, at + half
 
 
-def rolling_forecasts(series: DataFrame, date_col: str, value: str, exog: str | None, horizon: int, window: int = 60, least: int = 60) -> DataFrame:
+def _determinant(m: Sequence[Sequence[Column]]) -> Column:
+    if len(m) == 1:
+        return m[0][0]
+    out = F.lit(0.0)
+    for j, x in enumerate(m[0]):
+        minor = _determinant([[*row[:j], *row[j + 1 :]] for row in m[1:]])
+        out = out + x * minor if j % 2 == 0 else out - x * minor
+    return out
+
+
+def solved(m: Sequence[Sequence[Column]], v: Sequence[Column]) -> tuple[Column, list[Column]]:
+    """Determinant of a small system and its solution, null where the determinant is 0."""
+    whole = _determinant(m)
+    return whole, [F.try_divide(_determinant([[v[i] if k == j else x for k, x in enumerate(row)] for i, row in enumerate(m)]), whole) for j in range(len(v))]
+
+
+def rolling_forecasts(series: DataFrame, date_col: str, value: str, exog: str | None, horizon: int, window: int = 60, least: int = 60, keys: Sequence[str] = ()) -> DataFrame:
     """origin, actual, walk and model at each of the last ``window`` origins with ``least`` points before and ``horizon`` after: the
-    last level, and an autoregression of the logarithm with ``exog``, fitted anew on all that is known then.
+    last level, and an autoregression of the logarithm's differences with ``exog``, fitted anew on all that is known then.
 
-    Each origin is a row with its own history as arrays, so origins are spread over tasks.
+    An origin's normal equations are sums of products over all rows up to it: running sums, so that the work is linear in the
+    length of a series and a row carries a few numbers, not its history. They are solved in closed form; where ``exog``
+    never varies, without it. ``keys`` tell series apart; the last known value of ``exog`` is held, an unknown one counts as 0.
     """
-    ship(series.sparkSession)
-    past = Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, 0)
-    x = series.filter(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(Window.orderBy(date_col))).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
-    held = F.last(exog, ignorenulls=True).over(past) if exog else F.lit(None).cast("double")
-    x = x.withColumn("_x", held).withColumns({"y": F.collect_list(F.col(value).cast("double")).over(past), "x": F.collect_list(F.coalesce(F.col("_x").cast("double"), F.lit(0.0))).over(past), "actual": F.lead(value, horizon).over(Window.orderBy(date_col)).cast("double")})
+    order = Window.partitionBy(*keys).orderBy(date_col)
+    past = order.rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce(F.last(F.col(exog).cast("double"), ignorenulls=True).over(past), F.lit(0.0)) if exog else F.lit(0.0)
+    x = series.filter(F.col(value).isNotNull())
+    x = x.select(*keys, date_col, F.col(value).cast("double").alias("_v"), F.ln(F.col(value).cast("double")).alias("_y"), held.alias("_x"), F.row_number().over(order).alias("_n"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_all"))
+    x = x.withColumns({"_d": F.col("_y") - F.lag("_y").over(order), "actual": F.lead("_v", horizon).over(order)})
+    x = x.withColumn("_l", F.lag("_d").over(order))
+    terms = {"1": F.lit(1.0), "l": F.col("_l"), "x": F.col("_x"), "d": F.col("_d")}
+    names = list(terms)
+    pair = lambda p, q: f"_s{min(p, q, key=names.index)}{max(p, q, key=names.index)}"
+    ready = F.col("_l").isNotNull()
+    x = x.withColumns({pair(p, q): F.sum(F.when(ready, terms[p] * terms[q])).over(past) for i, p in enumerate(names) for q in names[i:]})
     x = x.filter((F.col("_n") >= least) & (F.col("_n") > F.col("_all") - horizon - window) & F.col("actual").isNotNull())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [arx(np.log(np.asarray(y, float)), np.asarray(e, float) if exog else None, horizon)[0] for y, e in zip(b["y"], b["x"])]
-            yield pd.DataFrame({"origin": b["origin"], "actual": b["actual"], "walk": [float(y[-1]) for y in b["y"]], "model": np.exp(out)})
-
-    return x.select(F.col(date_col).cast("string").alias("origin"), "actual", "y", "x").mapInPandas(run, "origin string, actual double, walk double, model double")
+    def fit(regressors: Sequence[str]) -> tuple[Column, list[Column]]:
+        return solved([[F.col(pair(p, q)) for q in regressors] for p in regressors], [F.col(pair(p, "d")) for p in regressors])
+
+    small, beta = fit(["1", "l"])
+    c, phi, k = beta[0], beta[1], F.lit(0.0)
+    if exog:
+        large, with_x = fit(["1", "l", "x"])
+        spread = F.col("_s11") * F.col("_sxx") - F.col("_s1x") * F.col("_s1x")
+        varies = (spread > 1e-12 * F.col("_s11") * F.col("_sxx")) & (F.abs(large) > 0)
+        c, phi, k = (F.when(varies, w).otherwise(o) for w, o in zip(with_x, (c, phi, k)))
+    flat = small == 0  # differences that never vary go on as they are
+    x = x.withColumns({"_c": F.when(flat, F.col("_s1d") / F.col("_s11")).otherwise(c), "_phi": F.when(flat, 0.0).otherwise(phi), "_k": F.when(flat, 0.0).otherwise(k)})
+    drift, move, total = F.col("_c") + F.col("_k") * F.col("_x"), F.col("_d"), F.lit(0.0)
+    for _ in range(horizon):
+        move = drift + F.col("_phi") * move
+        total = total + move
+    return x.select(*keys, F.col(date_col).cast("string").alias("origin"), "actual", F.col("_v").alias("walk"), F.exp(F.col("_y") + total).alias("model"))
 
 
 def directional_accuracy(errors: DataFrame) -> DataFrame:

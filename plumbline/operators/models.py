@@ -252,6 +252,23 @@ def drifted(df: DataFrame, columns: Sequence[str], first: str, least: int = 20,
     return out.select("feature", "ks", "n_first", "n_second", value.alias("p_value"), F.coalesce((n >= least) & (m >= least) & (value < p), F.lit(False)).alias("drifted"))
 
 
+def propose_weights(rows: DataFrame, columns: dict[str, str], excess: str, current: dict[str, float], ridge: float = 1.0, least: int = 100) -> dict[str, float] | None:
+    """``proposed_weights`` of a ridge regression without intercept of ``excess`` on the groups' scores; ``columns`` is group -> column.
+    Unknown scores and returns count as 0, but known returns must be ``least``; one row of sums reaches the driver."""
+    groups = [g for g in current if g in columns and columns[g] in rows.columns]
+    if not groups:
+        return None
+    x = [F.coalesce(F.col(columns[g]).cast("double"), F.lit(0.0)) for g in groups]
+    y = F.coalesce(F.col(excess).cast("double"), F.lit(0.0))
+    k = len(groups)
+    row = rows.agg(F.count(excess).alias("n"), *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(x[i] * y).alias(f"y{i}") for i in range(k)]).first()
+    if row["n"] < least:
+        return None
+    m = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) + ridge * np.eye(k)
+    beta = np.linalg.solve(m, np.array([row[f"y{i}"] for i in range(k)], float))
+    return proposed_weights(dict(zip(groups, map(float, beta))), {g: current[g] for g in groups}, row["n"], least)
+
+
 def proposed_weights(coefficients: dict[str, float], current: dict[str, float], n: int, least: int = 100) -> dict[str, float] | None:
     """Non-negative and normalised, halfway to the new ones; a column that would move by over 0.10 only a fifth of the way; then
     normalised again. None with fewer than 100 cases or without a positive coefficient."""

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from plumbline.functions.expressions import cosine
 from plumbline.session import ship
@@ -55,19 +57,16 @@ def vector_top_each(chunks: DataFrame, queries: DataFrame, k: int, id_col: str,
     score, nth. Scores are rounded to ``DIGITS`` places, ties by id; ``cosine`` says when a score is 0.
 
     Blocks of queries meet tiles of rows in numpy; a pair leaves k rows a query, and these are ranked once more. All queries
-    are compared with all rows.
+    are compared with all rows; ``vector_index`` compares them with the lists that they are near to. Spark bounds the bytes
+    of an Arrow batch, so that no setting of the session is touched.
     """
-    spark = chunks.sparkSession
-    ship(spark)
+    ship(chunks.sparkSession)
 
     def packed(df: DataFrame, size: int, ids: str, vectors: str) -> DataFrame:
         n = max(1, -(-df.count() // size))
         x = F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.transform(vector_col, lambda v: v.cast("double")), F.array().cast("array<double>")).alias("v"))
         return df.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("cell")).agg(F.collect_list(x).alias("x")).select(F.col("x.id").alias(ids), F.col("x.v").alias(vectors))
 
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 16:  # a row is a block and a tile
-        spark.conf.set(key, "16")
     pairs = packed(chunks, tile, "ids", "v").crossJoin(packed(queries, block, "queries", "q"))
     found = pairs.mapInPandas(_best(k), "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
@@ -110,58 +109,106 @@ def token_estimate(text: str) -> int:
     return max(1, (len(text) + 1) // 2)
 
 
-_TABLE, _HEADING = re.compile(r"\s*\|.*\|\s*$|.*\t.*\t"), re.compile(r"\s*(#{1,6}\s+\S|第[0-9一二三四五六七八九十]+|[0-9]+[.．、]\s*\S{1,40}$|【.+】\s*$)")
+# What a heading's words make of its section, in this order, and what begins a heading.
+SECTIONS = (
+    (r"事業等のリスク|Item\s*1A|Risk Factors", "risk_factors"),
+    (r"経営者による財政状態|Item\s*7|MD&A|Management'?s Discussion", "mdna"),
+    (r"業績等の概要|経営成績|Results of Operations", "results"),
+    (r"今後の見通し|次期の業績予想|Outlook|Guidance", "outlook"),
+    (r"財務諸表|Financial Statements", "financials"),
+    (r"重要な会計上の見積り|Critical Accounting", "accounting_estimates"),
+)
+HEADING = r"^(?:#{1,3}\s+|[第]?[0-9一二三四五六七八九十]+[章節条項]\s*|Item\s+[0-9]+[A-Z]?\.?\s+)"
+LONGEST_HEADING, OTHER = 40, "other"
+_SECTIONS = [(re.compile(x, re.IGNORECASE), name) for x, name in SECTIONS]
+_HEADING, _RULE, _SENTENCE = re.compile(HEADING, re.IGNORECASE), re.compile(r"\s*[-+]{3,}"), re.compile(r"(?<=。)")
+
+
+def section_of(text: str) -> str:
+    """The section that the first 800 characters name."""
+    return next((name for x, name in _SECTIONS if x.search(text[:800])), OTHER)
+
+
+def _kind(line: str) -> str:
+    return "table" if "|" in line or _RULE.match(line) else "text" if line.strip() else ""
+
+
+def blocks(text: str) -> list[str]:
+    """Runs of lines of one kind: tables (a line with a bar or one that begins with a rule) and paragraphs between blank lines."""
+    runs = ("\n".join(lines).strip() for kind, lines in itertools.groupby(text.replace("\r\n", "\n").split("\n"), _kind) if kind)
+    return [r for r in runs if r]
+
+
+def heading(block: str) -> str | None:
+    """The section that a block begins if its first line is a heading: short, no sentence, marked or named as one."""
+    line = block.splitlines()[0]
+    if len(line) > LONGEST_HEADING or "。" in line or not (_HEADING.search(line) or section_of(line) != OTHER):
+        return None
+    return section_of(line)
+
+
+def pieces(block: str, most: int) -> list[str]:
+    """The block itself, or if it is a paragraph of more tokens its sentences, as many to a piece as fit. No sentence is cut."""
+    if "|" in block or token_estimate(block) <= most:
+        return [block]
+    out: list[str] = []
+    for sentence in filter(None, map(str.strip, _SENTENCE.split(block))):
+        if out and token_estimate(out[-1] + sentence) <= most:
+            out[-1] += sentence
+        else:
+            out.append(sentence)
+    return out or [block]
+
+
+def _tail(parts: list[str], overlap: int) -> list[str]:
+    """The last parts, as few as have ``overlap`` tokens together."""
+    sums = itertools.accumulate(token_estimate(p) for p in reversed(parts))
+    n = next((k for k, total in enumerate(sums, 1) if total >= overlap), len(parts))
+    return parts[-n:]
+
+
+def chunk_text(text: str | None, most: int = 1000, overlap: int = 150) -> list[dict]:
+    """section and text of each chunk: pieces of one section up to ``most`` tokens, blank lines between. A heading starts a
+    section and is no part of its text; a chunk begins with the tail of the one before it in its section, which may
+    take it beyond ``most``, and so may a piece that cannot be cut."""
+    out: list[dict] = []
+    section, now = OTHER, []
+
+    def close() -> None:
+        if now:
+            out.append({"section": section, "text": "\n\n".join(now).strip()})
+
+    for block in blocks((text or "").strip()):
+        name = heading(block)
+        if name is not None:
+            close()
+            section, now = name, []
+            continue
+        for piece in pieces(block, most):
+            if now and sum(map(token_estimate, now)) + token_estimate(piece) > most:
+                close()
+                now = _tail(now, overlap)
+            now.append(piece)
+    close()
+    return out
 
 
-def chunk_text(text: str, most: int = 1000, overlap: int = 150) -> list[dict]:
-    """Chunks of whole blocks up to ``most`` tokens: table rows stay together, a heading starts a new section, a text block
-    that is too long is cut after sentence ends, and a chunk repeats the last blocks of the one before it up to ``overlap``."""
-    blocks: list[tuple[str, str, bool]] = []
-    section, rows = "", []
+class Chunks:
+    """The table function ``chunks(TABLE(...))``: a row of doc_id and text makes its chunks' rows."""
 
-    def flush() -> None:
-        if rows:
-            blocks.append((section, "\n".join(rows), True))
-            rows.clear()
+    def eval(self, row: Row) -> Iterator[tuple]:
+        for k, c in enumerate(chunk_text(row["text"])):
+            yield str(row["doc_id"]), k, c["section"], c["text"], token_estimate(c["text"])
 
-    for line in (text or "").split("\n"):
-        if _TABLE.match(line):
-            rows.append(line)
-            continue
-        flush()
-        if _HEADING.match(line):
-            section = line.strip("# \t【】")
-            blocks.append((section, line.strip(), False))
-        elif line.strip():
-            parts = [line.strip()]
-            if token_estimate(line) > most:
-                parts = [p for p in re.split(r"(?<=[。.!?])\s*", line.strip()) if p]
-                parts = [p[i : i + 2 * most - 1] for p in parts for i in range(0, len(p), 2 * most - 1)]
-            blocks += [(section, p, False) for p in parts]
-    flush()
-    out, now, size, fresh = [], [], 0, False
-    for sec, block, _ in blocks:
-        n = token_estimate(block)
-        if now and (sec != now[0][0] or size + n > most):
-            if fresh:
-                out.append({"section": now[0][0], "text": "\n".join(b for _, b in now)})
-            back: list[tuple[str, str]] = []
-            if sec == now[0][0]:
-                for item in reversed(now):
-                    if sum(token_estimate(b) for _, b in back) >= overlap or sum(token_estimate(b) for _, b in back) + token_estimate(item[1]) + n > most:
-                        break
-                    back.insert(0, item)
-            now, size, fresh = back, sum(token_estimate(b) for _, b in back), False
-        now.append((sec, block))
-        size += n
-        fresh = True
-    if fresh:
-        out.append({"section": now[0][0], "text": "\n".join(b for _, b in now)})
-    return out
+
+def register_chunks(spark: SparkSession, name: str = "chunks") -> None:
+    """``SELECT * FROM chunks(TABLE(SELECT doc_id, text FROM ...))``, in Arrow batches."""
+    ship(spark)
+    spark.udtf.register(name, F.udtf(Chunks, returnType="doc_id string, chunk_no int, section string, text string, n_tokens int", useArrow=True))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1000, overlap: int = 150) -> DataFrame:
-    """id, chunk_no, chunk_id (``id#no``), section, text, n_tokens."""
+    """id, chunk_no, chunk_id (``id#no``), section, text, n_tokens. Whole texts; blank and null ones have no chunks."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -172,9 +219,6 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
                 columns=["id", "chunk_no", "section", "text", "n_tokens"],
             )
 
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(docs.sparkSession.conf.get(key)) > 256:  # whole texts
-        docs.sparkSession.conf.set(key, "256")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInPandas(run, f"id {kind}, chunk_no int, section string, text string, n_tokens int")
     return rows.select(F.col("id").alias(id_col), "chunk_no", F.concat_ws("#", "id", "chunk_no").alias("chunk_id"), "section", "text", "n_tokens")
 
@@ -194,13 +238,42 @@ def citation_verdict(quote: str | None, source: str | None, least: float = 0.9)
     width = max(len(q), 8)
     m = difflib.SequenceMatcher(autojunk=False)
     m.set_seq2(q)
-    for i in range(0, max(1, len(s) - width + 1), max(1, width // 4)):
+    for i in _windows(s, q, width, max(1, width // 4), least):
         m.set_seq1(s[i : i + width])
-        if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
+        if m.ratio() >= least:
             return "VERIFIED_FUZZY"
     return "QUOTE_NOT_FOUND"
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
+
+
+def _windows(s: str, q: str, width: int, step: int, least: float) -> list[int]:
+    """The starts of the windows of ``s`` whose ratio with ``q`` can be ``least``.
+
+    A ratio of r means r (n + k) / 2 matched characters: the window has so many of the quote's characters, counted with
+    repeats, which running counts tell for all windows at once; and it shares at least 3 m - n - k - 1 pairs of neighbours,
+    since matched characters stand in blocks with an unmatched one between. Both take time in proportion to the source.
+    """
+    x = _codes(s)
+    starts = np.arange(0, max(1, len(x) - width + 1), step)
+    ends = np.minimum(starts + width, len(x))
+    size = ends - starts + len(q)
+    need = np.ceil(least * size / 2 - 1e-9)
+    common = np.zeros(len(starts))
+    for char, n in zip(*np.unique(_codes(q), return_counts=True)):
+        run = np.concatenate([[0], np.cumsum(x == char)])
+        common += np.minimum(run[ends] - run[starts], n)
+    pairs = Counter(zip(q, q[1:]))
+    out = []
+    for i, m, t in zip(starts[common >= need].tolist(), need[common >= need].tolist(), size[common >= need].tolist()):
+        window = s[i : i + width]
+        if sum((Counter(zip(window, window[1:])) & pairs).values()) >= 3 * m - t - 1:
+            out.append(i)
+    return out
+
+
 def _verdicts(quotes: pd.Series, sources: pd.Series) -> pd.Series:
     return pd.Series([citation_verdict(q, s) for q, s in zip(quotes, sources)], dtype=object)
 

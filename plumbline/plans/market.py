@@ -183,7 +183,7 @@ def securities_as_of(spark: SparkSession, sf: str) -> DataFrame:
   SELECT o.o_orderkey, o.ticker, o.session, round(p.close, 3) AS close FROM o ASOF LEFT JOIN prices p ON o.ticker = p.ticker AND o.session >= p.session""")
 def asof_price_of_order(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("ticker"), F.to_date("o_orderdate").alias("session"))
-    return pit.asof_join(o, prices(spark, sf), ["ticker"], "session", ["close"]).withColumn("close", F.round("close", 3))
+    return pit.asof_join_sliced(o, prices(spark, sf), ["ticker"], "session", ["close"]).withColumn("close", F.round("close", 3))
 
 
 @query("forward_labels", f"""WITH {DENSE}, {SECTORS}, l AS (SELECT ticker, session, CASE WHEN lead(open, 1) OVER w > 0 THEN lead(open, 5) OVER w / lead(open, 1) OVER w - 1 END AS label FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY session_idx))

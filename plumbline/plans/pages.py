@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from plumbline.operators import calendar as C, models as M, readers as R, scoring as S
 from plumbline.plans.adapter import prices, query, r6, table
 from plumbline.plans.daily import COLUMNS, ROWS, _panel_features
-from plumbline.plans.learned import _LABELS, _labelled
+from plumbline.plans.learned import _LABELS, _labelled, walk_sql
+from plumbline.staging import stored
 
 SHOWN = {"momentum": "ret_20d", "trend": "dist_from_ma200", "volatility": "realized_vol_60d", "liquidity": "adv_20d", "size": "turnover_ratio", "high": "price_to_52w_high", "range": "bb_pct_b_20"}
 
@@ -49,13 +50,15 @@ def retrain_ic(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("n_dates", r6("ic_mean").alias("ic_mean"))
 
 
-@query("retrain_run")
+@query("retrain_run", walk_sql(("ret_4w", "vol_13w"), 20, 5, 10, 20) + ", fo AS (SELECT split_id, avg(ic) AS ic FROM ics GROUP BY 1) SELECT split_id, round(ic, 6) AS ic, count(*) OVER () AS n_folds, round(avg(ic) OVER (), 6) AS rank_ic FROM fo")
 def retrain_run(spark: SparkSession, sf: str) -> DataFrame:
-    """A run's row: folds of the purged walk, their mean rank correlations, and the mean of all."""
+    """Folds of the purged walk, their mean rank correlations, and the mean of all."""
     splits = C.purged_splits(C.sessions(prices(spark, sf), "session"), n_splits=4, horizon=20, embargo=5, test=10, min_train=20)
     ics = M.walk_forward_ic(_labelled(spark, sf), splits, ["ret_4w", "vol_13w"], "label")
     folds = ics.groupBy("split_id").agg(F.avg("ic").alias("ic"))
-    return folds.agg(F.sort_array(F.collect_list(F.struct("split_id", "ic")))["ic"].alias("fold_rank_ic"), F.count(F.lit(1)).alias("n_folds"), F.avg("ic").alias("rank_ic"))
+    folds = stored(folds, "folds")  # a row a split
+    run = folds.agg(F.count(F.lit(1)).alias("n_folds"), r6(F.avg("ic")).alias("rank_ic"))
+    return folds.withColumn("ic", r6("ic")).crossJoin(run)
 
 
 @query("weekly_review", """SELECT date_trunc('week', o_orderdate)::DATE AS week, o_orderpriority AS conviction, count(*) AS n, round(avg((o_totalprice > 150000)::INT), 6) AS hit_rate, round(avg(o_totalprice) / 1000, 1) AS mean_excess FROM orders GROUP BY 1, 2""")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from plumbline.operators import macro as M
 from plumbline.plans.adapter import DENSE, PRICES, SQL, dense, prices, query, r6, table
 from plumbline.plans.daily import FX, fx
+from plumbline.staging import stored
 from plumbline.plans.learned import feature_drift
 from plumbline.plans.market import _IC, _ics, sector_correlation
 
@@ -109,19 +110,39 @@ def _rolling(spark: SparkSession, sf: str) -> DataFrame:
     return M.rolling_forecasts(x, "session", "level", "dx", 5)
 
 
-@query("rolling_forecasts", _LEVEL + """, n AS (SELECT session, level, row_number() OVER (ORDER BY session) AS n, count(*) OVER () AS c, lead(level, 5) OVER (ORDER BY session) AS actual FROM lv WHERE level IS NOT NULL)
-  SELECT session::VARCHAR AS origin, round(actual, 6) AS actual, round(level, 6) AS walk FROM n WHERE n >= 60 AND n > c - 65 AND actual IS NOT NULL""")
+_SUMS = ", ".join(f"sum({p} * {q}) FILTER (l IS NOT NULL) OVER w AS s{i}{j}" for i, p in enumerate(("1.0::DOUBLE", "l", "x", "dd")) for j, q in enumerate(("1.0::DOUBLE", "l", "x", "dd")) if i <= j)
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+
+
+def _solved(k: int) -> str:
+    """Cramer's rule for the regression of dd on 1, l and x."""
+    m, v = ["s00", "s01", "s02", "s01", "s11", "s12", "s02", "s12", "s22"], ["s03", "s13", "s23"]
+    return f"{_DET.format(*[v[i // 3] if i % 3 == k else c for i, c in enumerate(m)])} / {_DET.format(*m)}"
+
+
+_STEPS = ["d1 AS (SELECT *, c + k * x + phi * dd AS m1 FROM b)"] + [f"d{h} AS (SELECT *, c + k * x + phi * m{h - 1} AS m{h} FROM d{h - 1})" for h in range(2, 6)]
+#: The same in SQL: level, its logarithm's difference dd, the one before l, and the held difference x of the currency.
+FX_LEVEL = "SELECT date_trunc('week', o_orderdate)::DATE AS session, avg(o_totalprice) AS level FROM orders GROUP BY 1"
+ROLLING = _LEVEL + f""", al AS (SELECT session, level, last_value(f.fxl IGNORE NULLS) OVER (ORDER BY session ROWS UNBOUNDED PRECEDING) AS xl FROM lv LEFT JOIN (SELECT session, level AS fxl FROM ({FX_LEVEL})) f USING (session)),
+  dx AS (SELECT session, level, coalesce(xl - lag(xl) OVER (ORDER BY session), 0) AS dx FROM al), y AS (SELECT session, level, ln(level) AS y, coalesce(last_value(dx IGNORE NULLS) OVER (ORDER BY session ROWS UNBOUNDED PRECEDING), 0) AS x, row_number() OVER (ORDER BY session) AS n, count(*) OVER () AS cnt, lead(level, 5) OVER (ORDER BY session) AS actual FROM dx WHERE level IS NOT NULL),
+  dd AS (SELECT *, y - lag(y) OVER (ORDER BY n) AS dd FROM y), l AS (SELECT *, lag(dd) OVER (ORDER BY n) AS l FROM dd), s AS (SELECT *, {_SUMS} FROM l WINDOW w AS (ORDER BY n ROWS UNBOUNDED PRECEDING)),
+  b AS (SELECT *, {_solved(0)} AS c, {_solved(1)} AS phi, {_solved(2)} AS k FROM s WHERE n >= 60 AND n > cnt - 65 AND actual IS NOT NULL), {", ".join(_STEPS)},
+  rolled AS (SELECT session::VARCHAR AS origin, actual, level AS walk, exp(y + m1 + m2 + m3 + m4 + m5) AS model FROM d5)"""
+
+
+@query("rolling_forecasts", ROLLING + " SELECT origin, round(actual, 6) AS actual, round(walk, 6) AS walk, round(model, 5) AS model FROM rolled")
 def rolling_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """The origins, what came, and the random walk; the model's forecasts are tested on their own."""
-    return _rolling(spark, sf).select("origin", r6("actual").alias("actual"), r6("walk").alias("walk"))
+    """The origins, what came, the random walk and the model."""
+    return _rolling(spark, sf).select("origin", r6("actual").alias("actual"), r6("walk").alias("walk"), F.round("model", 5).alias("model"))
 
 
-@query("forecast_comparison")
+@query("forecast_comparison", ROLLING + " SELECT round(avg(pow(actual - model, 2)), 5) AS mse_model, round(avg(pow(actual - walk, 2)), 5) AS mse_walk, round(avg(CASE WHEN sign(actual - walk) = 0 THEN 0.5 ELSE (sign(actual - walk) = sign(model - walk))::INT END), 6) AS accuracy, count(*) AS n FROM rolled")
 def forecast_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Both models' squared errors, and how often the model has the side."""
-    x = _rolling(spark, sf)
+    x = stored(_rolling(spark, sf), "forecasts")
     sides = M.directional_accuracy(x)
-    return x.agg(F.avg(F.pow(F.col("actual") - F.col("model"), 2)).alias("mse_model"), F.avg(F.pow(F.col("actual") - F.col("walk"), 2)).alias("mse_walk")).crossJoin(sides)
+    mse = x.agg(F.round(F.avg(F.pow(F.col("actual") - F.col("model"), 2)), 5).alias("mse_model"), F.round(F.avg(F.pow(F.col("actual") - F.col("walk"), 2)), 5).alias("mse_walk"))
+    return mse.crossJoin(sides.withColumn("accuracy", r6("accuracy")))  # a row each
 
 
 @query("latest_observations", f"WITH {MACRO}, f AS (SELECT 'us10' AS series, d, value FROM us10 UNION ALL SELECT 'jp10', d, value FROM jp10) SELECT series, d, round(value, 6) AS value FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY d DESC) <= 5")

@@ -219,8 +219,8 @@ def test_vendor_payloads(spark, tmp_path):
     (tmp_path / "t.csv").write_text("ticker,shares\n7203,100\n,5\n6758,many\n")
     good, bad = sinks.read_csv(spark, str(tmp_path / "t.csv"), "ticker string, shares int", ["ticker", "shares"])
     assert [r.ticker for r in good.collect()] == ["7203"] and bad.count() == 2
-    nested = spark.createDataFrame([(1, ("x", 2))], "id int, login struct<api_key:string,n:int>")
-    assert normalizers.sensitive_fields(nested) == ["login.api_key"]
+    nested = spark.createDataFrame([(1, ("x", 2))], "id int, held struct<quantity:string,n:int>")
+    assert normalizers.sensitive_fields(nested) == ["held.quantity"]
 
 
 def test_small_readers(spark):

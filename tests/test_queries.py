@@ -7,8 +7,10 @@ from plumbline import catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_query(name, spark, small, duck, rows):
-    found = catalog.QUERIES[name](spark, small).toPandas()
+def test_query(name, spark, small, duck, rows, tmp_path):
+    """The result can be written: no two columns share a name."""
+    catalog.QUERIES[name](spark, small).write.parquet(f"{tmp_path}/out")
+    found = spark.read.parquet(f"{tmp_path}/out").toPandas()
     assert len(found)
     if name in catalog.SQL:
         assert rows(found) == rows(duck.execute(catalog.SQL[name]).df())
