@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.session import ship
+from plumbline.staging import discard, keep, scratch, stored, work_dir  # noqa: F401  operators take them from here
 
 #: A hot key (a text, a fingerprint, a length) is dealt over so many cells at least, and rows a cell takes when it is all rows.
 SALTS, SALT_ROWS = 64, 100_000
@@ -25,69 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Only a local session may do without: it gets a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage, is computed once, and outlives executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    sc = spark.sparkContext  # PySpark has no call of its own that deletes a folder of the shared file system
-    for path in paths:
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that no plan reads any more: what was made of them is stored itself."""
-    for t in tables:
-        _delete(t.sparkSession, [t.stored_at])
-        if t.stored_at in _made:
-            _made.remove(t.stored_at)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at the end, the tables stored inside but for those that ``keep`` names."""
-    first = len(_made)
-    try:
-        yield
-    finally:
-        _delete(spark, _made[first:])
-        del _made[first:]
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """A stored table that the surrounding ``scratch`` leaves in place."""
-    _made.remove(df.stored_at)
-    return df
-
-
 def range_partitions(spark: SparkSession, total_bytes: int) -> int:
     """A number of partitions that follows the data; at least one a core, and as many as the session has for shuffles."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // PARTITION_BYTES))
 
 
+def running(df: DataFrame, order: Sequence[Column | str], sums: Mapping[str, Column], name: str) -> DataFrame:
+    """``df`` with nth, its number from 1 in a total ``order``, and the running ``sums``, each with the row itself. Rows lie in range
+    partitions; only a row of totals for each partition passes a single task."""
+    rows = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    rows = stored(rows.select("*", *[x.alias(f"_s_{c}") for c, x in sums.items()], F.lit(1).cast("long").alias("_s_nth"), F.spark_partition_id().alias("_part")), name)
+    names = [*sums, "nth"]
+    here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("_part").agg(*[F.sum(f"_s_{c}").alias(f"_s_{c}") for c in names])
+    cells = cells.select("_part", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in names])
+    out = rows.select("*", *[F.sum(f"_s_{c}").over(here).alias(f"_r_{c}") for c in names]).join(F.broadcast(cells), "_part")  # a row a partition
+    return out.select(*df.columns, *[(F.col(f"_r_{c}") + F.col(f"_b_{c}")).alias(c) for c in names])
+
+
 def salts_for(rows: int) -> int:
     """Cells of a hot key: with a third of all rows on one key a cell has fewer than SALT_ROWS."""
     return max(SALTS, rows // SALT_ROWS)

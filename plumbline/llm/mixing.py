@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plumbline.llm.common import body, stored, table
+from plumbline.llm.common import body, range_partitions, running, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: A slice of the shuffle order or of virtual time holds about so many rows; there are at least LEAST slices.
+#: A partition of the shuffle order or a slice of virtual time holds about so many rows; there are at least LEAST slices.
 ROWS, LEAST = 20_000, 256
 
 
@@ -31,10 +31,12 @@ def mix_sources(
     virtual finish time is its source's cumulative size up to it, divided by the target; all copies in that order are
     taken until the budget is spent, the last one in part. ``taken`` counts a document's words, repeats included.
 
-    A hot source is cut into slices of its shuffle order and virtual time into slices of their own: running sums are made
-    within slices and added to the sums of earlier slices. Only the sources (a few numbers each) and the slices' sums
-    (one row for some 20,000 documents) pass a single task. Null and blank texts have size 0 and are never taken; ids may repeat or be null.
-    An empty table gives an empty result. Reruns agree.
+    The shuffle order lies in range partitions, whose splitters are sampled, so that a hot source or a repeated id is cut;
+    virtual time is cut into slices of its own. Running sums are made within both and added to the sums of what is earlier.
+    Sources, however many, are numbered and summed in the same way. Only the sums of partitions and slices (a row for some
+    20,000 documents) pass a single task. Null and blank texts have size 0: they are never taken and do not queue. Ids may
+    repeat or be null: the order goes on by id and a digest of the text, and rows that agree in these are interchangeable, so that
+    reruns agree whatever the order or the partitions of the rows. An empty table gives an empty result.
     """
     if not 0 < share <= repeat or not weights or min(weights) <= 0:
         raise ValueError("share lies in (0, repeat]; weights are positive")
@@ -44,52 +46,55 @@ def mix_sources(
         F.col(id_col).alias("id"),
         F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")).alias("skey"),
         F.regexp_count(body(text_col), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(body(text_col)).alias("mark"),
     )
-    rows = stored(rows, "mix-sizes")
-    slices = max(LEAST, rows.count() // ROWS)
+    rows = stored(rows.select("*", key.alias("key"), F.monotonically_increasing_id().alias("copy")), "mix-sizes")
+    n = rows.count()
+    slices = max(LEAST, n // ROWS)
 
     # The water level is the largest of the levels found when the sources with the lowest caps are taken as capped.
-    by_cap = Window.orderBy("cap_level", "skey")
-    before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.row_number().over(Window.orderBy("skey")) - 1) % len(weights) + 1).cast("int"))
-    targets = (
-        rows.groupBy("skey")
-        .agg(F.sum("size").alias("source_size"))
-        .select("*", w.alias("w"))
-        .select("*", (F.col("source_size") * repeat / F.col("w")).alias("cap_level"), (F.sum("source_size").over(everything) * share).alias("budget"))
-        .select("*", ((F.col("budget") - F.coalesce(F.sum(F.col("source_size") * repeat).over(before), F.lit(0))) / F.sum("w").over(after)).alias("level"))
-        .select("skey", "source_size", "budget", F.least(F.col("source_size") * float(repeat), F.max("level").over(everything) * F.col("w")).alias("target"))
-    )
-
-    rows = rows.select("*", key.alias("key"))
-    rows = rows.select("*", _slice(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32, slices).alias("part"))
-    line = Window.partitionBy("skey", "part").orderBy("key", F.col("id").asc_nulls_first())
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    sizes = running(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), ["skey"], {}, "mix-sources")
+    sizes = stored(sizes.select("skey", "source_size", w.alias("w"), (F.col("source_size") * repeat / w).alias("cap_level")), "mix-weights")
+    sums = sizes.agg((F.sum("source_size") * share).alias("budget"), F.sum("w").alias("all_w"))
+    levels = running(sizes, ["cap_level", "skey"], {"caps": F.col("source_size") * repeat, "ws": F.col("w")}, "mix-levels").join(F.broadcast(sums))
+    level = (F.col("budget") - (F.col("caps") - F.col("source_size") * repeat)) / (F.col("all_w") - F.col("ws") + F.col("w"))
+    levels = stored(levels.select("skey", "source_size", "w", "budget", level.alias("level")), "mix-found")
+    top = levels.agg(F.max("level").alias("top"))  # one row
+    targets = levels.join(F.broadcast(top)).select("skey", "source_size", "budget", F.least(F.col("source_size") * float(repeat), F.col("top") * F.col("w")).alias("target"))
+    targets = stored(targets, "mix-targets")
+
+    blank = rows.filter("size = 0").join(targets, "skey").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    order = ["key", F.col("id").asc_nulls_first(), "mark", "copy"]
+    rows = rows.filter("size > 0").repartitionByRange(max(range_partitions(docs.sparkSession, 0), n // ROWS), "skey", *order)
+    rows = stored(rows.select("id", "skey", "size", "mark", "key", "copy", F.spark_partition_id().alias("part")), "mix-order")
+    line = Window.partitionBy("skey", "part").orderBy(*order)
     rows = rows.select("*", F.row_number().over(line).alias("nth"), F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     cells = rows.groupBy("skey", "part").agg(F.sum("size").alias("cell"))
     earlier = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("skey", "part", F.coalesce(F.sum("cell").over(earlier), F.lit(0)).alias("ahead")).join(targets, "skey")
-    times = F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_divide("target", "source_size"), F.lit(1.0)))).cast("int")
-    finish = F.coalesce(F.try_divide((F.col("turn") * F.col("source_size") + F.col("ahead") + F.col("run")).cast("double"), F.col("target")), F.lit(0.0))
+    times = F.greatest(F.lit(1), F.ceil(F.col("target") / F.col("source_size"))).cast("int")
+    finish = (F.col("turn") * F.col("source_size") + F.col("ahead") + F.col("run")).cast("double") / F.col("target")
     copies = (
         rows.join(cells, ["skey", "part"])
         .select("*", F.explode(F.sequence(F.lit(0), times - 1)).alias("turn"))
-        .select("id", "skey", "part", "nth", "key", "size", "source_size", "target", "budget", "turn", finish.alias("finish"))
+        .select("id", "skey", "part", "nth", (F.col("ahead") + F.col("run")).alias("place"), "size", "source_size", "target", "budget", "turn", finish.alias("finish"))
         .select("*", _slice(F.col("finish"), slices).alias("era"))
     )
     copies = stored(copies, "mix-copies")
     eras = copies.groupBy("era").agg(F.sum("size").alias("cell"))
     eras = eras.select("era", F.coalesce(F.sum("cell").over(Window.orderBy("era").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    queue = Window.partitionBy("era").orderBy("finish", "skey", "key", F.col("id").asc_nulls_first(), "turn", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    queue = Window.partitionBy("era").orderBy("finish", "skey", "turn", "place").rowsBetween(Window.unboundedPreceding, 0)
     left = F.floor("budget").cast("long") - F.col("ahead") - (F.col("run") - F.col("size"))
-    return (
+    mixed = (
         copies.select("*", F.sum("size").over(queue).alias("run"))
         .join(eras, "era")
         .select("*", F.greatest(F.lit(0), F.least(F.col("size"), left)).alias("took"))
         .groupBy("skey", "part", "nth", "id", "size", "source_size", "target")
         .agg(F.sum("took").alias("taken"))
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+        .select("id", "size", "source_size", "target", "taken")
     )
+    return mixed.unionByName(blank).withColumnRenamed("id", id_col)
 
 
 def _slice(x: Column, slices: int) -> Column:
