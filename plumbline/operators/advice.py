@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.expressions import clip, ratio
+from plumbline.operators.scoring import capped_top, overlay
 
 # Ranges (low, high) of the named screens; either end may be open.
 PRESETS: dict[str, dict[str, tuple[float | None, float | None]]] = {
@@ -260,12 +261,25 @@ def signals(scores: DataFrame) -> DataFrame:
     return scores.select("as_of", "ticker", F.col(column).alias("score")).filter("score IS NOT NULL")
 
 
-def lessons(old: DataFrame, new: DataFrame, key: str, score: str, least_confidence: float = 0.3) -> DataFrame:
-    """Active lessons after an update: of one key the newer one of higher or equal confidence supersedes; those below the least
-    confidence are inactive."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col(score).desc_nulls_last(), F.col("_new").desc()))
-    return both.withColumn("active", (nth == 1) & F.coalesce(F.col(score) >= least_confidence, F.lit(False))).drop("_new")
+def named_scores(scores: DataFrame, securities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scores with name, sector and product_category of their security, as far as the list has these columns; a security without
+    a row leaves them null. Of several rows of one key the first by name counts."""
+    cols = [c for c in ("name", "sector", "product_category") if c in securities.columns]
+    first = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in cols])
+    one = securities.select(*keys, *cols).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return scores.drop(*cols).join(one, list(keys), "left")
+
+
+def candidates(scores: DataFrame, securities: DataFrame, keys: Sequence[str], sector: str, *, min_adv: float | None = None, min_cap: float | None = None, cap: int = 3, k: int = 10, tie: Sequence[str] = ()) -> DataFrame:
+    """From scores to at most ``k`` candidates: total_score by the qualitative overlay (overlay_score, overlay_confidence), the
+    security's category, the universe or all rows where it is empty, rows that pass the strict gate before others
+    (candidate_tier core and fill), and at most ``cap`` of a sector. position counts from 1."""
+    x = scores.withColumn("total_score", overlay(F.col("quant_score"), F.col("overlay_score"), F.col("overlay_confidence")))
+    x = named_scores(x, securities, keys)
+    x = masked_universe(x, universe(x.select("adv_20d", *(["market_cap"] if min_cap is not None else []), "product_category"), min_adv, min_cap, most_missing=None))
+    x = x.withColumns({"candidate_tier": F.when(strict_gate(), "core").otherwise("fill"), "_all": F.lit(1)})
+    order = [ranked(("core", "fill"), F.col("candidate_tier")), F.col("total_score").desc_nulls_last(), *[F.col(c) for c in tie]]
+    return capped_top(x, ["_all"], sector, order, cap, k).drop("_all")
 
 
 def memories(df: DataFrame, market: str, sector: str, ticker: str, k: int = 15) -> DataFrame:

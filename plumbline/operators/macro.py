@@ -186,7 +186,8 @@ def directional_accuracy(errors: DataFrame) -> DataFrame:
 
 def bundle(models: Sequence[DataFrame]) -> DataFrame:
     """model_id, point, low, high: one row a model."""
-    out = models[0]
-    for m in models[1:]:
+    rows = [m.select("model_id", "point", "low", "high") for m in models]
+    out = rows[0]
+    for m in rows[1:]:
         out = out.unionByName(m)
-    return out.select("model_id", "point", "low", "high")
+    return out

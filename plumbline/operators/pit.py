@@ -36,6 +36,14 @@ def valid_at(df: DataFrame, as_of: dt.date | str, start: str = "valid_from", end
     return df.filter((F.col(start) <= d) & (F.col(end).isNull() | (F.col(end) > d)))
 
 
+def securities_at(securities: DataFrame, as_of: dt.date | str, active: bool | None = None, tickers: Sequence[str] | None = None) -> DataFrame:
+    """Rows valid at the date; of them the active ones (or those that are not) and those of a list of codes, each only if asked."""
+    rows = valid_at(securities, as_of)
+    if active is not None:
+        rows = rows.filter(F.coalesce("is_active", F.lit(True)) == active)
+    return rows if tickers is None else rows.filter(F.col("ticker").isin(list(tickers)))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], time_col: str, values: Sequence[str], tie: str | None = None) -> DataFrame:
     """Each left row with ``values`` of the last right row of its key at or before its time, null if there is none.
 

@@ -189,9 +189,3 @@ def memories(spark: SparkSession, sf: str) -> DataFrame:
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     s = scores(spark, sf).select(F.lit("2000-01-10").cast("date").alias("as_of"), F.col("k").alias("ticker"), "total_score", "quant_score")
     return A.signals(s).withColumn("score", r6("score"))
-
-
-@query("lessons", "WITH l AS (SELECT c_mktsegment AS key, c_custkey AS id, c_acctbal / 10000 AS confidence FROM customer) SELECT id, coalesce(row_number() OVER (PARTITION BY key ORDER BY confidence DESC NULLS LAST, id % 2 DESC, id) = 1 AND confidence >= 0.3, false) AS active FROM l")
-def lessons(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000).alias("confidence"))
-    return A.lessons(l.filter("id % 2 = 0"), l.filter("id % 2 = 1"), "key", "confidence").select("id", "active")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from typing import Any
 
@@ -139,8 +140,32 @@ def falls_back(gated: DataFrame, ratio: float = 0.5) -> DataFrame:
     return gated.agg(part.alias("rejected"), F.coalesce(part >= ratio, F.lit(False)).alias("fallback"))
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # PySpark has no call of its own that asks for a folder of a store
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def lake_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return bool(fs.exists(at))
+
+
+def lake_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables of a lake: its folders, in order; none where there is no lake."""
+    fs, at = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
+def lake_drop(spark: SparkSession, path: str) -> bool:
+    """Whether there was such a table; it is gone afterwards."""
+    fs, at = _at(spark, path)
+    return bool(fs.exists(at)) and bool(fs.delete(at, True))
+
+
 def lake_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length and time of each file of a lake table; none if there is no such table."""
+    if not lake_exists(spark, path):
+        return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length", "modificationTime")
 
 
@@ -148,6 +173,43 @@ def lake_usage(spark: SparkSession, path: str) -> DataFrame:
     return lake_files(spark, path).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+def write_texts(docs: DataFrame, folder: str) -> None:
+    """doc_id and text as compressed blobs by a digest of the id, 256 folders; ``read_texts`` finds one without reading the others."""
+    shard = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 2)
+    docs.filter("text IS NOT NULL").select("doc_id", "text", shard.alias("shard")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(folder)
+
+
+def read_texts(spark: SparkSession, folder: str, doc_id: Any = None) -> DataFrame:
+    rows = spark.read.schema("doc_id string, text string, shard string").parquet(folder)
+    if doc_id is not None:
+        rows = rows.filter((F.col("shard") == hashlib.md5(str(doc_id).encode()).hexdigest()[:2]) & (F.col("doc_id") == str(doc_id)))
+    return rows.drop("shard")
+
+
+def coerced(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """``df`` with the columns of ``schema`` in its types and no others; absent ones are null. What does not parse, NaN and infinities
+    become null; blank texts of other types, too; a time of day with an offset becomes the instant that it names, a date of it
+    the date in UTC."""
+
+    def value(c: str, kind: str) -> Column:
+        if c not in df.columns:
+            return F.lit(None).cast(kind)
+        have = df.schema[c].dataType.simpleString()
+        x = F.col(c)
+        if have in ("double", "float"):
+            x = F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+        elif have == "string" and kind != "string":
+            x = F.nullif(F.trim(x), F.lit(""))
+            if kind in ("double", "float"):
+                x = x.try_cast(kind)
+                return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+            if kind == "date":
+                return F.to_date(x.try_cast("timestamp"))
+        return x.try_cast(kind)
+
+    return df.select(*[value(c, k).alias(c) for c, k in schema.items()])
+
+
 #: Fixed values of a vendor's plans: weeks of delay, years of history, splits of the cross-validation.
 PLANS = {"free": (12, 2, 6), "light": (0, 5, 12)}
 
