@@ -42,7 +42,7 @@ _STAY = frozenset({"table", "td", "th", "caption", "button", "object", "html", "
 #: Open elements; browsers, too, nest no further: what comes then stands beside the deepest element.
 DEEPEST = 512
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_DISPLAY, _VISIBILITY = (re.compile(rf"(?:^|;)\s*{name}\s*:\s*([a-z-]+)", re.I) for name in ("display", "visibility"))
 
 
 class Node:
@@ -98,13 +98,40 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def _declared(attrs: dict[str, str | None], name: re.Pattern) -> str | None:
+    """The last value that an element's style gives to a property."""
+    found = name.findall(attrs.get("style") or "")
+    return found[-1].lower() if found else None
+
+
+def without_invisible(root: Node) -> None:
+    """Takes out the text of invisible elements. Visibility is inherited, and an element inside an invisible one may be visible;
+    elements that are not displayed are gone with all that they hold, which ``hidden`` tells."""
+    todo = [(root, True)]
+    while todo:
+        node, seen = todo.pop()
+        kept = []
+        for c in node.children:
+            if isinstance(c, str):
+                if seen:
+                    kept.append(c)
+                continue
+            own = _declared(c.attrs, _VISIBILITY)
+            shown = seen if own in (None, "inherit", "unset") else own not in ("hidden", "collapse")
+            if not shown:
+                c.attrs.pop("alt", None)
+            todo.append((c, shown))
+            kept.append(c)
+        node.children = kept
+
+
 def hidden(node: Node) -> bool:
     a = node.attrs
     return (
         node.tag in HIDDEN
         or "hidden" in a
         or node.tag == "input" and (a.get("type") or "").lower() == "hidden"
-        or bool(a.get("style") and _HIDING.search(a["style"]))
+        or _declared(a, _DISPLAY) == "none"
         or node.tag == "dialog" and "open" not in a
     )
 
@@ -198,11 +225,62 @@ def _number(cell: Node, name: str, most: int) -> int:
     return min(most, max(1, int(found[1]))) if found else 1
 
 
+def _preset(cell: Node) -> bool:
+    """Whether a cell holds lines whose blanks mean something: a table of its own, or preformatted text."""
+    todo = [cell]
+    while todo:
+        n = todo.pop()
+        if n.tag in ("table", "pre", "textarea"):
+            return True
+        todo += [c for c in n.children if isinstance(c, Node)]
+    return False
+
+
+def _wrapped(line: str) -> list[str]:
+    """A line in parts of CELL columns, cut at blanks."""
+    if width_of(line) <= CELL:
+        return [line]
+    out, now, width = [], [], 0
+    for word in line.split(" "):
+        w = width_of(word)
+        if now and width + 1 + w > CELL:
+            out.append(" ".join(now))
+            now, width = [], -1
+        now.append(word)
+        width += w + (1 if len(now) > 1 or width < 0 else 0)
+    return [*out, " ".join(now)]
+
+
+def _overlaid(old: list[tuple[int, int, int]], new: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Disjoint intervals in order: the new ones, and what they leave of the old; neighbours that end together are one."""
+    parts, k = [], 0
+    for a, b, until in old:
+        while k < len(new) and new[k][1] <= a:
+            k += 1
+        at, j = a, k
+        while j < len(new) and new[j][0] < b:
+            if new[j][0] > at:
+                parts.append((at, new[j][0], until))
+            at = max(at, new[j][1])
+            j += 1
+        if at < b:
+            parts.append((at, b, until))
+    out: list[tuple[int, int, int]] = []
+    for x in sorted(parts + new):
+        if out and out[-1][1] == x[0] and out[-1][2] == x[2]:
+            out[-1] = (out[-1][0], x[1], x[2])
+        else:
+            out.append(x)
+    return out
+
+
 def _table(node: Node, depth: int) -> Iterator:
     """Rows with cells side by side, each column as wide as its widest line; cells of several lines take several rows.
 
-    A table whose aligned form would be over PADDED times its text (a page layout, or one with a cell much longer than
-    others) has its cells side by side without the padding.
+    Lines of a cell are wrapped between words where they are longer than CELL columns, so that one long cell leaves the others
+    aligned; a word that is longer stays whole, and so do lines of cells that hold a table or preformatted text. Cells that begin beyond LINE columns stand side by side with two blanks between. So
+    a row takes LINE columns more than its text at most. Rows that a cell reaches down into are those of the table; reaches are
+    kept as intervals of columns, neighbours that end together as one.
     """
     rows, captions, todo = [], [], list(reversed(node.children))
     loose: list = []
@@ -228,46 +306,42 @@ def _table(node: Node, depth: int) -> Iterator:
         stray = Node("div")
         stray.children = loose
         out = out + (yield _block(stray, depth + 1))
-    grid, taken = [], {}  # (column, span, lines) by row; columns that cells above reach into, and how many rows more
-    for row in rows:
-        if not row:
-            continue
-        made, at, later = [], 0, dict(taken)
+    grid, taken = [], []  # (column, span, lines) by row; intervals (first, end, last row) of columns that cells above reach into
+    rows = [row for row in rows if row]
+    for r, row in enumerate(rows):
+        made, at, k, reach = [], 0, 0, []
         for c in row:
-            while taken.get(at, 0):
-                at += 1
+            while k < len(taken) and taken[k][0] <= at:
+                at = max(at, taken[k][1])
+                k += 1
             span, down = _number(c, "colspan", 1000), _number(c, "rowspan", 65_534)
-            made.append((at, span, (yield _block(c, depth + 1)) or [""]))
-            if down > 1:
-                later.update(dict.fromkeys(range(at, at + span), down))
+            lines = (yield _block(c, depth + 1)) or [""]
+            if max(map(len, lines)) * 2 > CELL and not _preset(c):
+                lines = [part for x in lines for part in _wrapped(x)]
+            made.append((at, span, lines))
+            if down > 1 and r + 1 < len(rows):
+                reach.append((at, at + span, min(r + down, len(rows)) - 1))
             at += span
-        taken = {k: v - 1 for k, v in later.items() if v > 1}
+        taken = _overlaid([x for x in taken if x[2] > r], reach)
         grid.append(made)
     widths: dict[int, int] = {}
     for row in grid:
         for at, span, lines in row:
             if span == 1:
-                widths[at] = max(widths.get(at, 0), max(map(width_of, lines)))
+                widths[at] = max(widths.get(at, 0), min(CELL, max(map(width_of, lines))))
     columns = sorted(widths)
     ends = dict(zip(columns, accumulate(widths[c] + 2 for c in columns)))
-    place = lambda at: ends[columns[k - 1]] if (k := bisect.bisect_left(columns, at)) else 0
-    size, text = 0, 0
-    for row in grid:
-        high = max(len(lines) for *_, lines in row)
-        size += high * place(row[-1][0])
-        text += sum(len(x) - x.count(" ") + 8 for *_, lines in row for x in lines)
-    aligned = size <= PADDED * text
+    place = lambda at: min(LINE, ends[columns[k - 1]]) if (k := bisect.bisect_left(columns, at)) else 0
     for row in grid:
         for k in range(max(len(lines) for *_, lines in row)):
-            line = ""
+            parts, width = [], 0
             for at, _, lines in row:
                 cell = lines[k] if k < len(lines) else ""
-                if aligned:
-                    line += " " * max(2 if line else 0, place(at) - width_of(line)) if cell else ""
-                elif line and cell:
-                    line += "  "
-                line += cell
-            out.append(line.rstrip())
+                if cell:
+                    gap = max(2 if width else 0, place(at) - width)
+                    parts += [" " * gap, cell]
+                    width += gap + width_of(cell)
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -283,8 +357,10 @@ def _block(node: Node, depth: int) -> Iterator:
     return lines[first:last]
 
 
-#: Levels of lists and quotes that are indented; times its text (without spaces) that an aligned table may take.
-INDENTED, PADDED = 40, 4
+#: Levels of lists and quotes that are indented: deeper ones keep their marks and their lines, but move no further to the right.
+INDENTED = 40
+#: Columns of a table's cell before its lines are wrapped, and of a row up to which cells are aligned.
+CELL, LINE = 60, 240
 
 
 def _fill(root: Node, out: _Lines, depth: int) -> Iterator:
@@ -361,6 +437,8 @@ def render(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    if "visibility" in html.lower():
+        without_invisible(tree.root)
     return "\n".join(_steps(_block(tree.root, 0)))
 
 
