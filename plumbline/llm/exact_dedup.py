@@ -17,10 +17,10 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows are ordered by the first 24 characters, a 64-bit digest and the whole text; splitters are sampled from the first
     two, so that samples stay small whatever the texts' lengths. Each row is compared with its neighbour by whole text:
     where it differs, a run begins, and the run's first row has the id that stays. Only texts that a count proves hot are
-    split over several places of the order, and their runs meet by whole text again.
+    split over several places of the order, whatever their ids, and their runs meet by whole text again.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body")).select("*", F.xxhash64("body").alias("mark"))
+    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body"), F.monotonically_increasing_id().alias("copy")).select("*", F.xxhash64("body").alias("mark"))
     marks = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body").cast("long") + 16).alias("bytes"))
     marks = stored(marks, "exact-marks")
     n, total = marks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
@@ -31,7 +31,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heavy = small(heavy, heavy.count())
 
     rows = rows.join(heavy, "mark", "left").select(
-        "id", "body", F.substring("body", 1, 24).alias("head"), "mark", F.col("slots").isNotNull().alias("split"), F.coalesce(F.pmod(F.xxhash64("id"), "slots"), F.lit(0)).alias("slot")
+        "id", "body", F.substring("body", 1, 24).alias("head"), "mark", F.col("slots").isNotNull().alias("split"), F.coalesce(F.pmod(F.xxhash64("copy"), "slots"), F.lit(0)).alias("slot")
     )
     place = ["head", "mark", "slot"]
     line = Window.partitionBy(*place).orderBy("body", F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last())
