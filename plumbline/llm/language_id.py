@@ -6,6 +6,7 @@ import bisect
 import math
 import re
 import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,13 +29,26 @@ CELLS = 1 << 21
 #: Words whose scores a Python worker keeps; it starts anew beyond that. Words scored at once.
 CACHE, BLOCK = 600_000, 20_000
 
-_WORD = re.compile(r"[^\W\d_]{1,24}")
+def _ranges(points: list[int]) -> str:
+    """A character class of code points in order."""
+    out, first = [], None
+    for a, b in zip(points, [*points[1:], -1]):
+        first = a if first is None else first
+        if b != a + 1:
+            out.append(f"{re.escape(chr(first))}-{re.escape(chr(a))}")
+            first = None
+    return "".join(out)
+
+
+#: Letters and the marks that combine with them: a mark ends no word.
+_MARKS = _ranges([i for i in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "M"])
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
 # Numbers that ``re`` takes for letters (superscripts, fractions, Roman numerals) become blanks, one for one.
 _NUMBERS = {i: " " for i in range(sys.maxunicode + 1) if (c := chr(i)).isnumeric() and not c.isalpha() and not c.isdecimal()}
 
 
 def find_words(text: str) -> tuple[str, list[str]]:
-    """Runs of letters, of 24 at most, and the text in which they stand at their places."""
+    """Runs of letters and marks, of any length, and the text in which they stand at their places."""
     words = _WORD.findall(text)
     if not words or "".join(words).isalpha():
         return text, words
@@ -102,7 +116,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn_languages(docs: DataFrame, train: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from the rows where ``train`` holds and text and language are not null.
 
-    At most about ``sample`` documents a language are read, chosen by a digest of the id; their counts are summed by
+    At most about ``sample`` documents a language are read, chosen by a digest of id and text; their counts are summed by
     Spark and bounded by the sample when they reach the driver.
     """
     known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -111,7 +125,7 @@ def learn_languages(docs: DataFrame, train: Column, sample: int = SAMPLE, id_col
     if not parts:
         return LanguageModel([], {}, np.zeros((1, 0)), {}, np.zeros((1, 0)), {}, np.zeros((1, 0), bool))
     lang = F.col(lang_col).cast("string")
-    known = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("languages")), F.lit(1_000_000)) < F.create_map(*parts)[lang] * 1_000_000)
+    known = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("languages")), F.lit(1_000_000)) < F.create_map(*parts)[lang] * 1_000_000)
     with small_batches(docs.sparkSession):
         counts = known.select(lang.alias("lang"), body(text_col).alias("body")).mapInPandas(_counts, "lang string, kind string, item string, n long")
         counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).filter(f"kind = 'script' OR n >= {LEAST}")

@@ -3,6 +3,7 @@
 import hashlib
 import html as html_entities
 import re
+import time
 import zlib
 
 import numpy as np
@@ -229,11 +230,35 @@ def test_layout_of_tables():
     assert inner[0].index("22") == inner[1].index("4") and inner[0].index("1") == inner[2].index("w")
     assert html_text.render("<div hidden><p>a<b>b</b></div><p>c").strip() == "c"
     long = html_text.render("<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>")
-    assert len(long) < 5 * 30_000 and long.count("b") == 2000
+    assert len(long) < 5 * 31_000 and {x.index("b") for x in long.split("\n")[1:]} == {62} and long.count("b") == 2000
+    mixed = html_text.render("<table>" + "".join(f"<tr><td>{'k' * k}<td>v{k}" for k in range(1, 7)) + "<tr><td>" + "long words " * 40 + "<td>end</table>").split("\n")
+    assert len({x.index("v") for x in mixed[:6]}) == 1 and mixed[6].index("end") == mixed[0].index("v1") and " ".join(mixed).count("long words") + " ".join(mixed).count("long  end words") >= 39
+    wide = html_text.render("<table>" + ("<tr>" + "<td>" * 60 + "x") * 300 + "<tr>" + "<td>wide cell text" * 60 + "</table>")
+    assert wide.count("x") == 360 and len(wide) < 300 * (html_text.LINE + 10) + 60 * 20
     deep = html_text.render("<ul><li>item" * 250)
     assert deep.count("- item") == 250 and len(deep) < 30_000 and html_text.render("<ul><li>item" * 5000).count("item") == 5000
 
 
+def test_many_spans_take_little_time():
+    began = time.time()
+    for page in ("<table><tr>" + "<td colspan=1000 rowspan=65534>x" * 10_000, "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 10_000):
+        assert html_text.render(page).count("x") == 10_000
+    assert time.time() - began < 4
+    down = html_text.render("<table><tr><td rowspan=3>a<td>b<td rowspan=2>c<tr><td>d<tr><td>e<td>f<tr><td>g<td>h<td>i</table>").split("\n")
+    assert down[0].index("b") == down[1].index("d") == down[2].index("e") == down[3].index("h") and down[2].index("f") == down[0].index("c") == down[3].index("i")
+
+
+def test_visibility_is_inherited():
+    page = '<div style="visibility:hidden">no<i style="color:red; visibility: visible">yes<b style="visibility:inherit">too</b></i><img alt="no"><p style="visibility:collapse">no</p></div><p>end'
+    assert html_text.render(page).split() == ["yestoo", "end"]
+    assert html_text.render('<p style="display:none">no<i style="visibility:visible;display:inline">no</i></p><p style="display:none;display:block">yes') == "yes"
+
+
+def test_marks_and_long_runs_are_words():
+    words = language_id.find_words("हिन्दी ภาษาไทยดี e\u0301te\u0301 x²y9z " + "漢" * 60 + " a_b")[1]
+    assert words == ["हिन्दी", "ภาษาไทยดี", "e\u0301te\u0301", "x", "y", "z", "漢" * 60, "a", "b"]
+
+
 def test_shards_one_after_the_other(spark, small, docs):
     """Shard and slot of each document, by a walk over all of them in order."""
     import struct
