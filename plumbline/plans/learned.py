@@ -119,12 +119,14 @@ _CURRENT = {"momentum": 0.6, "lowvol": 0.4}
 
 @query("weight_proposal", _LABELS + f""", x AS (SELECT coalesce(ret_4w, 0) AS a, coalesce(0 - vol_13w, 0) AS b, coalesce(label, 0) AS y, label FROM l), s AS (SELECT count(label) AS n, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * y) AS ay, sum(b * y) AS byy FROM x),
   f AS (SELECT n, greatest((bb * ay - ab * byy) / (aa * bb - ab * ab), 0) AS m, greatest((aa * byy - ab * ay) / (aa * bb - ab * ab), 0) AS v FROM s), h AS (SELECT 'momentum' AS grp, {_CURRENT['momentum']}::DOUBLE AS old, m / (m + v) AS new FROM f WHERE n >= 100 AND m + v > 0 UNION ALL SELECT 'lowvol', {_CURRENT['lowvol']}::DOUBLE, v / (m + v) FROM f WHERE n >= 100 AND m + v > 0),
-  p AS (SELECT grp, CASE WHEN abs(new - old) / 2 <= 0.10 THEN (old + new) / 2 ELSE 0.8::DOUBLE * old + 0.2::DOUBLE * new END AS w FROM h) SELECT grp, round(w / sum(w) OVER (), 6) AS weight FROM p""")
+  p AS (SELECT grp, CASE WHEN abs(new - old) / 2 <= 0.10 THEN (old + new) / 2 ELSE 0.8::DOUBLE * old + 0.2::DOUBLE * new END AS w FROM h), o AS (SELECT grp, w / sum(w) OVER () AS weight FROM p)
+  SELECT c.grp, c.current, round(weight, 6) AS weight FROM (VALUES ('momentum', {_CURRENT['momentum']}::DOUBLE), ('lowvol', {_CURRENT['lowvol']}::DOUBLE)) c(grp, current) LEFT JOIN o USING (grp)""")
 def weight_proposal(spark: SparkSession, sf: str) -> DataFrame:
-    """New weights of two groups by their scores' part in what came of them; no rows where nothing is proposed."""
+    """Weights of two groups, and new ones by their scores' part in what came of them; null where nothing is proposed."""
     x = _labelled(spark, sf).withColumn("calm", 0 - F.col("vol_13w"))
     found = M.propose_weights(x, {"momentum": "ret_4w", "lowvol": "calm"}, _Y, _CURRENT) or {}
-    return spark.createDataFrame(list(found.items()), "grp string, weight double").withColumn("weight", r6("weight"))
+    rows = [(g, w, found.get(g)) for g, w in _CURRENT.items()]  # a row a group
+    return spark.createDataFrame(rows, "grp string, current double, weight double").withColumn("weight", r6("weight"))
 
 
 _GUARDED = (*COLS, "rsi_like", "rank_in_session", "z_in_session", "leak")

@@ -108,12 +108,45 @@ def raw_dates(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).json(folder).select("source", "dt").distinct()
 
 
+ENVELOPE = "seq long, as_of string, fetched_at string, request string, payload string"
+
+
+def write_envelopes(payloads: DataFrame, folder: str, source: str, endpoint: str, as_of: str, fetched_at: str, order: Sequence[Column | str]) -> int:
+    """Rows with payload and, if they have one, request as gzipped envelopes below source, endpoint and date, numbered on from those
+    that are there, in ``order``; the number of the last. What was written before stays."""
+    spark = payloads.sparkSession
+    at = f"{folder}/source={source}/endpoint={endpoint}/dt={as_of}"
+    before = spark.read.schema(ENVELOPE).json(at).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] if lake_exists(spark, at) else 0
+    request = F.col("request").cast("string") if "request" in payloads.columns else F.lit(None).cast("string")
+    nth = F.row_number().over(Window.orderBy(*order))  # the pages of one fetch
+    rows = payloads.select((nth + before).alias("seq"), F.lit(as_of).alias("as_of"), F.lit(fetched_at).alias("fetched_at"), request.alias("request"), F.col("payload").cast("string").alias("payload"))
+    rows.write.mode("append").option("compression", "gzip").json(at)
+    return spark.read.schema(ENVELOPE).json(at).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+
+
+def replay(spark: SparkSession, folder: str, source: str | None = None, endpoint: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Envelopes in the order of their folders and numbers; only folders of the range are read. None where nothing was written."""
+    whole = f"{ENVELOPE}, source string, endpoint string, dt date"
+    if not lake_exists(spark, folder):
+        return spark.createDataFrame([], whole)
+    rows = spark.read.schema(whole).option("basePath", folder).json(folder)
+    for column, wanted in (("source", source), ("endpoint", endpoint)):
+        rows = rows if wanted is None else rows.filter(F.col(column) == wanted)
+    rows = rows if since is None else rows.filter(F.col("dt") >= F.lit(since).cast("date"))
+    rows = rows if until is None else rows.filter(F.col("dt") <= F.lit(until).cast("date"))
+    return rows.orderBy("source", "endpoint", "dt", "seq")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, needed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of a CSV file with a header: good ones, and those that do not parse or lack a needed value, with their text."""
-    df = spark.read.schema(f"{schema}, _bad string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    """Rows of uploaded CSV files with a header: good ones, and those that do not parse or lack a needed value, with the number of
+    their line (the header is line 1) and its text. Columns follow the schema; blank lines are passed over. A file is one text
+    in memory, as an upload is, and a quoted value holds no line end."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "record"))
+    lines = lines.filter((F.col("line") > 0) & (F.trim("record") != "")).withColumn("line", F.col("line") + 1)
+    df = lines.withColumn("_row", F.from_csv("record", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).select("_row.*", "line", "record")
     lacks = F.exists(F.array(*[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in needed]), lambda v: v == "")
     rows = df.withColumn("_lacks", lacks)
-    return rows.filter("_bad IS NULL AND NOT _lacks").drop("_bad", "_lacks"), rows.filter("_bad IS NOT NULL OR _lacks").drop("_lacks").withColumnRenamed("_bad", "record")
+    return rows.filter("_bad IS NULL AND NOT _lacks").drop("_bad", "_lacks", "line", "record"), rows.filter("_bad IS NOT NULL OR _lacks").drop("_lacks", "_bad")
 
 
 def texts(docs: DataFrame, blobs: DataFrame) -> DataFrame:

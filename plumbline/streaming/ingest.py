@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from plumbline.sources.sinks import upsert
+from plumbline.sources.sinks import lake_exists, upsert
 
 
 def file_stream(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
@@ -68,7 +68,7 @@ def _merger(table: str, keys: Sequence[str], order: Sequence[Column]) -> Callabl
         touched = [r[0] for r in batch.select(_bucket(keys).alias("b")).distinct().collect()]  # at most BUCKETS numbers
         if not touched:
             return
-        if batch_id:
+        if batch_id and lake_exists(spark, table):  # batches before may have had no rows
             schema = StructType([*batch.schema.fields, StructField("bucket", IntegerType()), StructField("v", IntegerType())])
             old = read_stream_table(spark, table, schema, batch_id).filter(F.col("bucket").isin(touched)).select(*batch.columns)
         else:

@@ -138,3 +138,15 @@ def test_sliding_windows_and_first_sight(spark, tmp_path):
     assert sorted(r.n for r in spark.table("slid").collect()) == [1, 3, 4]
     assert sorted((r.k, r.n) for r in spark.table("gaps").collect()) == [("a", 1), ("a", 2), ("b", 1)]
     assert sorted(r.k for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_envelopes_are_replayed_in_order(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    assert sinks.replay(spark, folder).collect() == []
+    page = lambda *p: spark.createDataFrame([(k, f'{{"page": {k}}}') for k in p], "k int, payload string").repartition(3)
+    assert sinks.write_envelopes(page(1, 2, 3), folder, "vendor", "bars", "2024-01-05", "2024-01-05T18:00:00Z", ["k"]) == 3
+    assert sinks.write_envelopes(page(4), folder, "vendor", "bars", "2024-01-05", "2024-01-05T19:00:00Z", ["k"]) == 4
+    sinks.write_envelopes(page(5).withColumn("request", F.lit("?p=5")), folder, "vendor", "bars", "2024-01-06", "2024-01-06T18:00:00Z", ["k"])
+    got = sinks.replay(spark, folder, "vendor").collect()
+    assert [(str(r.dt), r.seq, r.payload) for r in got] == [*(("2024-01-05", k, f'{{"page": {k}}}') for k in range(1, 5)), ("2024-01-06", 1, '{"page": 5}')] and got[-1].request == "?p=5"
+    assert sinks.replay(spark, folder, since="2024-01-06").count() == 1 and sinks.replay(spark, folder, endpoint="none").count() == 0
