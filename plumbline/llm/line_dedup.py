@@ -140,8 +140,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``filter_bytes`` in all at most, go to every task of a second scan, which lets pass only keys that may repeat. 4. These
     are grouped by their whole text, which confirms them and finds the id that stays. 5. Line numbers to drop meet the texts.
 
-    The bound on filters costs no line: beyond it (about 200 million lines that repeat) more lines that do not repeat are
-    taken along to the exact step. Frequent keys are aggregated before the shuffle, and the join that brings a frequent
+    The bound on filters costs no line: with some 45 million different lines that repeat the filters have 12 bits for each; with
+    more, more lines that do not repeat are taken along to the exact step. Frequent keys are aggregated before the shuffle, and the join that brings a frequent
     key's decision to its rows has a plain shuffle on both sides, which adaptive execution splits. ``least_docs`` is 2 or more.
     Other columns of ``docs`` are not read; an empty table gives an empty result. Rows that agree in id and text get
     the same result.
