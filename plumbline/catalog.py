@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import cards, daily, learned, market, pages, reads, records, series, statements, text, vendor  # noqa: F401  they register their queries
+from plumbline.plans import cards, daily, desk, learned, market, pages, reads, records, series, statements, text, vendor  # noqa: F401  they register their queries
 from plumbline.plans.adapter import QUERIES, SQL
 
 FLAGSHIP = "daily_selection"
