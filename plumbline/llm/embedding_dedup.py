@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import discard, salt, small, small_batches, stored, table
+from plumbline.llm.common import discard, salt, salts_for, small, small_batches, stored, table
 from plumbline.llm.components import components
 
 #: Vectors a tile holds on average at most, leading dimensions added before the bound is looked at again, and leading ones
 #: whose ranges a tile has.
 TILE, STEP, LEADING = 2048, 16, 4
+#: Vectors of a dimension count that its axes are fitted on, about; tiles that begin in one bucket of the first coordinate, about.
+SAMPLE, CELL_TILES = 8192, 256
 BLOCK, SLACK = 256, 1e-9
 
 
-def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of products of unit vectors' components, by dimension count."""
-    sums: dict[int, np.ndarray] = {}
-    for x in batches:
-        for v in map(np.asarray, x["vector"]):
-            u = v.astype(float) / np.linalg.norm(v.astype(float))
-            sums[len(u)] = sums.get(len(u), 0.0) + np.outer(u, u)
-    for dim, m in sums.items():
-        i, j = np.indices(m.shape)
-        yield pd.DataFrame({"dim": dim, "i": i.ravel(), "j": j.ravel(), "v": m.ravel()})
+def _unit(vectors: list) -> np.ndarray:
+    """Vectors of one length as rows of norm 1."""
+    x = np.array([np.asarray(v, float) for v in vectors])
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes, strongest first, by dimension count; dim^2 sums reach the driver."""
-    found: dict[int, np.ndarray] = {}
-    for r in vectors.mapInPandas(_moments, "dim int, i int, j int, v double").groupBy("dim", "i", "j").agg(F.sum("v").alias("v")).collect():
-        found.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))[r["i"], r["j"]] = r["v"]
-    return {dim: np.linalg.eigh(m)[1][:, ::-1] for dim, m in found.items()}
+def _axes(rows: pd.DataFrame) -> pd.DataFrame:
+    x = _unit(list(rows["vector"]))
+    return pd.DataFrame({"dim": [x.shape[1]], "axes": [np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, ::-1]).tobytes()]})
+
+
+def axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """Principal axes, strongest first, by dimension count, of about ``sample`` vectors of each (node, dim, vector; nodes differ).
+
+    The axes of a sample are as orthogonal as those of all, and any orthogonal axes give the same links: how well they fit
+    decides only how early a comparison stops. A dimension count's sample is one task's; the driver gets dim^2 numbers.
+    """
+    sizes = stored(vectors.groupBy("dim").agg((sample / F.count(F.lit(1))).alias("share")), "vector-sizes")
+    some = vectors.join(small(sizes, sizes.count()), "dim").filter(F.pmod(F.xxhash64("node", F.lit("axes")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    found = some.select("dim", "vector").groupBy("dim").applyInPandas(_axes, "dim int, axes binary").collect()  # a row a dimension count
+    made = {r["dim"]: np.frombuffer(r["axes"]).reshape(r["dim"], -1) for r in found}
+    for r in sizes.select("dim").collect():
+        made.setdefault(r["dim"], np.eye(r["dim"]))  # a sample may miss what is rare
+    discard(sizes)
+    return made
 
 
 class _Tile:
@@ -102,11 +112,10 @@ def _leading(basis: dict[int, np.ndarray]) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            lead = np.zeros((len(x), LEADING))
-            for i, v in enumerate(x["vector"]):
-                u = np.asarray(v, float)
-                k = min(LEADING, len(u))
-                lead[i, :k] = u / np.sqrt(u @ u) @ basis[len(u)][:, :k]
+            lead, size = np.zeros((len(x), LEADING)), x["vector"].map(len).to_numpy()
+            for dim in np.unique(size):
+                at, k = np.flatnonzero(size == dim), min(LEADING, dim)
+                lead[at, :k] = _unit([x["vector"].iat[i] for i in at]) @ basis[int(dim)][:, :k]
             yield pd.DataFrame({"node": x["node"], **{f"c{k}": lead[:, k] for k in range(LEADING)}})
 
     return run
@@ -125,20 +134,29 @@ def tile_pairs(tiles: DataFrame, least: float) -> DataFrame:
     """(part, dim, one, two): the pairs of tiles of which some vectors may reach ``least``, from their ``box`` alone.
 
     Unit vectors with that cosine are at most the square root of 2 - 2 ``least`` apart; the gaps between the ranges of the
-    leading coordinates are a lower bound of the distance. The first coordinate orders the tiles.
+    leading coordinates are a lower bound of the distance. The first coordinate orders the tiles: one is joined with those
+    that begin between its own beginning and that distance beyond its end, by buckets of the coordinate that are finer the
+    more tiles there are, and never with all.
     """
-    a = tiles.select("part", "dim", F.col("tile").alias("one"), F.col("box").alias("x"))
-    b = tiles.select("part", "dim", F.col("tile").alias("two"), F.col("box").alias("y"))
+    square = 2 - 2 * least + 1e-6
+    reach = math.sqrt(max(square, 1e-6))
+    first = lambda end: F.col("box")[end][0]
+    cells = tiles.groupBy("part", "dim").agg((reach / F.greatest(F.lit(4), F.ceil(F.count(F.lit(1)) / CELL_TILES))).alias("width"))
+    rows = tiles.join(cells, ["part", "dim"])
+    bucket = lambda x: F.floor(x / F.col("width"))
+    a = rows.select("part", "dim", F.col("tile").alias("a"), F.col("box").alias("x"), F.explode(F.sequence(bucket(first("low")), bucket(first("high") + reach + 1e-9))).alias("bucket"))
+    b = rows.select("part", "dim", F.col("tile").alias("b"), F.col("box").alias("y"), bucket(first("low")).alias("bucket"))
     gap = lambda k: F.greatest(F.col("x.low")[k] - F.col("y.high")[k], F.col("y.low")[k] - F.col("x.high")[k], F.lit(0.0))
-    square = sum((gap(k) * gap(k) for k in range(1, LEADING)), gap(0) * gap(0))
-    return a.join(b, ["part", "dim"]).filter((F.col("one") <= F.col("two")) & (square <= 2 - 2 * least + 1e-6)).select("part", "dim", "one", "two")
+    distance = sum((gap(k) * gap(k) for k in range(1, LEADING)), gap(0) * gap(0))
+    later = F.struct(F.col("x.low")[0], "a") <= F.struct(F.col("y.low")[0], "b")
+    return a.join(b, ["part", "dim", "bucket"]).filter(later & (distance <= square)).select("part", "dim", F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"))
 
 
 def embedding_groups(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label") -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
     Vectors of one non-null group and one dimension count are compared by cosine in double precision. They are turned to
-    the principal axes of all unit vectors and dealt to tiles in the order of the first coordinate; pairs of tiles whose
+    principal axes of unit vectors (fitted on a sample) and dealt to tiles in the order of the first coordinate; pairs of tiles whose
     leading coordinates lie too far apart are skipped; in the others a pair of vectors adds up leading dimensions first and
     stops where the dot product so far and the norms of the rest cannot reach ``least``; what remains is decided on the
     vectors as given. Equal vectors are one node, with a number of its own and a weight, and are dealt to cells by a salt. A
@@ -155,7 +173,7 @@ def embedding_groups(vectors: DataFrame, least: float = 0.93, id_col: str = "vec
     norm = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(group_col).alias("part"))
     rows = rows.select("*", F.coalesce(good, F.lit(False)).alias("good"))
-    rows = rows.select("id", F.when(F.col("good") & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)), F.struct("part", "vector")).alias("key"), salt(F.monotonically_increasing_id()).alias("salt"))
+    rows = rows.select("id", F.when(F.col("good") & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False)), F.struct("part", "vector")).alias("key"), salt(F.monotonically_increasing_id(), salts=salts_for(vectors.count())).alias("salt"))
     rows = stored(rows, "vector-rows")
     nodes = rows.filter("key IS NOT NULL").groupBy("key", "salt").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = nodes.groupBy("key").agg(F.min("least").alias("least"), F.sum("n").alias("weight"), F.collect_set("salt").alias("salts"))
@@ -163,7 +181,7 @@ def embedding_groups(vectors: DataFrame, least: float = 0.93, id_col: str = "vec
     flat = nodes.select("node", "dim", "weight", F.col("key.part").alias("part"), F.col("key.vector").alias("vector"))
     c = [f"c{k}" for k in range(LEADING)]
     with small_batches(spark, 2048):
-        basis = axes(flat.select("vector"))
+        basis = axes(flat.select("node", "dim", "vector"))
         lead = stored(flat.select("node", "vector").mapInPandas(_leading(basis), f"node long, {', '.join(f'{k} double' for k in c)}"), "vector-leads")
     place = ["part", "dim"]
     spots = flat.select("node", *place).join(lead, "node")

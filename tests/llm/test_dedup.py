@@ -167,3 +167,31 @@ def test_far_tiles_are_skipped(spark):
     box = lambda t, a, b: (0, 4, t, ([a, 0.0, 0.0, 0.0], [b, 0.0, 0.0, 0.0]))
     tiles = spark.createDataFrame([box("a", -0.9, -0.8), box("b", -0.5, 0.0), box("c", 0.7, 0.9)], "part int, dim int, tile string, box struct<low:array<double>,high:array<double>>")
     assert {(r.one, r.two) for r in embedding_dedup.tile_pairs(tiles, 0.93).collect()} == {("a", "a"), ("b", "b"), ("c", "c"), ("a", "b")}
+
+
+def test_pairs_of_tiles_are_those_within_reach(spark, monkeypatch):
+    """Against all pairs of boxes: wide, narrow, equal and single-point ones, and buckets of every width."""
+    rng = np.random.default_rng(5)
+    low = rng.uniform(-1, 0.9, (90, 4))
+    high = np.minimum(low + rng.choice([0.0, 0.01, 0.3, 1.5], (90, 4)), 1.0)
+    low[:5], high[:5] = low[0], high[0]
+    rows = [(i % 3 and 1, 4, f"t{i}", (low[i].tolist(), high[i].tolist())) for i in range(90)]
+    tiles = spark.createDataFrame(rows, "part int, dim int, tile string, box struct<low:array<double>,high:array<double>>")
+    for least in (0.93, 0.999, 0.2):
+        gap = np.maximum(np.maximum(low[:, None] - high[None], low[None] - high[:, None]), 0.0)
+        near = (gap**2).sum(axis=2) <= 2 - 2 * least + 1e-6
+        want = {tuple(sorted((rows[i][2], rows[j][2]))) for i in range(90) for j in range(i + 1) if near[i, j] and rows[i][0] == rows[j][0]}
+        for cell in (256, 4):
+            monkeypatch.setattr(embedding_dedup, "CELL_TILES", cell)
+            found = [(r.one, r.two) for r in embedding_dedup.tile_pairs(tiles, least).collect()]
+            assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_axes_are_orthogonal(spark):
+    """Of a sample, of fewer vectors than dimensions, and of a dimension count that the sample misses."""
+    rng = np.random.default_rng(6)
+    rows = [(i, 8, rng.normal(size=8).tolist()) for i in range(300)] + [(1000, 5, [1.0, 2.0, 0.0, 0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "node long, dim int, vector array<double>")
+    for sample in (100, 1, 0):
+        found = embedding_dedup.axes(vectors, sample)
+        assert set(found) == {5, 8} and all(np.allclose(x @ x.T, np.eye(d)) for d, x in found.items())
