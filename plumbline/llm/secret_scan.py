@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -25,9 +26,16 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 # A run of 24 or more is the same match as a maximal run that has 24 or more; likewise 20 after AKIA.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: Characters of the shortest candidate: fewer carry no format.
+#: Characters of the shortest candidate, unless a caller says otherwise: shorter words carry little format.
 SHORTEST = 16
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+
+
+@functools.cache
+def _candidate(shortest: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_=-]{{{shortest},}}")
+
+
+_CANDIDATE = _candidate(SHORTEST)
 _CLASSES = (("0123456789", "d"), ("abcdef", "h"), ("ghijklmnopqrstuvwxyz", "l"), ("ABCDEF", "H"), ("GHIJKLMNOPQRSTUVWXYZ", "U"), ("+/", "s"), ("_-", "m"), (".", "p"), ("=", "e"))
 _CLASS = str.maketrans({c: k for cs, k in _CLASSES for c in cs})
 
@@ -40,10 +48,10 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found, key=lambda x: (x[0], _ORDER[x[2]]))
 
 
-def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int]]:
-    """Runs of SHORTEST or more credential characters that touch no base span; ``taken`` is in order of starts."""
+def candidates(text: str, taken: list[tuple[int, int, str, str]], shortest: int = SHORTEST) -> list[tuple[int, int]]:
+    """Runs of ``shortest`` or more credential characters that touch no base span; ``taken`` is in order of starts."""
     out, k, reach = [], 0, 0  # the furthest end of the base spans that start before the run's end
-    for m in _CANDIDATE.finditer(text):
+    for m in _candidate(shortest).finditer(text):
         a, b = m.span()
         while k < len(taken) and taken[k][0] < b:
             reach = max(reach, taken[k][1])
@@ -149,6 +157,7 @@ def infer(words: Iterable[tuple[str, int]], alpha: float = ALPHA) -> Automaton:
 class SecretModel:
     automata: dict[str, Automaton]
     plain: Automaton
+    shortest: int = SHORTEST
 
     def kind(self, word: str, ratio: float) -> str | None:
         """The kind whose format makes the word likelier than plain text does by the ratio; None if none does."""
@@ -159,26 +168,31 @@ class SecretModel:
         return best if best and scores[best] - plain >= ratio else None
 
 
-def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        out = []
-        for text in x["body"]:
-            base = base_spans(text)
-            out += [(kind, word.translate(_CLASS)) for *_, kind, word in base]
-            out += [("plain", text[a:b].translate(_CLASS)) for a, b in candidates(text, base)]
-        yield pd.DataFrame(out, columns=["kind", "form"])
+def _examples(shortest: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for text in x["body"]:
+                base = base_spans(text)
+                out += [(kind, word.translate(_CLASS)) for *_, kind, word in base]
+                out += [("plain", text[a:b].translate(_CLASS)) for a, b in candidates(text, base, shortest)]
+            yield pd.DataFrame(out, columns=["kind", "form"])
+
+    return run
 
 
-def learn_secrets(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
+def learn_secrets(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
     """Automata from the credentials that the base patterns label and one from the remaining candidates.
 
-    About ``sample`` documents are read, chosen by a digest of the id, and of each kind ``examples`` forms at most, the most
-    frequent ones, then by a digest. Credentials are strings of character classes. Kinds without credentials have no automaton.
+    About ``sample`` documents are read, chosen by a digest of id and text (rows that repeat both count once), and of each
+    kind ``examples`` forms at most, the most frequent ones, then by a digest. Candidates have ``shortest`` characters or more.
+    Credentials are strings of character classes. Kinds without credentials have no automaton.
     """
     share = sample / max(1, docs.count())
-    rows = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("secrets")), F.lit(1_000_000)) < min(1.0, share) * 1_000_000)
+    rows = docs.select(F.col(id_col).alias("id"), body(text_col).alias("body"))
+    rows = rows.filter(F.pmod(F.xxhash64("id", "body", F.lit("secrets")), F.lit(1_000_000)) < min(1.0, share) * 1_000_000).distinct()
     with small_batches(docs.sparkSession):
-        rows = rows.select(body(text_col).alias("body")).mapInPandas(_examples, "kind string, form string")
+        rows = rows.select("body").mapInPandas(_examples(shortest), "kind string, form string")
         rows = stored(rows.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n")), "secret-forms")  # bounded by the sample
     few = lambda *by: F.row_number().over(Window.partitionBy("kind", *by).orderBy(F.desc("n"), F.xxhash64("form"), "form"))
     rows = rows.select("*", salt("form", salts=16).alias("salt")).select("*", few("salt").alias("nth")).filter(F.col("nth") <= examples)
@@ -187,7 +201,7 @@ def learn_secrets(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLE
     for r in found:
         forms.setdefault(r["kind"], []).append((r["form"], r["n"]))
     plain = infer(forms.pop("plain", []))
-    return SecretModel({k: infer(v) for k, v in sorted(forms.items())}, plain)
+    return SecretModel({k: infer(v) for k, v in sorted(forms.items())}, plain, shortest)
 
 
 def _scan(model: SecretModel, ratio: float) -> Callable:
@@ -198,7 +212,7 @@ def _scan(model: SecretModel, ratio: float) -> Callable:
             for i, text in zip(x["id"], x["body"]):
                 base = base_spans(text)
                 spans = [{"start": a, "end": b, "kind": k} for a, b, k, _ in base]
-                for a, b in candidates(text, base):
+                for a, b in candidates(text, base, model.shortest):
                     word = text[a:b]
                     if word not in memo:
                         if len(memo) > 100_000:

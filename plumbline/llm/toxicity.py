@@ -11,12 +11,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.llm.common import body, discard, held_out, small, small_batches, stored, table
 
-#: Labelled documents of each class that are read at most, about.
-SAMPLE = 6_000
+#: Labelled documents of each class that are read at most, and bytes of their terms that reach the driver.
+SAMPLE, TERM_BYTES = 6_000, 64 << 20
 #: Hash buckets; documents of the sample that a bucket must occur in to have parameters (others weigh 0, as one never seen).
 BUCKETS, LEAST = 1 << 18, 5
 #: Factors, rows a step, passes with weights alone, then with factors at most, and passes without a gain on the rows kept
@@ -118,15 +118,16 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A text's distinct buckets in order, as 32-bit numbers."""
     for x in batches:
         made = [np.sort(np.fromiter({b for w in set(_TERM.findall(t)) for b in term_buckets(w)}, "<i4")).tobytes() for t in x["body"]]
-        yield pd.DataFrame({"label": x["label"], "terms": made})
+        yield pd.DataFrame({"label": x["label"], "digest": x["digest"], "terms": made})
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, term_bytes: int = TERM_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
     """A machine from the labelled rows where ``train`` (over ``labels``) holds and label and text are not null.
 
-    At most about ``sample`` documents of each class are read, chosen by a digest of the id and weighted to stand for
-    their class; an id that is labelled repeatedly counts once, as toxic if any of its labels says so. The driver gets the
-    buckets of the sample, four bytes each. Without labels every score is one half.
+    At most ``sample`` documents of each class are read, drawn by a digest of the id, then of id and text, and weighted to
+    stand for their class; an id that is labelled repeatedly counts once, as toxic if any of its labels says so, and so do
+    rows that repeat id and text. The driver gets the terms of the sample, four bytes each, in the order of the draw until
+    a class has ``term_bytes``. Without labels every score is one half.
     """
     spark = docs.sparkSession
     marked = labels.filter(train & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
@@ -136,14 +137,20 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, sample: in
     part = F.when(F.col("label") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
     chosen = stored(marked.filter(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000)) < part * 1_000_000), "toxic-chosen")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    rows = texts.join(small(chosen, chosen.count()), "id").select("label", body("text").alias("body"))
+    rows = texts.join(small(chosen, chosen.count()), "id").select("label", body("text").alias("body"), F.xxhash64("id", "text").alias("digest"))
     with small_batches(spark):
-        rows = stored(rows.mapInPandas(_terms, "label int, terms binary"), "toxic-terms")
-    found = rows.toPandas()
-    discard(marked, chosen, rows)
+        rows = stored(rows.mapInPandas(_terms, "label int, digest long, terms binary").dropDuplicates(["label", "digest"]), "toxic-terms")
+    first = lambda *by: F.row_number().over(Window.partitionBy("label", *by).orderBy("digest"))
+    drawn = rows.select("label", "digest", F.length("terms").alias("bytes"), F.pmod("digest", F.lit(16)).alias("cell"))
+    drawn = drawn.withColumn("nth", first("cell")).filter(F.col("nth") <= sample).withColumn("nth", first()).filter(F.col("nth") <= sample)
+    so_far = F.sum("bytes").over(Window.partitionBy("label").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0))
+    drawn = stored(drawn.withColumn("so_far", so_far).filter(F.col("so_far") <= term_bytes).select("label", "digest"), "toxic-drawn")
+    found = rows.join(small(drawn, drawn.count()), ["label", "digest"]).select("label", "terms").toPandas()  # bounded by rows and bytes
+    discard(marked, chosen, rows, drawn)
     found = found.sort_values(["terms", "label"])  # the same machine whatever order the rows come in
-    y = found["label"].to_numpy(dtype=float)
-    return fit_machine([np.frombuffer(k, "<i4") for k in found["terms"]], y, np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0)))
+    y = found["label"].to_numpy(dtype=int)
+    each = {k: sizes[k] / n for k, n in zip(*np.unique(y, return_counts=True))}
+    return fit_machine([np.frombuffer(k, "<i4") for k in found["terms"]], y.astype(float), np.array([each[k] for k in y], float))
 
 
 class _Places(dict):

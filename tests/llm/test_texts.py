@@ -326,3 +326,29 @@ def test_null_ids_spread_over_cells(spark):
     assert len(found) == 3001 and not found.duplicated(["sequence_id", "offset"]).any()
     for _, s in found.sort_values("offset").groupby("sequence_id"):
         assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]]
+
+
+def test_samples_are_bounded_whatever_repeats(spark, monkeypatch):
+    """One id with most rows, null ids, rows that repeat: each text of an id counts once, rows and bytes keep their bounds."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit_machine", lambda found, y, w: seen.update(n=[int((y == k).sum()) for k in (0, 1)], bytes=sum(4 * len(f) for f in found), weight=sorted(set(w.tolist()))))
+    rows = [(1, f"bad words {k % 500} of one id") for k in range(3000)] + [(None, "no id")] * 500 + [(i, f"some text {i} of its own") for i in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(i, 0) for i in range(2, 400)] + [(None, 1)], "doc_id long, toxic int")
+    lit = __import__("pyspark").sql.functions.lit(True)
+    toxicity.learn_toxicity(docs, labels, lit)
+    assert seen["n"] == [398, 500]
+    toxicity.learn_toxicity(docs, labels, lit, sample=60)
+    assert seen["n"][1] <= 60 and 0 < seen["n"][0] <= 60
+    toxicity.learn_toxicity(docs, labels, lit, term_bytes=1000)
+    assert 0 < seen["bytes"] <= 2000 and all(n > 0 for n in seen["n"])
+
+
+def test_shorter_candidates_on_demand(spark):
+    text = "word abcdefgh12 " + "Zm9vYmFyYmF6cXV4MTIz"
+    assert [text[a:b] for a, b in secret_scan.candidates(text, [], 10)] == ["abcdefgh12", "Zm9vYmFyYmF6cXV4MTIz"]
+    assert [text[a:b] for a, b in secret_scan.candidates(text, [])] == ["Zm9vYmFyYmF6cXV4MTIz"]
+    docs = spark.createDataFrame([(None, "token=abc12345 plainword")] * 40 + [(1, None)], "doc_id long, text string")
+    model = secret_scan.learn_secrets(docs, shortest=8)
+    assert model.shortest == 8 and model == secret_scan.learn_secrets(docs.distinct(), shortest=8)  # rows that repeat count once
+    assert len(secret_scan.find_secrets(docs, model).collect()) == 41
