@@ -83,13 +83,17 @@ def stock_details(securities: DataFrame, quotes: DataFrame, scores: DataFrame, m
 
 
 def weight_roles(sets: DataFrame, keys: Sequence[str] = ("market", "horizon"), id_col: str = "weight_set_id") -> DataFrame:
-    """``sets`` with nth, the newest of its keys first (ties by id), and role: ``active`` for the newest active one, ``proposed`` for
-    the newest that is not active, else ``history``. A null flag is not active."""
-    newest = [F.col("created_at").desc_nulls_last(), F.col(id_col)]
-    active = F.coalesce("is_active", F.lit(False))
-    first = F.row_number().over(Window.partitionBy(*keys, active).orderBy(*newest)) == 1
-    role = F.when(first & active, "active").when(first, "proposed").otherwise("history")
-    return sets.withColumns({"nth": F.row_number().over(Window.partitionBy(*keys).orderBy(*newest)), "role": role})
+    """``sets`` with role: ``active`` for the newest active one of its keys, ``proposed`` for the newest that is not active, else
+    ``history``. Of those made at one time the greatest id is the newest; a null flag is not active, null keys are keys.
+
+    The two newest of each group come from one aggregate, so that a large group is no task's.
+    """
+    active, made = F.coalesce("is_active", F.lit(False)), F.struct("created_at", id_col)
+    newest = sets.groupBy(*keys).agg(F.max(F.when(active, made)).alias("_active"), F.max(F.when(~active, made)).alias("_proposed"))
+    rows = sets.alias("s").join(newest.alias("n"), [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+    flag, own = F.coalesce("s.is_active", F.lit(False)), F.col(f"s.{id_col}")
+    role = F.when(flag & (own == F.col("_active")[id_col]), "active").when(~flag & (own == F.col("_proposed")[id_col]), "proposed").otherwise("history")
+    return rows.select("s.*", role.alias("role"))
 
 
 def watch(listed: DataFrame, added: DataFrame, now: Column) -> DataFrame:

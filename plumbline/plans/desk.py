@@ -37,7 +37,7 @@ _CODE = "(ticker % 9000 + 1000)::VARCHAR || CASE WHEN ticker % 2 = 0 THEN '0' EL
   q AS (SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY code ORDER BY session DESC) = 1),
   scores AS (SELECT (o_custkey % 9000 + 1000)::VARCHAR AS ticker, o_orderdate::DATE AS as_of, o_totalprice, o_orderpriority FROM orders),
   sc AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC, o_totalprice DESC, o_orderpriority DESC) = 1),
-  km AS (SELECT (c_custkey % 9000 + 1000)::VARCHAR AS ticker, c_acctbal FROM customer WHERE c_custkey % 4 = 0)
+  km AS (SELECT (c_custkey % 9000 + 1000)::VARCHAR AS ticker, max(c_acctbal) AS c_acctbal FROM customer WHERE c_custkey % 4 = 0 GROUP BY 1)
   SELECT sec.ticker, sec.name, sec.sector, round(coalesce(a.close, b.close), 6) AS ref_price, round(CASE WHEN a.code IS NOT NULL THEN a.change_pct ELSE b.change_pct END, 6) AS ref_change_pct,
     coalesce(a.session, b.session) AS ref_as_of, round(o_totalprice, 4) AS total_score, o_orderpriority AS conviction, round(c_acctbal, 4) AS market_cap
   FROM sec LEFT JOIN q a ON a.code = sec.ticker LEFT JOIN q b ON length(sec.ticker) = 4 AND b.code = sec.ticker || '0' LEFT JOIN sc ON sc.ticker = sec.ticker LEFT JOIN km ON km.ticker = sec.ticker""")
@@ -57,13 +57,12 @@ def stock_details(spark: SparkSession, sf: str) -> DataFrame:
 _SETS = "sets AS (SELECT o_orderkey AS id, o_orderpriority AS market, o_orderstatus AS horizon, o_orderdate::DATE AS created_at, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 5 = 1 END AS is_active FROM orders)"
 
 
-@query("weight_roles", f"""WITH {_SETS}, n AS (SELECT *, row_number() OVER (PARTITION BY market, horizon ORDER BY created_at DESC, id) AS nth,
-    row_number() OVER (PARTITION BY market, horizon, coalesce(is_active, false) ORDER BY created_at DESC, id) AS k FROM sets)
-  SELECT id, nth::INT AS nth, CASE WHEN k > 1 THEN 'history' WHEN coalesce(is_active, false) THEN 'active' ELSE 'proposed' END AS role FROM n""")
+@query("weight_roles", f"""WITH {_SETS}, n AS (SELECT *, row_number() OVER (PARTITION BY market, horizon, coalesce(is_active, false) ORDER BY created_at DESC, id DESC) AS k FROM sets)
+  SELECT id, CASE WHEN k > 1 THEN 'history' WHEN coalesce(is_active, false) THEN 'active' ELSE 'proposed' END AS role FROM n""")
 def weight_roles(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     sets = table(spark, sf, "orders").select(k.alias("id"), F.col("o_orderpriority").alias("market"), F.col("o_orderstatus").alias("horizon"), F.to_date("o_orderdate").alias("created_at"), F.when(k % 5 != 0, k % 5 == 1).alias("is_active"))
-    return D.weight_roles(sets, id_col="id").select("id", "nth", "role")
+    return D.weight_roles(sets, id_col="id").select("id", "role")
 
 
 @query("watched", """WITH c AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS ticker, CASE WHEN c_nationkey < 12 THEN 'default' ELSE c_mktsegment END AS list_name, DATE '2024-01-01' + (c_custkey % 90)::INT AS added_at FROM customer)

@@ -42,10 +42,11 @@ def test_stock_details_take_the_longer_code_only_without_quotes(spark):
 
 
 def test_weight_roles(spark):
-    sets = spark.createDataFrame([("a", 1, True), ("b", 3, False), ("c", 2, True), ("d", 3, None), ("e", None, None)], "weight_set_id string, created_at int, is_active boolean")
-    sets = sets.withColumns({"market": F.lit("JP"), "horizon": F.lit("H20")})
-    found = {r.weight_set_id: (r.nth, r.role) for r in D.weight_roles(sets).collect()}
-    assert found == {"b": (1, "proposed"), "d": (2, "history"), "c": (3, "active"), "a": (4, "history"), "e": (5, "history")}
+    rows = [("a", 1, True, "JP"), ("b", 3, False, "JP"), ("c", 2, True, "JP"), ("d", 3, None, "JP"), ("e", None, None, "JP"), ("f", None, True, None), ("g", 1, False, "US")]
+    sets = spark.createDataFrame(rows, "weight_set_id string, created_at int, is_active boolean, market string").withColumn("horizon", F.lit("H20"))
+    found = {r.weight_set_id: r.role for r in D.weight_roles(sets).collect()}
+    assert found == {"a": "history", "b": "history", "c": "active", "d": "proposed", "e": "history", "f": "active", "g": "proposed"}
+    assert D.weight_roles(sets.limit(0)).columns == [*sets.columns, "role"]
 
 
 def test_watched_and_alerts(spark):
