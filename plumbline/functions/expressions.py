@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from statistics import NormalDist
 
@@ -14,6 +14,12 @@ def whole(*keys: str | Column) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it: Spark computes a repeated part of an
+    expression inside a lambda anew at each place, and for each element of an inner one."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0 or null."""
     return F.try_divide(a, b)

@@ -9,7 +9,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.expressions import months_inclusive, ratio
+from plumbline.functions.expressions import bound, months_inclusive, ratio
 
 EULER = 0.5772156649015329
 YEAR = 252
@@ -60,7 +60,8 @@ def turnover_capped(target: DataFrame, cap: float, *keys: str) -> DataFrame:
     rebalance; the first one, too. ``keys`` tell portfolios apart.
 
     Each step depends on the one before: a fold over a portfolio's rebalances, inside the JVM. It holds ``n`` names a
-    rebalance, a few hundred a year, however large the price table is; portfolios are spread over tasks.
+    rebalance, a few hundred a year, however large the price table is; portfolios are spread over tasks. What a step uses more
+    than once is bound, so that its work is in proportion to the names held.
     """
     days = target.groupBy(*keys, "as_of").agg(F.collect_list(F.struct("ticker", "target")).alias("want"))
     rows = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("as_of", "want"))).alias("days"))
@@ -70,13 +71,14 @@ def turnover_capped(target: DataFrame, cap: float, *keys: str) -> DataFrame:
     state = f"struct<held:{weights},out:array<struct<as_of:{kind['as_of']},held:{weights},turnover:double>>>"
 
     def step(s: Column, d: Column) -> Column:
-        want = F.map_from_entries(d["want"])
-        both = F.map_zip_with(s["held"], want, lambda _, a, b: F.struct(F.coalesce(a, F.lit(0.0)).alias("a"), F.coalesce(b, F.lit(0.0)).alias("b")))
-        moved = F.aggregate(F.map_values(both), F.lit(0.0), lambda t, x: t + F.abs(x["b"] - x["a"])) / 2
-        part = F.when(moved > 0, F.least(F.lit(1.0), F.lit(cap) / moved)).otherwise(1.0)
-        held = F.map_filter(F.transform_values(both, lambda _, x: x["a"] + part * (x["b"] - x["a"])), lambda _, w: w > 1e-12)
-        entry = F.struct(d["as_of"].alias("as_of"), held.alias("held"), (moved * part).alias("turnover"))
-        return F.struct(held.alias("held"), F.concat(s["out"], F.array(entry)).alias("out")).cast(state)
+        both = F.map_zip_with(s["held"], F.map_from_entries(d["want"]), lambda _, a, b: F.struct(F.coalesce(a, F.lit(0.0)).alias("a"), F.coalesce(b, F.lit(0.0)).alias("b")))
+        return bound(both, lambda both: bound(F.aggregate(F.map_values(both), F.lit(0.0), lambda t, x: t + F.abs(x["b"] - x["a"])) / 2, lambda moved: traded(s, d, both, moved)))
+
+    def traded(s: Column, d: Column, both: Column, moved: Column) -> Column:
+        share = F.when(moved > 0, F.least(F.lit(1.0), F.lit(cap) / moved)).otherwise(1.0)
+        held = bound(share, lambda part: F.map_filter(F.transform_values(both, lambda _, x: x["a"] + part * (x["b"] - x["a"])), lambda _, w: w > 1e-12))
+        entry = lambda held: F.struct(d["as_of"].alias("as_of"), held.alias("held"), (moved * share).alias("turnover"))
+        return bound(held, lambda held: F.struct(held.alias("held"), F.concat(s["out"], F.array(entry(held))).alias("out"))).cast(state)
 
     start = F.struct(F.create_map().cast(weights).alias("held"), F.array().cast(state.split("out:", 1)[1][:-1]).alias("out")).cast(state)
     folded = rows.select(*keys, F.explode(F.aggregate("days", start, step, lambda s: s["out"])).alias("x"))

@@ -11,17 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.session import ship
-
-#: Slices of the value range: distribution functions are summed within slices, then slices in order.
-SLICES = 1024
-
+from plumbline.staging import stored
 
 def ks_distance(df: DataFrame, value: str, first: str) -> DataFrame:
-    """Largest distance of the two samples' distribution functions; ``first`` tells the sample. Running counts are made in
-    slices of the value range and shifted by the counts of earlier slices."""
+    """Largest distance of the two samples' distribution functions; ``first`` tells the sample. Counts of distinct values lie in
+    range partitions, stored once with their numbers; running counts are made inside them and shifted by the totals of earlier
+    ones, of which there is a row a partition."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(first).alias("a"), F.count_if(~F.col(first)).alias("b"))
-    edges = counts.agg(F.percentile_approx("v", [i / SLICES for i in range(1, SLICES)], 10_000).alias("edges"))
-    counts = counts.join(F.broadcast(edges)).withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    counts = counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    counts = stored(counts.select("v", "a", "b", F.spark_partition_id().alias("slice")), "ks-counts")
     inside = Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.groupBy("slice").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
