@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import itertools
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -236,42 +236,150 @@ def citation_verdict(quote: str | None, source: str | None, least: float = 0.9)
     if q in s:
         return "VERIFIED"
     width = max(len(q), 8)
-    m = difflib.SequenceMatcher(autojunk=False)
-    m.set_seq2(q)
     for i in _windows(s, q, width, max(1, width // 4), least):
-        m.set_seq1(s[i : i + width])
-        if m.ratio() >= least:
+        if _resembles(s[i : i + width], q, least):
             return "VERIFIED_FUZZY"
     return "QUOTE_NOT_FOUND"
 
 
+#: Numbers that a step on windows holds at once; pieces of up to so many characters are left to difflib's search.
+CELLS, PIECE = 1 << 22, 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
 
 
+def _gram_codes(x: np.ndarray, q: int) -> np.ndarray:
+    """A number for the ``q`` characters from each place on. Different grams may share one: shared grams are only overstated."""
+    out = np.zeros(max(0, len(x) - q + 1), "u8")
+    for k in range(q):
+        out = out * _BASE + x[k : k + len(out)]
+    return out
+
+
+def _fewest(m: np.ndarray, size: np.ndarray, q: int) -> np.ndarray:
+    """Grams that two texts share if ``m`` of their ``size`` characters match on either side: matched ones stand in blocks with an
+    unmatched character between, so that there are at most size - 2 m + 1 blocks, and each lacks q - 1 grams of its length."""
+    return m - (q - 1) * (size - 2 * m + 1)
+
+
 def _windows(s: str, q: str, width: int, step: int, least: float) -> list[int]:
-    """The starts of the windows of ``s`` whose ratio with ``q`` can be ``least``.
+    """The starts of the windows of ``s`` whose ratio with ``q`` can be ``least``, those that share most with it first.
 
-    A ratio of r means r (n + k) / 2 matched characters: the window has so many of the quote's characters, counted with
-    repeats, which running counts tell for all windows at once; and it shares at least 3 m - n - k - 1 pairs of neighbours,
-    since matched characters stand in blocks with an unmatched one between. Both take time in proportion to the source.
+    A ratio of r means r (n + k) / 2 matched characters, and so a least number of common grams of one to four characters,
+    counted with repeats. Each is told for many windows at once, in time in proportion to the source.
     """
-    x = _codes(s)
+    x, y = _codes(s).astype("u8"), _codes(q).astype("u8")
     starts = np.arange(0, max(1, len(x) - width + 1), step)
-    ends = np.minimum(starts + width, len(x))
-    size = ends - starts + len(q)
-    need = np.ceil(least * size / 2 - 1e-9)
-    common = np.zeros(len(starts))
-    for char, n in zip(*np.unique(_codes(q), return_counts=True)):
-        run = np.concatenate([[0], np.cumsum(x == char)])
-        common += np.minimum(run[ends] - run[starts], n)
-    pairs = Counter(zip(q, q[1:]))
-    out = []
-    for i, m, t in zip(starts[common >= need].tolist(), need[common >= need].tolist(), size[common >= need].tolist()):
-        window = s[i : i + width]
-        if sum((Counter(zip(window, window[1:])) & pairs).values()) >= 3 * m - t - 1:
-            out.append(i)
-    return out
+    surplus = np.zeros(len(starts))
+    for n in (1, 2, 3, 4):
+        xs, (known, most) = _gram_codes(x, n), np.unique(_gram_codes(y, n), return_counts=True)
+        if not len(known):
+            break
+        place = np.minimum(np.searchsorted(known, xs), len(known) - 1)
+        place = np.append(np.where(known[place] == xs, place, len(known)), len(known))  # what the quote has not is counted apart
+        stay, over, at_once = [], [], max(1, CELLS // (width + len(known)))
+        for part in np.split(starts, range(at_once, len(starts), at_once)):
+            size = np.minimum(part + width, len(x)) - part + len(y)
+            cells = place[np.minimum(part[:, None] + np.arange(max(0, width - n + 1)), len(xs))] + (len(known) + 1) * np.arange(len(part))[:, None]
+            counts = np.bincount(cells.ravel(), minlength=len(part) * (len(known) + 1)).reshape(len(part), -1)[:, :-1]
+            more = np.minimum(counts, most).sum(axis=1) - _fewest(np.ceil(least * size / 2 - 1e-9), size, n)
+            stay.append(part[more >= 0])
+            over.append(more[more >= 0])
+        starts, surplus = np.concatenate(stay), np.concatenate(over)
+        if not len(starts):
+            break
+    return starts[np.argsort(-surplus, kind="stable")].tolist()
+
+
+@functools.lru_cache(maxsize=1)
+def _places(text: str) -> dict[str, int]:
+    """Of each character its places as the bits of an integer; windows of one quote ask one after another."""
+    x = _codes(text)
+    return {chr(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x).tolist()}
+
+
+def _common(a: str, b: str, need: int) -> bool:
+    """Whether a common subsequence can have ``need`` characters: what a ratio matches is one. A row of the table is an integer."""
+    places, n = _places(b), len(b)
+    whole = row = (1 << n) - 1
+    for i, c in enumerate(a, 1):
+        u = row & places.get(c, 0)
+        row = (row + u) | (row - u)
+        if not i & 63:
+            row &= whole
+            if n - row.bit_count() + len(a) - i < need:
+                return False
+    return n - (row & whole).bit_count() >= need
+
+
+def _longest(a: str, b: str) -> tuple[int, int, int]:
+    """``SequenceMatcher.find_longest_match`` without junk: the first longest common piece in ``a``, and its first place in ``b``.
+
+    A common piece of a length has ones of every smaller length, so the length is found by halving; codes of all pieces of a
+    length are differences of running sums. Codes only propose: the pieces themselves are compared.
+    """
+    n = max(len(a), len(b)) + 1
+    power = np.cumprod(np.full(n, _BASE))
+    sums = [np.concatenate([np.zeros(1, "u8"), np.cumsum(_codes(t) * power[: len(t)])]) for t in (a, b)]
+
+    def pieces_of(k: int, size: int) -> np.ndarray:
+        at = np.arange(len(sums[k]) - size)
+        return (sums[k][size:] - sums[k][:-size]) * power[n - 1 - at]
+
+    def first(size: int) -> tuple[int, int] | None:
+        x, y = pieces_of(0, size), pieces_of(1, size)
+        for i in np.flatnonzero(np.isin(x, y)).tolist():
+            piece = a[i : i + size]
+            j = b.find(piece)
+            if j >= 0:
+                return i, j
+        return None
+
+    low, high, found = 0, min(len(a), len(b)), (0, 0)
+    while low < high:
+        mid = (low + high + 1) // 2
+        at = first(mid)
+        if at is None:
+            high = mid - 1
+        else:
+            low, found = mid, at
+    return *found, low
+
+
+def _resembles(a: str, b: str, least: float) -> bool:
+    """Whether ``difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()`` is ``least`` or more.
+
+    Longest common pieces first, then what is left and right of them, as there; each count is weighed against what is still
+    needed and what the remaining pieces could give at most, so that most windows are told by few pieces.
+    """
+    total = len(a) + len(b)
+    if not total:
+        return True
+    need = max(0, int(least * total / 2) - 1)
+    while 2.0 * need / total < least:
+        need += 1
+    if not _common(a, b, need):
+        return False
+    matched, most, rest = 0, min(len(a), len(b)), [(a, b)]
+    while rest and matched < need <= matched + most:
+        x, y = rest.pop()
+        most -= min(len(x), len(y))
+        if min(len(x), len(y)) <= PIECE:
+            matched += sum(k for _, _, k in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            continue
+        i, j, k = _longest(x, y)
+        if not k:
+            continue
+        matched += k
+        for part in ((x[:i], y[:j]), (x[i + k :], y[j + k :])):
+            if part[0] and part[1]:
+                rest.append(part)
+                most += min(len(part[0]), len(part[1]))
+        rest.sort(key=lambda p: min(len(p[0]), len(p[1])))
+    return matched >= need
 
 
 def _verdicts(quotes: pd.Series, sources: pd.Series) -> pd.Series:
