@@ -113,14 +113,24 @@ def lesson_updates(old: DataFrame, new: DataFrame, least: float = 0.85, observat
     n_observations, is_active) counts, of equal ones the first by id: ``superseded`` says that the lesson has more
     observations than that memory and takes its place, ``known`` that it has not; ``added`` that there is none. Lessons are not
     compared with each other. An unknown number of observations counts as 0.
+
+    Texts are compared, not rows: of memories with one text the first by id stands for all, and what a text finds holds for all
+    lessons with it. A text that a memory has itself has found its best, a ratio of 1.
     """
     n = F.coalesce("n_observations", F.lit(0))
-    lessons = new.select("lesson_id", "text", n.alias("n"))
-    active = old.filter("is_active").select(F.col("memory_id").alias("id"), "text")
-    found = similar_texts(active, lessons.filter(F.col("n") >= observations).select(F.col("lesson_id").alias("id"), "text"), least)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    lessons = new.select("lesson_id", text, n.alias("n"))
+    memories = stored(old.filter("is_active").select("memory_id", text).groupBy("text").agg(F.min("memory_id").alias("id")), "lesson-memories")
+    asked = lessons.filter(F.col("n") >= observations).groupBy("text").agg(F.min("lesson_id").alias("b"))
+    asked = stored(asked.join(memories.select("text", F.col("id").alias("same")), "text", "left"), "lesson-texts")
+    equal = F.col("same").isNotNull()
+    found = similar_texts(memories, asked.filter(~equal).select(F.col("b").alias("id"), "text"), least)
     first = Window.partitionBy("b").orderBy(F.col("ratio").desc(), "a")
-    best = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(F.col("b").alias("lesson_id"), F.col("a").alias("memory_id"), "ratio")
-    x = lessons.join(best, "lesson_id", "left").join(old.select("memory_id", n.alias("old_n")), "memory_id", "left")
+    best = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").join(asked, "b").select("text", F.col("a").alias("memory_id"), "ratio")
+    best = best.unionByName(asked.filter(equal).select("text", F.col("same").alias("memory_id"), F.lit(1.0).alias("ratio")))
+    best = best.withColumn("n", F.lit(observations))  # texts of lessons that are refused find nothing
+    x = lessons.alias("l").join(best.alias("m"), (F.col("l.text") == F.col("m.text")) & (F.col("l.n") >= F.col("m.n")), "left").select("lesson_id", "l.n", "memory_id", "ratio")
+    x = x.join(old.select("memory_id", n.alias("old_n")), "memory_id", "left")
     decision = F.when(F.col("n") < observations, "refused").when(F.col("memory_id").isNull(), "added").when(F.col("n") > F.col("old_n"), "superseded").otherwise("known")
     return x.select("lesson_id", decision.alias("decision"), "memory_id", "ratio")
 

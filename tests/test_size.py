@@ -4,7 +4,7 @@ import difflib
 import random
 import time
 
-from plumbline.operators import retrieval
+from plumbline.operators import retrieval, similarity
 
 
 def prose(r, n):
@@ -40,3 +40,32 @@ def test_likeness_is_that_of_difflib():
             if a and b:
                 assert retrieval._longest(a, b) == tuple(m.find_longest_match())
     assert kinds == {True, False}
+
+
+def test_copies_of_lessons_are_compared_once(spark, monkeypatch):
+    """Copies on both sides pair texts, not rows, and each lesson still has what a double loop finds."""
+    texts = ["large ring LARGE Brand#1", "large ring LARGE Brand#12", "hot bolt SMALL Brand#3", "cold plate MEDIUM Brand#21", None]
+    old = [(k, texts[k % 5], 5 * (k % 4), k % 3 != 0) for k in range(60)]
+    new = [(1000 + k, (texts[0], "large ring LARGE Brand#13", "hot bolts SMALL Brand#3", "nothing like it", None, "")[k % 6], 8 + k % 9) for k in range(60)]
+    seen = []
+    whole = similarity.similar_texts
+    monkeypatch.setattr(similarity, "similar_texts", lambda *a: seen.append(found := whole(*a)) or found)
+    old_df = spark.createDataFrame(old, "memory_id long, text string, n_observations long, is_active boolean")
+    made = similarity.lesson_updates(old_df, spark.createDataFrame(new, "lesson_id long, text string, n_observations long"))
+    got = {r.lesson_id: (r.decision, r.memory_id, r.ratio) for r in made.collect()}
+    want = {}
+    for i, text, n in new:
+        ratios = [(-difflib.SequenceMatcher(None, t or "", text or "").ratio(), m, k) for m, t, k, active in old if active]
+        ratio, memory, k = min(ratios)
+        want[i] = ("refused", None, None) if n < 10 else ("added", None, None) if -ratio < 0.85 else ("superseded" if n > k else "known", memory, -ratio)
+    assert got == want and {d for d, _, _ in want.values()} >= {"refused", "added", "superseded"}
+    assert seen[0].count() <= 25
+
+
+def test_long_equal_lessons_have_ratio_1(spark):
+    """Though difflib passes over frequent characters of long texts."""
+    for text in ("a" * 300, "ab" * 150 + "c", prose(random.Random(3), 200)):
+        assert difflib.SequenceMatcher(None, text, text).ratio() == 1
+    old = spark.createDataFrame([(1, "a" * 300, 1, True), (2, "b" * 50, 1, True)], "memory_id long, text string, n_observations long, is_active boolean")
+    new = spark.createDataFrame([(7, "a" * 300, 20), (8, "b" * 50, 20)], "lesson_id long, text string, n_observations long")
+    assert {r.lesson_id: (r.memory_id, r.ratio) for r in similarity.lesson_updates(old, new).collect()} == {7: (1, 1.0), 8: (2, 1.0)}
