@@ -31,27 +31,29 @@ def unstable_columns(compute: Callable[[DataFrame], DataFrame], df: DataFrame, t
     """feature, unstable: for each column of ``compute(df)`` but its ``keys`` whether any of its values up to the last date differs
     once extreme rows of the future are there; a row that is gone or new counts for all columns.
 
-    Both results are stored and met once by key; one row of counts comes out, whatever the number of columns."""
-    from plumbline.staging import stored
-
+    Of each column both results are summed up where they are made, as ``digest`` says: nothing is stored, and what moves beside
+    the columns' own work is one row a task, whatever the number of rows."""
     last = df.agg(F.max(F.to_date(time_col)).alias("_last"))
 
-    def known(x: DataFrame) -> DataFrame:
-        return x.join(F.broadcast(last)).filter(F.to_date(time_col) <= F.col("_last")).drop("_last")  # one row
-
-    before, after = stored(known(compute(df)), "stable-before"), stored(known(compute(with_future(df, time_col, days))), "stable-after")
-    columns = [c for c in before.columns if c not in keys]
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    both = before.withColumn("_here", F.lit(1)).alias("a").join(after.withColumn("_here", F.lit(1)).alias("b"), same, "full_outer")
-
-    def moved(c: str) -> Column:
-        a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
-        if before.schema[c].dataType.simpleString() in ("double", "float"):
-            a, b = F.round(a, digits), F.round(b, digits)
-        return ~a.eqNullSafe(b) | F.col("a._here").isNull() | F.col("b._here").isNull()
-
-    found = both.agg(*[F.coalesce(F.max(moved(c)), F.lit(False)).alias(c) for c in columns])
-    return found.unpivot([], columns, "feature", "unstable")
+    def digests(x: DataFrame) -> DataFrame:
+        known = x.join(F.broadcast(last)).filter(F.to_date(time_col) <= F.col("_last"))  # one row
+        return known.agg(*[digest(x, c, keys, digits).alias(c) for c in x.columns if c not in keys])
+
+    before, after = digests(compute(df)), digests(compute(with_future(df, time_col, days)))
+    both = F.broadcast(before).alias("a").crossJoin(after.alias("b"))  # a row each
+    found = both.select(*[(F.col(f"a.{c}") != F.col(f"b.{c}")).alias(c) for c in before.columns])
+    return found.unpivot([], before.columns, "feature", "unstable")
+
+
+def digest(df: DataFrame, column: str, keys: Sequence[str], digits: int) -> Column:
+    """An aggregate: how many rows there are, and the sums of both halves of a 64-bit hash of each row's keys and value (numbers
+    rounded). The same rows in whatever order have the same; others differ but for an accident of 1 in 2^64."""
+    c = F.col(column)
+    if df.schema[column].dataType.simpleString() in ("double", "float"):
+        c = F.round(column, digits) + F.lit(0.0)  # 0 has one sign
+    parts = [y for k in keys for y in (F.col(k), F.col(k).isNull())]
+    h = F.xxhash64(*parts, c, c.isNull())
+    return F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h.bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias("low"), F.coalesce(F.sum(F.shiftrightunsigned(h, 32)), F.lit(0)).alias("high"))
 
 
 def register(spark: SparkSession, functions: dict[str, tuple[Callable, str]] | None = None) -> Sequence[str]:

@@ -1,10 +1,14 @@
 """Work that stays in proportion where texts are long, copies many and ties open."""
 
+import datetime as dt
 import difflib
 import random
 import time
 
-from plumbline.operators import retrieval, similarity
+from pyspark.sql import Window, functions as F
+
+from plumbline import staging
+from plumbline.operators import checks, retrieval, similarity
 
 
 def prose(r, n):
@@ -69,3 +73,22 @@ def test_long_equal_lessons_have_ratio_1(spark):
     old = spark.createDataFrame([(1, "a" * 300, 1, True), (2, "b" * 50, 1, True)], "memory_id long, text string, n_observations long, is_active boolean")
     new = spark.createDataFrame([(7, "a" * 300, 20), (8, "b" * 50, 20)], "lesson_id long, text string, n_observations long")
     assert {r.lesson_id: (r.memory_id, r.ratio) for r in similarity.lesson_updates(old, new).collect()} == {7: (1, 1.0), 8: (2, 1.0)}
+
+
+def test_stability_stores_and_joins_nothing(spark):
+    """Rows that go or come, values that turn null and signs of 0 by column, from sums alone: no table is stored for it."""
+    rows = [(k, dt.date(2024, 1, d), float(d % 3), 0.0) for k in "ab" for d in range(1, 15)]
+    df = spark.createDataFrame(rows, "k string, d date, v double, zero double")
+    whole = Window.partitionBy("k")
+
+    def compute(x):
+        last = F.max("d").over(whole)
+        return x.select("k", "d", "v", (F.col("zero") * F.when(last > F.lit("2024-01-14").cast("date"), -1.0).otherwise(1.0)).alias("sign"), F.when(last <= F.lit("2024-01-14").cast("date"), 1).alias("nulled"))
+
+    made = len(staging._made)
+    found = checks.unstable_columns(compute, df, "d", ["k", "d"], 5)
+    assert "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.feature: r.unstable for r in found.collect()} == {"v": False, "sign": False, "nulled": True}
+    gone = lambda x: compute(x).withColumn("last", F.max("d").over(whole)).filter("d < last OR k = 'a'").drop("last")
+    assert all(r.unstable for r in checks.unstable_columns(gone, df, "d", ["k", "d"], 5).collect())
+    assert len(staging._made) == made
