@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window, functions as F
 
 from plumbline.operators.retrieval import DIGITS, _best
 from plumbline.session import ship
@@ -14,6 +14,8 @@ from plumbline.staging import stored
 
 #: Vectors that centroids are fitted on, at most, and steps of their fit; rows of a list that a task takes at once.
 SAMPLE, STEPS, TILE, BLOCK = 20_000, 12, 2048, 256
+#: Products of vectors and centroids that are held at once.
+PRODUCTS = 1 << 22
 
 
 def _units(rows: list | np.ndarray) -> np.ndarray:
@@ -22,13 +24,23 @@ def _units(rows: list | np.ndarray) -> np.ndarray:
     return x / np.where((norm > 0) & np.isfinite(norm), norm, 1.0)[:, None]
 
 
+def _parts(x: np.ndarray, lists: int) -> list[np.ndarray]:
+    """Rows whose products with all centroids are ``PRODUCTS`` numbers at most."""
+    size = max(1, PRODUCTS // max(1, lists))
+    return [x[i : i + size] for i in range(0, max(1, len(x)), size)]
+
+
 def fit_centroids(rows: DataFrame, vector_col: str, lists: int, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
     """``lists`` unit vectors by spherical k-means on ``sample`` rows at most, drawn by a digest of the vector; empty lists keep
     their centroid. Only the sample reaches the driver: its rows times the dimension bound the bytes. Vectors of another length
     than most, or with nulls or numbers that are not finite, are no part of it; fewer different vectors make fewer lists."""
     v = F.transform(vector_col, lambda x: x.cast("double"))
     good = (F.size(vector_col) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    taken = rows.filter(good).select(v.alias("v")).distinct().orderBy(F.xxhash64(F.col("v").cast("string"), F.lit(seed)), F.col("v")).limit(sample)
+    good_rows, digest = rows.filter(good).select(v.alias("v")), F.xxhash64(F.col("v").cast("string"), F.lit(seed))
+    n = good_rows.agg(F.approx_count_distinct(digest)).first()[0]
+    if n > 1.25 * sample:  # else each task would send so many rows to the driver: those whose digest is low are enough and few more
+        good_rows = good_rows.filter(digest < int(2**64 * (1.25 * sample / n)) - 2**63)
+    taken = good_rows.distinct().orderBy(digest, F.col("v")).limit(sample)
     found = [r["v"] for r in taken.collect()]
     if not found:
         return np.zeros((0, 0))
@@ -37,7 +49,7 @@ def fit_centroids(rows: DataFrame, vector_col: str, lists: int, sample: int = SA
     pick = np.random.default_rng(seed).permutation(len(x))[:lists]
     centroids = x[pick]
     for _ in range(STEPS):
-        own = (x @ centroids.T).argmax(axis=1)
+        own = np.concatenate([(part @ centroids.T).argmax(axis=1) for part in _parts(x, len(centroids))])
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, x)
         norm = np.sqrt((sums * sums).sum(axis=1))
@@ -47,13 +59,13 @@ def fit_centroids(rows: DataFrame, vector_col: str, lists: int, sample: int = SA
 
 def _nearest(centroids: np.ndarray, n: int) -> Callable:
     def lists(vectors: pd.Series) -> pd.Series:
-        out: list[list[int]] = []
-        for v in vectors:
-            if v is None or not len(centroids) or len(v) != centroids.shape[1]:
-                out.append([-1])  # a list of its own for what has no place among the centroids
-                continue
-            near = np.nan_to_num(centroids @ np.asarray(v, "f8"), nan=-2.0)
-            out.append(np.argsort(-near, kind="stable")[:n].tolist())
+        out: list[list[int]] = [[-1]] * len(vectors)  # a list of its own for what has no place among the centroids
+        good = [i for i, v in enumerate(vectors) if v is not None and len(centroids) and len(v) == centroids.shape[1]]
+        for part in _parts(np.array(good, int), len(centroids)):
+            near = np.nan_to_num(np.array([np.asarray(vectors.iloc[i], "f8") for i in part]).reshape(len(part), -1) @ centroids.T, nan=-2.0) if len(part) else np.zeros((0, 1))
+            order = near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+            for i, numbers in zip(part, order.tolist()):
+                out[i] = numbers
         return pd.Series(out)
 
     return lists
@@ -80,9 +92,15 @@ class VectorIndex:
         table = self.spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(c)], "list int, centroid array<double>")  # a row a list
         table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centroids")
         placed = self._placed(rows.filter(F.col(self.id).isNotNull()), c)
-        placed.unionByName(self._marks(placed, [-1])).write.mode("overwrite").partitionBy("list").parquet(f"{self.path}/rows")
+        self._by_list(placed.unionByName(self._marks(placed, [-1]))).mode("overwrite").parquet(f"{self.path}/rows")
         return self
 
+    @staticmethod
+    def _by_list(rows: DataFrame) -> DataFrameWriter:
+        """Rows of a list meet before they are written: a file a list, more only where one is large, whatever the number of tasks. What
+        a write reports of its files, and what each read lists, reaches the driver."""
+        return rows.hint("rebalance", "list").write.partitionBy("list")
+
     def centroids(self) -> np.ndarray:
         found = self.spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()
         return np.array([r["centroid"] for r in found]) if found else np.zeros((0, 0))
@@ -126,7 +144,7 @@ class VectorIndex:
         lists = [r["list"] for r in touched.distinct().collect()]  # numbers of lists
         stay = old.filter(F.col("list").isin(lists)).join(gone, self.id, "left_anti")
         out = stay if new is None else stay.unionByName(new.select(*stay.columns))
-        out.unionByName(self._marks(out, lists)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list").parquet(f"{self.path}/rows")
+        self._by_list(out.unionByName(self._marks(out, lists))).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/rows")
 
     def probes_for(self, k: int, recall: float = 0.93, sample: int = 200) -> int:
         """The least number of lists that a search must look into to find this part of the ``k`` best, as measured on ``sample`` rows at
@@ -155,6 +173,7 @@ class VectorIndex:
 
         Only partitions of the lists that some query asks for are read, and the filter stands below the scores. Queries of a list
         meet its rows in blocks and tiles, so that a list with very many rows is spread over tasks; each pair leaves k rows a query.
+        Neither side is broadcast: queries are many and would all pass through the driver.
         """
         c = self.centroids()
         asked = queries.select(F.col(query_id).cast("long").alias("query"), F.transform(query_vector, lambda x: x.cast("double")).alias("v"))
@@ -170,7 +189,7 @@ class VectorIndex:
             item = F.struct(F.col("id" if "id" in df.columns else "query").alias("id"), "v")
             return cell.groupBy("list", "cell").agg(F.collect_list(item).alias("x")).select("list", F.col("x.id").alias(ids), F.col("x.v").alias(vectors))
 
-        pairs = packed(rows, TILE, "ids", "v").join(packed(asked, BLOCK, "queries", "q"), "list").drop("list")
+        pairs = packed(rows, TILE, "ids", "v").join(packed(asked, BLOCK, "queries", "q").hint("merge"), "list").drop("list")
         found = pairs.mapInPandas(_best(k), "query long, id long, score double")
         best = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
         found = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k)

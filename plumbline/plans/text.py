@@ -46,13 +46,14 @@ def vector_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return R.vector_top_each(passing, e.filter("vec_id % 20 = 0"), 10, "vec_id", "embedding").withColumn("score", r6("score"))
 
 
-#: Rows of a list on average.
-LIST_ROWS = 64
+#: Rows of a list on average; beyond 65,536 rows lists grow as well as their number, by the square root of the rows.
+LIST_ROWS, LISTS_ROOT = 64, 4
 
 
 def index(spark: SparkSession, sf: str) -> VectorIndex:
     e = table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("label").alias("doc"), "embedding")
-    lists = max(4, e.count() // LIST_ROWS)
+    n = e.count()
+    lists = max(4, min(n // LIST_ROWS, int(LISTS_ROOT * n**0.5)))
     return VectorIndex(spark, f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id", "doc", "embedding").build(e, lists)
 
 

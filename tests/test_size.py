@@ -8,7 +8,8 @@ import time
 from pyspark.sql import Window, functions as F
 
 from plumbline import staging
-from plumbline.operators import checks, retrieval, similarity
+from plumbline.operators import checks, readers, retrieval, similarity
+from plumbline.operators.vector_index import VectorIndex
 
 
 def prose(r, n):
@@ -92,3 +93,19 @@ def test_stability_stores_and_joins_nothing(spark):
     gone = lambda x: compute(x).withColumn("last", F.max("d").over(whole)).filter("d < last OR k = 'a'").drop("last")
     assert all(r.unstable for r in checks.unstable_columns(gone, df, "d", ["k", "d"], 5).collect())
     assert len(staging._made) == made
+
+
+def test_a_list_is_a_file_whatever_the_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i, [float(i % 7), 1.0, float(i % 5)]) for i in range(600)], "chunk_id long, doc_id long, embedding array<double>").repartition(6)
+    index = VectorIndex(spark, str(tmp_path / "index")).build(rows, 12)
+    assert len(list((tmp_path / "index/rows").rglob("*.parquet"))) <= 13 and index.count() == 600
+
+
+def test_tied_codes_are_chosen_alike_in_any_partitions(spark):
+    rows = [("1003", "JP", f"name {i % 7}", f"sector{'x' * (i % 9)}", dt.date(2024, 1, 1)) for i in range(63)] + [("10030", "JP", None, "y", dt.date(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "ticker string, market string, name string, sector string, valid_from date").withColumns({"score": F.length("sector"), "rec_id": F.col("ticker")})
+    one, many = set(), set()
+    for r in (df.coalesce(1), df.orderBy(F.desc("name"), "sector").coalesce(1), df.orderBy(F.desc("sector")).repartition(5)):
+        one.add(tuple(readers.resolve_all(r).first()))
+        many.add(tuple(readers.cards_by_issuer(r.filter("length(ticker) = 4"), r.filter("length(ticker) = 5")).first()))
+    assert len(one) == len(many) == 1 and next(iter(one))[2] == "name 0"
