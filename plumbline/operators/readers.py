@@ -69,11 +69,17 @@ def resolve_security(securities: DataFrame, code: Column | str) -> DataFrame:
 
 
 def resolve_all(securities: DataFrame) -> DataFrame:
-    """One row an issuer: canonical code, and the row that stands for it by the same preference."""
-    w = Window.partitionBy("market", "canonical").orderBy(F.col("name").isNull(), F.length("ticker"), F.col("valid_from").desc(), "ticker")
+    """One row an issuer: canonical code, and the row that stands for it by the same preference; of rows alike in it the first by
+    name, then by their other columns, so that reruns and other partitions choose the same."""
+    w = Window.partitionBy("market", "canonical").orderBy(F.col("name").isNull(), F.length("ticker"), F.col("valid_from").desc(), "ticker", "name", *_rest(securities))
     return securities.withColumn("canonical", canonical_code(F.col("ticker"))).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def _rest(df: DataFrame) -> list[Column]:
+    """An order of rows that are alike in what decides: by a digest of all columns, equal only for rows that are alike in all."""
+    return [F.xxhash64(*df.columns)]
+
+
 def search_securities(securities: DataFrame, text: str, columns: Sequence[str], k: int) -> DataFrame:
     """Issuers with the text in one of the columns, whatever the case; exact codes first."""
     found = securities.filter(_any([F.contains(F.lower(c), F.lit(text.lower())) for c in columns]))
@@ -228,12 +234,13 @@ def cached_results(requests: DataFrame, cache: DataFrame, key: Column) -> DataFr
 
 
 def cards_by_issuer(scores_: DataFrame, cards: DataFrame) -> DataFrame:
-    """Scores, then cards of issuers that have no score; four- and five-character codes of an issuer are one key."""
+    """Scores, then cards of issuers that have no score; four- and five-character codes of an issuer are one key. Of rows with one
+    code the same one stays whatever the partitions."""
     key = lambda df: df.withColumn("issuer", issuer_key(F.col("market"), F.col("ticker")))
     s, c = key(scores_), key(cards)
-    one = Window.partitionBy("issuer").orderBy(F.length("ticker"), "ticker")
-    s = s.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
-    c = c.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("issuer", F.col("ticker").alias("card_ticker"), F.col("rec_id"))
+    one = lambda df: Window.partitionBy("issuer").orderBy(F.length("ticker"), "ticker", *_rest(df))
+    s = s.withColumn("_n", F.row_number().over(one(s))).filter("_n = 1").drop("_n")
+    c = c.withColumn("_n", F.row_number().over(one(c))).filter("_n = 1").select("issuer", F.col("ticker").alias("card_ticker"), F.col("rec_id"))
     return s.join(c, "issuer", "full_outer").select("issuer", F.coalesce("ticker", "card_ticker").alias("ticker"), "score", "rec_id", F.col("ticker").isNull().alias("only_card"))
 
 
