@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.session import ship
 from plumbline.staging import stored
 
 #: Bins of a feature; the first is for nulls. Fixed values of the ranker: depth, least rows of a leaf, penalty, step.
@@ -35,6 +38,15 @@ class Tree:
 
         return at(0)
 
+    def nodes(self, bins: Sequence[np.ndarray]) -> np.ndarray:
+        """``node`` of many rows at once: parents have lower numbers than their children."""
+        out = np.zeros(len(bins[0]), int)
+        for k in sorted(self.splits):
+            f, t = self.splits[k]
+            here = np.flatnonzero(out == k)
+            out[here] = np.where(bins[f][here] <= t, 2 * k + 1, 2 * k + 2)
+        return out
+
 
 @dataclass
 class Ranker:
@@ -48,9 +60,6 @@ class Ranker:
     quantiles: dict[int, list[float]]
     n_trials: int
 
-    def bins(self) -> list[Column]:
-        return [_bin(F.col(c), e) for c, e in zip(self.features, self.edges)]
-
     def mean(self, bins: Sequence[Column]) -> Column:
         out = F.lit(self.start)
         for t in self.trees:
@@ -58,15 +67,28 @@ class Ranker:
             out = out + self.step * F.element_at(value, t.node(bins))
         return out
 
+    def means(self, bins: Sequence[np.ndarray]) -> np.ndarray:
+        out = np.full(len(bins[0]), self.start)
+        for t in self.trees:
+            nodes, places = np.unique(t.nodes(bins), return_inverse=True)
+            out = out + self.step * np.array([t.values.get(k, np.nan) for k in nodes.tolist()])[places]
+        return out
+
     def predict(self, df: DataFrame, name: str = "ml_pred") -> DataFrame:
         """Adds ``name``, ``name``_lo and ``name``_hi; the ends never lie on the wrong side of the point."""
-        cols = [f"_b{k}" for k in range(len(self.features))]
-        x = df.withColumns(dict(zip(cols, self.bins())))
-        x = x.withColumn(name, self.mean([F.col(c) for c in cols])).withColumn("_leaf", self.trees[-1].node([F.col(c) for c in cols]))
+        ship(df.sparkSession)
+
+        def found(*xs: pd.Series) -> pd.DataFrame:
+            bins = [_bins(x, e) for x, e in zip(xs, self.edges)]
+            return pd.DataFrame({"mean": self.means(bins), "leaf": self.trees[-1].nodes(bins).astype("i4")})
+
+        told = F.pandas_udf(found, "mean double, leaf int")(*[F.col(c).cast("double") for c in self.features])
+        x = df.withColumn("_t", told)
+        x = x.withColumns({name: F.col("_t.mean"), "_leaf": F.col("_t.leaf")})
         ends = F.create_map(*[y for k, q in self.quantiles.items() for y in (F.lit(k), F.array(*map(F.lit, q)))])
         x = x.withColumn("_q", F.element_at(ends, F.col("_leaf")))
         low, high = (F.col(name) + F.col("_q")[k] for k in range(2))
-        return x.withColumns({f"{name}_lo": F.least(low, name), f"{name}_hi": F.greatest(high, name)}).drop(*cols, "_leaf", "_q")
+        return x.withColumns({f"{name}_lo": F.least(low, name), f"{name}_hi": F.greatest(high, name)}).drop("_t", "_leaf", "_q")
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(json.dumps(asdict(self)),)], "model string").coalesce(1).write.mode("overwrite").text(path)  # one row
@@ -79,17 +101,10 @@ class Ranker:
         return Ranker(**d | {"trees": trees, "quantiles": numbers(d["quantiles"])})
 
 
-def _bin(x: Column, edges: Sequence[float]) -> Column:
-    """0 for null and what is no number, else 1 and the number of edges below the value: six comparisons of an ordered list."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low + 1)
-        mid = (low + high) // 2
-        return F.when(v <= F.lit(edges[mid]), search(low, mid)).otherwise(search(mid + 1, high))
-
-    v = x.cast("double")
-    return F.when(v.isNull() | F.isnan(v), F.lit(0)).otherwise(search(0, len(edges)))
+def _bins(x: pd.Series, edges: Sequence[float]) -> np.ndarray:
+    """0 for null and what is no number, else 1 and the number of edges below the value."""
+    v = x.to_numpy("f8", na_value=np.nan)
+    return np.where(np.isnan(v), 0, 1 + np.searchsorted(np.asarray(edges, "f8"), v, side="left"))
 
 
 def best_splits(hist: Mapping[int, np.ndarray], least: int, penalty: float) -> dict[int, tuple[int, int]]:
@@ -108,11 +123,28 @@ def best_splits(hist: Mapping[int, np.ndarray], least: int, penalty: float) -> d
     return out
 
 
-def _histograms(rows: DataFrame, node: Column, target: Column, nodes: Sequence[int], n_features: int) -> dict[int, np.ndarray]:
-    """Counts and sums by node, feature and bin: nodes times features times bins rows at most reach the driver."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"b{f}").alias("b")) for f in range(n_features)]))
-    x = rows.select(node.alias("node"), target.alias("y"), cells.alias("c")).filter(F.col("node").isin(list(nodes)))
-    x = x.groupBy("node", "c.f", "c.b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+def _histograms(rows: DataFrame, model: Ranker, tree: Tree, nodes: Sequence[int], n_features: int) -> dict[int, np.ndarray]:
+    """Counts and sums of what ``model`` leaves, by node, feature and bin. A task counts its rows in numpy and hands on a row a cell;
+    nodes times features times bins rows at most reach the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = (len(nodes), n_features, BINS + 1)
+        n, s = np.zeros(shape), np.zeros(shape)
+        place = np.full(2 * max([*nodes, *tree.splits]) + 3, -1)
+        place[list(nodes)] = np.arange(len(nodes))
+        for x in batches:
+            bins = [x[f"b{f}"].to_numpy() for f in range(len(model.features))]
+            at = place[tree.nodes(bins)]
+            left, here = x["y"].to_numpy() - model.means(bins), at >= 0
+            at, left = at[here] * (BINS + 1), left[here]
+            for f in range(n_features):
+                cell = at + bins[f][here]
+                n[:, f] += np.bincount(cell, minlength=len(nodes) * (BINS + 1)).reshape(len(nodes), -1)
+                s[:, f] += np.bincount(cell, left, len(nodes) * (BINS + 1)).reshape(len(nodes), -1)
+        k, f, b = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(nodes)[k], pa.int32()), pa.array(f, pa.int32()), pa.array(b, pa.int32()), pa.array(n[k, f, b].astype("i8")), pa.array(s[k, f, b])], ["node", "f", "b", "n", "s"])
+
+    x = rows.mapInArrow(counted, "node int, f int, b int, n long, s double").groupBy("node", "f", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     out = {k: np.zeros((n_features, BINS + 1, 2)) for k in nodes}
     for r in x.collect():
         out[r["node"]][r["f"], r["b"]] = r["n"], r["s"]
@@ -135,6 +167,7 @@ def fit_ranker(
         raise ValueError("step lies in (0, 1]; rounds, depth and least rows are positive")
     some = F.coalesce(*[F.col(c).cast("double") for c in features]).isNotNull()
     rows = df.filter(F.col(label).isNotNull() & some).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], F.col(label).cast("double").alias("y"))
+    ship(df.sparkSession)
     rows = stored(rows, "ranker-rows")
     n, start = rows.agg(F.count(F.lit(1)), F.avg("y")).first()
     if n < 2 * least:
@@ -144,18 +177,21 @@ def fit_ranker(
         found = rows.agg(*[F.percentile_approx(f"x{k}", marks, 10_000).alias(f"e{k}") for k in range(len(features))]).first()
         edges = [sorted(set(found[f"e{k}"] or ())) for k in range(len(features))]
     bins = [F.col(f"b{k}") for k in range(len(features))]
-    rows = stored(rows.select(*[_bin(F.col(f"x{k}"), e).alias(f"b{k}") for k, e in enumerate(edges)], "y"), "ranker-bins")
+    names = [f"b{k}" for k in range(len(features))]
+    in_bins = F.pandas_udf(lambda *xs: pd.DataFrame({c: _bins(x, e).astype("i4") for c, x, e in zip(names, xs, edges)}), ", ".join(f"{c} int" for c in names))
+    rows = stored(rows.select(in_bins(*[F.col(f"x{k}") for k in range(len(features))]).alias("b"), "y").select("b.*", "y"), "ranker-bins")
     out = Ranker(list(features), [list(map(float, e)) for e in edges], float(start), step, [], {}, n_trials)
     for _ in range(rounds):
-        target, tree, open_nodes = F.col("y") - out.mean(bins), Tree(), [0]
+        tree, open_nodes = Tree(), [0]
         for _ in range(depth):
-            found = best_splits(_histograms(rows, tree.node(bins), target, open_nodes, len(features)), least, penalty)
+            found = best_splits(_histograms(rows, out, tree, open_nodes, len(features)), least, penalty)
             tree.splits |= found
             open_nodes = [c for k in found for c in (2 * k + 1, 2 * k + 2)]
             if not open_nodes:
                 break
-        sums = rows.groupBy(tree.node(bins).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("s")).collect()  # a row a leaf
-        tree.values = {r["leaf"]: r["s"] / (r["n"] + penalty) for r in sums}
+        leaves = sorted({c for k in tree.splits for c in (2 * k + 1, 2 * k + 2)} - set(tree.splits)) or [0]
+        sums = {k: h[0].sum(axis=0) for k, h in _histograms(rows, out, tree, leaves, 1).items()}
+        tree.values = {k: float(total / (n + penalty)) for k, (n, total) in sums.items() if n}
         out.trees.append(tree)
         if not tree.splits:
             break

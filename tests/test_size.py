@@ -5,10 +5,11 @@ import difflib
 import random
 import time
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from plumbline import staging
-from plumbline.operators import checks, readers, retrieval, similarity
+from plumbline.operators import checks, readers, retrieval, similarity, trees
 from plumbline.operators.vector_index import VectorIndex
 
 
@@ -107,5 +108,16 @@ def test_tied_codes_are_chosen_alike_in_any_partitions(spark):
     one, many = set(), set()
     for r in (df.coalesce(1), df.orderBy(F.desc("name"), "sector").coalesce(1), df.orderBy(F.desc("sector")).repartition(5)):
         one.add(tuple(readers.resolve_all(r).first()))
-        many.add(tuple(readers.cards_by_issuer(r.filter("length(ticker) = 4"), r.filter("length(ticker) = 5")).first()))
+        many.add(tuple(readers.cards_by_issuer(r.filter("length(ticker) = 4").drop("rec_id"), r.filter("length(ticker) = 5")).first()))
     assert len(one) == len(many) == 1 and next(iter(one))[2] == "name 0"
+
+
+def test_trees_walk_many_rows_at_once(spark):
+    """The walk in numpy ends in the leaves of the expression, and a prediction's plan repeats no bin for each branch."""
+    tree = trees.Tree({0: (0, 3), 1: (1, 0), 2: (0, 7), 5: (1, 2)}, {k: float(k) for k in (3, 4, 6, 11, 12)})
+    rows = [(a, b) for a in range(10) for b in range(5)]
+    want = [r[0] for r in spark.createDataFrame(rows, "a int, b int").select(tree.node([F.col("a"), F.col("b")])).collect()]
+    assert tree.nodes([np.array(x) for x in zip(*rows)]).tolist() == want and set(want) == set(tree.values)
+    model = trees.Ranker(["a", "b"], [[float(i) for i in range(63)]] * 2, 0.5, 0.1, [tree], {k: [-1.0, 1.0] for k in tree.values}, 1)
+    plan = model.predict(spark.createDataFrame(rows, "a int, b int"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 20
