@@ -1,23 +1,27 @@
-"""Regression trees over histograms: each level of all trees' nodes is one aggregation."""
+"""Regression trees over histograms: each level of a tree's nodes is one aggregation."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import ship
-from plumbline.staging import stored
+from plumbline.staging import discard, stored
 
-#: Bins of a feature; the first is for nulls. Fixed values of the ranker: depth, least rows of a leaf, penalty, step.
-BINS, DEPTH, LEAST, PENALTY, STEP = 64, 6, 200, 1.0, 0.1
+#: Bins of a feature; the first is for nulls. Fixed values of the ranker: rounds, depth, least rows of a leaf, penalty, step.
+BINS, ROUNDS, DEPTH, LEAST, PENALTY, STEP = 64, 200, 6, 200, 1.0, 0.1
 QUANTILES = (0.2, 0.8)
+#: Rows of a task, fewest and most on average; histograms that meet in a task; rounds after which what is left is stored, so that
+#: plans stay short.
+FEW, MANY, MEET, STORE = 50_000, 1_000_000, 512, 20
 
 
 @dataclass
@@ -39,14 +43,23 @@ class Tree:
         return at(0)
 
     def nodes(self, bins: Sequence[np.ndarray]) -> np.ndarray:
-        """``node`` of many rows at once: parents have lower numbers than their children."""
-        out = np.zeros(len(bins[0]), int)
-        for k in sorted(self.splits):
-            f, t = self.splits[k]
-            here = np.flatnonzero(out == k)
-            out[here] = np.where(bins[f][here] <= t, 2 * k + 1, 2 * k + 2)
+        """``node`` of many rows at once, a level a step."""
+        codes, end = np.asarray(bins), max(self.splits, default=0)
+        feature, last = np.full(2 * end + 3, -1), np.zeros(2 * end + 3, codes.dtype)
+        for k, (f, t) in self.splits.items():
+            feature[k], last[k] = f, t
+        rows, out = np.arange(codes.shape[1]), np.zeros(codes.shape[1], int)
+        for _ in range((end + 1).bit_length() if self.splits else 0):
+            f = feature[out]
+            out = np.where(f < 0, out, 2 * out + 1 + (codes[f, rows] > last[out]))
         return out
 
+    def told(self, bins: Sequence[np.ndarray]) -> np.ndarray:
+        """The value of each row's leaf."""
+        values = np.full(max([*self.values, *self.splits]) * 2 + 3, np.nan)
+        values[list(self.values)] = list(self.values.values())
+        return values[self.nodes(bins)]
+
 
 @dataclass
 class Ranker:
@@ -60,30 +73,25 @@ class Ranker:
     quantiles: dict[int, list[float]]
     n_trials: int
 
-    def mean(self, bins: Sequence[Column]) -> Column:
-        out = F.lit(self.start)
-        for t in self.trees:
-            value = F.create_map(*[F.lit(x) for kv in t.values.items() for x in kv])
-            out = out + self.step * F.element_at(value, t.node(bins))
-        return out
-
     def means(self, bins: Sequence[np.ndarray]) -> np.ndarray:
         out = np.full(len(bins[0]), self.start)
         for t in self.trees:
-            nodes, places = np.unique(t.nodes(bins), return_inverse=True)
-            out = out + self.step * np.array([t.values.get(k, np.nan) for k in nodes.tolist()])[places]
+            out = out + self.step * t.told(bins)
         return out
 
-    def predict(self, df: DataFrame, name: str = "ml_pred") -> DataFrame:
-        """Adds ``name``, ``name``_lo and ``name``_hi; the ends never lie on the wrong side of the point."""
-        ship(df.sparkSession)
+    def _found(self, columns: Sequence[str]) -> Column:
+        """Mean and leaf of the last tree of a row's features."""
 
         def found(*xs: pd.Series) -> pd.DataFrame:
-            bins = [_bins(x, e) for x, e in zip(xs, self.edges)]
+            bins = _codes(xs, self.edges)
             return pd.DataFrame({"mean": self.means(bins), "leaf": self.trees[-1].nodes(bins).astype("i4")})
 
-        told = F.pandas_udf(found, "mean double, leaf int")(*[F.col(c).cast("double") for c in self.features])
-        x = df.withColumn("_t", told)
+        return F.pandas_udf(found, "mean double, leaf int")(*[F.col(c).cast("double") for c in columns])
+
+    def predict(self, df: DataFrame, name: str = "ml_pred") -> DataFrame:
+        """Adds ``name``, ``name``_lo and ``name``_hi; the ends never lie on the wrong side of the point."""
+        ship(df.sparkSession)
+        x = df.withColumn("_t", self._found(self.features))
         x = x.withColumns({name: F.col("_t.mean"), "_leaf": F.col("_t.leaf")})
         ends = F.create_map(*[y for k, q in self.quantiles.items() for y in (F.lit(k), F.array(*map(F.lit, q)))])
         x = x.withColumn("_q", F.element_at(ends, F.col("_leaf")))
@@ -107,6 +115,11 @@ def _bins(x: pd.Series, edges: Sequence[float]) -> np.ndarray:
     return np.where(np.isnan(v), 0, 1 + np.searchsorted(np.asarray(edges, "f8"), v, side="left"))
 
 
+def _codes(xs: Sequence[pd.Series], edges: Sequence[Sequence[float]]) -> np.ndarray:
+    """Bins by feature and row, in bytes."""
+    return np.stack([_bins(x, e) for x, e in zip(xs, edges)]).astype("u1")
+
+
 def best_splits(hist: Mapping[int, np.ndarray], least: int, penalty: float) -> dict[int, tuple[int, int]]:
     """Of each node's histogram (feature, bin, (count, sum)) the split that lowers the squared error most; none that leaves a side
     fewer rows than ``least``, or that lowers it by nothing. Ties go to the first feature and bin."""
@@ -123,50 +136,70 @@ def best_splits(hist: Mapping[int, np.ndarray], least: int, penalty: float) -> d
     return out
 
 
-def _histograms(rows: DataFrame, model: Ranker, tree: Tree, nodes: Sequence[int], n_features: int) -> dict[int, np.ndarray]:
-    """Counts and sums of what ``model`` leaves, by node, feature and bin. A task counts its rows in numpy and hands on a row a cell;
-    nodes times features times bins rows at most reach the driver."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = (len(nodes), n_features, BINS + 1)
-        n, s = np.zeros(shape), np.zeros(shape)
-        place = np.full(2 * max([*nodes, *tree.splits]) + 3, -1)
-        place[list(nodes)] = np.arange(len(nodes))
-        for x in batches:
-            bins = [x[f"b{f}"].to_numpy() for f in range(len(model.features))]
-            at = place[tree.nodes(bins)]
-            left, here = x["y"].to_numpy() - model.means(bins), at >= 0
-            at, left = at[here] * (BINS + 1), left[here]
-            for f in range(n_features):
-                cell = at + bins[f][here]
-                n[:, f] += np.bincount(cell, minlength=len(nodes) * (BINS + 1)).reshape(len(nodes), -1)
-                s[:, f] += np.bincount(cell, left, len(nodes) * (BINS + 1)).reshape(len(nodes), -1)
-        k, f, b = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(nodes)[k], pa.int32()), pa.array(f, pa.int32()), pa.array(b, pa.int32()), pa.array(n[k, f, b].astype("i8")), pa.array(s[k, f, b])], ["node", "f", "b", "n", "s"])
-
-    x = rows.mapInArrow(counted, "node int, f int, b int, n long, s double").groupBy("node", "f", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    out = {k: np.zeros((n_features, BINS + 1, 2)) for k in nodes}
-    for r in x.collect():
-        out[r["node"]][r["f"], r["b"]] = r["n"], r["s"]
-    return out
+def _blocks(table: DataFrame, n_features: int, n: int) -> RDD:
+    """A task's rows as one pair of arrays: bins by feature and row, and what the trees so far leave of each label."""
+
+    def one(held: Iterable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        pairs = [(np.frombuffer(r["codes"], "u1").reshape(n_features, -1), np.frombuffer(r["left"])) for r in held]
+        if pairs:
+            yield np.concatenate([c for c, _ in pairs], 1), np.concatenate([x for _, x in pairs])
+
+    held = table.rdd
+    tasks = max(min(held.context.defaultParallelism, -(-n // FEW)), -(-n // MANY))
+    return held.coalesce(tasks).mapPartitions(one)
+
+
+def _left(blocks: RDD, tree: Tree, step: float) -> RDD:
+    """The blocks with what ``tree`` leaves, too."""
+    return blocks.map(lambda b: (b[0], b[1] - step * tree.told(b[0])))
+
+
+def _grown(blocks: RDD, tree: Tree, nodes: Sequence[int], n_features: int, least: int, penalty: float) -> dict[int, tuple]:
+    """Of each node its best split or None, and count and sum of what is left in each of the split's sides (without one, in the node).
+    A task counts its rows by node, feature and bin in numpy; a node's histograms meet in one task, so that a row a node reaches the driver."""
+    width = BINS + 1
+    place = np.full(2 * max([*nodes, *tree.splits]) + 3, -1)
+    place[list(nodes)] = np.arange(len(nodes))
+
+    def counted(held: Iterable) -> Iterator[tuple[int, np.ndarray]]:
+        for codes, left in held:
+            at = place[tree.nodes(codes)]
+            here = at >= 0
+            if not here.all():
+                at, left, codes = at[here], left[here], codes[:, here]
+            size, cells = len(nodes) * width, at * width
+            sums = [np.stack([np.bincount(cell, minlength=size), np.bincount(cell, left, size)], 1).reshape(-1, width, 2) for cell in (cells + c for c in codes)]
+            for k, h in zip(nodes, np.stack(sums, 1)):
+                if h[0, :, 0].any():
+                    yield k, h
+
+    def split(h: np.ndarray) -> tuple:
+        best = best_splits({0: h}, least, penalty).get(0)
+        sides = (h[0],) if best is None else (h[best[0], : best[1] + 1], h[best[0], best[1] + 1 :])
+        return best, [tuple(map(float, x.sum(axis=0))) for x in sides]
+
+    parts = min(len(nodes), -(-len(nodes) * blocks.getNumPartitions() // MEET))
+    return dict(blocks.mapPartitions(counted).reduceByKey(np.add, parts).mapValues(split).collect())  # a row a node
 
 
 def fit_ranker(
-    df: DataFrame, features: Sequence[str], label: str, n_trials: int, rounds: int = 10, depth: int = DEPTH, least: int = LEAST, penalty: float = PENALTY, step: float = STEP, edges: Sequence[Sequence[float]] | None = None
+    df: DataFrame, features: Sequence[str], label: str, n_trials: int, rounds: int = ROUNDS, depth: int = DEPTH, least: int = LEAST, penalty: float = PENALTY, step: float = STEP, edges: Sequence[Sequence[float]] | None = None
 ) -> Ranker | None:
     """Boosted trees of ``label``, or None where there are fewer than 2 ``least`` rows (least squares then stand in).
 
     Rows need a label and some feature; a null feature is a bin of its own. Edges of the bins are approximate quantiles unless
-    they are given. Each level of a tree is one aggregation by node, feature and bin, with partial sums before the shuffle, so
-    that rows are never gathered; the driver sees histograms, whose size follows nodes, features and bins alone. The
-    quantiles are exact, of the residuals by the last tree's leaf. ``n_trials`` is stated, and 50 at most.
+    they are given. Each level of a tree is one aggregation by node, with sums by feature and bin in each task before the shuffle,
+    so that rows are never gathered; the driver sees a row a node. Tasks keep a byte a feature and what the trees so far leave of
+    the label, so that a level walks one tree however many there are. The quantiles are exact, of the residuals by the last
+    tree's leaf.
     """
     if not 1 <= n_trials <= 50:
         raise ValueError("n_trials lies between 1 and 50")
     if not 0 < step <= 1 or rounds < 1 or depth < 1 or least < 1:
         raise ValueError("step lies in (0, 1]; rounds, depth and least rows are positive")
     some = F.coalesce(*[F.col(c).cast("double") for c in features]).isNotNull()
-    rows = df.filter(F.col(label).isNotNull() & some).select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], F.col(label).cast("double").alias("y"))
+    xs = [f"x{k}" for k in range(len(features))]
+    rows = df.filter(F.col(label).isNotNull() & some).select(*[F.col(c).cast("double").alias(x) for x, c in zip(xs, features)], F.col(label).cast("double").alias("y"))
     ship(df.sparkSession)
     rows = stored(rows, "ranker-rows")
     n, start = rows.agg(F.count(F.lit(1)), F.avg("y")).first()
@@ -174,27 +207,47 @@ def fit_ranker(
         return None
     if edges is None:
         marks = [i / BINS for i in range(1, BINS)]
-        found = rows.agg(*[F.percentile_approx(f"x{k}", marks, 10_000).alias(f"e{k}") for k in range(len(features))]).first()
-        edges = [sorted(set(found[f"e{k}"] or ())) for k in range(len(features))]
-    bins = [F.col(f"b{k}") for k in range(len(features))]
-    names = [f"b{k}" for k in range(len(features))]
-    in_bins = F.pandas_udf(lambda *xs: pd.DataFrame({c: _bins(x, e).astype("i4") for c, x, e in zip(names, xs, edges)}), ", ".join(f"{c} int" for c in names))
-    rows = stored(rows.select(in_bins(*[F.col(f"x{k}") for k in range(len(features))]).alias("b"), "y").select("b.*", "y"), "ranker-bins")
+        found = rows.agg(*[F.percentile_approx(x, marks, 10_000).alias(x) for x in xs]).first()
+        edges = [sorted(set(found[x] or ())) for x in xs]
+    if max(map(len, edges)) >= BINS:
+        raise ValueError(f"a feature has fewer than {BINS} edges")
     out = Ranker(list(features), [list(map(float, e)) for e in edges], float(start), step, [], {}, n_trials)
-    for _ in range(rounds):
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in filter(len, batches):
+            left = x["y"].to_numpy(zero_copy_only=False) - out.start
+            codes = _codes([x[c].to_pandas() for c in xs], out.edges)
+            yield pa.RecordBatch.from_pydict({"codes": [codes.tobytes()], "left": [left.tobytes()]}, schema=pa.schema({"codes": pa.binary(), "left": pa.binary()}))
+
+    kind, spark, width = "codes binary, left binary", df.sparkSession, len(features)
+    table, old = stored(rows.mapInArrow(packed, kind), "ranker-left"), None
+    blocks = _blocks(table, width, n).persist(StorageLevel.MEMORY_AND_DISK)
+    for k in range(rounds):
         tree, open_nodes = Tree(), [0]
         for _ in range(depth):
-            found = best_splits(_histograms(rows, out, tree, open_nodes, len(features)), least, penalty)
-            tree.splits |= found
-            open_nodes = [c for k in found for c in (2 * k + 1, 2 * k + 2)]
+            found = _grown(blocks, tree, open_nodes, width, least, penalty)
+            if old is not None:
+                old = old.unpersist() and None  # the new blocks are held by now
+            for node, (best, sides) in found.items():
+                tree.values.pop(node, None)
+                tree.splits |= {node: best} if best else {}
+                tree.values |= {c: total / (m + penalty) for c, (m, total) in zip((2 * node + 1, 2 * node + 2) if best else (node,), sides)}
+            open_nodes = sorted(c for node, (best, _) in found.items() if best for c in (2 * node + 1, 2 * node + 2))
             if not open_nodes:
                 break
-        leaves = sorted({c for k in tree.splits for c in (2 * k + 1, 2 * k + 2)} - set(tree.splits)) or [0]
-        sums = {k: h[0].sum(axis=0) for k, h in _histograms(rows, out, tree, leaves, 1).items()}
-        tree.values = {k: float(total / (n + penalty)) for k, (n, total) in sums.items() if n}
         out.trees.append(tree)
         if not tree.splits:
             break
-    left = rows.select(out.trees[-1].node(bins).alias("leaf"), (F.col("y") - out.mean(bins)).alias("left"))
+        old, blocks = blocks, _left(blocks, tree, step).persist(StorageLevel.MEMORY_AND_DISK)
+        if (k + 1) % STORE == 0 and k + 1 < rounds:
+            done, table = table, stored(spark.createDataFrame(blocks.map(lambda b: (b[0].tobytes(), b[1].tobytes())), kind), "ranker-left")
+            blocks.unpersist()
+            old.unpersist()
+            discard(done)
+            old, blocks = None, _blocks(table, width, n).persist(StorageLevel.MEMORY_AND_DISK)
+    for held in filter(None, (old, blocks)):
+        held.unpersist()
+    discard(table)
+    left = rows.select(out._found(xs).alias("_t"), "y").select("_t.leaf", (F.col("y") - F.col("_t.mean")).alias("left"))
     out.quantiles = {r["leaf"]: list(r["quantiles"]) for r in exact_quantiles(left, "left", QUANTILES, ["leaf"]).collect()}  # a row a leaf
     return out

@@ -105,9 +105,9 @@ def cross_section_cuts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tree_ranker")
 def tree_ranker(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees of all features, points and ends of every labelled row."""
+    """Boosted trees of all features, as many and as deep as the ranker's fixed values say; points and ends of every labelled row."""
     x = stored(_labelled(spark, sf).filter(F.col(_Y).isNotNull()), "labelled")
-    model = trees.fit_ranker(x, COLS, _Y, n_trials=1, rounds=3, depth=4, least=50)
+    model = trees.fit_ranker(x, COLS, _Y, n_trials=1, least=50)
     if model is None:  # too few rows for two leaves
         beta, ends = M.fit_ranker(x, ["ret_1w"], _Y, n_trials=1)
         return x.select("ticker", "session", *M.with_interval(beta, ends, "ml_pred"))

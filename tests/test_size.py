@@ -2,13 +2,14 @@
 
 import datetime as dt
 import difflib
+import inspect
 import random
 import time
 
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from plumbline import staging
+from plumbline import catalog, staging
 from plumbline.operators import checks, readers, retrieval, similarity, trees
 from plumbline.operators.vector_index import VectorIndex
 
@@ -121,3 +122,42 @@ def test_trees_walk_many_rows_at_once(spark):
     model = trees.Ranker(["a", "b"], [[float(i) for i in range(63)]] * 2, 0.5, 0.1, [tree], {k: [-1.0, 1.0] for k in tree.values}, 1)
     plan = model.predict(spark.createDataFrame(rows, "a int, b int"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") < 20
+
+
+def test_the_ranker_query_grows_all_its_trees(spark, small, monkeypatch):
+    """No argument of the query leaves it a few shallow trees: 200 rounds of depth 6, as in the source."""
+    asked, real = {}, inspect.signature(trees.fit_ranker)
+
+    def fit(*args, **named):
+        call = real.bind(*args, **named)
+        call.apply_defaults()
+        asked.update(call.arguments)
+
+    monkeypatch.setattr(trees, "fit_ranker", fit)
+    assert catalog.QUERIES["tree_ranker"](spark, small).count()
+    assert asked["rounds"] >= 200 and asked["depth"] >= 6 and 1 - (1 - asked["step"]) ** asked["rounds"] > 0.99
+
+
+def test_trees_go_on_from_what_is_stored(spark, monkeypatch):
+    """Rounds beyond those after which what is left is stored, by tasks of few rows, are the rounds of a plain loop; what was stored goes."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 2))
+    y = np.sign(x[:, 0]) + x[:, 1] ** 2
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double").repartition(5)
+    edges = [np.linspace(-2, 2, 31).tolist()] * 2
+    monkeypatch.setattr(trees, "FEW", 300)
+    fits = []
+    for store in (2, 50):
+        monkeypatch.setattr(trees, "STORE", store)
+        made = len(staging._made)
+        fits.append(trees.fit_ranker(df, ["a", "b"], "y", n_trials=1, rounds=7, depth=3, least=50, edges=edges))
+        assert not [p for p in staging._made[made:] if "ranker-left" in p]
+    assert [t.splits for t in fits[0].trees] == [t.splits for t in fits[1].trees] and len(fits[0].trees) == 7
+    bins = np.stack([1 + np.searchsorted(e, x[:, k]) for k, e in enumerate(edges)])
+    left = y - y.mean()
+    for t in fits[0].trees:
+        leaf = t.nodes(bins)
+        for k in t.values:
+            assert np.isclose(t.values[k], left[leaf == k].sum() / ((leaf == k).sum() + 1))
+        left = left - 0.1 * t.told(bins)
+    assert np.allclose(y - left, fits[0].means(bins))
