@@ -44,14 +44,13 @@ class Tree:
 
     def nodes(self, bins: Sequence[np.ndarray]) -> np.ndarray:
         """``node`` of many rows at once, a level a step."""
-        codes, end = np.asarray(bins), max(self.splits, default=0)
-        feature, last = np.full(2 * end + 3, -1), np.zeros(2 * end + 3, codes.dtype)
+        codes, size = np.asarray(bins), 2 * max(self.splits, default=0) + 3
+        n, child, start, last = codes.shape[1], np.arange(size), np.zeros(size, int), np.full(size, np.iinfo(codes.dtype).max, codes.dtype)
         for k, (f, t) in self.splits.items():
-            feature[k], last[k] = f, t
-        rows, out = np.arange(codes.shape[1]), np.zeros(codes.shape[1], int)
-        for _ in range((end + 1).bit_length() if self.splits else 0):
-            f = feature[out]
-            out = np.where(f < 0, out, 2 * out + 1 + (codes[f, rows] > last[out]))
+            child[k], start[k], last[k] = 2 * k + 1, f * n, t
+        flat, rows, out = codes.ravel(), np.arange(n), np.zeros(n, int)
+        for _ in range((size // 2).bit_length() if self.splits else 0):  # a leaf's rows stay
+            out = child.take(out) + (flat.take(start.take(out) + rows) > last.take(out))
         return out
 
     def told(self, bins: Sequence[np.ndarray]) -> np.ndarray:
@@ -145,7 +144,8 @@ def _blocks(table: DataFrame, n_features: int, n: int) -> RDD:
             yield np.concatenate([c for c, _ in pairs], 1), np.concatenate([x for _, x in pairs])
 
     held = table.rdd
-    tasks = max(min(held.context.defaultParallelism, -(-n // FEW)), -(-n // MANY))
+    cores = held.context.defaultParallelism
+    tasks = min(-(-n // FEW), cores * -(-n // (cores * MANY)))  # whole waves
     return held.coalesce(tasks).mapPartitions(one)
 
 
